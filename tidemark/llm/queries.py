@@ -8,7 +8,7 @@ from os import environ
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_coding, chat_formatting, media_columns, url_filters
+from tidemark.llm import bpe_coding, chat_formatting, decontamination, media_columns, secret_scans, simhash_dedup, toxicity, url_filters
 from tidemark.llm.frames import table
 
 
@@ -82,10 +82,34 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_columns(table(spark, sf_dir, "documents")).drop("media")
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.learn_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_url_filters": op2_url_filters,
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op6_bpe_coding": op6_bpe_coding,
     "op7_media_columns": op7_media_columns,
+    "op8_secret_scans": op8_secret_scans,
+    "op9_toxicity": op9_toxicity,
+    "op10_decontamination": op10_decontamination,
 }
 SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_url_filters": OP2_SQL}
