@@ -8,7 +8,7 @@ from os import environ
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_coding, chat_formatting, decontamination, media_columns, secret_scans, simhash_dedup, toxicity, url_filters
+from tidemark.llm import bpe_coding, chat_formatting, decontamination, media_columns, secret_scans, simhash_dedup, suffix_dedup, toxicity, url_filters
 from tidemark.llm.frames import table
 
 
@@ -74,6 +74,10 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_coding.bpe_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_url_filters": op2_url_filters,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_bpe_coding": op6_bpe_coding,
     "op7_media_columns": op7_media_columns,
     "op8_secret_scans": op8_secret_scans,
