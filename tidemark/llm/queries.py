@@ -8,7 +8,7 @@ from os import environ
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_coding, chat_formatting, decontamination, media_columns, secret_scans, simhash_dedup, suffix_dedup, toxicity, url_filters
+from tidemark.llm import bpe_coding, chat_formatting, decontamination, license_scans, media_columns, secret_scans, simhash_dedup, suffix_dedup, toxicity, url_filters
 from tidemark.llm.frames import table
 
 
@@ -78,6 +78,34 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = spark.createDataFrame(license_scans.TEMPLATES, "license string, template string")
+    found = license_scans.scan_licenses(table(spark, sf_dir, "documents"), templates)
+    return found.select("doc_id", "license", F.round("containment", 6).alias("containment"))
+
+
+def _license_sql() -> str:
+    rows = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in license_scans.TEMPLATES)
+    cut = "list_filter(string_split_regex(lower(coalesce({}, '')), '[^a-z0-9]+'), lambda w: w <> '')"
+    roll = "list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))"
+    return f"""
+WITH templates(license, template) AS (VALUES {rows}),
+passage AS (
+  SELECT license, {roll} AS shingles FROM (SELECT license, {cut.format("template")} AS words FROM templates)
+), sized AS (
+  SELECT license, list_distinct(shingles) AS shingles, CAST(pow(2, ceil(log2(len(shingles)))) AS BIGINT) AS c FROM passage
+), doc AS (
+  SELECT doc_id, {roll} AS shingles FROM (SELECT doc_id, {cut.format("text")} AS words FROM documents)
+), win AS (
+  SELECT doc_id, c, unnest(list_transform(range(0, len(d.shingles), c), lambda s: d.shingles[s + 1:s + 2 * c])) AS w
+  FROM doc d, (SELECT DISTINCT c FROM sized)
+), held AS (
+  SELECT doc_id, license, len(list_intersect(w, shingles)) / len(shingles) AS share FROM win JOIN sized USING (c)
+)
+SELECT doc_id, license, round(max(share), 6) AS containment FROM held WHERE share >= 0.8 - 1e-9 GROUP BY doc_id, license
+"""
+
+
 def op6_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_coding.bpe_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -111,10 +139,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_license_scans": op5_license_scans,
     "op6_bpe_coding": op6_bpe_coding,
     "op7_media_columns": op7_media_columns,
     "op8_secret_scans": op8_secret_scans,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
-SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_url_filters": OP2_SQL}
+SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_url_filters": OP2_SQL, "op5_license_scans": _license_sql()}
