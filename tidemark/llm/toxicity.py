@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ BITS = 20
 CHUNK_BYTES = 1 << 20
 #: Tasks of one gradient step; the driver adds up so many vectors of n_features numbers.
 GRADIENT_TASKS = 8
+#: Features whose counts travel together.
+SLICE = 1 << 16
 SCORE_SCHEMA = "doc_id long, score double"
 
 
@@ -79,30 +82,32 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     size = 1 << BITS
 
-    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = keep_plan_short(training_rows(docs, labels, max_rows).select("text", (F.col("toxic") > 0).cast("int").alias("toxic")))
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, size), np.int32)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
+                toxic = np.asarray(part.column("toxic"))
                 doc, feature = features(texts_of(part))
-                ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                blobs = [_blob(feature[x:y].astype(np.int32)) for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), pa.array(blobs, pa.binary())], ["toxic", "features"])
-
-    rows = keep_plan_short(training_rows(docs, labels, max_rows).mapInArrow(presence, "toxic int, features binary"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, size + 1))
-        for batch in batches:
-            for toxic, blob in zip(batch.column("toxic").to_pylist(), batch.column("features").to_pylist(), strict=True):
-                seen[int(toxic > 0), np.frombuffer(blob, np.int32)] += 1
-                seen[int(toxic > 0), size] += 1
-        keys = np.flatnonzero(seen.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(seen[0, keys]), pa.array(seen[1, keys])], ["feature", "clean", "toxic"])
-
-    # Summed per feature in Spark; the driver gets the informative ones only, n_features at most.
-    counted = rows.mapInArrow(count, "feature long, clean double, toxic double").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    n = counted.where(F.col("feature") == size).first()
-    n_clean, n_toxic = (n["clean"], n["toxic"]) if n else (0.0, 0.0)
+                for y in (0, 1):
+                    seen[y] += np.bincount(feature[toxic[doc] == y], minlength=size).astype(np.int32)
+        slices = np.flatnonzero(seen.reshape(2, -1, SLICE).any(axis=(0, 2)))
+        blobs = [zstandard.compress(_blob(seen[:, i * SLICE : (i + 1) * SLICE]), 1) for i in slices]
+        yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros((2, SLICE), np.int64)
+        for blob in table.column("counts").to_pylist():
+            total += np.frombuffer(zstandard.decompress(blob), np.int32).reshape(2, SLICE)
+        keys = np.flatnonzero(total.any(axis=0))
+        return pa.table([pa.array(keys + table.column("slice")[0].as_py() * SLICE, pa.int64()), pa.array(total[0, keys].astype(float)), pa.array(total[1, keys].astype(float))], names=["feature", "clean", "toxic"])
+
+    # Counted per task, summed per slice of the features in Spark; the driver gets the informative ones, n_features at most.
+    counted = rows.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "feature long, clean double, toxic double")
     weight = np.zeros(size, np.float64)
     if not n_clean or not n_toxic:
         share = n_toxic / max(1.0, n_clean + n_toxic)
@@ -112,7 +117,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n
     # Information of the presence: difference of the shares times the log ratio, among ratios well clear of chance.
     error = F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
     best = (
-        counted.where((F.col("feature") < size) & (F.abs(scale) >= min_z * error))
+        counted.where(F.abs(scale) >= min_z * error)
         .select("feature", scale.alias("scale"), ((p - q) * scale).alias("worth"))
         .orderBy(F.desc("worth"), "feature").limit(n_features).toPandas()
     )
@@ -124,8 +129,12 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value[0]
         for batch in batches:
-            kept = [at[np.frombuffer(b, np.int32)] for b in batch.column("features").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([_blob(x[x >= 0].astype(np.int32)) for x in kept], pa.binary())], ["toxic", "features"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                doc, feature = features(texts_of(part), at >= 0)
+                ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                blobs = [_blob(at[feature[x:y]].astype(np.int32)) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(blobs, pa.binary())], ["toxic", "features"])
 
     compact = keep_plan_short(rows.mapInArrow(small, "toxic int, features binary").coalesce(GRADIENT_TASKS))
     width = len(best)
