@@ -21,13 +21,13 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def pr_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Average precision, tied scores as one step."""
-    steps = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
+    steps = df.groupBy(score).agg(F.sum(label).alias("__hits"))
     total = df.agg(F.sum(label).alias("all_p"), F.count("*").alias("all_n"))
     below = value_ranks(df, score).select(score, "before")
     below_p = value_ranks(df.where(F.col(label) == 1), score).select(F.col(score).alias("__s"), F.col("before").alias("before_p"), F.col("ties").alias("ties_p"))
-    hit = steps.where("p > 0").join(below, score).join(below_p, F.col(score) == F.col("__s")).join(F.broadcast(total))
+    hit = steps.where("__hits > 0").join(below, score).join(below_p, F.col(score) == F.col("__s")).join(F.broadcast(total))
     seen, caught = F.col("all_n") - F.col("before"), F.col("all_p") - F.col("before_p")
-    return hit.agg(F.sum(F.col("p") / F.col("all_p") * caught / seen).alias("pr_auc"))
+    return hit.agg(F.sum(F.col("__hits") / F.col("all_p") * caught / seen).alias("pr_auc"))
 
 
 def confusion(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFrame:
