@@ -689,7 +689,7 @@ def credit_metrics(t: Tables) -> DataFrame:
     return metrics.interval_metrics(_forecast(t), "p10", "p50", "p90", "y")
 
 
-@query(f"SELECT round(l[floor(i) + 1] + (i - floor(i)) * (l[ceil(i) + 1] - l[floor(i) + 1]), 4) AS margin FROM (SELECT list_sort(list(greatest(p10 - y, y - p90))) AS l, (count(*) - 1) * least(1.0, 0.8 * (1 + 1 / count(*))) AS i FROM {_FORECAST})", digits=4)
+@query(f"SELECT round(l[floor(i)::BIGINT + 1] + (i - floor(i)) * (l[ceil(i)::BIGINT + 1] - l[floor(i)::BIGINT + 1]), 4) AS margin FROM (SELECT list_sort(list(greatest(p10 - y, y - p90))) AS l, (count(*) - 1) * least(1.0, 0.8 * (1 + 1 / count(*))) AS i FROM {_FORECAST})", digits=4)
 def conformal_margin(t: Tables) -> DataFrame:
     return metrics.conformal_margin(_forecast(t), "p10", "p90", "y")
 
