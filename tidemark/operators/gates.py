@@ -29,6 +29,12 @@ def status(checks: DataFrame) -> DataFrame:
     return checks.agg(F.when(bad(BLOCKER), "failed").when(bad(WARNING), "warning").otherwise("passed").alias("status"))
 
 
+def gate_columns(df: DataFrame, name: str, required: list[str]) -> DataFrame:
+    """Every required column is there; looked up in the schema, no rows read."""
+    rows = [(f"{name}.{c}_exists", BLOCKER, c in df.columns, float(c in df.columns)) for c in required]
+    return df.sparkSession.createDataFrame(rows, "check string, severity string, passed boolean, value double")
+
+
 def gate_ids(df: DataFrame, name: str) -> DataFrame:
     return report(df.agg(F.count_if(F.col("acc_id").isNull()).alias("n")), [(f"{name}_acc_id_valid", BLOCKER, "n", F.col("n") == 0)])
 

@@ -197,3 +197,21 @@ def spearman_scan(df: DataFrame, names: list[str], label: str) -> DataFrame:
         one = rows.agg(F.corr("__f", "__l").alias("rho")).select(F.lit(name).alias("feature"), "rho")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+#: Cumulative Poisson(1) probabilities of 0..3 draws.
+POISSON = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312]
+
+
+def bootstrap_mean(df: DataFrame, value: Column, key: str, draws: int = 100, level: float = 0.95) -> DataFrame:
+    """Percentile interval of a mean: Poisson weights from a hash of the key, all draws as sums of one pass."""
+
+    def weight(i: int) -> Column:
+        u = F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(1_000_000)) / 1_000_000
+        return sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
+
+    sums = df.select(value.alias("__v"), F.array(*[weight(i) for i in range(draws)]).alias("__w")).where(F.col("__v").isNotNull())
+    means = sums.agg(F.array(*[F.try_divide(F.sum(F.get("__w", F.lit(i)) * F.col("__v")), F.sum(F.get("__w", F.lit(i)))) for i in range(draws)]).alias("m"), F.avg("__v").alias("mean"))
+    each = means.select("mean", F.explode("m").alias("m"))
+    tail = (1 - level) / 2
+    return each.groupBy("mean").agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))

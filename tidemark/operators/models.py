@@ -11,11 +11,12 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
+from pyspark.ml.regression import AFTSurvivalRegression, GeneralizedLinearRegression, IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clipped
+from tidemark.operators.metrics import ece
 
 
 @dataclass(frozen=True)
@@ -98,3 +99,54 @@ def alive_cuts(df: DataFrame, p_alive: str) -> DataFrame:
     few, low = F.col("n") < 50, clipped(F.col("a"), 0.10, 0.30)
     high = F.greatest(clipped(F.col("b"), 0.35, 0.60), low + 1e-6)
     return got.select(F.when(few, 0.20).otherwise(F.round(low, 4)).alias("at_risk"), F.when(few, 0.50).otherwise(F.round(high, 4)).alias("watch"))
+
+
+def out_of_fold(df: DataFrame, names: list[str], label: str, folds: int = 5) -> DataFrame:
+    """Scores of every row from a model that has not seen its account: ``folds`` fits, folds by a hash of the account."""
+    fold = F.pmod(F.xxhash64("acc_id"), F.lit(folds))
+    out = None
+    for k in range(folds):
+        scored = fit_churn(df.where(fold != k), names, label)(df.where(fold == k))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def calibrated(rows: DataFrame, score: str, label: str, margin: float = 0.002) -> DataFrame:
+    """The score calibrated by a logistic line, or by isotonic steps if their calibration error is clearly smaller."""
+    join = VectorAssembler(inputCols=["__logit"], outputCol="__x")
+    p = F.greatest(F.lit(1e-6), F.least(F.col(score), F.lit(1 - 1e-6)))
+    with_logit = rows.withColumn("__logit", F.log(p / (1 - p)))
+    line = LogisticRegression(featuresCol="__x", labelCol=label, probabilityCol="__p", predictionCol="__y", rawPredictionCol="__r").fit(join.transform(with_logit))
+    smooth = line.transform(join.transform(with_logit)).withColumn("calibrated", F.get(vector_to_array("__p"), F.lit(1))).select(*rows.columns, "calibrated")
+    steps = fit_isotonic(rows, score, label)(rows)
+    error = lambda df: ece(df, "calibrated", label).first()["ece"]
+    return steps if error(steps) + margin < error(smooth) else smooth
+
+
+def fit_topup(train: DataFrame, names: list[str], days: str, observed: str):
+    """Weibull survival of the days to the next payment, right-censored; returns a function that adds ``expected_days``."""
+    by = fit_scaling(train, names)
+    join = VectorAssembler(inputCols=names, outputCol="__x")
+    rows = scaled(train, names, by).withColumn("__days", F.greatest(F.col(days).cast("double"), F.lit(0.5))).withColumn("__seen", F.col(observed).cast("double"))
+    model = AFTSurvivalRegression(featuresCol="__x", labelCol="__days", censorCol="__seen", predictionCol="expected_days").fit(join.transform(rows))
+    return lambda df: model.transform(join.transform(scaled(df, names, by))).select(*[c for c in df.columns if c not in names], "expected_days")
+
+
+def band_quantiles(train: DataFrame, anchor: str, actual: str, levels: list[float], bands: int = 5) -> DataFrame:
+    """Quantiles of the log ratio of actual to anchor within bands of the anchor: band, low edge, one column a level."""
+    edges = train.agg(F.array_distinct(F.percentile(anchor, [i / bands for i in range(1, bands)])).alias("__e"))
+    ratio = F.log1p(F.greatest(F.col(actual), F.lit(0.0))) - F.log1p(F.greatest(F.col(anchor), F.lit(0.0)))
+    rows = train.join(F.broadcast(edges)).withColumn("band", F.size(F.filter("__e", lambda e: e < F.col(anchor)))).withColumn("__ratio", ratio)
+    return rows.groupBy("band").agg(F.min(anchor).alias("low"), *[F.percentile("__ratio", q).alias(f"q{int(q * 100):02d}") for q in levels])
+
+
+def banded_forecast(df: DataFrame, bands: DataFrame, anchor: str, levels: list[float]) -> DataFrame:
+    """anchor moved by the quantiles of its band; the highest band that begins at or below it (the lowest for others)."""
+    table = bands.select(F.sort_array(F.collect_list(F.struct("low", *[f"q{int(q * 100):02d}" for q in levels]))).alias("__b"))  # a row a band
+    fits = F.filter("__b", lambda b: b["low"] <= F.col(anchor))
+    own = F.when(F.size(fits) > 0, F.element_at(fits, -1)).otherwise(F.element_at("__b", 1))
+    rows = df.join(F.broadcast(table)).withColumn("__own", own)
+    for q in levels:
+        name = f"q{int(q * 100):02d}"
+        rows = rows.withColumn(f"p{int(q * 100):02d}", F.greatest(F.expm1(F.log1p(F.greatest(F.col(anchor), F.lit(0.0))) + F.col(f"__own.{name}")), F.lit(0.0)))
+    return rows.drop("__b", "__own")

@@ -230,3 +230,40 @@ def gate_readiness(t: Tables) -> DataFrame:
     return gates.report(t.customers.agg(F.count("*").alias("n")), [("customers_non_empty", gates.BLOCKER, "n", F.col("n") > 0)])
 
 
+
+
+NAMES = ["usage_total_180d", "total_revenue_180d", "payment_overdue_ratio", "usage_slope_6m", "days_since_last_activity"]
+
+
+@query()
+def oof_scores(t: Tables) -> DataFrame:
+    return models.out_of_fold(t.features().select("acc_id", *NAMES).join(t.churn(), "acc_id"), NAMES, "churned", folds=2)
+
+
+@query()
+def calibrated_scores(t: Tables) -> DataFrame:
+    return models.calibrated(t.judged(), "p", "y")
+
+
+@query()
+def topup_model(t: Tables) -> DataFrame:
+    names = ["usage_recent_90d", "payment_count_180d"]
+    rows = t.features().select("acc_id", *names).join(labels.labels_topup(*t.all, CUTOFF), "acc_id").withColumn("days", F.coalesce("days_to_topup", F.lit(180.0)))
+    return models.fit_topup(rows, names, "days", "observed")(rows).select("acc_id", "observed", "expected_days")
+
+
+@query()
+def credit_forecast(t: Tables) -> DataFrame:
+    levels = [0.1, 0.5, 0.9]
+    rows = t.scores().where(F.col("usage_30d").isNotNull()).select("acc_id", "usage_30d").join(labels.labels_credit(*t.all, CUTOFF).select("acc_id", F.col("usage_30d").alias("y")), "acc_id")
+    return models.banded_forecast(rows, models.band_quantiles(rows, "usage_30d", "y", levels), "usage_30d", levels)
+
+
+@query()
+def bootstrap_ci(t: Tables) -> DataFrame:
+    return metrics.bootstrap_mean(t.judged(), F.pow(F.col("p") - F.col("y"), F.lit(2)), "acc_id")
+
+
+@query("SELECT * FROM (VALUES ('customers.acc_id_exists', 'blocker', true, 1.0::DOUBLE), ('customers.email_exists', 'blocker', false, 0.0)) v(\"check\", severity, passed, value)")
+def gate_columns(t: Tables) -> DataFrame:
+    return gates.gate_columns(t.customers, "customers", ["acc_id", "email"])
