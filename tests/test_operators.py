@@ -138,3 +138,47 @@ def test_entry_point_without_training_data_operators(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'agg_lifecycle' in q and not [k for k in q if k.startswith('op')]; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_promotion(spark):
+    from tidemark.operators import promotion
+
+    head = "name string, leakage_ok boolean, artifact_ok boolean, validation double, test double, baseline_validation double, baseline_test double, calibration_error double"
+    rows = [("strong", True, True, 0.8, 0.82, 0.5, 0.5, 0.061), ("weak", True, True, 0.6, 0.6, 0.5, 0.5, 0.01), ("leaky", False, True, 0.9, 0.9, 0.5, 0.5, 0.01), ("off", True, True, 0.9, 0.9, 0.5, 0.5, 0.3), ("shaky", True, True, 0.9, 0.9, 0.5, 0.5, 0.0), ("even", True, True, 0.9, 0.9, 0.5, 0.5, 0.0)]
+    tests = [(n, c, v, 0.5, None) for n, v in (("strong", 0.8), ("weak", 0.6), ("leaky", 0.9), ("off", 0.9)) for c in "ab"]
+    tests += [("shaky", c, v, None, None) for c, v in zip("abc", (0.9, 0.9, 0.4), strict=True)] + [("even", c, 0.9, 0.5, 0.8995) for c in "ab"]
+    candidates, backtests = spark.createDataFrame(rows, head), spark.createDataFrame(tests, "name string, cutoff string, value double, baseline double, champion double")
+    got = promotion.judged(candidates, backtests, relative_margin=0.01, ceiling=0.15, target=0.05)
+    assert {r.name: r.reasons for r in got.collect()} == {"strong": "", "weak": "", "leaky": "leakage", "off": "calibration", "shaky": "unstable", "even": "champion"}
+    assert promotion.winner(got).first().name == "strong"
+    assert promotion.winner(got.where("name = 'leaky'")).count() == 0
+
+
+def test_lifetime_model(spark):
+    import math
+
+    import numpy as np
+
+    from tidemark.operators import lifetime
+
+    xs = [0.05, 0.5, 1.0, 2.5, 10.0, 150.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(lifetime.log_gamma(F.col("x")).alias("g")).collect()
+    assert [r.g for r in got] == pytest.approx([math.lgamma(x) for x in xs], abs=1e-9)
+    rng, rows = np.random.default_rng(0), []
+    for _ in range(1500):  # r 2, alpha 40 days, a 1, b 3
+        rate, leave, at, x, last = rng.gamma(2, 1 / 40), rng.beta(1, 3), 0.0, 0, 0.0
+        while True:
+            at += rng.exponential(1 / rate)
+            if at > 365:
+                break
+            x, last = x + 1, at
+            if rng.random() < leave:
+                break
+        rows.append((x, last, 365.0))
+    rfm = spark.createDataFrame(rows, "frequency long, recency double, age double")
+    m = lifetime.fit_bgnbd(rfm, penalty=0.0)
+    true = lifetime.BgNbd(2, 40, 1, 3)
+    both = rfm.agg(F.avg(lifetime.log_likelihood(m)).alias("fit"), F.avg(lifetime.log_likelihood(true)).alias("true")).first()
+    assert both.fit >= both.true - 1e-3 and 1 < m.r < 4 and 20 < m.alpha < 80
+    p = rfm.select("frequency", "recency", lifetime.p_alive(m).alias("p")).collect()
+    assert all(0 <= r.p <= 1 for r in p) and all(r.p == 1 for r in p if r.frequency == 0)

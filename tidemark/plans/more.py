@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import cleaning, gates, labels, metrics, models, reports
+from tidemark.operators import cleaning, gates, labels, lifetime, metrics, models, reports
 from tidemark.plans.catalog import CUTOFF, STATS, Tables, query
 from tidemark.sources import adapter
 from tidemark.streaming.monthly import windowed_usage
@@ -267,3 +267,9 @@ def bootstrap_ci(t: Tables) -> DataFrame:
 @query("SELECT * FROM (VALUES ('customers.acc_id_exists', 'blocker', true, 1.0::DOUBLE), ('customers.email_exists', 'blocker', false, 0.0)) v(\"check\", severity, passed, value)")
 def gate_columns(t: Tables) -> DataFrame:
     return gates.gate_columns(t.customers, "customers", ["acc_id", "email"])
+
+
+@query()
+def p_alive(t: Tables) -> DataFrame:
+    rfm = labels.rfm_summary(t.payments, CUTOFF)
+    return rfm.select("acc_id", "frequency", lifetime.p_alive(lifetime.fit_bgnbd(rfm)).alias("p_alive"))
