@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import elapsed_days
-from tidemark.operators.features import account_spine, day, lifecycle, pit_payments, pit_usage
+from tidemark.operators.features import account_spine, day, lifecycle, pit_payments
 
 
 def activity_events(payments: DataFrame, usage: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import cleaning, gates, labels, lifetime, metrics, models, reports
+from tidemark.operators import cleaning, gates, labels, lifetime, metrics, models, registry, reports
 from tidemark.plans.catalog import CUTOFF, STATS, Tables, query
 from tidemark.sources import adapter
 from tidemark.streaming.monthly import windowed_usage
@@ -273,3 +273,93 @@ def gate_columns(t: Tables) -> DataFrame:
 def p_alive(t: Tables) -> DataFrame:
     rfm = labels.rfm_summary(t.payments, CUTOFF)
     return rfm.select("acc_id", "frequency", lifetime.p_alive(lifetime.fit_bgnbd(rfm)).alias("p_alive"))
+
+
+VERSIONS = [("churn-2024.05.1", "churn", "2024-05-01", '{"pr_auc": 0.61}'), ("churn-2024.06.1", "churn", "2024-06-01", '{"pr_auc": 0.66}'), ("churn-2024.06.2", "churn", "2024-06-09", '{"other": 1}'), ("clv-2024.06.1", "clv", "2024-06-02", '{"pr_auc": 0.3}')]
+ALIASES = [("churn", "champion", "churn-2024.05.1"), ("clv", "champion", "clv-2024.06.1")]
+EVALUATIONS = [("r1", "churn-2024.05.1", '{"value": 0.5}'), (None, "churn-2024.06.1", '{"value": 0.6}'), ("r3", "gone", "{}")]
+
+
+def _versions(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(VERSIONS, "version string, model_type string, created_at string, metrics string")
+
+
+def _aliases(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(ALIASES, "model_type string, alias string, version string")
+
+
+def _evaluations(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(EVALUATIONS, "run_id string, version string, metrics string")
+
+
+@query("SELECT 'churn-2024.06.3' AS version")
+def next_version(t: Tables) -> DataFrame:
+    return registry.next_version(_versions(t), "churn", "2024.06")
+
+
+@query("SELECT * FROM (VALUES ('churn-2024.05.1', '2024-05-01', 0.61::DOUBLE), ('churn-2024.06.1', '2024-06-01', 0.66), ('churn-2024.06.2', '2024-06-09', NULL)) v(version, created_at, metric)")
+def model_versions(t: Tables) -> DataFrame:
+    return registry.model_versions(_versions(t), "churn", "pr_auc")
+
+
+@query("SELECT * FROM (VALUES ('churn', 'churn-2024.05.1', 0.61::DOUBLE, 1::BIGINT, 3::BIGINT), ('clv', 'clv-2024.06.1', 0.3, 0, 1)) v(model_type, champion, champion_metric, n_better, n)")
+def model_performance(t: Tables) -> DataFrame:
+    return registry.model_performance(_versions(t), _aliases(t), "pr_auc")
+
+
+@query("SELECT * FROM (VALUES ('churn', 'champion', 'churn-2024.06.1'), ('clv', 'champion', 'clv-2024.06.1')) v(model_type, alias, version)")
+def promote(t: Tables) -> DataFrame:
+    return registry.promoted(_aliases(t), "churn", "churn-2024.06.1")
+
+
+@query("SELECT 'r2' AS run_id")
+def unmeasured_runs(t: Tables) -> DataFrame:
+    runs = t.spark.createDataFrame([("r1", "completed"), ("r2", "completed"), ("r4", "failed")], "run_id string, status string")
+    return registry.unmeasured_runs(runs, _evaluations(t))
+
+
+@query("SELECT * FROM (VALUES ('r1', 'churn-2024.05.1', 'churn', 0.5::DOUBLE), (NULL, 'churn-2024.06.1', 'churn', 0.6), ('r3', 'gone', NULL, NULL)) v(run_id, version, model_type, value)")
+def realized_stored(t: Tables) -> DataFrame:
+    return registry.realized_stored(_evaluations(t), _versions(t))
+
+
+@query("SELECT acc_id, segment, priority_rank FROM outputs WHERE acc_id = 7")
+def output_one(t: Tables) -> DataFrame:
+    return t.outputs().where("acc_id = 7").select("acc_id", "segment", "priority_rank")
+
+
+@query("SELECT acc_id, status_sms, coalesce(credit_sms, 0) AS credit_sms, join_date FROM customers WHERE acc_id = 7")
+def customer_profile(t: Tables) -> DataFrame:
+    return t.customers.where("acc_id = 7").select("acc_id", "status_sms", F.coalesce("credit_sms", F.lit(0.0)).alias("credit_sms"), "join_date")
+
+
+@query("SELECT 'stage' AS kind, stage AS value, count(*) AS n FROM d1 GROUP BY 2 UNION ALL SELECT 'risk_level', risk_level, count(*) FROM d1 WHERE risk_level IS NOT NULL GROUP BY 2 UNION ALL SELECT 'usage_trend', usage_trend, count(*) FROM d1 GROUP BY 2 UNION ALL SELECT 'urgency', urgency, count(*) FROM d1 WHERE urgency IS NOT NULL GROUP BY 2")
+def run_summary(t: Tables) -> DataFrame:
+    """All enum counts of a run from one scan: the four columns are unpivoted and counted together."""
+    long = t.derived().select("acc_id", "stage", "risk_level", "usage_trend", "urgency").unpivot(["acc_id"], ["stage", "risk_level", "usage_trend", "urgency"], "kind", "value")
+    return long.where(F.col("value").isNotNull()).groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT segment, count(*) AS n, count(*) FILTER (needs_review) AS to_review FROM d2 GROUP BY 1")
+def run_insight_signals(t: Tables) -> DataFrame:
+    return t.derived().groupBy("segment").agg(F.count("*").alias("n"), F.count_if("needs_review").alias("to_review"))
+
+
+@query("SELECT round((SELECT avg(y) FROM (SELECT * FROM judged QUALIFY row_number() OVER (ORDER BY p DESC, acc_id) <= ceil(count(*) OVER () * 0.2))) / avg(y), 6) AS lift FROM judged")
+def lift_at_k(t: Tables) -> DataFrame:
+    return metrics.at_k(t.judged(), "p", "y", 0.2, "acc_id").select("lift")
+
+
+@query()
+def realized_credit(t: Tables) -> DataFrame:
+    rows = t.scores().where(F.col("usage_30d").isNotNull()).select("acc_id", F.col("usage_30d").alias("p")).join(labels.labels_credit(*t.all, CUTOFF).select("acc_id", F.col("usage_30d").alias("y")), "acc_id")
+    return metrics.regression_metrics(rows, "p", "y")
+
+
+@query("SELECT 'scaled_rows' AS \"check\", 'blocker' AS severity, true AS passed, CAST(count(*) AS DOUBLE) AS value FROM features")
+def gate_preprocessing(t: Tables) -> DataFrame:
+    """Scaling fitted on training rows keeps every row and leaves no null."""
+    by = models.fit_scaling(t.features().where("acc_id % 5 <> 0"), NAMES)
+    out = models.scaled(t.features().select("acc_id", *NAMES), NAMES, by)
+    held = sum((F.col(c).isNull().cast("int") for c in NAMES), F.lit(0))
+    return gates.report(out.agg(F.count("*").alias("n"), F.sum(held).alias("nulls")), [("scaled_rows", gates.BLOCKER, "n", F.col("nulls") == 0)])
