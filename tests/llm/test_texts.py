@@ -10,7 +10,7 @@ import pytest
 
 pa = pytest.importorskip("pyarrow")
 from tidemark.llm import bpe_coding, chat_formatting, media_columns, secret_scans  # noqa: E402
-from tidemark.llm.queries import OP1_SQL, vocabulary_path  # noqa: E402,F401
+from tidemark.llm.queries import vocabulary_path  # noqa: E402
 
 TEXTS = [None, "", " ", "plain words", "Ünïcode – ßharp İstanbul ΣΑΣ", "a" * 5000, "x\x00y\x85z\xa0", "don't we'll <|endoftext|> end", "\n\n", "日本語 text 12³ ²Ⅷ"]
 

@@ -19,6 +19,7 @@ repeated rows give repeated results; empty tables give an empty result; other co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -147,15 +148,13 @@ def contained(sketches: Sketches, texts: list[str], threshold: float) -> list[tu
     return out
 
 
-def _blocks(benchmark: DataFrame, threshold: float, block_items: int) -> list[Sketches]:
-    """The benchmark's sketches, block_items at a time; each block is read, sketched and sent by itself."""
+def _blocks(benchmark: DataFrame, threshold: float, block_items: int) -> Iterator[Sketches]:
+    """The benchmark's sketches, about block_items at a time; the driver holds one block."""
     n_blocks = max(1, -(-benchmark.count() // block_items))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    found = []
     for i in range(n_blocks):
         rows = benchmark.select("item_id", "text").where(block == i).collect()
-        found.append(build_sketches([(r["item_id"], r["text"]) for r in rows], threshold))
-    return found
+        yield build_sketches([(r["item_id"], r["text"]) for r in rows], threshold)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_items: int = 50_000) -> DataFrame:
