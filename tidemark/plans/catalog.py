@@ -450,10 +450,10 @@ def priority_rank(t: Tables) -> DataFrame:
 
 
 @query("""SELECT acc_id, round(CASE WHEN n >= 50 AND (payment_count_all >= greatest(f, 2) OR total_revenue_180d >= r) THEN greatest(predicted_clv, b) ELSE predicted_clv END, 6) AS blended
-  FROM (SELECT acc_id, payment_count_all, total_revenue_180d, predicted_clv, round_even(total_revenue_180d / 2, 2) AS b FROM scores WHERE predicted_clv IS NOT NULL),
+  FROM (SELECT acc_id, payment_count_all, total_revenue_180d, predicted_clv, total_revenue_180d / 2 AS b FROM scores WHERE predicted_clv IS NOT NULL),
   (SELECT quantile_cont(payment_count_all, 0.9) AS f, quantile_cont(total_revenue_180d, 0.9) AS r, count(*) AS n FROM scores WHERE predicted_clv IS NOT NULL)""")
 def clv_tail_blend(t: Tables) -> DataFrame:
-    rows = t.scores().where(F.col("predicted_clv").isNotNull()).withColumn("other", F.bround(F.col("total_revenue_180d") / 2, 2))
+    rows = t.scores().where(F.col("predicted_clv").isNotNull()).withColumn("other", F.col("total_revenue_180d") / 2)
     return scoring.clv_tail_blend(rows, "payment_count_all", "total_revenue_180d", "predicted_clv", "other").select("acc_id", "blended")
 
 
