@@ -185,6 +185,13 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, chunk, many):
     assert suffix_dedup.suffix_dedup(docs_of(spark, pairs).limit(0)).count() == 0
 
 
+def test_suffix_dedup_without_any_match(spark):
+    pairs = [(i, "".join(random.Random(i).choices("abcdefghijklmnop", k=300))) for i in range(5)] + [(9, "short")]
+    assert sorted(str(tuple(r)) for r in suffix_dedup.suffix_dedup(docs_of(spark, pairs)).collect()) == brute_suffixes(pairs)
+    exact = [(1, pairs[0][1]), (2, pairs[0][1])]
+    assert sorted(str(tuple(r)) for r in suffix_dedup.suffix_dedup(docs_of(spark, exact)).collect()) == brute_suffixes(exact)
+
+
 # Licences and decontamination.
 
 

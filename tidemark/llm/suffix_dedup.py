@@ -6,7 +6,7 @@ hash among the K-byte strings of some 50-byte window (about two in W + 1 positio
 at equal places, so windows can only match where anchors do.
 
 1. Texts are packed into compressed chunks (documents in a row, at most ``CHUNK_BYTES`` of text, a longer document
-   alone) and written once to the shared checkpoint folder, dealt by chunk.
+   alone) and written once to the shared checkpoint folder.
 2. Every chunk sends its anchor suffixes to buckets that split the range of the leading K bytes' fingerprints evenly
    (uniform keys need no sampled splitters, and equal keys never straddle a border). A bucket sorts by leading bytes,
    then by the whole context of an anchor (all bytes of all 50-byte windows around it), then by document. An anchor
@@ -16,7 +16,7 @@ at equal places, so windows can only match where anchors do.
    one: a window is removed if a smaller document has it.
 4. Each chunk marks what is covered and returns its documents.
 
-Keys travel as fingerprints (88 bits and the bucket for contexts, 64 bits for windows) packed in binary columns.
+Keys travel as fingerprints packed in binary columns: 80 bits and the bucket for contexts, 56 and the bucket for windows.
 
 Skew: a chunk sends equal suffixes once, with its smallest document, so a passage in a third of all documents is one
 entry a chunk and not one a document. If one anchor has more than ``MANY`` contexts in a chunk, one entry stands for all
@@ -37,21 +37,24 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.llm.byte_windows import gram_hash, prefix_sums, sliding_min, span_hash
+from tidemark.llm.byte_windows import gram_hash, mixed, prefix_sums, sliding_min, span_hash
 from tidemark.llm.frames import keep_plan_short, texts_of
 
 NEED = 50
 K = 25
 W = NEED - K + 1
 SIDE = NEED - K
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 #: Bytes of a chunk that are hashed at a time.
-PIECE = 1 << 19
+PIECE = 1 << 18
 MANY = 4
+#: Bytes of the fingerprints that travel, besides what the bucket tells: of leading bytes, of contexts, of windows.
+LEAD_BYTES, CONTEXT_BYTES, WINDOW_BYTES = 4, 6, 7
+#: Compression level of the texts, which are written and shuffled once.
+BODY_LEVEL = 5
 #: Chunks whose anchors one bucket can hold.
-CHUNKS_A_BUCKET = 12
+CHUNKS_A_BUCKET = 16
 #: Between documents; no byte of UTF-8.
 GAP = b"\xff" * 64
 NO_ID = np.iinfo(np.int64).max
@@ -88,7 +91,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def chunk() -> pa.RecordBatch:
         nonlocal ids, texts, held, made
-        row = [task + made], [_squeeze(np.array(ids, np.int64))], [_squeeze(np.array([len(t) for t in texts], np.int64))], [_squeeze(b"".join(texts))]
+        row = [task + made], [_squeeze(np.array(ids, np.int64))], [_squeeze(np.array([len(t) for t in texts], np.int64))], [zstandard.compress(b"".join(texts), BODY_LEVEL)]
         ids, texts, held, made = [], [], 0, made + 1
         return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], ["chunk", "ids", "sizes", "body"])
 
@@ -183,6 +186,7 @@ class Entries:
 
     def __init__(self, chunk: Chunk, doc: np.ndarray, lead: np.ndarray, context: np.ndarray, buckets: int) -> None:
         ids = chunk.ids[doc] if len(doc) else np.zeros(0, np.int64)
+        lead = mixed(lead, salt=7)  # anchors are minima, so their hashes crowd at the low end; this spreads them evenly
         order = np.lexsort((ids, context, lead))
         new = _first_of(lead[order], context[order]) if len(order) else np.zeros(0, bool)
         self.of = np.empty(len(order), np.int64)
@@ -200,7 +204,9 @@ class Entries:
     def parts(self) -> Iterator[tuple[int, np.ndarray]]:
         """Per bucket, the entries sent to it; entries are in order of their lead, hence of their bucket."""
         sent = np.flatnonzero(self.sent)
-        cuts = np.flatnonzero(_first_of(self.bucket[sent])) if len(sent) else np.zeros(0, np.int64)
+        if not len(sent):
+            return
+        cuts = np.flatnonzero(_first_of(self.bucket[sent]))
         for a, b in zip(cuts, [*cuts[1:], len(sent)], strict=True):
             yield int(self.bucket[sent[a]]), sent[a:b]
 
@@ -209,7 +215,7 @@ def _send(entries: Entries, chunk_id: int, ids: np.ndarray, lead_bytes: int) ->
     rows: list[tuple] = []
     for bucket, pick in entries.parts():
         docs, index = np.unique(entries.doc[pick], return_inverse=True)
-        rows.append((bucket, chunk_id, _squeeze(ids[docs]), _squeeze(index.astype(np.uint16 if len(docs) < 65536 else np.uint32)), _low_bytes(entries.lead[pick], lead_bytes), _low_bytes(entries.context[pick], 6), _squeeze(np.packbits(entries.many[pick]))))
+        rows.append((bucket, chunk_id, _squeeze(ids[docs]), _squeeze(index.astype(np.uint16 if len(docs) < 65536 else np.uint32)), _low_bytes(entries.lead[pick], lead_bytes), _low_bytes(entries.context[pick], CONTEXT_BYTES), _squeeze(np.packbits(entries.many[pick]))))
     if rows:
         cols = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["bucket", "chunk", "ids", "doc", "lead", "context", "many"])
@@ -225,7 +231,7 @@ def _settle(round_no: int, lead_bytes: int):
             lead, ids = _from_low_bytes(r["lead"], lead_bytes), _spread(r["ids"])
             index = _spread(r["doc"], np.uint16 if len(ids) < 65536 else np.uint32)
             leads.append(lead)
-            contexts.append(_from_low_bytes(r["context"], 6) if r["context"] else np.zeros(len(lead), np.uint64))
+            contexts.append(_from_low_bytes(r["context"], CONTEXT_BYTES) if r["context"] else np.zeros(len(lead), np.uint64))
             docs.append(ids[index])
             manys.append(np.unpackbits(_spread(r["many"], np.uint8), count=len(lead)).astype(bool))
         cuts = np.cumsum([len(x) for x in leads])[:-1]
@@ -273,9 +279,7 @@ def _state(row: dict, replies: list[dict], buckets: int):
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spark = docs.sparkSession
-    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = keep_plan_short(docs.select("doc_id", "text").mapInArrow(_pack, CHUNK_SCHEMA).repartition(deal, "chunk"))
+    chunks = keep_plan_short(docs.select("doc_id", "text").mapInArrow(_pack, CHUNK_SCHEMA))
     buckets = max(1, -(-chunks.count() // CHUNKS_A_BUCKET))
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,21 +287,21 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
                 chunk = Chunk(row["ids"], row["sizes"], row["body"])
                 _, doc, lead, context = chunk.anchors()
-                yield from _send(Entries(chunk, doc, lead, context, buckets), row["chunk"], chunk.ids, 5)
+                yield from _send(Entries(chunk, doc, lead, context, buckets), row["chunk"], chunk.ids, LEAD_BYTES)
 
-    round1 = keep_plan_short(chunks.mapInArrow(send_anchors, SENT_SCHEMA).groupBy("bucket").applyInArrow(_settle(1, 5), REPLY_SCHEMA))
+    round1 = keep_plan_short(chunks.mapInArrow(send_anchors, SENT_SCHEMA).groupBy("bucket").applyInArrow(_settle(1, LEAD_BYTES), REPLY_SCHEMA))
 
     def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
             chunk, place, _, lead, _, opened = _state(row, right.to_pylist(), buckets)
             _, doc, prints = chunk.windows(place[opened], lead[opened])
-            out += _send(Entries(chunk, doc, prints, np.zeros(len(prints), np.uint64), buckets), row["chunk"], chunk.ids, 8)
+            out += _send(Entries(chunk, doc, prints, np.zeros(len(prints), np.uint64), buckets), row["chunk"], chunk.ids, WINDOW_BYTES)
         kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
         names = ["bucket", "chunk", "ids", "doc", "lead", "context", "many"]
         return pa.Table.from_batches(out) if out else pa.schema(list(zip(names, kinds, strict=True))).empty_table()
 
-    round2 = chunks.groupBy("chunk").cogroup(round1.groupBy("chunk")).applyInArrow(send_windows, SENT_SCHEMA).groupBy("bucket").applyInArrow(_settle(2, 8), REPLY_SCHEMA)
+    round2 = chunks.groupBy("chunk").cogroup(round1.groupBy("chunk")).applyInArrow(send_windows, SENT_SCHEMA).groupBy("bucket").applyInArrow(_settle(2, WINDOW_BYTES), REPLY_SCHEMA)
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], [], []]
