@@ -182,3 +182,42 @@ def test_lifetime_model(spark):
     assert both.fit >= both.true - 1e-3 and 1 < m.r < 4 and 20 < m.alpha < 80
     p = rfm.select("frequency", "recency", lifetime.p_alive(m).alias("p")).collect()
     assert all(0 <= r.p <= 1 for r in p) and all(r.p == 1 for r in p if r.frequency == 0)
+
+
+def test_expected_purchases_and_spend(spark):
+    import math
+
+    import numpy as np
+
+    from tidemark.operators import lifetime
+
+    m, days = lifetime.BgNbd(0.8, 30.0, 0.7, 2.5), 180.0
+    rows = [(0, 0.0, 400.0), (1, 20.0, 300.0), (7, 350.0, 365.0), (40, 100.0, 900.0)]
+
+    def published(x, recency, age):
+        z, term, total, n = days / (m.alpha + age + days), 1.0, 1.0, 0
+        while n < 20000:  # the plain Gauss series
+            term *= (m.r + x + n) * (m.b + x + n) / ((m.a + m.b + x - 1 + n) * (n + 1)) * z
+            total, n = total + term, n + 1
+        up = (m.a + m.b + x - 1) / (m.a - 1) * (1 - ((m.alpha + age) / (m.alpha + age + days)) ** (m.r + x) * total)
+        return up / (1 + (x > 0) * m.a / (m.b + x - 1) * ((m.alpha + age) / (m.alpha + recency)) ** (m.r + x))
+
+    rfm = spark.createDataFrame(rows, "frequency long, recency double, age double")
+    got = rfm.select("frequency", lifetime.expected_purchases(m, days).alias("n")).collect()
+    assert {r.frequency: r.n for r in got} == pytest.approx({x: published(x, t, age) for x, t, age in rows}, rel=1e-6)
+
+    rng = np.random.default_rng(1)
+    true, spent = lifetime.GammaGamma(6.0, 4.0, 15.0), []
+    for i in range(3000):
+        x, rate = int(rng.integers(1, 12)), rng.gamma(true.q, 1 / true.v)
+        spent.append((i, x, float(rng.gamma(true.p * x, 1 / (rate * x))), 10.0, 50.0))
+    spent.append((3000, 0, 0.0, 0.0, 50.0))
+    spent = spark.createDataFrame(spent, "acc_id long, frequency long, monetary double, recency double, age double")
+    g = lifetime.fit_gamma_gamma(spent, penalty=0.0)
+    both = spent.where("frequency > 0").agg(F.avg(lifetime.spend_log_likelihood(g)).alias("fit"), F.avg(lifetime.spend_log_likelihood(true)).alias("true")).first()
+    assert both.fit >= both.true - 1e-3
+    assert g.p * g.v / (g.q - 1) == pytest.approx(true.p * true.v / (true.q - 1), rel=0.1)
+    assert lifetime.fit_gamma_gamma(spent.limit(10)) is None
+    out = {r.acc_id: r for r in lifetime.expected_revenue(spent, m, g, 180).collect()}
+    assert len(out) == 3001 and all(r.predicted_clv == pytest.approx(r.purchases * r.spend) for r in out.values())
+    assert out[3000].spend == pytest.approx(spent.agg(F.avg("monetary")).first()[0])
