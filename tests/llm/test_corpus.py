@@ -104,6 +104,21 @@ def test_bk_search_finds_every_pair():
     assert got == {(i, j, int(d[i, j])) for i in range(600) for j in range(i) if tree[i] == tree[j] and d[i, j] <= 4}
 
 
+@pytest.mark.parametrize("prints", [[3, 12, 15], [7, 56, 448, 3 | 8, 0], list(range(0, 256, 5))])
+def test_near_links_connect_what_only_a_hub_connects(spark, prints):
+    near = {a: {b for b in prints if (a ^ b).bit_count() <= 2} for a in prints}
+    expected = {}
+    for start in prints:
+        reached, edge = {start}, [start]
+        while edge:
+            edge = [b for a in edge for b in near[a] - reached]
+            reached |= set(edge)
+        expected[start] = min(reached)
+    rows = spark.createDataFrame([(p, [p]) for p in prints], "id long, fingerprint array<long>")
+    found = links.components(simhash_dedup.near_links(rows, simhash_dedup.exact_masks(2), 2)).collect()
+    assert {p: p for p in prints} | {r["node"]: r["root"] for r in found} == expected
+
+
 def test_exact_masks_meet_within_the_radius():
     rng, masks = random.Random(6), simhash_dedup.exact_masks(2)
     for _ in range(300):

@@ -150,6 +150,19 @@ def bk_search(points: np.ndarray, tree: np.ndarray, radius: int) -> Iterator[tup
             node = order[np.repeat(low, counts) + step]
 
 
+def joined_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` (of every point the lowest point it is connected to) after the points i[k] and j[k] are connected too."""
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while ((up := label[label]) != label).any():
+            label = up
+    return label
+
+
 def _links(radius: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -159,32 +172,22 @@ def _links(radius: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 points = np.asarray(members.flatten().field(1).flatten()).reshape(-1, words)
                 sizes = np.asarray(members.value_lengths())
                 tree = np.repeat(np.arange(len(sizes)), sizes)
-                best = np.full(len(ids), -1)
-                closest = np.full(len(ids), 64 * words + 1)
-                lowest = np.arange(len(ids))
-                for i, j, d in bk_search(points, tree, radius):
-                    np.minimum.at(lowest, i, j)
-                    better = np.lexsort((j, d, i))
-                    i, j, d = i[better], j[better], d[better]
-                    head = np.concatenate([[True], i[1:] != i[:-1]])
-                    i, j, d = i[head], j[head], d[head]
-                    nearer = d < closest[i]
-                    closest[i[nearer]], best[i[nearer]] = d[nearer], j[nearer]
-                    # Links kept: to the nearest member before it and to the first one within the radius.
-                mine = np.flatnonzero(best >= 0)
-                a = np.concatenate([ids[mine], ids[mine]])
-                b = np.concatenate([ids[best[mine]], ids[lowest[mine]]])
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                label = np.arange(len(ids))
+                for i, j, _ in bk_search(points, tree, radius):
+                    label = joined_labels(label, i, j)
+                mine = np.flatnonzero(label < np.arange(len(ids)))
+                if len(mine):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[mine]), pa.array(ids[label[mine]])], ["a", "b"])
 
     return run
 
 
 def near_links(prints: DataFrame, masks: list[list[int]], radius: int, words: int = 1, members: int | None = None) -> DataFrame:
-    """``prints`` (id long, fingerprint array<long>), both distinct, to links (a, b) within the radius.
+    """``prints`` (id long, fingerprint array<long>), both distinct, to links (a, b) with the components
+    of all pairs within the radius that meet in a shard.
 
-    Of each member of a shard the links to its nearest and to its first earlier neighbour are kept; a chain of such
-    links holds together all that lie within the radius of one another, and no shard emits more than two a member.
+    Nearness isn't transitive, so every pair of a shard is joined in the shard's task, and each member is then linked to
+    the first member it is connected to there: one link a member at most. A link's own ends may be further apart.
 
     ``members`` is for masks that do not bound a shard: a shard with more is dealt into parts of about so many, by a
     hash that differs from mask to mask, and its smallest id joins every part. The many members of a large group meet
