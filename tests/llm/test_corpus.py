@@ -166,6 +166,41 @@ def test_large_shards_are_dealt_and_stay_linked(spark, monkeypatch):
 # Suffix dedup.
 
 
+def brute_kept(pairs, similarity=0.8):
+    """Ids that stay: the smallest of each component of the pairs of that Jaccard similarity of five-word shingles."""
+    sets = []
+    for _, text in pairs:
+        words = text.lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    root = list(range(len(pairs)))
+    for i in range(len(pairs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9 and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for r, (i, _) in zip(root, pairs, strict=True):
+        least[r] = min(i, least.get(r, i))
+    return sorted(least.values())
+
+
+def kept(spark, pairs):
+    return sorted(r["doc_id"] for r in simhash_dedup.drop_near_duplicates(docs_of(spark, pairs)).collect())
+
+
+def test_near_copies_are_those_of_the_contract(spark):
+    rng = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = []
+    for size in [8, 9, 10, 12, 44, 104, 204]:  # words; 4 shingles fewer
+        for grown in (0.24, 0.25, 0.26):  # similarity 0.8 is a quarter more shingles
+            source = rng.choices(vocabulary, k=size)
+            texts += [" ".join(source), " ".join(source + rng.choices(vocabulary, k=max(1, round(grown * (size - 4)))))]
+    texts += [varied(rng, source, n) for n in range(1, 9) for source in [rng.choices(vocabulary, k=150)] for _ in range(4)]
+    pairs = list(enumerate(texts))
+    rng.shuffle(pairs)
+    assert kept(spark, pairs) == brute_kept(pairs)
+
+
 def brute_suffixes(pairs):
     first = {}
     for i, t in pairs:

@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_windows import mixed
@@ -222,45 +222,151 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by five-word shingles, for a Jaccard similarity that 64 bits and a small radius can't reach.
+# Near copies by sets of five-word shingles, for a Jaccard similarity that 64 bits and a small radius can't reach.
 
-#: Candidates: 128 bits of two-word shingles, which a changed word disturbs less; shards by 24 sampled masks of 20 bits.
-CANDIDATE_WORDS, CANDIDATE_SHINGLE, CANDIDATE_MASKS, CANDIDATE_BITS, CANDIDATE_RADIUS = 2, 2, 24, 20, 24
-#: Acceptance: 768 bits of five-word shingles; the share of differing bits tells the angle to about 0.013 of pi.
-ACCEPT_WORDS, ACCEPT_SHINGLE = 12, 5
-#: Members of a shard searched by one tree.
+SHINGLE = 5
+#: Longs of a set's parity bitmap.
+PARITY_WORDS = 16
+#: Members of a bucket that one join key holds on its left side; of a larger bucket every part meets all members.
 SHARD_MEMBERS = 2000
+#: Shingles in that many texts of one in COMMON_SAMPLE come last in the order; at most COMMON_LIMIT are broadcast.
+COMMON_SAMPLE, COMMON_TEXTS, COMMON_LIMIT = 64, 4, 200_000
+#: First links of a bucket go to pivots, which differ between this many classes of shingles.
+PIVOTS = 8
+#: A list of so many texts to verify is still broadcast.
+VERIFIED_TEXTS = 50_000
 
 
-def accepted_distance(similarity: float, bits: int = 64 * ACCEPT_WORDS) -> int:
-    """Differing bits of two texts of that Jaccard similarity and equal size: their cosine is 2 s / (1 + s)."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def prefix_size(n: int, similarity: float) -> int:
+    """How many of a set's n shingles, first in a common order, no set of that similarity can miss altogether."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
-def _both_prints(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts = texts_of(batch)
-    # Distinct shingles: the similarity is of sets.
-    near = [majority(np.unique(shingle_hashes(t, CANDIDATE_SHINGLE)), CANDIDATE_WORDS) for t in texts]
-    sure = [majority(np.unique(shingle_hashes(t, ACCEPT_SHINGLE)), ACCEPT_WORDS) for t in texts]
+def parity(hashes: np.ndarray) -> list[int]:
+    """A bitmap of the parity of the hashes in each of its places.
+
+    Two bitmaps differ in at most as many places as the sets have elements that are not common to both.
+    """
+    places = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(places.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+
+
+def _shingle_set(text: str) -> np.ndarray:
+    return np.unique(shingle_hashes(text, SHINGLE))
+
+
+def _set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    sets = [_shingle_set(t) for t in texts_of(batch)]
     longs = pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(near, longs), pa.array(sure, longs)], ["doc_id", "text_hash", "fingerprint", "sure"])
+    arrays = [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(map(_set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(parity, sets), longs)]
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "id", "n", "bits"])
+
+
+def _whole_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    sets = pa.array([_shingle_set(t).view(np.int64) for t in texts_of(batch)], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([batch.column("id"), sets], ["id", "shingles"])
+
+
+def _common_shingles(keyed: DataFrame) -> np.ndarray:
+    """The most frequent shingles of a sample of the distinct texts, sorted. They only decide the order of shingles."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [_shingle_set(t) for t in texts_of(batch)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64), pa.int64())], ["token"])
+
+    sample = keyed.where(F.pmod(F.xxhash64("text_hash"), F.lit(COMMON_SAMPLE)) == 0).select("text", "text_hash").dropDuplicates(["text_hash"])
+    counted = map_slices(sample, work, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_TEXTS)
+    return np.sort(np.array([r["token"] for r in counted.orderBy(F.desc("n"), "token").limit(COMMON_LIMIT).select("token").collect()], np.int64).view(np.uint64))
+
+
+def _is_in(ordered: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return np.searchsorted(ordered, hashes, side="right") > np.searchsorted(ordered, hashes, side="left")
+
+
+def _prefixes(keyed: DataFrame, similarity: float) -> DataFrame:
+    """token, id, n: the prefix of every set in the order (common or not, hash). Equal sets give equal rows."""
+    common = keyed.sparkSession.sparkContext.broadcast(_common_shingles(keyed))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens, ids, sizes = [np.zeros(0, np.uint64)], [], []
+        for text in texts_of(batch):
+            found = _shingle_set(text)
+            late = _is_in(common.value, found)
+            first = np.concatenate([found[~late], found[late]])[: prefix_size(len(found), similarity)]
+            tokens.append(first)
+            ids += [_set_id(found)] * len(first)
+            sizes += [len(found)] * len(first)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["token", "id", "n"])
+
+    return map_slices(keyed.select("text"), work, "token long, id long, n long")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
+    """Of ``pairs`` (a, b: set ids) those that are similar, by their whole shingle sets.
+
+    The parity bitmaps first rule out pairs that differ in too many shingles; they never rule out a similar pair.
+    """
+    side = lambda name, *columns: sets.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    met = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+    apart = sum((F.bit_count(F.get("bits_a", F.lit(w)).bitwiseXOR(F.get("bits_b", F.lit(w)))) for w in range(PARITY_WORDS)), F.lit(0))
+    most = (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    left = keep_plan_short(met.where(apart <= most).select("a", "b"))
+    wanted = left.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "first"), "id").select("id", F.col("first.doc_id").alias("of_doc"), F.col("first.text_hash").alias("of_text"))
+    wanted = keep_plan_short(wanted)
+    few = wanted.count() <= VERIFIED_TEXTS
+    texts = keyed.join(F.broadcast(wanted) if few else wanted, (F.col("text_hash") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("id", "text")
+    whole = map_slices(texts, _whole_sets, "id long, shingles array<long>")
+    both = left.join(whole.select(F.col("id").alias("a"), F.col("shingles").alias("in_a")), "a").join(whole.select(F.col("id").alias("b"), F.col("shingles").alias("in_b")), "b")
+    shared = F.size(F.array_intersect("in_a", "in_b"))
+    return both.where(shared >= F.lit(similarity) * (F.size("in_a") + F.size("in_b") - shared) - F.lit(1e-9)).select("a", "b")
+
+
+def _near(n_a: Column, n_b: Column, similarity: float) -> Column:
+    return F.least(n_a, n_b) >= F.lit(similarity) * F.greatest(n_a, n_b) - F.lit(1e-9)
+
+
+def set_components(keyed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the sets connected by pairs of the similarity or more; no such pair is missed.
+
+    Two such sets have a shingle in common within their prefixes, so they meet in its bucket. Each member is first
+    compared with its buckets' pivots; then all members of a bucket that are not yet in one component are compared.
+    """
+    tokens = _prefixes(keyed, similarity)
+    pivot = F.min(F.struct(F.xxhash64("id", F.pmod("token", F.lit(PIVOTS))).alias("rank"), "id", "n"))
+    bucket = Window.partitionBy("token")
+    met = tokens.withColumn("pivot", pivot.over(bucket)).withColumn("other", F.max("id").over(bucket)).withColumn("least", F.min("id").over(bucket))
+    met = keep_plan_short(met.where(F.col("least") != F.col("other")).select("token", "id", "n", "pivot").distinct())
+    stars = met.where((F.col("id") != F.col("pivot.id")) & _near(F.col("n"), F.col("pivot.n"), similarity))
+    pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    tried = keep_plan_short(stars.select(*pair(F.col("id"), F.col("pivot.id"))).distinct())
+    links = keep_plan_short(_alike(tried, sets, keyed, similarity))
+    rooted = components(links)
+
+    known = met.select("token", "id", "n").join(rooted.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = known.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most"))
+    open_ones = sizes.where(F.col("least") != F.col("most")).select("token", F.ceil(F.col("members") / F.lit(SHARD_MEMBERS)).alias("parts"))
+    mixed_ones = keep_plan_short(known.join(open_ones, "token"))
+    left = mixed_ones.select("token", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    right = mixed_ones.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    rest = left.join(right, ["token", "part"]).where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & _near(F.col("n_a"), F.col("n_b"), similarity))
+    rest = keep_plan_short(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    return components(links.unionByName(_alike(rest, sets, keyed, similarity)))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, text_hash, n_rows, keep: per distinct (doc_id, text), whether it is the one of its group that stays.
 
     The document with the smallest id of a group stays (of several with that id, the one with the smallest text hash).
-    Candidate links of the BK-trees are verified on the long fingerprints, by equi-joins on ids and built-in bit counts.
+    Groups are the components of the pairs whose sets of five-word shingles have the Jaccard similarity or more.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    rows = keep_plan_short(map_slices(keyed, _both_prints, "doc_id long, text_hash long, fingerprint array<long>, sure array<long>").withColumn("id", F.xxhash64("fingerprint", "sure")))
-    classes = rows.groupBy("id").agg(F.first("fingerprint").alias("fingerprint"), F.first("sure").alias("sure"))
-    masks = sampled_masks(CANDIDATE_MASKS, CANDIDATE_BITS, CANDIDATE_WORDS)
-    links = near_links(classes.select("id", "fingerprint"), masks, CANDIDATE_RADIUS, CANDIDATE_WORDS, SHARD_MEMBERS)
-    sure = classes.select("id", "sure")
-    both = links.join(sure.select(F.col("id").alias("a"), F.col("sure").alias("sure_a")), "a").join(sure.select(F.col("id").alias("b"), F.col("sure").alias("sure_b")), "b")
-    apart = sum((F.bit_count(F.get("sure_a", F.lit(w)).bitwiseXOR(F.get("sure_b", F.lit(w)))) for w in range(ACCEPT_WORDS)), F.lit(0))
-    rooted = components(both.where(apart <= accepted_distance(similarity)).select("a", "b"))
+    rows = keep_plan_short(map_slices(keyed, _set_rows, "doc_id long, text_hash long, id long, n long, bits array<long>"))
+    sets = keep_plan_short(rows.groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("text_hash", "doc_id")).alias("first")))
+    rooted = set_components(keyed, sets, similarity)
     texts = rows.groupBy("id", "doc_id", "text_hash").agg(F.count("*").alias("n_rows"))
     grouped = texts.join(rooted.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
