@@ -114,6 +114,14 @@ def test_secret_base_spans_and_novelty(spark):
     assert clean[0] is None and clean[2] == "nothing here" and "hunter2" not in clean[3] and "Zk9v" not in clean[10]
 
 
+@pytest.mark.parametrize("gap", [1, 44, 45, 63, 64, 65])
+def test_novel_runs_count_from_where_they_start(gap):
+    run = "Zk9vQ2xXb3JsZDc3MTNmR1RrUXpVbVpXcFhY1"
+    text = "credential" + " " * gap + run + " end"
+    found = [s for s in secret_scans.secret_spans(text) if s[2] == "novel"]
+    assert found == ([(10 + gap, 10 + gap + len(run), "novel")] if gap <= 64 else [])
+
+
 def chat(spark, events):
     return spark.createDataFrame(events, "conv_id long, turn long, seq long, kind string, role string, text string")
 

@@ -3,8 +3,8 @@
 Base kinds, leftmost and non-overlapping per kind: ``assign`` (a key name, a sign and a value of 8 or more characters),
 ``access`` (AKIA and capitals or digits, 16 or more), ``hex`` (32 or more lowercase hex digits).
 
-``novel`` adds to them. A candidate is a run of ``CANDIDATE`` characters with letters and digits that overlaps no base
-match and stands within ``CONTEXT`` characters after a sensitive word. Its novelty is its marginal cost: the bytes of
+``novel`` adds to them. A candidate is a run of ``SHORTEST`` or more characters with letters and digits that overlaps no
+base match and starts within ``CONTEXT`` characters after a sensitive word. Its novelty is its marginal cost: the bytes of
 (text before + candidate) compressed with a dictionary of ordinary code and identifiers, less those of the text before
 alone, as a share of the candidate's own length. At ``NOVELTY`` or more the candidate is reported. Identifiers, paths
 and words that the dictionary or the text before explains are cheap; random strings are not.
@@ -29,12 +29,13 @@ KINDS = ("assign", "access", "hex", "novel")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 CONTEXT = 64
 NOVELTY = 0.7
+SHORTEST = 20
 
 _ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: A run that is long enough to be a key.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{SHORTEST},}}")
 _SENSITIVE = re.compile(r"(?ai)secret|token|passw|api.?key|credential|private|auth|bearer|access.?key|signature|session")
 
 #: Ordinary surroundings of code and settings; what looks like this is no secret.
@@ -80,7 +81,10 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     taken = sorted((a, b) for a, b, _ in base)
     reached = 0
     for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(reached, word.end()), min(len(text), word.end() + CONTEXT)):
+        # A run that starts within CONTEXT characters is met even if it ends far behind them.
+        for m in _CANDIDATE.finditer(text, max(reached, word.end()), min(len(text), word.end() + CONTEXT + SHORTEST)):
+            if m.start() > word.end() + CONTEXT:
+                break
             whole = _CANDIDATE.match(text, m.start())  # the window may have cut it
             a, b = whole.span()
             reached = b
