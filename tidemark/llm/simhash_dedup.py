@@ -38,8 +38,6 @@ from tidemark.llm.links import components
 SEED = 42
 #: Searches of a tree go forward so many members at a time, which bounds the frontier's memory.
 SEARCH_BLOCK = 4096
-#: A list of so many large shards is still broadcast.
-LARGE_SHARDS = 50_000
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -89,16 +87,6 @@ def exact_masks(radius: int, blocks: int = 8) -> list[list[int]]:
     return [[m - (1 << 64) if m >> 63 else m] for m in masks]
 
 
-def sampled_masks(n: int, bits: int, words: int, seed: int = SEED) -> list[list[int]]:
-    """``n`` masks of ``bits`` random places each over ``words`` longs: shards that near fingerprints share by chance."""
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(n):
-        mask = np.zeros(64 * words, np.uint8)
-        mask[rng.choice(64 * words, bits, replace=False)] = 1
-        out.append(np.packbits(mask, bitorder="little").view(np.int64).tolist())
-    return out
-
-
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1, dtype=np.int64)  # of signed numbers it would count the magnitude's bits
 
@@ -182,30 +170,17 @@ def _links(radius: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def near_links(prints: DataFrame, masks: list[list[int]], radius: int, words: int = 1, members: int | None = None) -> DataFrame:
+def near_links(prints: DataFrame, masks: list[list[int]], radius: int, words: int = 1) -> DataFrame:
     """``prints`` (id long, fingerprint array<long>), both distinct, to links (a, b) with the components
     of all pairs within the radius that meet in a shard.
 
     Nearness isn't transitive, so every pair of a shard is joined in the shard's task, and each member is then linked to
     the first member it is connected to there: one link a member at most. A link's own ends may be further apart.
-
-    ``members`` is for masks that do not bound a shard: a shard with more is dealt into parts of about so many, by a
-    hash that differs from mask to mask, and its smallest id joins every part. The many members of a large group meet
-    others of it in each part, and other members under each other mask, so the group stays linked.
     """
     masked: list[Column] = [F.struct(F.lit(i).alias("mask"), *[F.get("fingerprint", F.lit(w)).bitwiseAND(F.lit(m[w]).cast("long")).alias(f"part_{w}") for w in range(words)]) for i, m in enumerate(masks)]
     shards = prints.select("id", "fingerprint", F.explode(F.array(*[F.xxhash64(m) for m in masked])).alias("shard"))
     member = F.struct("id", "fingerprint")
-    if members is None:
-        dealt = shards.select("shard", F.lit(0).cast("long").alias("part"), member.alias("member"))
-    else:
-        large = keep_plan_short(shards.groupBy("shard").agg(F.count("*").alias("n"), F.min(member).alias("pivot")).where(F.col("n") > members).withColumn("parts", F.ceil(F.col("n") / members)))
-        few = large.count() <= LARGE_SHARDS
-        known = shards.join(F.broadcast(large) if few else large, "shard", "left")
-        part = F.coalesce(F.pmod(F.xxhash64("id", "shard"), F.col("parts")), F.lit(0).cast("long"))
-        pivots = large.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("member"))
-        dealt = known.select("shard", part.alias("part"), member.alias("member")).unionByName(pivots)
-    full = dealt.groupBy("shard", "part").agg(F.sort_array(F.collect_list("member")).alias("members")).where(F.size("members") > 1)
+    full = shards.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("id", "fingerprint"))).alias("members")).where(F.size("members") > 1)
     return full.select("members").mapInArrow(_links(radius, words), "a long, b long").where(F.col("a") != F.col("b")).distinct()
 
 
