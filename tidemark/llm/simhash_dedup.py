@@ -200,8 +200,6 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
 # Near copies by sets of five-word shingles, for a Jaccard similarity that 64 bits and a small radius can't reach.
 
 SHINGLE = 5
-#: Longs of a set's parity bitmap.
-PARITY_WORDS = 16
 #: Members of a bucket that one join key holds on its left side; of a larger bucket every part meets all members.
 SHARD_MEMBERS = 2000
 #: Shingles in that many texts of one in COMMON_SAMPLE come last in the order; at most COMMON_LIMIT are broadcast.
@@ -218,12 +216,21 @@ def prefix_size(n: int, similarity: float) -> int:
 
 
 def parity(hashes: np.ndarray) -> list[int]:
-    """A bitmap of the parity of the hashes in each of its places.
+    """A bitmap of the parity of the hashes in each of its places: a power of two of them, two to four a hash.
 
-    Two bitmaps differ in at most as many places as the sets have elements that are not common to both.
+    Two bitmaps differ in at most as many places as the sets have elements that are not common to both; of a bitmap
+    twice as long the halves are first folded by exclusive or.
     """
-    places = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
-    return np.packbits(places.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+    places = 64 << max(0, (4 * len(hashes)).bit_length() - 7)
+    odd = np.bincount((hashes >> np.uint64(16)).astype(np.int64) % places, minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def _places_apart(a: Column, b: Column) -> Column:
+    """In how many places two bitmaps, one at most twice as long, differ."""
+    short = F.least(F.size(a), F.size(b))
+    at = lambda bits, i: F.get(bits, i).bitwiseXOR(F.when(F.size(bits) > short, F.get(bits, i + short)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(F.sequence(F.lit(0), short - 1), F.lit(0), lambda n, i: n + F.bit_count(at(a, i).bitwiseXOR(at(b, i))))
 
 
 def _set_id(hashes: np.ndarray) -> int:
@@ -287,7 +294,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, similarity: floa
     """
     side = lambda name, *columns: sets.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
     met = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
-    apart = sum((F.bit_count(F.get("bits_a", F.lit(w)).bitwiseXOR(F.get("bits_b", F.lit(w)))) for w in range(PARITY_WORDS)), F.lit(0))
+    apart = _places_apart(F.col("bits_a"), F.col("bits_b"))
     most = (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
     left = keep_plan_short(met.where(apart <= most).select("a", "b"))
     wanted = left.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "first"), "id").select("id", F.col("first.doc_id").alias("of_doc"), F.col("first.text_hash").alias("of_text"))
