@@ -203,10 +203,12 @@ def test_near_copies_are_those_of_the_contract(spark):
 
 def test_true_copy_behind_nearer_candidates_is_found(spark):
     """Many texts share most two-word shingles with a text, and only a later one is its copy by five-word shingles."""
-    rng = random.Random(29)
-    words = [f"w{i}" for i in range(160)]
-    decoys = [varied(rng, words, 14) for _ in range(40)]
-    texts = [d for t in decoys for d in (t, t + " and so on")] + [" ".join(words)]
+    rng, texts = random.Random(29), []
+    for g in range(5):
+        words = [f"g{g}w{i}" for i in range(160)]
+        for k in range(30):  # six words changed far apart: 30 of 156 five-word shingles
+            texts.append(" ".join(f"c{k}x{i}" if i % 25 == k % 25 and i > 4 else w for i, w in enumerate(words)))
+        texts += [" ".join(words + [f"more{i}" for i in range(35)]), " ".join(words)]
     pairs = [(1000 - i, t) for i, t in enumerate(texts)]
     assert kept(spark, pairs) == brute_kept(pairs)
 
@@ -215,9 +217,8 @@ def test_small_groups_in_crowded_buckets_are_found(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "SHARD_MEMBERS", 7)
     rng = random.Random(23)
     template, texts = rng.choices("abcdefghij", k=120), []
-    for i in range(60):  # a third of the words differ between pairs; a pair's two differ in one word
-        own = [f"p{i}x{k}" for k in range(6)]
-        first = template[:90] + own + template[90:]
+    for i in range(60):  # every tenth word differs between pairs; a pair's two differ in the last word
+        first = [f"p{i}x{k}" if k % 10 == 5 else w for k, w in enumerate(template)]
         texts += [" ".join(first), " ".join(first[:-1] + ["end" + str(i)])]
         texts.append(" ".join(template[:60] + [f"q{i}x{k}" for k in range(60)]))
     pairs = list(enumerate(texts))
