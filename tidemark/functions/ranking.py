@@ -1,8 +1,12 @@
-"""Global ranks without a single-task sort: count the values, sum the counts in range partitions, join the ranks back.
+"""Global ranks, positions and quantiles without a single-task sort.
 
-A window over a whole table puts all rows in one task. Ranks of ties depend only on how many rows have smaller values,
-so it is enough to rank the distinct values. They are range-partitioned, counted per partition, and each partition's
-start is the sum of the partitions before it: a table of one row a partition, which is what the driver sees.
+A window over a whole table puts all rows in one task. Here rows are range-partitioned, numbered or summed inside each
+partition, and each partition's start is the sum of the partitions before it: a table of one row a partition. Range
+borders are sampled when a plan runs, so two runs of one plan may deal rows differently; the dealt rows are therefore
+materialised once (``keep``) before anything is derived from them twice.
+
+Ranks of ties depend only on how many rows have smaller values, so only the distinct values are ranked: a value that a
+third of all rows hold is one row here.
 """
 
 from __future__ import annotations
@@ -10,31 +14,95 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.storage import keep
 
-def value_ranks(df: DataFrame, value: str) -> DataFrame:
-    """Distinct non-null values with ``before`` (rows with a smaller value) and ``ties`` (rows with this one)."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("ties"))
-    dealt = counts.repartitionByRange(F.col(value)).withColumn("__part", F.spark_partition_id())
-    within = Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    start = dealt.groupBy("__part").agg(F.sum("ties").alias("n"))
-    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    start = start.select("__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    return dealt.withColumn("own", F.coalesce(F.sum("ties").over(within), F.lit(0))).join(F.broadcast(start), "__part").select(value, (F.col("start") + F.col("own")).alias("before"), "ties")
-
-
-def with_rank_share(df: DataFrame, value: str, name: str, ascending: bool = True) -> DataFrame:
-    """Add the average-tie rank of ``value`` divided by the number of rows that have one; null for null."""
-    total = df.agg(F.count(value).alias("__total"))
-    below = F.col("before") if ascending else F.col("__total") - F.col("before") - F.col("ties")
-    ranks = value_ranks(df, value).join(F.broadcast(total)).select(value, ((below + (F.col("ties") + 1) / 2.0) / F.col("__total")).alias(name))
-    return df.join(ranks, value, "left")
+_ROW_BITS = 33
 
 
 def with_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Add the place 1..N of every row in a total order, by range partitions."""
-    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))
+    """Add the place 1..N of every row in a total order (``order`` must tell any two rows apart)."""
+    # In range-partitioned, sorted rows this id grows with the order: the partition above, the row in it below.
+    numbered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    numbered = keep(numbered)
+    part = F.shiftright("__id", _ROW_BITS).alias("__part")
+    sizes = numbered.groupBy(part).agg(F.count("*").alias("n"))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     start = sizes.select("__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__start"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return dealt.withColumn("__own", own).join(F.broadcast(start), "__part").withColumn(name, F.col("__start") + F.col("__own")).drop("__part", "__own", "__start")
+    own = F.col("__id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1
+    return numbered.withColumn("__part", part).join(F.broadcast(start), "__part").withColumn(name, F.col("__start") + own).drop("__part", "__id", "__start")
+
+
+def running(counts: DataFrame, order: list[str], totals: list[str]) -> DataFrame:
+    """Add ``before_<t>`` to rows with distinct ``order``: the sum of t over all rows before."""
+    dealt = keep(counts.repartitionByRange(*map(F.col, order)).withColumn("__part", F.spark_partition_id()))
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    sums = dealt.groupBy("__part").agg(*[F.sum(t).alias(t) for t in totals])
+    start = sums.select("__part", *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"__start_{t}") for t in totals])
+    own = dealt.select("*", *[F.coalesce(F.sum(t).over(within), F.lit(0)).alias(f"__own_{t}") for t in totals])
+    return own.join(F.broadcast(start), "__part").select(*counts.columns, *[(F.col(f"__start_{t}") + F.col(f"__own_{t}")).alias(f"before_{t}") for t in totals])
+
+
+def value_ranks(df: DataFrame, value: str, **sums: Column) -> DataFrame:
+    """Distinct non-null values with ``ties`` (rows with this one) and ``before`` (rows with a smaller one).
+
+    For every further sum: its total over the rows with the value, and ``before_<name>`` over those with smaller ones.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("ties"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    return running(counts, [value], ["ties", *sums]).withColumnRenamed("before_ties", "before")
+
+
+def column_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, value, ties, before and n (rows with a value) for the distinct values of several columns, in one pass."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
+    counts = df.select(pairs.alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("ties"))
+    ranked = keep(running(counts, ["column", "value"], ["ties"]))
+    of_column = ranked.groupBy("column").agg(F.sum("ties").alias("n"), F.min("before_ties").alias("__first"))  # a row a column
+    return ranked.join(F.broadcast(of_column), "column").select("column", "value", "ties", (F.col("before_ties") - F.col("__first")).alias("before"), "n")
+
+
+def _share(ranks: DataFrame) -> Column:
+    return (ranks["before"] + (ranks["ties"] + 1) / 2.0) / ranks["n"]
+
+
+def with_rank_shares(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Add, per column, the average-tie rank of its value divided by the number of rows that have one; null for null."""
+    ranks = column_ranks(df, list(names))
+    for column, name in names.items():
+        own = ranks.where(F.col("column") == column).select(F.col("value").alias("__value"), _share(ranks).alias(name))
+        df = df.join(own, df[column].cast("double") == F.col("__value"), "left").drop("__value")
+    return df
+
+
+def with_rank_share(df: DataFrame, value: str, name: str) -> DataFrame:
+    return with_rank_shares(df, {value: name})
+
+
+def column_quantiles(df: DataFrame, columns: list[str], levels: list[float]) -> DataFrame:
+    """column, n (its values), quantiles (one a level, between neighbours by straight lines); no row without values."""
+    place = lambda q: F.lit(q) * (F.col("n") - 1)
+    marks = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(place(q)).alias("low"), F.ceil(place(q)).alias("high"), (place(q) - F.floor(place(q))).alias("part")) for i, q in enumerate(levels)])
+    inside = lambda at: (at >= F.col("before")) & (at < F.col("before") + F.col("ties"))
+    met = column_ranks(df, columns).select("column", "value", "n", F.explode(F.filter(marks, lambda m: (m["low"] < F.col("before") + F.col("ties")) & (m["high"] >= F.col("before")))).alias("m"), "before", "ties")
+    parts = met.groupBy("column", "m.i").agg(F.max(F.when(inside(F.col("m.low")), F.col("value"))).alias("low"), F.max(F.when(inside(F.col("m.high")), F.col("value"))).alias("high"), F.max("m.part").alias("part"), F.max("n").alias("n"))
+    value = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    in_order = F.sort_array(F.collect_list(F.struct("i", value.alias("v"))))  # a row a level
+    return parts.groupBy("column").agg(in_order.alias("q"), F.max("n").alias("n")).select("column", "n", F.col("q.v").alias("quantiles"))
+
+
+def quantiles_row(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row: per name the quantile (column, level) of a column; null where the column has no values."""
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    levels = list(dict.fromkeys(q for _, q in wanted.values()))
+    found = column_quantiles(df, columns, levels)
+    pick = lambda c, q: F.max(F.when(F.col("column") == c, F.get("quantiles", F.lit(levels.index(q)))))
+    return found.agg(*[pick(c, q).alias(name) for name, (c, q) in wanted.items()])
+
+
+def numbered_within(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """Add the place 1..n of every row within its group (few groups, of any size) in a total order."""
+    placed = with_position(df, [F.col(group), *order], "__place")
+    sizes = df.groupBy(group).agg(F.count("*").alias("__size"))
+    earlier = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)  # one row a group
+    start = sizes.select(F.col(group).alias("__group"), F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(start), F.col(group).eqNullSafe(F.col("__group"))).withColumn(name, F.col("__place") - F.col("__before")).drop("__place", "__group", "__before")

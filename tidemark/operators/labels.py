@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranking import numbered_within
 from tidemark.functions.scalars import elapsed_days
+from tidemark.functions.storage import keep
 from tidemark.operators.features import account_spine, day, lifecycle, pit_payments
 
 
@@ -56,16 +58,23 @@ def eligibility(customers: DataFrame, payments: DataFrame, usage: DataFrame, cut
     return lifecycle(customers, payments, usage, cutoff).select("acc_id", "stage", (stage == "Active Paid").cast("int").alias("churn"), active.alias("clv"), active.alias("credit"))
 
 
-def split_stratified(labelled: DataFrame, label: str, seed: int = 42) -> DataFrame:
-    """60/20/20 within every label by the order of a hash; under 25 rows everything is for training.
+def _dealt(seed: int) -> Column:
+    """A fixed shuffle of accounts that any engine can repeat."""
+    return F.md5(F.concat_ws(":", F.col("acc_id").cast("string"), F.lit(str(seed))))
 
-    Places come from per-stratum counts below a hash bound: a row is for training if its hash share is under 0.6. The
-    shares are exact up to hash uniformity and no stratum is sorted in one task.
+
+def split_stratified(labelled: DataFrame, label: str, seed: int = 42, least: int = 25) -> DataFrame:
+    """60/20/20 within every label, to the row, by the order of a hash; under ``least`` rows everything is for training.
+
+    Places are counted by range partitions of (label, hash): no label is sorted in one task.
     """
-    share = F.pmod(F.xxhash64(F.col("acc_id"), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    total = labelled.agg(F.count("*").alias("__n"))
-    split = F.when((F.col("__n") < 25) | (share < 0.6), "train").when(share < 0.8, "validation").otherwise("test")
-    return labelled.join(F.broadcast(total)).withColumn("split", split).drop("__n")
+    placed = keep(numbered_within(labelled, label, [_dealt(seed), F.col("acc_id")], "__at"))
+    sizes = placed.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+    total = sizes.agg(F.sum("__n").alias("__all"))
+    of_label = F.broadcast(sizes.join(F.broadcast(total)))
+    at, n = F.col("__at"), F.col("__n")
+    split = F.when((F.col("__all") < least) | (at <= F.round(0.6 * n)), "train").when(at <= F.round(0.8 * n), "validation").otherwise("test")
+    return placed.join(of_label, F.col(label).eqNullSafe(F.col("__label"))).withColumn("split", split).drop("__at", "__n", "__all", "__label")
 
 
 def hashed_split(labelled: DataFrame) -> DataFrame:
@@ -81,8 +90,12 @@ def pooled_panel(newest: DataFrame, older: DataFrame) -> DataFrame:
 
 
 def split_contamination(split: DataFrame) -> DataFrame:
-    """Accounts that stand in more than one split."""
-    return split.groupBy("acc_id").agg(F.count_distinct("split").alias("n")).where("n > 1").agg(F.count("*").alias("contaminated"))
+    """Per pair of splits, how many accounts stand in both; every pair has a row."""
+    pairs = [("train", "validation"), ("train", "test"), ("validation", "test")]
+    held = split.groupBy("acc_id").agg(F.collect_set("split").alias("in"))
+    both = [F.count_if(F.array_contains("in", a) & F.array_contains("in", b)).alias(f"{a}_{b}") for a, b in pairs]
+    counts = F.array(*[F.struct(F.lit(f"{a} and {b}").alias("pair"), F.col(f"{a}_{b}").alias("shared")) for a, b in pairs])
+    return held.agg(*both).select(F.explode(counts).alias("r")).select("r.pair", "r.shared")
 
 
 def backtest_cutoffs(payments: DataFrame, usage: DataFrame, newest: date, step: int = 2, most: int = 6, history: int = 365, horizon: int = 180) -> DataFrame:
@@ -93,13 +106,20 @@ def backtest_cutoffs(payments: DataFrame, usage: DataFrame, newest: date, step:
 
 
 def stratified_sample(labelled: DataFrame, label: str, most: int) -> DataFrame:
-    """At most ``most`` rows that keep the shares of the labels: the smallest hashes of every stratum."""
-    sizes = labelled.groupBy(label).agg(F.count("*").alias("__n"))
-    total = sizes.agg(F.sum("__n").alias("__all"))
+    """At most ``most`` rows (and one more a label) that keep the shares of the labels: the first hashes of every label."""
+    placed = keep(numbered_within(labelled, label, [F.md5(F.col("acc_id").cast("string")), F.col("acc_id")], "__at"))
+    sizes = placed.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+    of_label = F.broadcast(sizes.join(F.broadcast(sizes.agg(F.sum("__n").alias("__all")))))
     take = F.ceil(F.lit(float(most)) * F.col("__n") / F.col("__all"))
-    order = Window.partitionBy(label).orderBy(F.md5(F.col("acc_id").cast("string")), "acc_id")
-    ranked = labelled.join(F.broadcast(sizes.join(total)), label).withColumn("__at", F.row_number().over(order))
-    return ranked.where((F.col("__at") <= take) | (F.col("__all") <= most)).drop("__n", "__all", "__at")
+    ranked = placed.join(of_label, F.col(label).eqNullSafe(F.col("__label")))
+    return ranked.where((F.col("__at") <= take) | (F.col("__all") <= most)).drop("__n", "__all", "__at", "__label")
+
+
+def credit_cutoff(payments: DataFrame, usage: DataFrame, newest: date, horizon: int = 90) -> DataFrame:
+    """The credit models' cutoff: the month start that leaves a full horizon, if that is later than the common cutoff."""
+    last = activity_events(payments, usage).agg(F.max("at").alias("last"))
+    own = F.trunc(F.date_sub("last", horizon), "month")
+    return last.select(F.when(own > day(newest), own).otherwise(day(newest)).alias("cutoff"))
 
 
 def cutoff_profiles(customers: DataFrame, payments: DataFrame, usage: DataFrame, cutoffs: list[date], horizon: int = 180, window: int = 180) -> DataFrame:

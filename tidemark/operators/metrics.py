@@ -3,31 +3,33 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranking import value_ranks, with_position, with_rank_share
+from tidemark.functions.ranking import column_quantiles, quantiles_row, running, value_ranks, with_position, with_rank_shares
 from tidemark.functions.scalars import clipped
+from tidemark.functions.storage import keep
 
 BINS = [float(x) for x in np.linspace(0, 1, 11)]
 
 
+def by_score(df: DataFrame, score: str, label: str) -> DataFrame:
+    """One row per distinct score: ties, hits (positives), before and before_hits (of the rows with smaller scores)."""
+    return value_ranks(df, score, hits=F.col(label))
+
+
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Share of (positive, negative) pairs in the right order, ties half: from rank sums."""
-    ranked = df.join(value_ranks(df, score), score)
-    sums = ranked.agg(F.sum(F.when(F.col(label) == 1, F.col("before") + (F.col("ties") + 1) / 2)).alias("r"), F.sum(F.col(label)).alias("p"), F.count("*").alias("n"))
+    """Share of (positive, negative) pairs in the right order, ties half: from rank sums of the distinct scores."""
+    sums = by_score(df, score, label).agg(F.sum(F.col("hits") * (F.col("before") + (F.col("ties") + 1) / 2)).alias("r"), F.sum("hits").alias("p"), F.sum("ties").alias("n"))
     return sums.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.expr("nullif(p * (n - p), 0)")).alias("roc_auc"))
 
 
 def pr_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Average precision, tied scores as one step."""
-    steps = df.groupBy(score).agg(F.sum(label).alias("__hits"))
-    total = df.agg(F.sum(label).alias("all_p"), F.count("*").alias("all_n"))
-    below = value_ranks(df, score).select(score, "before")
-    below_p = value_ranks(df.where(F.col(label) == 1), score).select(F.col(score).alias("__s"), F.col("before").alias("before_p"), F.col("ties").alias("ties_p"))
-    hit = steps.where("__hits > 0").join(below, score).join(below_p, F.col(score) == F.col("__s")).join(F.broadcast(total))
-    seen, caught = F.col("all_n") - F.col("before"), F.col("all_p") - F.col("before_p")
-    return hit.agg(F.sum(F.col("__hits") / F.col("all_p") * caught / seen).alias("pr_auc"))
+    steps = by_score(df, score, label)
+    total = steps.agg(F.sum("hits").alias("all_p"), F.sum("ties").alias("all_n"))
+    seen, caught = F.col("all_n") - F.col("before"), F.col("all_p") - F.col("before_hits")
+    return steps.where("hits > 0").join(F.broadcast(total)).agg(F.sum(F.col("hits") / F.col("all_p") * caught / seen).alias("pr_auc"))
 
 
 def confusion(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFrame:
@@ -63,59 +65,57 @@ def ece(df: DataFrame, score: str, label: str) -> DataFrame:
     return calibration_curve(df, score, label).agg((F.sum(gap * F.col("n")) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
 
 
-def _tenths(df: DataFrame, order: list[Column], groups: int = 10) -> DataFrame:
+def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with ``__at`` (their place in the order) and ``__n`` (how many there are); the input is read once."""
+    rows = keep(with_position(df, order, "__at"))
+    return rows.join(F.broadcast(rows.agg(F.count("*").alias("__n"))))
+
+
+def tenths(df: DataFrame, order: list[Column], groups: int = 10) -> DataFrame:
     """ntile over everything, from positions counted by range partitions."""
-    total = df.agg(F.count("*").alias("__n"))
-    rows = with_position(df, order, "__at").join(F.broadcast(total))
     size, extra = F.floor(F.col("__n") / groups), F.col("__n") % groups
     early = F.col("__at") <= extra * (size + 1)
     tile = F.when(early, F.floor((F.col("__at") - 1) / (size + 1))).otherwise(extra + F.floor((F.col("__at") - 1 - extra * (size + 1)) / F.greatest(size, F.lit(1))))
-    return rows.withColumn("tile", (tile + 1).cast("int")).drop("__n")
+    return placed(df, order).withColumn("tile", (tile + 1).cast("int")).drop("__n")
 
 
 def lift_table(df: DataFrame, score: str, label: str, key: str) -> DataFrame:
-    rows = _tenths(df, [F.col(score).desc(), F.col(key)])
-    base = df.agg(F.avg(label).alias("__base"))
-    return rows.groupBy("tile").agg(F.count("*").alias("n"), F.sum(label).alias("positives"), F.avg(label).alias("rate")).join(F.broadcast(base)).select("tile", "n", "positives", "rate", F.try_divide("rate", "__base").alias("lift"))
+    tiles = tenths(df, [F.col(score).desc(), F.col(key)]).groupBy("tile").agg(F.count("*").alias("n"), F.sum(label).alias("positives"), F.avg(label).alias("rate"))
+    base = tiles.agg(F.try_divide(F.sum("positives"), F.sum("n")).alias("__base"))  # of ten rows
+    return tiles.join(F.broadcast(base)).select("tile", "n", "positives", "rate", F.try_divide("rate", "__base").alias("lift"))
 
 
 def hosmer_lemeshow(df: DataFrame, score: str, label: str, key: str) -> DataFrame:
-    g = _tenths(df, [F.col(score), F.col(key)]).groupBy("tile").agg(F.count("*").alias("n"), F.sum(label).alias("o"), F.sum(score).alias("e"), F.avg(score).alias("m"))
+    g = tenths(df, [F.col(score), F.col(key)]).groupBy("tile").agg(F.count("*").alias("n"), F.sum(label).alias("o"), F.sum(score).alias("e"), F.avg(score).alias("m"))
     return g.agg(F.sum(F.try_divide(F.pow(F.col("o") - F.col("e"), F.lit(2)), F.col("n") * F.col("m") * (1 - F.col("m")))).alias("chi2"), (F.count("*") - 2).alias("df"))
 
 
-def top_fraction(df: DataFrame, score: str, fraction: float, key: str) -> DataFrame:
-    """The ceil(n * fraction) rows with the highest scores."""
-    total = df.agg(F.ceil(F.count("*") * fraction).alias("__k"))
-    return with_position(df, [F.col(score).desc(), F.col(key)], "__at").join(F.broadcast(total)).where(F.col("__at") <= F.col("__k")).drop("__at", "__k")
-
-
 def at_k(df: DataFrame, score: str, label: str, fraction: float, key: str) -> DataFrame:
-    """Recall and lift among the top fraction."""
-    top = top_fraction(df, score, fraction, key).agg(F.sum(label).alias("hits"), F.avg(label).alias("rate"))
-    every = df.agg(F.sum(label).alias("all_hits"), F.avg(label).alias("all_rate"))
-    return top.join(every).select(F.try_divide("hits", "all_hits").alias("recall"), F.try_divide("rate", "all_rate").alias("lift"))
+    """Recall and lift among the ceil(n * fraction) rows with the highest scores."""
+    top = F.when(F.col("__at") <= F.ceil(F.col("__n") * fraction), F.col(label))
+    sums = placed(df, [F.col(score).desc(), F.col(key)]).agg(F.sum(top).alias("hits"), F.avg(top).alias("rate"), F.sum(label).alias("all_hits"), F.avg(label).alias("all_rate"))
+    return sums.select(F.try_divide("hits", "all_hits").alias("recall"), F.try_divide("rate", "all_rate").alias("lift"))
 
 
 def top_capture(df: DataFrame, predicted: str, actual: str, key: str, fraction: float = 0.1) -> DataFrame:
-    top = top_fraction(df, predicted, fraction, key).agg(F.sum(actual).alias("got"))
-    return top.join(df.agg(F.sum(actual).alias("all"))).select(F.try_divide("got", "all").alias("capture"))
+    """What share of the actual sum the ceil(n * fraction) largest predictions hold."""
+    top = F.when(F.col("__at") <= F.ceil(F.col("__n") * fraction), F.col(actual))
+    return placed(df, [F.col(predicted).desc(), F.col(key)]).agg(F.try_divide(F.sum(top), F.sum(actual)).alias("capture"))
 
 
 def top_share(df: DataFrame, value: str, key: str, fraction: float) -> DataFrame:
     """What share of the sum the largest max(1, floor(n * fraction)) values hold."""
-    total = df.agg(F.greatest(F.floor(F.count("*") * fraction), F.lit(1)).alias("__k"), F.sum(value).alias("__all"))
-    top = with_position(df, [F.col(value).desc(), F.col(key)], "__at").join(F.broadcast(total)).where(F.col("__at") <= F.col("__k"))
-    return top.agg(F.try_divide(F.sum(value), F.max("__all")).alias("share"))
+    top = F.when(F.col("__at") <= F.greatest(F.floor(F.col("__n") * fraction), F.lit(1)), F.col(value))
+    return placed(df, [F.col(value).desc(), F.col(key)]).agg(F.try_divide(F.sum(top), F.sum(value)).alias("share"))
 
 
 def regression_metrics(df: DataFrame, predicted: str, actual: str) -> DataFrame:
-    """Spearman (average ranks), MAE, RMSE, RMSLE, SMAPE."""
+    """n, Spearman (average ranks), MAE, RMSE, RMSLE, SMAPE."""
     p, a = F.col(predicted), F.col(actual)
-    ranked = with_rank_share(with_rank_share(df, predicted, "__rp"), actual, "__ra")
+    ranked = with_rank_shares(df, {predicted: "__rp", actual: "__ra"})
     size = F.abs(p) + F.abs(a)
     return ranked.agg(
-        F.corr("__rp", "__ra").alias("spearman"), F.avg(F.abs(p - a)).alias("mae"), F.sqrt(F.avg(F.pow(p - a, F.lit(2)))).alias("rmse"),
+        F.count("*").alias("n"), F.corr("__rp", "__ra").alias("spearman"), F.avg(F.abs(p - a)).alias("mae"), F.sqrt(F.avg(F.pow(p - a, F.lit(2)))).alias("rmse"),
         F.sqrt(F.avg(F.pow(F.log1p(F.greatest(p, F.lit(0.0))) - F.log1p(F.greatest(a, F.lit(0.0))), F.lit(2)))).alias("rmsle"), F.avg(F.when(size > 0, 2 * F.abs(p - a) / size).otherwise(0.0)).alias("smape"),
     )
 
@@ -131,19 +131,35 @@ def interval_metrics(df: DataFrame, low: str, middle: str, high: str, actual: st
 
 def conformal_margin(df: DataFrame, low: str, high: str, actual: str, alpha: float = 0.2) -> DataFrame:
     """How much both ends must move so that the interval covers 1 - alpha of the calibration rows."""
-    miss = df.select(F.greatest(F.col(low) - F.col(actual), F.col(actual) - F.col(high)).alias("miss"))
+    miss = keep(df.select(F.greatest(F.col(low) - F.col(actual), F.col(actual) - F.col(high)).alias("miss")))
     n = miss.count()  # one number: the level of the quantile depends on it
     level = min(1.0, (1 - alpha) * (1 + 1 / max(n, 1)))
-    return miss.agg(F.percentile("miss", level).alias("margin"))
+    return quantiles_row(miss, {"margin": ("miss", level)})
+
+
+def conformal_apply(df: DataFrame, margin: DataFrame, low: str, high: str) -> DataFrame:
+    """The interval with both ends moved outward by the margin (inward if negative), never below zero or crossed."""
+    moved = df.join(F.broadcast(margin.select(F.col("margin").alias("__margin"))))
+    a, b = F.greatest(F.col(low) - F.col("__margin"), F.lit(0.0)), F.greatest(F.col(high) + F.col("__margin"), F.lit(0.0))
+    return moved.withColumn(low, F.least(a, b)).withColumn(high, F.greatest(a, b)).drop("__margin")
+
+
+def f_beta_cuts(df: DataFrame, score: str, label: str, beta: float = 2.0) -> DataFrame:
+    """cut, f for the score quantiles (2nd to 98th, four digits): counts per cut come from the distinct scores."""
+    steps = keep(by_score(df, score, label))
+    cuts = column_quantiles(df, [score], [q / 100 for q in range(2, 99)]).select(F.explode(F.array_distinct(F.transform("quantiles", lambda q: F.round(q, 4)))).alias("cut"))
+    total = steps.agg(F.sum("hits").alias("all_p"), F.sum("ties").alias("all_n"))
+    # At most 97 cuts: the scores from each cut on are summed up, not the rows.
+    above = steps.join(F.broadcast(cuts), F.col(score) >= F.col("cut")).groupBy("cut").agg(F.sum("hits").alias("tp"), (F.sum("ties") - F.sum("hits")).alias("fp"))
+    swept = cuts.join(above, "cut", "left").join(F.broadcast(total))
+    tp, fp, b = F.coalesce("tp", F.lit(0)), F.coalesce("fp", F.lit(0)), beta * beta
+    f = F.coalesce(F.try_divide((1 + b) * tp, (1 + b) * tp + b * (F.col("all_p") - tp) + fp), F.lit(0.0))
+    return swept.select("cut", F.round(f, 9).alias("f"))
 
 
 def best_threshold(df: DataFrame, score: str, label: str, beta: float = 2.0) -> DataFrame:
-    """The score quantile (2nd to 98th) with the best F-beta."""
-    cuts = df.agg(F.percentile(score, [q / 100 for q in range(2, 99)]).alias("c")).select(F.explode(F.array_distinct("c")).alias("cut"))
-    hit, true, b = F.col(score) >= F.col("cut"), F.col(label) == 1, beta * beta
-    swept = df.join(F.broadcast(cuts)).groupBy("cut").agg(F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn"))
-    f = F.coalesce(F.try_divide((1 + b) * F.col("tp"), (1 + b) * F.col("tp") + b * F.col("fn") + F.col("fp")), F.lit(0.0))
-    return swept.select("cut", F.round(f, 9).alias("f")).orderBy(F.desc("f"), "cut").limit(1)
+    """The cut with the best F-beta, the first of equal ones."""
+    return f_beta_cuts(df, score, label, beta).orderBy(F.desc("f"), "cut").limit(1)
 
 
 def baseline_recency(features: DataFrame) -> DataFrame:
@@ -152,10 +168,9 @@ def baseline_recency(features: DataFrame) -> DataFrame:
 
 def baseline_rfm(features: DataFrame) -> DataFrame:
     """Mean of three percentile ranks: silence, few payments, little revenue."""
-    rows = features.select("acc_id", F.coalesce("days_since_last_activity", F.lit(180.0)).alias("r"), (-F.col("payment_count_180d")).alias("f"), (-F.col("total_revenue_180d")).alias("m"))
-    for c in ("r", "f", "m"):
-        rows = with_rank_share(rows, c, f"share_{c}")
-    return rows.select("acc_id", ((F.col("share_r") + F.col("share_f") + F.col("share_m")) / 3).alias("score"))
+    rows = keep(features.select("acc_id", F.coalesce("days_since_last_activity", F.lit(180.0)).alias("r"), (-F.col("payment_count_180d")).alias("f"), (-F.col("total_revenue_180d")).alias("m")))
+    ranked = with_rank_shares(rows, {"r": "share_r", "f": "share_f", "m": "share_m"})
+    return ranked.select("acc_id", ((F.col("share_r") + F.col("share_f") + F.col("share_m")) / 3).alias("score"))
 
 
 def baseline_carryover(features: DataFrame) -> DataFrame:
@@ -164,39 +179,74 @@ def baseline_carryover(features: DataFrame) -> DataFrame:
 
 def baseline_segment_mean(train: DataFrame, rows: DataFrame, past: str, actual: str) -> DataFrame:
     """The training mean of a row's quartile of past revenue."""
-    edges = train.agg(F.percentile(past, [0.25, 0.5, 0.75]).alias("__e"))
+    train = keep(train.select(past, actual))
+    edges = column_quantiles(train, [past], [0.25, 0.5, 0.75]).select(F.col("quantiles").alias("__e"))
     bucket = sum(((F.col(past) > F.get("__e", F.lit(i))).cast("int") for i in range(3)), F.lit(0)).alias("bucket")
     means = train.join(F.broadcast(edges)).select(bucket, actual).groupBy("bucket").agg(F.avg(actual).alias("predicted"))
     return rows.join(F.broadcast(edges)).select("acc_id", bucket).join(F.broadcast(means), "bucket", "left").select("acc_id", "predicted")
 
 
+def long_values(df: DataFrame, names: list[str]) -> DataFrame:
+    """column, value of every non-null value of the named columns."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in names]))
+    return df.select(pairs.alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull())
+
+
 def psi_drift(train: DataFrame, live: DataFrame, names: list[str], bins: int = 10, tiny: float = 1e-6) -> DataFrame:
-    """Population stability of every feature: quantile bins of the training rows, shares, sum of (a - e) ln(a / e)."""
-    long = lambda df: df.unpivot(["acc_id"], names, "feature", "value").where(F.col("value").isNotNull())
-    edges = long(train).groupBy("feature").agg(F.array_distinct(F.percentile("value", [i / bins for i in range(bins + 1)])).alias("edges"))
-    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    cut = edges.select("feature", inner.alias("inner"))
+    """Population stability of every feature: quantile bins of the training rows, shares, sum of (a - e) ln(a / e).
+
+    A feature with fewer than ``bins`` values or three distinct edges has no bins: its status is ``constant``.
+    """
+    train = keep(train.select(*names))
+    edges = column_quantiles(train, names, [i / bins for i in range(bins + 1)]).select("column", "n", F.array_distinct("quantiles").alias("edges"))
+    binned = (F.size("edges") >= 3) & (F.col("n") >= bins)
+    cut = keep(edges.select("column", F.when(binned, F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))).alias("inner")))  # a row a feature
 
     def shares(df: DataFrame, name: str) -> DataFrame:
-        placed = long(df).join(F.broadcast(cut), "feature").withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("value"))))
-        counts = placed.groupBy("feature", "bin").agg(F.count("*").alias("n"))
-        return counts.join(F.broadcast(counts.groupBy("feature").agg(F.sum("n").alias("all"))), "feature").select("feature", "bin", (F.col("n") / F.col("all")).alias(name))
+        placed = long_values(df, names).join(F.broadcast(cut.where(F.col("inner").isNotNull())), "column").select("column", F.size(F.filter("inner", lambda e: e <= F.col("value"))).alias("bin"))
+        counts = placed.groupBy("column", "bin").agg(F.count("*").alias("n"))
+        whole = Window.partitionBy("column")  # a row a bin
+        return counts.select("column", "bin", (F.col("n") / F.sum("n").over(whole)).alias(name))
+
+    every = cut.select("column", F.explode_outer(F.when(F.col("inner").isNotNull(), F.sequence(F.lit(0), F.size("inner")))).alias("bin"))
+    both = every.join(shares(train, "e"), ["column", "bin"], "left").join(shares(live, "a"), ["column", "bin"], "left")
+    e, a = F.coalesce("e", F.lit(0.0)) + tiny, F.coalesce("a", F.lit(0.0)) + tiny
+    psi = both.groupBy(F.col("column").alias("feature")).agg(F.sum(F.when(F.col("bin").isNotNull(), (a - e) * F.log(a / e))).alias("psi"))
+    return psi.select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"), F.when(F.col("psi").isNull(), "constant").otherwise(drift_class(F.col("psi"))).alias("status"))
+
+
+def drift_class(psi: Column) -> Column:
+    return F.when(psi < 0.1, "stable").when(psi < 0.25, "minor").otherwise("major")
+
 
-    every = cut.select("feature", F.explode(F.sequence(F.lit(0), F.size("inner"))).alias("bin"))
-    both = every.join(shares(train, "e"), ["feature", "bin"], "left").join(shares(live, "a"), ["feature", "bin"], "left")
-    e, a = F.greatest(F.coalesce("e", F.lit(0.0)), F.lit(tiny)), F.greatest(F.coalesce("a", F.lit(0.0)), F.lit(tiny))
-    psi = both.groupBy("feature").agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
-    return psi.withColumn("status", F.when(F.col("psi") < 0.1, "stable").when(F.col("psi") < 0.25, "minor").otherwise("major"))
+def overall_drift(psi: DataFrame) -> DataFrame:
+    """Major from two features with major drift on; minor if any feature drifted at all."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    status = F.when(F.col("major") >= 2, "major").when(F.col("major") + F.col("minor") > 0, "minor").otherwise("stable")
+    return psi.agg(n("minor"), n("major"), F.max("psi").alias("largest")).withColumn("status", status)
 
 
 def spearman_scan(df: DataFrame, names: list[str], label: str) -> DataFrame:
-    """Rank correlation of every feature with a label; nothing is pivoted back."""
-    out = None
-    for name in names:
-        rows = with_rank_share(with_rank_share(df.where(F.col(name).isNotNull()).select("acc_id", name, label), name, "__f"), label, "__l")
-        one = rows.agg(F.corr("__f", "__l").alias("rho")).select(F.lit(name).alias("feature"), "rho")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Rank correlation of every feature with a label over the rows that have the feature, all in one pass.
+
+    The label is ranked once a feature, among that feature's rows: (feature, label value) is what is counted there.
+    """
+    of = lambda name: F.struct(F.lit(name).alias("feature"), F.col(name).cast("double").alias("x"), F.col(label).cast("double").alias("y"))
+    pairs = df.select(F.explode(F.array(*map(of, names))).alias("p")).select("p.feature", "p.x", "p.y").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    cells = keep(pairs.groupBy("feature", "x", "y").agg(F.count("*").alias("n")))
+
+    def ranks(value: str) -> DataFrame:
+        counts = cells.groupBy("feature", value).agg(F.sum("n").alias("ties"))
+        found = keep(running(counts, ["feature", value], ["ties"]))
+        first = found.groupBy("feature").agg(F.min("before_ties").alias("__first"))  # a row a feature
+        return found.join(F.broadcast(first), "feature").select("feature", value, (F.col("before_ties") - F.col("__first") + (F.col("ties") + 1) / 2).alias(f"rank_{value}"))
+
+    ranked = cells.join(ranks("x"), ["feature", "x"]).join(ranks("y"), ["feature", "y"])
+    a, b, n = F.col("rank_x"), F.col("rank_y"), F.col("n")
+    total = F.sum("n")
+    mean_a, mean_b = F.sum(n * a) / total, F.sum(n * b) / total
+    sums = ranked.groupBy("feature").agg((F.sum(n * a * b) / total - mean_a * mean_b).alias("ab"), (F.sum(n * a * a) / total - mean_a * mean_a).alias("aa"), (F.sum(n * b * b) / total - mean_b * mean_b).alias("bb"))
+    return sums.select("feature", F.when((F.col("aa") > 1e-9) & (F.col("bb") > 1e-9), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))
 
 
 #: Cumulative Poisson(1) probabilities of 0..3 draws.

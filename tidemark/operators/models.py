@@ -15,7 +15,9 @@ from pyspark.ml.regression import AFTSurvivalRegression, GeneralizedLinearRegres
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranking import column_quantiles, quantiles_row
 from tidemark.functions.scalars import clipped
+from tidemark.functions.storage import keep
 from tidemark.operators.metrics import ece
 
 
@@ -31,7 +33,8 @@ class Scaling:
 def fit_scaling(train: DataFrame, names: list[str], defaults: dict[str, float] | None = None) -> Scaling:
     """Median (or default) for nulls, then mean and population deviation; a deviation of zero counts as one."""
     defaults = defaults or {}
-    medians = train.agg(*[F.percentile(c, 0.5).alias(c) for c in names]).first()
+    train = keep(train.select(*names))
+    medians = quantiles_row(train, {c: (c, 0.5) for c in names}).first()
     fill = {c: defaults.get(c, medians[c] if medians[c] is not None else 0.0) for c in names}
     filled = train.select(*[F.coalesce(c, F.lit(fill[c])).alias(c) for c in names])
     row = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
@@ -95,7 +98,8 @@ def magnitude_line(df: DataFrame, predicted: str, actual: str) -> DataFrame:
 
 def alive_cuts(df: DataFrame, p_alive: str) -> DataFrame:
     """The 15th and 40th percentile of positive p_alive, clamped to (0.10, 0.30) and (0.35, 0.60); fixed under 50 values."""
-    got = df.where(F.col(p_alive) > 0).agg(F.count(p_alive).alias("n"), F.percentile(p_alive, 0.15).alias("a"), F.percentile(p_alive, 0.40).alias("b"))
+    living = keep(df.where(F.col(p_alive) > 0).select(p_alive))
+    got = quantiles_row(living, {"a": (p_alive, 0.15), "b": (p_alive, 0.40)}).join(living.agg(F.count("*").alias("n")))
     few, low = F.col("n") < 50, clipped(F.col("a"), 0.10, 0.30)
     high = F.greatest(clipped(F.col("b"), 0.35, 0.60), low + 1e-6)
     return got.select(F.when(few, 0.20).otherwise(F.round(low, 4)).alias("at_risk"), F.when(few, 0.50).otherwise(F.round(high, 4)).alias("watch"))
@@ -134,10 +138,15 @@ def fit_topup(train: DataFrame, names: list[str], days: str, observed: str):
 
 def band_quantiles(train: DataFrame, anchor: str, actual: str, levels: list[float], bands: int = 5) -> DataFrame:
     """Quantiles of the log ratio of actual to anchor within bands of the anchor: band, low edge, one column a level."""
-    edges = train.agg(F.array_distinct(F.percentile(anchor, [i / bands for i in range(1, bands)])).alias("__e"))
     ratio = F.log1p(F.greatest(F.col(actual), F.lit(0.0))) - F.log1p(F.greatest(F.col(anchor), F.lit(0.0)))
-    rows = train.join(F.broadcast(edges)).withColumn("band", F.size(F.filter("__e", lambda e: e < F.col(anchor)))).withColumn("__ratio", ratio)
-    return rows.groupBy("band").agg(F.min(anchor).alias("low"), *[F.percentile("__ratio", q).alias(f"q{int(q * 100):02d}") for q in levels])
+    train = keep(train.select(F.col(anchor).alias("__anchor"), ratio.alias("__ratio")))
+    edges = column_quantiles(train, ["__anchor"], [i / bands for i in range(1, bands)]).select(F.array_distinct("quantiles").alias("__e"))
+    rows = keep(train.join(F.broadcast(edges)).withColumn("band", F.size(F.filter("__e", lambda e: e < F.col("__anchor")))).drop("__e"))
+    # One column a band, null outside of it: all bands are ranked in one pass.
+    wide = rows.select(*[F.when(F.col("band") == b, F.col("__ratio")).alias(str(b)) for b in range(bands)])
+    found = column_quantiles(wide, [str(b) for b in range(bands)], levels)
+    low = rows.groupBy("band").agg(F.min("__anchor").alias("low"))
+    return low.join(found, F.col("band").cast("string") == F.col("column")).select("band", "low", *[F.get("quantiles", F.lit(i)).alias(f"q{int(q * 100):02d}") for i, q in enumerate(levels)])
 
 
 def banded_forecast(df: DataFrame, bands: DataFrame, anchor: str, levels: list[float]) -> DataFrame:

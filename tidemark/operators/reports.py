@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranking import column_quantiles
 from tidemark.functions.scalars import month_of
+from tidemark.functions.storage import keep
 from tidemark.operators.features import day, pit_payments, pit_usage
 
 #: Columns that outputs may be sorted by.
@@ -140,13 +142,16 @@ def descriptive(payments: DataFrame, spine: DataFrame, cutoff: date) -> DataFram
 
 
 def feature_stats(features: DataFrame, names: list[str]) -> DataFrame:
-    """Null and zero rates, moments and quantiles of every feature, from one scan of the unpivoted frame."""
-    long = features.unpivot(["acc_id"], names, "feature", "value")
-    quantile = {f"p{int(q * 100):02d}": q for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)}
-    return long.groupBy("feature").agg(
+    """Null and zero rates, moments and quantiles of every feature, from the counts of its distinct values."""
+    levels = {f"p{int(q * 100):02d}": q for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)}
+    features = keep(features.select(*names))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in names]))
+    moments = features.select(pairs.alias("p")).select("p.*").groupBy("feature").agg(
         F.round(F.avg(F.col("value").isNull().cast("int")), 6).alias("null_rate"), F.round(F.avg(F.coalesce(F.col("value") == 0, F.lit(False)).cast("int")), 6).alias("zero_rate"),
-        F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("std"), *[F.round(F.percentile("value", q), 4).alias(n) for n, q in quantile.items()],
+        F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("std"),
     )
+    quantiles = column_quantiles(features, names, list(levels.values())).withColumnRenamed("column", "feature")
+    return moments.join(quantiles, "feature", "left").select(*moments.columns, *[F.round(F.get("quantiles", F.lit(i)), 4).alias(n) for i, n in enumerate(levels)])
 
 
 def pit_stats(payments: DataFrame, usage: DataFrame, cutoff: date) -> DataFrame:
@@ -154,7 +159,3 @@ def pit_stats(payments: DataFrame, usage: DataFrame, cutoff: date) -> DataFrame:
     at = day(cutoff)
     part = lambda df, c, name: df.agg(F.max(F.when(F.col(c) < at, F.col(c).cast("date"))).alias("latest_kept"), F.count_if(F.col(c) >= at).alias("excluded")).select(F.lit(name).alias("source"), "latest_kept", "excluded")
     return part(payments, "payment_date", "payments").unionByName(part(usage, "period", "usage"))
-
-
-def window_start(cutoff: date, days: int) -> date:
-    return cutoff - timedelta(days=days)

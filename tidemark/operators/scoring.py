@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranking import with_position, with_rank_share
-from tidemark.functions.scalars import clipped
+from tidemark.functions.ranking import quantiles_row, with_position, with_rank_share
+from tidemark.functions.storage import keep
 
 # Segments in the order of the work list; those ranked by revenue at risk; thresholds of the rules.
 SEGMENTS = [
@@ -34,6 +34,12 @@ def stand_in_scores(features: DataFrame, stages: DataFrame) -> DataFrame:
     )
 
 
+def risk_bands(high: Column) -> Column:
+    """medium, high, critical around the line that the F2 sweep found for "high"."""
+    line = F.greatest(F.lit(0.05), F.least(F.lit(0.95), high))
+    return F.struct(F.bround(line * 0.5, 2).alias("medium"), F.bround(line, 2).alias("high"), F.bround(line + 0.6 * (1 - line), 2).alias("critical"))
+
+
 def risk_level(p: Column, critical: float = 0.8, high: float = 0.6, medium: float = 0.3) -> Column:
     return F.when(p >= critical, "critical").when(p >= high, "high").when(p >= medium, "medium").when(p.isNotNull(), "low")
 
@@ -47,9 +53,13 @@ def usage_trend(total: Column, change: Column) -> Column:
     return F.when(total <= 0, "no_usage").when(change > 0.10, "growing").when(change < -0.10, "declining").otherwise("stable")
 
 
-def topup_days(balance: Column, usage_30d: Column) -> Column:
-    """Days until the balance is used up at the forecast rate, 365 at most; null without usage."""
-    return F.when(usage_30d > 0, F.least(F.ceil(F.coalesce(balance, F.lit(0.0)) / (usage_30d / 30)), F.lit(365))).cast("long")
+def topup_days(balance: Column, usage_30d: Column, model_days: Column | None = None) -> Column:
+    """The model's days where it has any; else until the balance is used up at the forecast rate, 365 at most.
+
+    Null without a model's answer and without usage.
+    """
+    rule = F.when(usage_30d > 0, F.least(F.ceil(F.coalesce(balance, F.lit(0.0)) / (usage_30d / 30)), F.lit(365))).cast("long")
+    return rule if model_days is None else F.coalesce(F.round(model_days).cast("long"), rule)
 
 
 def urgency(days: Column, eligible: Column) -> Column:
@@ -86,7 +96,8 @@ def segment() -> Column:
 
 
 def derived(scores: DataFrame) -> DataFrame:
-    """All derived fields but the ranks."""
+    """All derived fields but the ranks. The scores are materialised: the percentile of value needs them twice."""
+    scores = keep(scores)
     rows = with_value_tier(scores.withColumn("churn_probability", abstained(F.col("churn_probability"), F.col("customer_age_days"))))
     rows = (
         rows.withColumn("risk_level", risk_level(F.col("churn_probability")))
@@ -105,6 +116,7 @@ def with_priority(df: DataFrame) -> DataFrame:
 
     The rescaling needs two numbers from all rows (an aggregate, broadcast); the rank is counted by range partitions.
     """
+    df = keep(df)
     risk = F.log1p(F.greatest(F.coalesce("revenue_at_risk", F.lit(0.0)), F.lit(0.0)))
     bounds = df.agg(F.min(risk).alias("__low"), F.max(risk).alias("__high"))
     span = F.col("__high") - F.col("__low")
@@ -117,8 +129,9 @@ def with_priority(df: DataFrame) -> DataFrame:
 
 def clv_tail_blend(df: DataFrame, frequency: str, revenue: str, base: str, other: str, least: int = 50) -> DataFrame:
     """In the top decile by frequency (2 at least) or revenue, the larger of two predictions; too few rows: unchanged."""
-    cuts = df.agg(F.greatest(F.percentile(frequency, 0.9), F.lit(2.0)).alias("__f"), F.percentile(revenue, 0.9).alias("__r"), F.count("*").alias("__n"))
-    tail = (F.col("__n") >= least) & ((F.col(frequency) >= F.col("__f")) | (F.col(revenue) >= F.col("__r")))
+    df = keep(df)
+    cuts = quantiles_row(df, {"__f": (frequency, 0.9), "__r": (revenue, 0.9)}).join(df.agg(F.count("*").alias("__n")))
+    tail = (F.col("__n") >= least) & ((F.col(frequency) >= F.greatest(F.col("__f"), F.lit(2.0))) | (F.col(revenue) >= F.col("__r")))
     return df.join(F.broadcast(cuts)).withColumn("blended", F.when(tail, F.greatest(base, other)).otherwise(F.col(base))).drop("__f", "__r", "__n")
 
 
@@ -126,7 +139,3 @@ def forecast_guard(df: DataFrame) -> DataFrame:
     """Quantiles ordered around the pinned median, and 90 days not under 30 days."""
     p10, p50, p90 = F.col("p10"), F.col("p50"), F.col("p90")
     return df.withColumn("p10", F.least(p10, p50)).withColumn("p90", F.greatest(p90, p50)).withColumn("p50_90d", F.greatest("p50_90d", "p50"))
-
-
-def share_clip(x: Column) -> Column:
-    return clipped(x, 0.0, 1.0)

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranking import quantiles_row
+from tidemark.functions.storage import keep
 from tidemark.operators import cleaning, gates, labels, lifetime, metrics, models, registry, reports
 from tidemark.plans.catalog import CUTOFF, STATS, Tables, query
 from tidemark.sources import adapter
@@ -211,7 +213,9 @@ def profile_summary(t: Tables) -> DataFrame:
 
 @query("SELECT round(var_pop(future_revenue) / 1e6, 4) AS variance, round(quantile_cont(future_revenue, 0.5), 4) AS p50, round(quantile_cont(future_revenue, 0.9), 4) AS p90 FROM clv", digits=4)
 def label_stats(t: Tables) -> DataFrame:
-    return t.clv().agg((F.var_pop("future_revenue") / 1e6).alias("variance"), F.percentile("future_revenue", 0.5).alias("p50"), F.percentile("future_revenue", 0.9).alias("p90"))
+    rows = keep(t.clv().select("future_revenue"))
+    levels = quantiles_row(rows, {"p50": ("future_revenue", 0.5), "p90": ("future_revenue", 0.9)})
+    return rows.agg((F.var_pop("future_revenue") / 1e6).alias("variance")).join(levels)
 
 
 @query("SELECT count(*) AS n, round(avg(abs(p - y)), 6) AS mae FROM valued")
