@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.storage import keep
+
 #: Rows of one Arrow batch handled at a time inside a task, so that memory follows the texts and not the batch size.
 SLICE_ROWS = 256
 
@@ -36,15 +38,16 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def keep_plan_short(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder that the session names.
-
-    A session without ``spark.checkpoint.dir`` (tests, a laptop) gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "/tmp/tidemark-checkpoints")
-    return df.checkpoint()
+    """Cut lineage: ``df`` written once to the shared checkpoint folder that the session names, and read from there."""
+    return keep(df)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def hex64(value: Column) -> Column:

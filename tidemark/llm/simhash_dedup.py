@@ -28,11 +28,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_windows import mixed
-from tidemark.llm.frames import keep_plan_short, map_slices, texts_of
+from tidemark.llm.frames import free_name, keep_plan_short, map_slices, texts_of
 from tidemark.llm.links import components
 
 SEED = 42
@@ -178,8 +179,8 @@ def near_links(prints: DataFrame, masks: list[list[int]], radius: int, words: in
     the first member it is connected to there: one link a member at most. A link's own ends may be further apart.
     """
     masked: list[Column] = [F.struct(F.lit(i).alias("mask"), *[F.get("fingerprint", F.lit(w)).bitwiseAND(F.lit(m[w]).cast("long")).alias(f"part_{w}") for w in range(words)]) for i, m in enumerate(masks)]
-    shards = prints.select("id", "fingerprint", F.explode(F.array(*[F.xxhash64(m) for m in masked])).alias("shard"))
-    member = F.struct("id", "fingerprint")
+    spread = prints.repartition(F.col("id"))  # few rows, but each one becomes as many as there are masks
+    shards = spread.select("id", "fingerprint", F.explode(F.array(*[F.xxhash64(m) for m in masked])).alias("shard"))
     full = shards.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("id", "fingerprint"))).alias("members")).where(F.size("members") > 1)
     return full.select("members").mapInArrow(_links(radius, words), "a long, b long").where(F.col("a") != F.col("b")).distinct()
 
@@ -208,6 +209,12 @@ COMMON_SAMPLE, COMMON_TEXTS, COMMON_LIMIT = 64, 4, 200_000
 PIVOTS = 8
 #: A list of so many texts to verify is still broadcast.
 VERIFIED_TEXTS = 50_000
+#: Prefix shingles that one unit (a packed row of many texts) and one part (a range of shingle hashes) hold.
+UNIT_TOKENS, PART_TOKENS = 4_000_000, 2_000_000
+#: Bytes of a shingle hash that are compared between texts. A collision only adds a pair that the exact test rejects.
+TOKEN_BYTES = 6
+ROW_SCHEMA = "doc_id long, text_hash long, id long, n long, bits array<long>"
+UNIT_SCHEMA = "unit long, n_tokens long, known binary, doc_id binary, text_hash binary, id binary, n binary, bits binary, tokens binary"
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -215,15 +222,24 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
-def parity(hashes: np.ndarray) -> list[int]:
+def index_size(n: int, similarity: float) -> int:
+    """The same for the smaller of two sets: the larger one meets it within so many of its first shingles."""
+    return n - int(np.ceil(2 * similarity / (1 + similarity) * n - 1e-9)) + 1 if n else 0
+
+
+def _places(n: int) -> int:
+    return 64 << max(0, (4 * n).bit_length() - 7)
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
     """A bitmap of the parity of the hashes in each of its places: a power of two of them, two to four a hash.
 
     Two bitmaps differ in at most as many places as the sets have elements that are not common to both; of a bitmap
     twice as long the halves are first folded by exclusive or.
     """
-    places = 64 << max(0, (4 * len(hashes)).bit_length() - 7)
+    places = _places(len(hashes))
     odd = np.bincount((hashes >> np.uint64(16)).astype(np.int64) % places, minlength=places) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _places_apart(a: Column, b: Column) -> Column:
@@ -241,13 +257,6 @@ def _shingle_set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE))
 
 
-def _set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = [_shingle_set(t) for t in texts_of(batch)]
-    longs = pa.list_(pa.int64())
-    arrays = [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(map(_set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(parity, sets), longs)]
-    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "id", "n", "bits"])
-
-
 def _whole_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     sets = pa.array([_shingle_set(t).view(np.int64) for t in texts_of(batch)], pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([batch.column("id"), sets], ["id", "shingles"])
@@ -269,22 +278,131 @@ def _is_in(ordered: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.searchsorted(ordered, hashes, side="right") > np.searchsorted(ordered, hashes, side="left")
 
 
-def _prefixes(keyed: DataFrame, similarity: float) -> DataFrame:
-    """token, id, n: the prefix of every set in the order (common or not, hash). Equal sets give equal rows."""
+def _low_bytes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]).tobytes()
+
+
+def _from_low_bytes(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // TOKEN_BYTES, 8), np.uint8)
+    out[:, :TOKEN_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, TOKEN_BYTES)
+    return out.view(np.uint64).ravel()
+
+
+def _units(keyed: DataFrame, similarity: float) -> DataFrame:
+    """Every text's set in packed rows: its id, size, parity bitmap and the prefix in the order (common or not, hash)."""
     common = keyed.sparkSession.sparkContext.broadcast(_common_shingles(keyed))
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, ids, sizes = [np.zeros(0, np.uint64)], [], []
-        for text in texts_of(batch):
-            found = _shingle_set(text)
-            late = _is_in(common.value, found)
-            first = np.concatenate([found[~late], found[late]])[: prefix_size(len(found), similarity)]
-            tokens.append(first)
-            ids += [_set_id(found)] * len(first)
-            sizes += [len(found)] * len(first)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["token", "id", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, held = TaskContext.get().partitionId() << 32, 0, 0
+        ids, hashes, sets, sizes, bits, tokens = [], [], [], [], [], []
+
+        def unit() -> pa.RecordBatch:
+            nonlocal ids, hashes, sets, sizes, bits, tokens, made, held
+            known = np.array([i is not None for i in ids])
+            blobs = [np.packbits(known), np.array([i or 0 for i in ids], np.int64), np.array(hashes, np.int64), np.array(sets, np.int64), np.array(sizes, np.int32), np.concatenate(bits)]
+            row = [pa.array([task + made]), pa.array([held]), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), pa.array([_low_bytes(np.concatenate(tokens))], pa.binary())]
+            ids, hashes, sets, sizes, bits, tokens, made, held = [], [], [], [], [], [], made + 1, 0
+            return pa.RecordBatch.from_arrays(row, [c.split()[0] for c in UNIT_SCHEMA.split(", ")])
 
-    return map_slices(keyed.select("text"), work, "token long, id long, n long")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts_of(batch), strict=True):
+                    found = _shingle_set(text)
+                    late = _is_in(common.value, found)
+                    first = np.concatenate([found[~late], found[late]])[: prefix_size(len(found), similarity)]
+                    ids.append(doc_id)
+                    hashes.append(text_hash)
+                    sets.append(_set_id(found))
+                    sizes.append(len(found))
+                    bits.append(parity(found))
+                    tokens.append(first >> np.uint64(64 - 8 * TOKEN_BYTES))
+                    held += len(first)
+                    if held >= UNIT_TOKENS:
+                        yield unit()
+        if ids:
+            yield unit()
+
+    return keyed.select("doc_id", F.col("text_hash"), "text").mapInArrow(run, UNIT_SCHEMA)
+
+
+def _rows_of_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for k in range(whole.num_rows):
+            r = whole.slice(k, 1).to_pylist()[0]
+            n = np.frombuffer(r["n"], np.int32)
+            known = np.unpackbits(np.frombuffer(r["known"], np.uint8), count=len(n)).astype(bool)
+            ends = np.concatenate([[0], np.cumsum([_places(x) // 64 for x in n.tolist()])]).astype(np.int32)
+            bits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(r["bits"], np.int64)))
+            longs = lambda name, r=r: np.frombuffer(r[name], np.int64)
+            batch = pa.RecordBatch.from_arrays([pa.array(longs("doc_id"), mask=~known), pa.array(longs("text_hash")), pa.array(longs("id")), pa.array(n.astype(np.int64)), bits], [c.split()[0] for c in ROW_SCHEMA.split(", ")])
+            for at in range(0, len(n), 4096):
+                yield batch.slice(at, 4096)
+
+
+class _Prefixes:
+    """The distinct sets of a unit and their prefix shingles; ``distinct`` shingles in order, ``of`` maps to them."""
+
+    def __init__(self, row: dict, similarity: float, parts: int) -> None:
+        n, tokens = np.frombuffer(row["n"], np.int32), _from_low_bytes(row["tokens"])
+        lengths = np.array([prefix_size(x, similarity) for x in n.tolist()], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        ids, first = np.unique(np.frombuffer(row["id"], np.int64), return_index=True)
+        once = np.repeat(np.bincount(first, minlength=len(n)).astype(bool), lengths)
+        self.tokens, self.set = tokens[once], np.repeat(np.arange(len(n)), lengths)[once]
+        self.place = (np.arange(len(tokens)) - np.repeat(starts, lengths))[once]
+        self.ids, self.sizes = np.frombuffer(row["id"], np.int64), n
+        self.distinct, self.of, counts = np.unique(self.tokens, return_inverse=True, return_counts=True)
+        self.several = counts > 1
+        self.part = ((self.distinct >> np.uint64(8 * TOKEN_BYTES - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _shared_shingles(units: DataFrame, similarity: float) -> DataFrame:
+    """token, id, n, early (one of the first ``index_size``) of the prefix shingles that two units or two sets of one have.
+
+    Every unit sends its distinct shingles, packed, to the parts of the hash range and gets a bit for each one back: a
+    shingle of very many texts travels once a unit, and what no second text has never becomes a row.
+    """
+    total = units.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    least = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(least, total // 1000), -(-total // PART_TOKENS))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(whole.num_rows):
+                row = whole.slice(k, 1).to_pylist()[0]
+                own = _Prefixes(row, similarity, parts)
+                cuts = np.flatnonzero(np.concatenate([np.ones(min(1, len(own.part)), bool), own.part[1:] != own.part[:-1]]))
+                ends = [*cuts[1:].tolist(), len(own.part)]
+                tokens = [_low_bytes(own.distinct[a:b]) for a, b in zip(cuts.tolist(), ends, strict=False)]
+                several = [np.packbits(own.several[a:b]).tobytes() for a, b in zip(cuts.tolist(), ends, strict=False)]
+                if len(cuts):
+                    yield pa.RecordBatch.from_arrays([pa.array(own.part[cuts]), pa.array([row["unit"]] * len(cuts), pa.int64()), pa.array(tokens, pa.binary()), pa.array(several, pa.binary())], ["part", "unit", "tokens", "several"])
+
+    def settle(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        tokens = [_from_low_bytes(r["tokens"]) for r in rows]
+        several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(t)) for r, t in zip(rows, tokens, strict=True)])
+        _, of, counts = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+        shared = (counts > 1) | (np.bincount(of, weights=several) > 0)
+        bits = [np.packbits(x).tobytes() for x in np.split(shared[of], np.cumsum([len(t) for t in tokens])[:-1])]
+        return pa.table([pa.array([r["unit"] for r in rows], pa.int64()), pa.array([r["part"] for r in rows], pa.int64()), pa.array(bits, pa.binary())], names=["unit", "part", "shared"])
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)] * 3, [np.zeros(0, bool)]]
+        for row in left.to_pylist():
+            own, answer = _Prefixes(row, similarity, parts), {r["part"]: r["shared"] for r in right.to_pylist()}
+            sizes = np.bincount(own.part, minlength=parts)
+            bits = [np.unpackbits(np.frombuffer(answer[p], np.uint8), count=sizes[p]) for p in np.flatnonzero(sizes).tolist()]
+            met = np.concatenate(bits).astype(bool)[own.of] if bits else np.zeros(0, bool)
+            of_set = own.set[met]
+            early = np.array([index_size(x, similarity) for x in own.sizes.tolist()], np.int64)
+            out = [[own.tokens[met].view(np.int64), own.ids[of_set], own.sizes[of_set].astype(np.int64)], [own.place[met] < early[of_set]]]
+        return pa.table([*map(pa.array, out[0]), pa.array(out[1][0], pa.bool_())], names=["token", "id", "n", "early"])
+
+    packed = units.select("unit", "id", "n", "tokens")
+    replies = packed.mapInArrow(send, "part long, unit long, tokens binary, several binary").groupBy("part").applyInArrow(settle, "unit long, part long, shared binary")
+    return packed.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(pick, "token long, id long, n long, early boolean")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
@@ -311,30 +429,31 @@ def _near(n_a: Column, n_b: Column, similarity: float) -> Column:
     return F.least(n_a, n_b) >= F.lit(similarity) * F.greatest(n_a, n_b) - F.lit(1e-9)
 
 
-def set_components(keyed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def set_components(units: DataFrame, keyed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node, root) of the sets connected by pairs of the similarity or more; no such pair is missed.
 
-    Two such sets have a shingle in common within their prefixes, so they meet in its bucket. Each member is first
-    compared with its buckets' pivots; then all members of a bucket that are not yet in one component are compared.
+    Two such sets have a shingle in common within their prefixes, the smaller one among its ``early`` ones, so they meet
+    in its bucket. Each member is first compared with its buckets' pivots; then all members of a bucket that are not yet
+    in one component are compared.
     """
-    tokens = _prefixes(keyed, similarity)
-    pivot = F.min(F.struct(F.xxhash64("id", F.pmod("token", F.lit(PIVOTS))).alias("rank"), "id", "n"))
-    bucket = Window.partitionBy("token")
-    met = tokens.withColumn("pivot", pivot.over(bucket)).withColumn("other", F.max("id").over(bucket)).withColumn("least", F.min("id").over(bucket))
-    met = keep_plan_short(met.where(F.col("least") != F.col("other")).select("token", "id", "n", "pivot").distinct())
-    stars = met.where((F.col("id") != F.col("pivot.id")) & _near(F.col("n"), F.col("pivot.n"), similarity))
+    met = keep_plan_short(_shared_shingles(units, similarity).distinct())
+    rank = F.xxhash64("id", F.pmod("token", F.lit(PIVOTS)))
+    buckets = met.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "id", "n")).alias("pivot"), F.min("id").alias("least"), F.max("id").alias("most")).where(F.col("least") != F.col("most"))
+    stars = met.join(buckets.select("token", "pivot"), "token").where((F.col("id") != F.col("pivot.id")) & _near(F.col("n"), F.col("pivot.n"), similarity))
     pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     tried = keep_plan_short(stars.select(*pair(F.col("id"), F.col("pivot.id"))).distinct())
     links = keep_plan_short(_alike(tried, sets, keyed, similarity))
     rooted = components(links)
 
-    known = met.select("token", "id", "n").join(rooted.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    known = met.join(rooted.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = known.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most"))
     open_ones = sizes.where(F.col("least") != F.col("most")).select("token", F.ceil(F.col("members") / F.lit(SHARD_MEMBERS)).alias("parts"))
     mixed_ones = keep_plan_short(known.join(open_ones, "token"))
-    left = mixed_ones.select("token", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    right = mixed_ones.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    rest = left.join(right, ["token", "part"]).where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & _near(F.col("n_a"), F.col("n_b"), similarity))
+    member = lambda name: [F.col(c).alias(f"{c}_{name}") for c in ("n", "early", "root")]
+    left = mixed_ones.select("token", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.col("id").alias("a"), *member("a"))
+    right = mixed_ones.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), *member("b"))
+    met_early = F.when(F.col("n_a") < F.col("n_b"), F.col("early_a")).when(F.col("n_a") > F.col("n_b"), F.col("early_b")).otherwise(F.col("early_a") & F.col("early_b"))
+    rest = left.join(right, ["token", "part"]).where((F.col("a") > F.col("b")) & met_early & (F.col("root_a") != F.col("root_b")) & _near(F.col("n_a"), F.col("n_b"), similarity))
     rest = keep_plan_short(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     return components(links.unionByName(_alike(rest, sets, keyed, similarity)))
 
@@ -342,26 +461,33 @@ def set_components(keyed: DataFrame, sets: DataFrame, similarity: float) -> Data
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, text_hash, n_rows, keep: per distinct (doc_id, text), whether it is the one of its group that stays.
 
-    The document with the smallest id of a group stays (of several with that id, the one with the smallest text hash).
-    Groups are the components of the pairs whose sets of five-word shingles have the Jaccard similarity or more.
+    The document with the smallest id of a group stays (null ids last; of several with that id, the one with the
+    smallest text hash). Groups are the components of the pairs whose sets of five-word shingles have the Jaccard
+    similarity or more. Texts without words (null and empty ones too) have the same empty set and form one group; a text
+    of fewer than five words is one shingle. Very long texts are hashed whole, one at a time. An empty table gives an
+    empty result; other columns are not read.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    rows = keep_plan_short(map_slices(keyed, _set_rows, "doc_id long, text_hash long, id long, n long, bits array<long>"))
-    sets = keep_plan_short(rows.groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("text_hash", "doc_id")).alias("first")))
-    rooted = set_components(keyed, sets, similarity)
-    texts = rows.groupBy("id", "doc_id", "text_hash").agg(F.count("*").alias("n_rows"))
-    grouped = texts.join(rooted.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    return grouped.join(first, "root").select("doc_id", "text_hash", "n_rows", stays.alias("keep"))
+    units = keep_plan_short(_units(keyed, similarity))
+    rows = units.mapInArrow(_rows_of_units, ROW_SCHEMA)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
+    sets = keep_plan_short(rows.groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), least))
+    rooted = set_components(units, keyed, sets, similarity)
+    # Aggregated before its shuffle: a group of a third of all sets is one row a task. Its winner is then looked up by document.
+    winners = sets.select("id", "first").join(rooted.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
+    winners = winners.select(F.col("first.doc_id").alias("of_doc"), F.col("first.text_hash").alias("of_text"))
+    texts = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_rows"))
+    same = (F.col("text_hash") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))
+    return texts.join(winners, same, "left").select("doc_id", "text_hash", "n_rows", F.col("of_text").isNotNull().alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies; all columns stay. Repeated rows count as copies."""
     judged = keep_plan_short(near_duplicates(docs, similarity).where(~F.col("keep") | (F.col("n_rows") > 1)))
-    keyed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed["__text_hash"] == other["text_hash"])
+    name = free_name(docs, "text_hash")
+    keyed = docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed[name] == other["text_hash"])
     single = keyed.join(judged, same(judged), "left_anti")
     repeated = judged.where("keep")
-    once = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "__text_hash"])
-    return single.unionByName(once).drop("__text_hash")
+    once = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", name])
+    return single.unionByName(once).drop(name)
