@@ -209,11 +209,13 @@ COMMON_SAMPLE, COMMON_TEXTS, COMMON_LIMIT = 64, 4, 200_000
 PIVOTS = 8
 #: A list of so many texts to verify is still broadcast.
 VERIFIED_TEXTS = 50_000
+#: A list of so many (id, hash) pairs to drop is still broadcast, so that texts are not shuffled.
+DROPPED_ROWS = 200_000
 #: Prefix shingles that one unit (a packed row of many texts) and one part (a range of shingle hashes) hold.
 UNIT_TOKENS, PART_TOKENS = 4_000_000, 2_000_000
 #: Bytes of a shingle hash that are compared between texts. A collision only adds a pair that the exact test rejects.
 TOKEN_BYTES = 6
-ROW_SCHEMA = "doc_id long, text_hash long, id long, n long, bits array<long>"
+ROW_SCHEMA = "doc_id long, text_hash long, id long, n long, bits binary"
 UNIT_SCHEMA = "unit long, n_tokens long, known binary, doc_id binary, text_hash binary, id binary, n binary, bits binary, tokens binary"
 
 
@@ -222,11 +224,6 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
-def index_size(n: int, similarity: float) -> int:
-    """The same for the smaller of two sets: the larger one meets it within so many of its first shingles."""
-    return n - int(np.ceil(2 * similarity / (1 + similarity) * n - 1e-9)) + 1 if n else 0
-
-
 def _places(n: int) -> int:
     return 64 << max(0, (4 * n).bit_length() - 7)
 
@@ -242,11 +239,13 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _places_apart(a: Column, b: Column) -> Column:
-    """In how many places two bitmaps, one at most twice as long, differ."""
-    short = F.least(F.size(a), F.size(b))
-    at = lambda bits, i: F.get(bits, i).bitwiseXOR(F.when(F.size(bits) > short, F.get(bits, i + short)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(F.sequence(F.lit(0), short - 1), F.lit(0), lambda n, i: n + F.bit_count(at(a, i).bitwiseXOR(at(b, i))))
+def places_apart(a: bytes, b: bytes) -> int:
+    """In how many places two bitmaps differ; a longer one is folded to the length of the shorter."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) < len(y) else (y, x)
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _set_id(hashes: np.ndarray) -> int:
@@ -258,7 +257,7 @@ def _shingle_set(text: str) -> np.ndarray:
 
 
 def _whole_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = pa.array([_shingle_set(t).view(np.int64) for t in texts_of(batch)], pa.list_(pa.int64()))
+    sets = pa.array([_shingle_set(t).tobytes() for t in texts_of(batch)], pa.binary())
     return pa.RecordBatch.from_arrays([batch.column("id"), sets], ["id", "shingles"])
 
 
@@ -332,8 +331,8 @@ def _rows_of_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             r = whole.slice(k, 1).to_pylist()[0]
             n = np.frombuffer(r["n"], np.int32)
             known = np.unpackbits(np.frombuffer(r["known"], np.uint8), count=len(n)).astype(bool)
-            ends = np.concatenate([[0], np.cumsum([_places(x) // 64 for x in n.tolist()])]).astype(np.int32)
-            bits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(r["bits"], np.int64)))
+            ends = np.concatenate([[0], np.cumsum([_places(x) // 8 for x in n.tolist()])]).astype(np.int32)
+            bits = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(r["bits"])])
             longs = lambda name, r=r: np.frombuffer(r[name], np.int64)
             batch = pa.RecordBatch.from_arrays([pa.array(longs("doc_id"), mask=~known), pa.array(longs("text_hash")), pa.array(longs("id")), pa.array(n.astype(np.int64)), bits], [c.split()[0] for c in ROW_SCHEMA.split(", ")])
             for at in range(0, len(n), 4096):
@@ -358,7 +357,7 @@ class _Prefixes:
 
 
 def _shared_shingles(units: DataFrame, similarity: float) -> DataFrame:
-    """token, id, n, early (one of the first ``index_size``) of the prefix shingles that two units or two sets of one have.
+    """token, id, n, place (in the common order) of the prefix shingles that two units or two sets of one have.
 
     Every unit sends its distinct shingles, packed, to the parts of the hash range and gets a bit for each one back: a
     shingle of very many texts travels once a unit, and what no second text has never becomes a row.
@@ -389,20 +388,25 @@ def _shared_shingles(units: DataFrame, similarity: float) -> DataFrame:
         return pa.table([pa.array([r["unit"] for r in rows], pa.int64()), pa.array([r["part"] for r in rows], pa.int64()), pa.array(bits, pa.binary())], names=["unit", "part", "shared"])
 
     def pick(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[np.zeros(0, np.int64)] * 3, [np.zeros(0, bool)]]
+        out = [np.zeros(0, np.int64)] * 4
         for row in left.to_pylist():
             own, answer = _Prefixes(row, similarity, parts), {r["part"]: r["shared"] for r in right.to_pylist()}
             sizes = np.bincount(own.part, minlength=parts)
             bits = [np.unpackbits(np.frombuffer(answer[p], np.uint8), count=sizes[p]) for p in np.flatnonzero(sizes).tolist()]
             met = np.concatenate(bits).astype(bool)[own.of] if bits else np.zeros(0, bool)
-            of_set = own.set[met]
-            early = np.array([index_size(x, similarity) for x in own.sizes.tolist()], np.int64)
-            out = [[own.tokens[met].view(np.int64), own.ids[of_set], own.sizes[of_set].astype(np.int64)], [own.place[met] < early[of_set]]]
-        return pa.table([*map(pa.array, out[0]), pa.array(out[1][0], pa.bool_())], names=["token", "id", "n", "early"])
+            out = [own.tokens[met].view(np.int64), own.ids[own.set[met]], own.sizes[own.set[met]].astype(np.int64), own.place[met]]
+        return pa.table([*map(pa.array, out)], names=["token", "id", "n", "place"])
 
     packed = units.select("unit", "id", "n", "tokens")
     replies = packed.mapInArrow(send, "part long, unit long, tokens binary, several binary").groupBy("part").applyInArrow(settle, "unit long, part long, shared binary")
-    return packed.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(pick, "token long, id long, n long, early boolean")
+    return packed.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(pick, "token long, id long, n long, place long")
+
+
+def _kept_pairs(test: Callable[[dict], bool]) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.select(["a", "b"]).filter(pa.array([test(r) for r in batch.to_pylist()], pa.bool_()))
+
+    return work
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
@@ -410,38 +414,48 @@ def _alike(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, similarity: floa
 
     The parity bitmaps first rule out pairs that differ in too many shingles; they never rule out a similar pair.
     """
-    side = lambda name, *columns: sets.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
-    met = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
-    apart = _places_apart(F.col("bits_a"), F.col("bits_b"))
-    most = (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
-    left = keep_plan_short(met.where(apart <= most).select("a", "b"))
+
+    def may_be(r: dict) -> bool:
+        return places_apart(r["bits_a"], r["bits_b"]) <= (r["n_a"] + r["n_b"]) * (1 - similarity) / (1 + similarity) + 1e-6
+
+    def are(r: dict) -> bool:
+        x, y = np.frombuffer(r["in_a"], np.uint64), np.frombuffer(r["in_b"], np.uint64)
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return shared >= similarity * (len(x) + len(y) - shared) - 1e-9
+
+    side = lambda name: sets.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    left = keep_plan_short(map_slices(met, _kept_pairs(may_be), "a long, b long"))
     wanted = left.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "first"), "id").select("id", F.col("first.doc_id").alias("of_doc"), F.col("first.text_hash").alias("of_text"))
     wanted = keep_plan_short(wanted)
     few = wanted.count() <= VERIFIED_TEXTS
     texts = keyed.join(F.broadcast(wanted) if few else wanted, (F.col("text_hash") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("id", "text")
-    whole = map_slices(texts, _whole_sets, "id long, shingles array<long>")
+    whole = map_slices(texts, _whole_sets, "id long, shingles binary")
     both = left.join(whole.select(F.col("id").alias("a"), F.col("shingles").alias("in_a")), "a").join(whole.select(F.col("id").alias("b"), F.col("shingles").alias("in_b")), "b")
-    shared = F.size(F.array_intersect("in_a", "in_b"))
-    return both.where(shared >= F.lit(similarity) * (F.size("in_a") + F.size("in_b") - shared) - F.lit(1e-9)).select("a", "b")
+    return map_slices(both, _kept_pairs(are), "a long, b long")
 
 
-def _near(n_a: Column, n_b: Column, similarity: float) -> Column:
-    return F.least(n_a, n_b) >= F.lit(similarity) * F.greatest(n_a, n_b) - F.lit(1e-9)
+def _enough_left(similarity: float) -> Column:
+    """Whether two sets that have no earlier shingle in common can still share enough, from their places in both."""
+    needed = (F.col("n_a") + F.col("n_b")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+    return F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= needed
 
 
 def set_components(units: DataFrame, keyed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node, root) of the sets connected by pairs of the similarity or more; no such pair is missed.
 
-    Two such sets have a shingle in common within their prefixes, the smaller one among its ``early`` ones, so they meet
-    in its bucket. Each member is first compared with its buckets' pivots; then all members of a bucket that are not yet
-    in one component are compared.
+    Two such sets have a shingle in common within their prefixes, so they meet in its bucket, and in the bucket of the
+    first one they share, enough is left of both. Each member is first compared with its buckets' pivots; then all
+    members of a bucket that are not yet in one component are compared.
     """
     met = keep_plan_short(_shared_shingles(units, similarity).distinct())
     rank = F.xxhash64("id", F.pmod("token", F.lit(PIVOTS)))
-    buckets = met.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "id", "n")).alias("pivot"), F.min("id").alias("least"), F.max("id").alias("most")).where(F.col("least") != F.col("most"))
-    stars = met.join(buckets.select("token", "pivot"), "token").where((F.col("id") != F.col("pivot.id")) & _near(F.col("n"), F.col("pivot.n"), similarity))
-    pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    tried = keep_plan_short(stars.select(*pair(F.col("id"), F.col("pivot.id"))).distinct())
+    pivot = F.min(F.struct(rank.alias("rank"), "id", "n", "place")).alias("pivot")
+    buckets = met.groupBy("token").agg(pivot, F.min("id").alias("least"), F.max("id").alias("most")).where(F.col("least") != F.col("most"))
+    of = lambda name: [F.col(c).alias(f"{c}_{name}") for c in ("n", "place")]
+    stars = met.select("token", F.col("id").alias("a"), *of("a")).join(buckets.select("token", "pivot.*").select("token", F.col("id").alias("b"), *of("b")), "token")
+    pair = (F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    tried = keep_plan_short(stars.where((F.col("a") != F.col("b")) & _enough_left(similarity)).select(*pair).distinct())
     links = keep_plan_short(_alike(tried, sets, keyed, similarity))
     rooted = components(links)
 
@@ -449,11 +463,9 @@ def set_components(units: DataFrame, keyed: DataFrame, sets: DataFrame, similari
     sizes = known.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most"))
     open_ones = sizes.where(F.col("least") != F.col("most")).select("token", F.ceil(F.col("members") / F.lit(SHARD_MEMBERS)).alias("parts"))
     mixed_ones = keep_plan_short(known.join(open_ones, "token"))
-    member = lambda name: [F.col(c).alias(f"{c}_{name}") for c in ("n", "early", "root")]
-    left = mixed_ones.select("token", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.col("id").alias("a"), *member("a"))
-    right = mixed_ones.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), *member("b"))
-    met_early = F.when(F.col("n_a") < F.col("n_b"), F.col("early_a")).when(F.col("n_a") > F.col("n_b"), F.col("early_b")).otherwise(F.col("early_a") & F.col("early_b"))
-    rest = left.join(right, ["token", "part"]).where((F.col("a") > F.col("b")) & met_early & (F.col("root_a") != F.col("root_b")) & _near(F.col("n_a"), F.col("n_b"), similarity))
+    left = mixed_ones.select("token", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.col("id").alias("a"), F.col("root").alias("root_a"), *of("a"))
+    right = mixed_ones.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), F.col("root").alias("root_b"), *of("b"))
+    rest = left.join(right, ["token", "part"]).where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & _enough_left(similarity))
     rest = keep_plan_short(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     return components(links.unionByName(_alike(rest, sets, keyed, similarity)))
 
@@ -484,10 +496,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies; all columns stay. Repeated rows count as copies."""
     judged = keep_plan_short(near_duplicates(docs, similarity).where(~F.col("keep") | (F.col("n_rows") > 1)))
+    sized = F.broadcast if judged.count() <= DROPPED_ROWS else (lambda df: df)
     name = free_name(docs, "text_hash")
     keyed = docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
     same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed[name] == other["text_hash"])
-    single = keyed.join(judged, same(judged), "left_anti")
+    single = keyed.join(sized(judged), same(judged), "left_anti")
     repeated = judged.where("keep")
-    once = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", name])
+    once = keyed.join(sized(repeated), same(repeated), "left_semi").dropDuplicates(["doc_id", name])
     return single.unionByName(once).drop(name)
