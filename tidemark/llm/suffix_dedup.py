@@ -5,26 +5,30 @@ This operator sorts a sparse one that loses nothing. Positions are *anchors*: an
 hash among the K-byte strings of some 50-byte window (about two in W + 1 positions). Equal windows have equal anchors
 at equal places, so windows can only match where anchors do.
 
-1. Texts are packed into compressed chunks (documents in a row, at most ``CHUNK_BYTES`` of text, a longer document
-   alone) and written once to the shared checkpoint folder.
-2. Every chunk sends its anchor suffixes to buckets that split the range of the leading K bytes' fingerprints evenly
-   (uniform keys need no sampled splitters, and equal keys never straddle a border). A bucket sorts by leading bytes,
-   then by the whole context of an anchor (all bytes of all 50-byte windows around it), then by document. An anchor
-   whose context a smaller document has is *covered* with all its windows. One whose leading bytes other documents have
-   in other contexts is *open*.
+1. Texts are packed into compressed chunks and written once to the shared checkpoint folder. Chunks in a row, up to
+   ``UNIT_BYTES`` of text, are a unit (a longer document is alone in one).
+2. Splitters of the anchors' suffixes by leading bytes are taken from a sample of the chunks. Every unit sorts its
+   suffixes and sends them to the buckets between the splitters; equal keys never straddle a border, so that no
+   comparison across borders is left. A bucket sorts by several keys in turn: leading bytes, the whole context of an
+   anchor (all bytes of all 50-byte windows around it), document. An anchor whose context a smaller document has is
+   *covered* with all its windows. One whose leading bytes other documents have in other contexts is *open*.
 3. The windows of open anchors (a few per cent) are sorted the same way in a second round, which settles them one by
    one: a window is removed if a smaller document has it.
-4. Each chunk marks what is covered and returns its documents.
+4. Each unit marks what is covered and returns its documents.
 
-Keys travel as fingerprints packed in binary columns: 80 bits and the bucket for contexts, 56 and the bucket for windows.
+What travels of a suffix is its first ``HEAD_BYTES`` bytes as they are, 24 bits of the hash of the K-byte (in round 2: the
+50-byte) string and 48 bits of the hash of the context (of the string). Suffixes are the same if all of that is.
 
-Skew: a chunk sends equal suffixes once, with its smallest document, so a passage in a third of all documents is one
-entry a chunk and not one a document. If one anchor has more than ``MANY`` contexts in a chunk, one entry stands for all
-and they count as open. Buckets are sized by the number of chunks. Nothing is collected.
+Skew: a unit sends equal suffixes once, with its smallest document, so a passage in a third of all documents is one
+entry a unit and not one a document. If one anchor has more than ``MANY`` contexts in a unit, one entry stands for all
+and they count as open. A row is what one unit sends to one bucket: units and buckets have a size of their own, and
+there are no more buckets than it takes for ``BUCKET_BYTES`` of text each or for all tasks to have one. A bucket is
+sorted in slices of ``SLICE`` suffixes, so its memory is what it has received, packed. Nothing but the splitters' sample
+(``SAMPLE`` numbers at most) comes to the driver.
 
 Null texts are empty; a null doc_id counts as larger than any id; rows with one doc_id are not smaller than each other,
 so repeated rows keep their bytes; empty texts have the hash of the empty string; an empty table gives an empty result;
-other columns are not read.
+other columns are not read. A very long text is handled in pieces of ``PIECE`` bytes, its suffixes as one unit.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.byte_windows import gram_hash, mixed, prefix_sums, sliding_min, span_hash
 from tidemark.llm.frames import keep_plan_short, texts_of
@@ -46,22 +51,25 @@ K = 25
 W = NEED - K + 1
 SIDE = NEED - K
 CHUNK_BYTES = 1 << 19
+UNIT_BYTES = 32 << 20
+#: Text whose suffixes one bucket is meant for, and suffixes that are sorted at a time.
+BUCKET_BYTES, SLICE = 128 << 20, 1 << 20
 #: Bytes of a chunk that are hashed at a time.
 PIECE = 1 << 18
-MANY = 4
-#: Bytes of the fingerprints that travel, besides what the bucket tells: of leading bytes, of contexts, of windows.
-LEAD_BYTES, CONTEXT_BYTES, WINDOW_BYTES = 4, 6, 7
+MANY = 32
+#: Leading bytes that travel as they are, in front of 24 bits of a hash; bytes of the context's hash.
+HEAD_BYTES, CONTEXT_BYTES = 5, 6
+#: One chunk in so many is looked at for splitters (all, if there are no more than that); suffixes sampled at most.
+SAMPLED_CHUNKS, SAMPLE = 16, 4_000_000
 #: Compression level of the texts, which are written and shuffled once.
 BODY_LEVEL = 5
-#: Chunks whose anchors one bucket can hold.
-CHUNKS_A_BUCKET = 16
 #: Between documents; no byte of UTF-8.
 GAP = b"\xff" * 64
 NO_ID = np.iinfo(np.int64).max
 
-CHUNK_SCHEMA = "chunk long, ids binary, sizes binary, body binary"
-SENT_SCHEMA = "bucket long, chunk long, ids binary, doc binary, lead binary, context binary, many binary"
-REPLY_SCHEMA = "chunk long, round int, bucket long, first binary, second binary"
+CHUNK_SCHEMA = "unit long, chunk int, n_bytes long, ids binary, sizes binary, body binary"
+SENT_SCHEMA = "bucket long, unit long, packed binary"
+REPLY_SCHEMA = "unit long, round int, bucket long, packed binary"
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -73,27 +81,45 @@ def _spread(blob: bytes, kind=np.int64) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), kind)
 
 
-def _low_bytes(x: np.ndarray, n: int) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+def _bundle(parts: list[np.ndarray]) -> bytes:
+    """Arrays one after another behind their lengths, compressed as one."""
+    raw = [np.ascontiguousarray(x).tobytes() for x in parts]
+    return _squeeze(b"".join([np.array([len(raw), *map(len, raw)], np.uint32).tobytes(), *raw]))
 
 
-def _from_low_bytes(blob: bytes, n: int) -> np.ndarray:
+def _unbundle(blob: bytes) -> list[bytes]:
+    data = zstandard.decompress(blob)
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    ends = 4 * (n + 1) + np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64)
+    return [data[a:b] for a, b in zip([4 * (n + 1), *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def _planes(x: np.ndarray, n: int) -> np.ndarray:
+    """The n low bytes of every number, most significant plane first: sorted numbers have long runs there."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :n][:, ::-1].T)
+
+
+def _from_planes(blob: bytes, n: int) -> np.ndarray:
     out = np.zeros((len(blob) // n, 8), np.uint8)
-    out[:, :n] = np.frombuffer(blob, np.uint8).reshape(-1, n)
+    out[:, :n] = np.frombuffer(blob, np.uint8).reshape(n, -1)[::-1].T
     return out.view(np.uint64).ravel()
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids: list[int] = []
     texts: list[bytes] = []
-    held = made = 0
-    task = TaskContext.get().partitionId() << 32
+    held = in_unit = made = 0
+    unit = TaskContext.get().partitionId() << 32
 
     def chunk() -> pa.RecordBatch:
-        nonlocal ids, texts, held, made
-        row = [task + made], [_squeeze(np.array(ids, np.int64))], [_squeeze(np.array([len(t) for t in texts], np.int64))], [zstandard.compress(b"".join(texts), BODY_LEVEL)]
+        nonlocal ids, texts, held, made, unit, in_unit
+        if in_unit and in_unit + held > UNIT_BYTES:
+            unit, in_unit = unit + 1, 0
+        row = [unit], [made], [held], [_squeeze(np.array(ids, np.int64))], [_squeeze(np.array([len(t) for t in texts], np.int64))], [zstandard.compress(b"".join(texts), BODY_LEVEL)]
+        in_unit += held
         ids, texts, held, made = [], [], 0, made + 1
-        return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], ["chunk", "ids", "sizes", "body"])
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
@@ -131,6 +157,13 @@ class Chunk:
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.maximum(np.searchsorted(self.start, at, side="right") - 1, 0)
 
+    def keys(self, at: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """The first bytes at a place, then bits of a fingerprint: numbers in the order of the leading bytes."""
+        head = np.zeros(len(at), np.uint64)
+        for i in range(HEAD_BYTES):
+            head = head << np.uint64(8) | self.data[at + i]
+        return head << np.uint64(64 - 8 * HEAD_BYTES) | mixed(prints, salt=7) >> np.uint64(8 * HEAD_BYTES)
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """place, document, fingerprint of the leading K bytes, fingerprint of the context."""
         out: list[list[np.ndarray]] = [[], [], []]
@@ -182,151 +215,233 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
 
 
 class Entries:
-    """What a chunk sends in a round: distinct (lead, context) with the smallest document; ``of`` maps its suffixes to them."""
+    """What a unit sends in a round: distinct (key, context) with the smallest document; ``of`` maps its suffixes to them."""
 
-    def __init__(self, chunk: Chunk, doc: np.ndarray, lead: np.ndarray, context: np.ndarray, buckets: int) -> None:
-        ids = chunk.ids[doc] if len(doc) else np.zeros(0, np.int64)
-        lead = mixed(lead, salt=7)  # anchors are minima, so their hashes crowd at the low end; this spreads them evenly
-        order = np.lexsort((ids, context, lead))
-        new = _first_of(lead[order], context[order]) if len(order) else np.zeros(0, bool)
+    def __init__(self, ids: np.ndarray, key: np.ndarray, context: np.ndarray, splitters: np.ndarray) -> None:
+        order = np.lexsort((ids, context, key))
+        new = _first_of(key[order], context[order]) if len(order) else np.zeros(0, bool)
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
         pick = order[new]
-        self.lead, self.context, self.doc, self.ids = lead[pick], context[pick], doc[pick], ids[pick]
-        run = _first_of(self.lead) if len(pick) else np.zeros(0, bool)
+        self.key, self.context, self.ids = key[pick], context[pick], ids[pick]
+        run = _first_of(self.key) if len(pick) else np.zeros(0, bool)
         group = np.cumsum(run) - 1
         size = np.bincount(group) if len(pick) else np.zeros(0, np.int64)
         self.many = (size > MANY)[group] if len(pick) else np.zeros(0, bool)
-        self.sent = ~self.many | run
-        # Equal ranges of the uniform 64-bit fingerprint.
-        self.bucket = ((self.lead >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-
-    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Per bucket, the entries sent to it; entries are in order of their lead, hence of their bucket."""
-        sent = np.flatnonzero(self.sent)
-        if not len(sent):
-            return
-        cuts = np.flatnonzero(_first_of(self.bucket[sent]))
-        for a, b in zip(cuts, [*cuts[1:], len(sent)], strict=True):
-            yield int(self.bucket[sent[a]]), sent[a:b]
-
-
-def _send(entries: Entries, chunk_id: int, ids: np.ndarray, lead_bytes: int) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-    for bucket, pick in entries.parts():
-        docs, index = np.unique(entries.doc[pick], return_inverse=True)
-        rows.append((bucket, chunk_id, _squeeze(ids[docs]), _squeeze(index.astype(np.uint16 if len(docs) < 65536 else np.uint32)), _low_bytes(entries.lead[pick], lead_bytes), _low_bytes(entries.context[pick], CONTEXT_BYTES), _squeeze(np.packbits(entries.many[pick]))))
-    if rows:
-        cols = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["bucket", "chunk", "ids", "doc", "lead", "context", "many"])
+        sent = np.flatnonzero(~self.many | run)
+        bucket = np.searchsorted(splitters, self.key[sent], side="right")
+        cuts = np.flatnonzero(_first_of(bucket)) if len(sent) else sent
+        #: Per bucket, the entries sent to it, in order of their keys.
+        self.parts = [(int(bucket[a]), sent[a:b]) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sent)], strict=False)]
+
+    def rows(self, unit: int) -> Iterator[pa.RecordBatch]:
+        for bucket, pick in self.parts:
+            docs, index = np.unique(self.ids[pick], return_inverse=True)
+            blob = _bundle([docs, index.astype(np.uint16 if len(docs) < 65536 else np.uint32), _planes(self.key[pick], 8), _planes(self.context[pick], CONTEXT_BYTES), np.packbits(self.many[pick])])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([unit], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "unit", "packed"])
+
+    def answers(self, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """By entry, whether it is covered and whether it is open."""
+        covered, opened = np.zeros(len(self.key), bool), self.many.copy()
+        for bucket, pick in self.parts:
+            a, b = (np.unpackbits(np.frombuffer(x, np.uint8), count=len(pick)).astype(bool) for x in _unbundle(replies[bucket]))
+            covered[pick] = a
+            opened[pick] |= b
+        return covered & ~self.many, opened  # one entry stood for many
+
+
+class _Sent:
+    """One row of a bucket, unpacked as far as it must be."""
+
+    def __init__(self, packed: bytes) -> None:
+        docs, index, key, context, many = _unbundle(packed)
+        docs = np.frombuffer(docs, np.int64)
+        self.key = _from_planes(key, 8)
+        self.context, self.docs, self.index = context, docs, np.frombuffer(index, np.uint16 if len(docs) < 65536 else np.uint32)
+        self.many = np.unpackbits(np.frombuffer(many, np.uint8), count=len(self.key)).astype(bool)
+
+    def contexts(self, a: int, b: int) -> np.ndarray:
+        planes = np.frombuffer(self.context, np.uint8).reshape(CONTEXT_BYTES, -1)[:, a:b]
+        return _from_planes(planes.tobytes(), CONTEXT_BYTES)
+
+
+def _sorted_out(key: np.ndarray, context: np.ndarray, doc: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sort suffixes by several keys; which are covered and which are open."""
+    order = np.lexsort((doc, context, key))
+    key, context, doc_in = key[order], context[order], doc[order]
+    same_key, same = _first_of(key), _first_of(key, context)
+    by_key, by_context = np.cumsum(same_key) - 1, np.cumsum(same) - 1
+    covered = doc_in > doc_in[same][by_context]
+    at = np.flatnonzero(same_key)
+    apart = np.minimum.reduceat(doc_in, at) != np.maximum.reduceat(doc_in, at)
+    several = np.add.reduceat(same.astype(np.int64), at) > 1
+    crowded = np.logical_or.reduceat(many[order], at)
+    opened = ((apart & several) | crowded)[by_key] & ~covered
+    first, second = np.empty(len(order), bool), np.empty(len(order), bool)
+    first[order], second[order] = covered, opened
+    return first, second
 
 
-def _settle(round_no: int, lead_bytes: int):
-    """Sort one bucket's suffixes; reply to each chunk which of its entries are covered and which open."""
+def _settle(round_no: int):
+    """Sort one bucket's suffixes, slice by slice; reply to each unit which of its entries are covered and which open."""
 
     def work(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        leads, contexts, docs, manys = [], [], [], []
-        for r in rows:
-            lead, ids = _from_low_bytes(r["lead"], lead_bytes), _spread(r["ids"])
-            index = _spread(r["doc"], np.uint16 if len(ids) < 65536 else np.uint32)
-            leads.append(lead)
-            contexts.append(_from_low_bytes(r["context"], CONTEXT_BYTES) if r["context"] else np.zeros(len(lead), np.uint64))
-            docs.append(ids[index])
-            manys.append(np.unpackbits(_spread(r["many"], np.uint8), count=len(lead)).astype(bool))
-        cuts = np.cumsum([len(x) for x in leads])[:-1]
-        lead, context, doc, many = map(np.concatenate, (leads, contexts, docs, manys))
-        order = np.lexsort((doc, context, lead))
-        lead, context, doc_in = lead[order], context[order], doc[order]
-        same_lead, same = _first_of(lead), _first_of(lead, context)
-        by_lead, by_context = np.cumsum(same_lead) - 1, np.cumsum(same) - 1
-        covered = doc_in > doc_in[same][by_context]
-        at = np.flatnonzero(same_lead)
-        apart = np.minimum.reduceat(doc_in, at) != np.maximum.reduceat(doc_in, at)
-        several = np.add.reduceat(same.astype(np.int64), at) > 1
-        crowded = np.logical_or.reduceat(many[order], at)
-        opened = ((apart & several) | crowded)[by_lead] & ~covered
-        first, second = np.empty(len(order), bool), np.empty(len(order), bool)
-        first[order], second[order] = covered, opened
-        pack = lambda x: [_squeeze(np.packbits(p)) for p in np.split(x, cuts)]
-        return pa.table([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([round_no] * len(rows), pa.int32()), pa.array([r["bucket"] for r in rows], pa.int64()), pa.array(pack(first), pa.binary()), pa.array(pack(second), pa.binary())], names=["chunk", "round", "bucket", "first", "second"])
+        rows = [_Sent(x.as_py()) for x in table.column("packed")]
+        sizes = [len(r.key) for r in rows]
+        slices = -(-sum(sizes) // SLICE)
+        borders = np.zeros(0, np.uint64)
+        if slices > 1:
+            some = np.sort(np.concatenate([r.key[::64] for r in rows]))
+            borders = np.unique(some[np.arange(1, slices) * len(some) // slices])
+        cuts = [np.concatenate([[0], np.searchsorted(r.key, borders), [len(r.key)]]).tolist() for r in rows]
+        first, second = [np.zeros(n, bool) for n in sizes], [np.zeros(n, bool) for n in sizes]
+        for k in range(len(borders) + 1):
+            spans = [(i, c[k], c[k + 1]) for i, c in enumerate(cuts) if c[k + 1] > c[k]]
+            if not spans:
+                continue
+            part = lambda of, spans=spans: np.concatenate([of(rows[i], a, b) for i, a, b in spans])
+            covered, opened = _sorted_out(part(lambda r, a, b: r.key[a:b]), part(lambda r, a, b: r.contexts(a, b)), part(lambda r, a, b: r.docs[r.index[a:b]]), part(lambda r, a, b: r.many[a:b]))
+            at = 0
+            for i, a, b in spans:
+                first[i][a:b], second[i][a:b] = covered[at : at + b - a], opened[at : at + b - a]
+                at += b - a
+        packed = [_bundle([np.packbits(x), np.packbits(y)]) for x, y in zip(first, second, strict=True)]
+        return pa.table([table.column("unit"), pa.array([round_no] * len(rows), pa.int32()), table.column("bucket"), pa.array(packed, pa.binary())], names=["unit", "round", "bucket", "packed"])
 
     return work
 
 
-def _answers(entries: Entries, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """The replies' bits by entry."""
-    by_bucket = {r["bucket"]: r for r in replies}
-    first, second = np.zeros(len(entries.lead), bool), entries.many.copy()
-    for bucket, pick in entries.parts():
-        r = by_bucket[bucket]
-        first[pick] = np.unpackbits(_spread(r["first"], np.uint8), count=len(pick)).astype(bool)
-        second[pick] |= np.unpackbits(_spread(r["second"], np.uint8), count=len(pick)).astype(bool)
-    first &= ~entries.many  # one entry stood for many
-    return first, second
+class Unit:
+    """A unit's chunks and the suffixes of its anchors."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        self.chunks = [Chunk(r["ids"], r["sizes"], r["body"]) for r in rows]
+        found = [c.anchors() for c in self.chunks]
+        self.cuts = np.cumsum([len(x[0]) for x in found])[:-1]
+        self.place, self.doc, self.lead = ([x[i] for x in found] for i in range(3))
+        joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.ids = joined([c.ids[x[1]] if len(x[1]) else np.zeros(0, np.int64) for c, x in zip(self.chunks, found, strict=True)], np.int64)
+        self.key = joined([c.keys(x[0], x[2]) for c, x in zip(self.chunks, found, strict=True)], np.uint64)
+        self.context = joined([x[3] for x in found], np.uint64) >> np.uint64(64 - 8 * CONTEXT_BYTES)
+
+    def entries(self, splitters: np.ndarray) -> Entries:
+        return Entries(self.ids, self.key, self.context, splitters)
+
+    def judged(self, splitters: np.ndarray, replies: dict[int, bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Per chunk, which of its anchors are covered and which are open after round 1."""
+        entries = self.entries(splitters)
+        first, second = entries.answers(replies)
+        covered = first[entries.of] | (self.ids > entries.ids[entries.of])
+        return np.split(covered, self.cuts), np.split(second[entries.of] & ~covered, self.cuts)
+
+    def windows(self, opened: list[np.ndarray], splitters: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, Entries]:
+        """Per chunk the places of the windows of open anchors, then the documents of all of them and their entries."""
+        places, ids, keys, contexts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for chunk, place, lead, is_open in zip(self.chunks, self.place, self.lead, opened, strict=True):
+            at, doc, prints = chunk.windows(place[is_open], lead[is_open])
+            places.append(at)
+            if len(at):
+                ids.append(chunk.ids[doc])
+                keys.append(chunk.keys(at, prints))
+                contexts.append(prints >> np.uint64(64 - 8 * CONTEXT_BYTES))
+        every = np.concatenate(ids)
+        return places, every, Entries(every, np.concatenate(keys), np.concatenate(contexts), splitters)
+
+
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The chunks of one unit after another, as they were written one after another."""
+    rows: list[dict] = []
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            if rows and rows[0]["unit"] != row["unit"]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _replies(table: pa.Table, round_no: int) -> dict[int, bytes]:
+    return {r["bucket"]: r["packed"] for r in table.to_pylist() if r["round"] == round_no}
 
 
-def _state(row: dict, replies: list[dict], buckets: int):
-    """The chunk, its anchors, and which of them are covered and open after round 1."""
-    chunk = Chunk(row["ids"], row["sizes"], row["body"])
-    place, doc, lead, context = chunk.anchors()
-    entries = Entries(chunk, doc, lead, context, buckets)
-    first, second = _answers(entries, [r for r in replies if r["round"] == 1])
-    later = chunk.ids[doc] > entries.ids[entries.of] if len(doc) else np.zeros(0, bool)
-    covered = first[entries.of] | later
-    return chunk, place, doc, lead, covered, second[entries.of] & ~covered
+def _sample_splitters(chunks: DataFrame, n_chunks: int, buckets: int) -> np.ndarray:
+    """Keys that cut the suffixes of a sample of the chunks into ``buckets`` even parts. They only decide the balance."""
+    share = 1 if n_chunks <= SAMPLED_CHUNKS else SAMPLED_CHUNKS
+    seen = max(1, n_chunks // share) * CHUNK_BYTES // 13  # suffixes met, about
+    step = max(1, -(-seen // min(SAMPLE, 200 * buckets)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                key = Unit(batch.slice(k, 1).to_pylist()).key[::step]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+
+    some = chunks.where(F.pmod(F.xxhash64("unit", "chunk"), F.lit(share)) == 0).select("ids", "sizes", "body")
+    keys = np.sort(np.array([r["key"] for r in some.mapInArrow(run, "key long").collect()], np.int64).view(np.uint64))
+    return np.unique(keys[np.arange(1, buckets) * len(keys) // buckets]) if len(keys) else np.zeros(0, np.uint64)
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     chunks = keep_plan_short(docs.select("doc_id", "text").mapInArrow(_pack, CHUNK_SCHEMA))
-    buckets = max(1, -(-chunks.count() // CHUNKS_A_BUCKET))
+    size = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, min(tasks, size["bytes"] // CHUNK_BYTES), -(-size["bytes"] // BUCKET_BYTES))
+    # Read by every task, so broadcast: a number a bucket.
+    splitters = docs.sparkSession.sparkContext.broadcast(_sample_splitters(chunks, size["n"], buckets))
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                chunk = Chunk(row["ids"], row["sizes"], row["body"])
-                _, doc, lead, context = chunk.anchors()
-                yield from _send(Entries(chunk, doc, lead, context, buckets), row["chunk"], chunk.ids, LEAD_BYTES)
+        for rows in _unit_rows(batches):
+            yield from Unit(rows).entries(splitters.value).rows(rows[0]["unit"])
 
-    round1 = keep_plan_short(chunks.mapInArrow(send_anchors, SENT_SCHEMA).groupBy("bucket").applyInArrow(_settle(1, LEAD_BYTES), REPLY_SCHEMA))
+    by_unit = chunks.groupBy("unit")
+    round1 = keep_plan_short(chunks.mapInArrow(send_anchors, SENT_SCHEMA).groupBy("bucket").applyInArrow(_settle(1), REPLY_SCHEMA))
 
     def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for row in left.to_pylist():
-            chunk, place, _, lead, _, opened = _state(row, right.to_pylist(), buckets)
-            _, doc, prints = chunk.windows(place[opened], lead[opened])
-            out += _send(Entries(chunk, doc, prints, np.zeros(len(prints), np.uint64), buckets), row["chunk"], chunk.ids, WINDOW_BYTES)
-        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
-        names = ["bucket", "chunk", "ids", "doc", "lead", "context", "many"]
-        return pa.Table.from_batches(out) if out else pa.schema(list(zip(names, kinds, strict=True))).empty_table()
+        rows = left.to_pylist()
+        if not rows:
+            return _table(iter(()))
+        unit = Unit(rows)
+        _, opened = unit.judged(splitters.value, _replies(right, 1))
+        return _table(unit.windows(opened, splitters.value)[2].rows(rows[0]["unit"]))
 
-    round2 = chunks.groupBy("chunk").cogroup(round1.groupBy("chunk")).applyInArrow(send_windows, SENT_SCHEMA).groupBy("bucket").applyInArrow(_settle(2, WINDOW_BYTES), REPLY_SCHEMA)
+    round2 = by_unit.cogroup(round1.groupBy("unit")).applyInArrow(send_windows, SENT_SCHEMA).groupBy("bucket").applyInArrow(_settle(2), REPLY_SCHEMA)
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], [], []]
-        for row in left.to_pylist():
-            replies = right.to_pylist()
-            chunk, place, doc, lead, covered, opened = _state(row, replies, buckets)
-            at, window_doc, prints = chunk.windows(place[opened], lead[opened])
-            entries = Entries(chunk, window_doc, prints, np.zeros(len(prints), np.uint64), buckets)
-            first, _ = _answers(entries, [r for r in replies if r["round"] == 2])
-            later = chunk.ids[window_doc] > entries.ids[entries.of] if len(at) else np.zeros(0, bool)
-            at = at[first[entries.of] | later]
-            p, d = place[covered], doc[covered]
-            low = np.maximum(chunk.start[d], p - SIDE) if len(p) else p
-            high = np.minimum(p, chunk.end[d] - NEED) + NEED if len(p) else p
-            edge = np.zeros(len(chunk.data) + 1, np.int32)
-            np.add.at(edge, np.concatenate([low, at]), 1)
-            np.add.at(edge, np.concatenate([high, at + NEED]), -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            for doc_id, a, b in zip(chunk.ids.tolist(), chunk.start.tolist(), chunk.end.tolist(), strict=True):
-                cut = gone[a:b]
-                spans = int(cut[:1].sum()) + int((cut[1:] & ~cut[:-1]).sum())
-                kept = chunk.data[a:b][~cut].tobytes()
-                for column, value in zip(out, (None if doc_id == NO_ID else doc_id, b - a, int(cut.sum()), spans, hashlib.sha256(kept).hexdigest()), strict=True):
-                    column.append(value)
+        rows = left.to_pylist()
+        if rows:
+            unit = Unit(rows)
+            covered, opened = unit.judged(splitters.value, _replies(right, 1))
+            places, ids, entries = unit.windows(opened, splitters.value)
+            first, _ = entries.answers(_replies(right, 2))
+            gone_windows = np.split(first[entries.of] | (ids > entries.ids[entries.of]), np.cumsum([len(p) for p in places])[:-1])
+            for chunk, place, doc, is_covered, at, gone_at in zip(unit.chunks, unit.place, unit.doc, covered, places, gone_windows, strict=True):
+                _mark_chunk(chunk, place[is_covered], doc[is_covered], at[gone_at], out)
         return pa.table([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     replies = round1.unionByName(round2)
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(mark, RESULT_SCHEMA)
+    return by_unit.cogroup(replies.groupBy("unit")).applyInArrow(mark, RESULT_SCHEMA)
+
+
+def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table:
+    schema = pa.schema([("bucket", pa.int64()), ("unit", pa.int64()), ("packed", pa.binary())])
+    return pa.Table.from_batches(batches, schema)
+
+
+def _mark_chunk(chunk: Chunk, p: np.ndarray, d: np.ndarray, at: np.ndarray, out: list[list]) -> None:
+    """Add a row a document: the bytes around covered anchors ``p`` of documents ``d`` and from ``at`` on are removed."""
+    low = np.maximum(chunk.start[d], p - SIDE) if len(p) else p
+    high = np.minimum(p, chunk.end[d] - NEED) + NEED if len(p) else p
+    edge = np.zeros(len(chunk.data) + 1, np.int32)
+    np.add.at(edge, np.concatenate([low, at]), 1)
+    np.add.at(edge, np.concatenate([high, at + NEED]), -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    for doc_id, a, b in zip(chunk.ids.tolist(), chunk.start.tolist(), chunk.end.tolist(), strict=True):
+        cut = gone[a:b]
+        spans = int(cut[:1].sum()) + int((cut[1:] & ~cut[:-1]).sum())
+        kept = chunk.data[a:b][~cut].tobytes()
+        for column, value in zip(out, (None if doc_id == NO_ID else doc_id, b - a, int(cut.sum()), spans, hashlib.sha256(kept).hexdigest()), strict=True):
+            column.append(value)
