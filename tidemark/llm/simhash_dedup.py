@@ -205,8 +205,6 @@ SHINGLE = 5
 SHARD_MEMBERS = 2000
 #: Shingles in that many texts of one in COMMON_SAMPLE come last in the order; at most COMMON_LIMIT are broadcast.
 COMMON_SAMPLE, COMMON_TEXTS, COMMON_LIMIT = 64, 4, 200_000
-#: First links of a bucket go to pivots, which differ between this many classes of shingles.
-PIVOTS = 8
 #: A list of so many texts to verify is still broadcast.
 VERIFIED_TEXTS = 50_000
 #: A list of so many (id, hash) pairs to drop is still broadcast, so that texts are not shuffled.
@@ -441,21 +439,32 @@ def _enough_left(similarity: float) -> Column:
     return F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= needed
 
 
+def _near(n_a: Column, n_b: Column, similarity: float) -> Column:
+    return F.least(n_a, n_b) >= F.lit(similarity) * F.greatest(n_a, n_b) - F.lit(1e-9)
+
+
 def set_components(units: DataFrame, keyed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node, root) of the sets connected by pairs of the similarity or more; no such pair is missed.
 
     Two such sets have a shingle in common within their prefixes, so they meet in its bucket, and in the bucket of the
-    first one they share, enough is left of both. Each member is first compared with its buckets' pivots; then all
-    members of a bucket that are not yet in one component are compared.
+    first one they share, enough is left of both. First each set is compared with one pivot only: in every bucket the set
+    whose shingles are the most shared, the likely origin of a group of copies, stands for its size class, and of these a
+    set takes the one it meets most often. Then all members of a bucket that are not yet in one component are compared.
     """
-    met = keep_plan_short(_shared_shingles(units, similarity).distinct())
-    rank = F.xxhash64("id", F.pmod("token", F.lit(PIVOTS)))
-    pivot = F.min(F.struct(rank.alias("rank"), "id", "n", "place")).alias("pivot")
-    buckets = met.groupBy("token").agg(pivot, F.min("id").alias("least"), F.max("id").alias("most")).where(F.col("least") != F.col("most"))
-    of = lambda name: [F.col(c).alias(f"{c}_{name}") for c in ("n", "place")]
-    stars = met.select("token", F.col("id").alias("a"), *of("a")).join(buckets.select("token", "pivot.*").select("token", F.col("id").alias("b"), *of("b")), "token")
+    met = _shared_shingles(units, similarity).distinct()
+    met = keep_plan_short(met)
+    members = met.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
+    shared = met.join(members, "token")
+    prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    central = shared.groupBy("id").agg(F.round(F.sum(F.log2("members")) / F.first(prefix), 3).alias("score"))
+    met = keep_plan_short(shared.drop("members").join(central, "id"))
     pair = (F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    tried = keep_plan_short(stars.where((F.col("a") != F.col("b")) & _enough_left(similarity)).select(*pair).distinct())
+    classed = met.withColumn("class", F.floor(F.log("n") / F.log(F.lit(1 / similarity))))  # sets of one class are near in size
+    pivots = classed.groupBy("token", "class").agg(F.max(F.struct("score", "id", "n")).alias("pivot"))
+    chance = classed.join(pivots, ["token", "class"]).where((F.col("id") != F.col("pivot.id")) & _near(F.col("n"), F.col("pivot.n"), similarity))
+    often = chance.groupBy("id", "pivot.id", "pivot.score").agg(F.count("*").alias("times")).toDF("id", "other", "score", "times")
+    chosen = often.groupBy("id").agg(F.max(F.struct("times", "score", "other")).alias("best")).select(F.col("id").alias("a"), F.col("best.other").alias("b"))
+    tried = keep_plan_short(chosen.select(*pair).distinct())
     links = keep_plan_short(_alike(tried, sets, keyed, similarity))
     rooted = components(links)
 
@@ -463,6 +472,7 @@ def set_components(units: DataFrame, keyed: DataFrame, sets: DataFrame, similari
     sizes = known.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most"))
     open_ones = sizes.where(F.col("least") != F.col("most")).select("token", F.ceil(F.col("members") / F.lit(SHARD_MEMBERS)).alias("parts"))
     mixed_ones = keep_plan_short(known.join(open_ones, "token"))
+    of = lambda name: [F.col(c).alias(f"{c}_{name}") for c in ("n", "place")]
     left = mixed_ones.select("token", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.col("id").alias("a"), F.col("root").alias("root_a"), *of("a"))
     right = mixed_ones.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), F.col("root").alias("root_b"), *of("b"))
     rest = left.join(right, ["token", "part"]).where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & _enough_left(similarity))
