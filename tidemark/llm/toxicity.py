@@ -4,13 +4,15 @@ Training reads labelled documents only, at most ``max_rows`` of them, those with
 documented bound; nothing else is sampled). N-grams of ``ORDERS`` bytes of the lower-cased text are hashed to
 ``2**BITS`` features. Spark counts, per feature, the toxic and the other documents that hold it; the log ratio of the
 smoothed shares is the feature's scale. Features whose ratio is ``min_z`` standard errors or more away from even are
-ranked by their information; the first ``n_features`` of them enter a logistic regression on presence x scale with an l2 penalty, fitted by gradient
-steps, in which toxic rows together weigh ``toxic_share``. Counts and gradients are sums of bounded vectors over tasks, so no task and not the driver ever holds the rows.
-
-Scoring is one pass without shuffle; the weights (at most 2**BITS floats) are broadcast. Every document gets a score in
-0..1: ``score >= 0.5`` is toxic. Null and empty texts have no features and get the score of the intercept; documents
-with null labels are not learned from; no labels at all (or of one class only) give the share of the class, 0 at least
-and 1 at most; repeated rows stay repeated; other columns are not read.
+ranked by their information; the first ``n_features`` of them enter Spark's logistic regression on presence x scale with
+an l2 penalty, in which toxic rows together weigh ``toxic_share``. Counts and gradients are sums of bounded vectors over
+tasks, so no task and not the driver ever holds the rows.
+
+Scoring is one pass without shuffle; the weights (at most 2**BITS floats) are broadcast; a very long text is hashed
+whole, in memory that grows with it. Every document gets a score in 0..1: ``score >= 0.5`` is toxic. Null and empty texts
+have no features and get the score of the intercept; documents with null labels are not learned from; of repeated
+doc_ids one text is learned from; no labels at all (or of one class only) give the share of the class, 0 at least and 1
+at most; repeated rows stay repeated; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +35,8 @@ from tidemark.llm.frames import keep_plan_short, map_slices, texts_of
 ORDERS = (4, 5, 6)
 BITS = 20
 CHUNK_BYTES = 1 << 20
-#: Tasks of one gradient step; the driver adds up so many vectors of n_features numbers.
-GRADIENT_TASKS = 8
+#: Tasks that the training rows (a bounded sample) are read by, and so vectors that are added up in a step.
+TRAINING_TASKS = 16
 #: Features whose counts travel together.
 SLICE = 1 << 16
 SCORE_SCHEMA = "doc_id long, score double"
@@ -72,20 +77,17 @@ def _blob(x: np.ndarray) -> bytes:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``max_rows`` labels. The labels picked are broadcast: texts are not shuffled."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    """(text, toxic 0/1) of at most ``max_rows`` labels. The labels picked are broadcast: texts are not shuffled."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    picked = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
+    met = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_features: int = 1 << 12, min_z: float = 4.0, steps: int = 50, l2: float = 1e-3, toxic_share: float = 0.3) -> Toxicity:
-    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+def feature_counts(rows: DataFrame) -> DataFrame:
+    """feature, clean, toxic: how many texts of ``rows`` (text, toxic 0/1) hold each feature. Counted per task, summed per slice."""
     size = 1 << BITS
 
-    rows = keep_plan_short(training_rows(docs, labels, max_rows).select("text", (F.col("toxic") > 0).cast("int").alias("toxic")))
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, size), np.int32)
         for batch in batches:
@@ -106,66 +108,48 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n
         keys = np.flatnonzero(total.any(axis=0))
         return pa.table([pa.array(keys + table.column("slice")[0].as_py() * SLICE, pa.int64()), pa.array(total[0, keys].astype(float)), pa.array(total[1, keys].astype(float))], names=["feature", "clean", "toxic"])
 
-    # Counted per task, summed per slice of the features in Spark; the driver gets the informative ones, n_features at most.
-    counted = rows.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "feature long, clean double, toxic double")
-    weight = np.zeros(size, np.float64)
-    if not n_clean or not n_toxic:
-        share = n_toxic / max(1.0, n_clean + n_toxic)
-        return Toxicity(weight, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+    return rows.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "feature long, clean double, toxic double")
+
+
+def informative(counted: DataFrame, n_clean: int, n_toxic: int, n_features: int, min_z: float) -> DataFrame:
+    """feature, scale (log-count ratio) of the features that tell most, among ratios well clear of chance."""
     p, q = (F.col("toxic") + 1) / (n_toxic + 2), (F.col("clean") + 1) / (n_clean + 2)
     scale = F.log(p / q)
-    # Information of the presence: difference of the shares times the log ratio, among ratios well clear of chance.
     error = F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
-    best = (
-        counted.where(F.abs(scale) >= min_z * error)
-        .select("feature", scale.alias("scale"), ((p - q) * scale).alias("worth"))
-        .orderBy(F.desc("worth"), "feature").limit(n_features).toPandas()
-    )
-    index = np.full(size, -1, np.int64)
-    index[best["feature"].to_numpy()] = np.arange(len(best))
-    ratio = best["scale"].to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast((index, ratio))
-
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = shared.value[0]
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                doc, feature = features(texts_of(part), at >= 0)
-                ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                blobs = [_blob(at[feature[x:y]].astype(np.int32)) for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(blobs, pa.binary())], ["toxic", "features"])
-
-    compact = keep_plan_short(rows.mapInArrow(small, "toxic int, features binary").coalesce(GRADIENT_TASKS))
-    width = len(best)
-    balance = np.array([(1 - toxic_share) / n_clean, toxic_share / n_toxic])
-
-    def gradient_at(w: np.ndarray):
-        def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(width + 1)
-            for batch in batches:
-                y = (np.array(batch.column("toxic").to_pylist()) > 0).astype(np.int64)
-                parts = [np.frombuffer(b, np.int32) for b in batch.column("features").to_pylist()]
-                sizes = np.array([len(x) for x in parts])
-                flat, doc = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
-                z = w[-1] + np.bincount(doc, weights=(w[:-1] * ratio)[flat], minlength=len(parts))
-                error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * balance[y]
-                total[:-1] += np.bincount(flat, weights=error[doc], minlength=width) * ratio
-                total[-1] += error.sum()
-            yield pa.RecordBatch.from_arrays([pa.array([_blob(total)], pa.binary())], ["vector"])
-
-        return gradient
-
-    # Adam: few steps, no line search.
-    w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
-    for t in range(1, steps + 1):
-        parts = compact.mapInArrow(gradient_at(w), "vector binary").collect()
-        g = np.sum([np.frombuffer(x["vector"], np.float64) for x in parts], axis=0)
-        g[:-1] += l2 * w[:-1]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    weight[best["feature"].to_numpy()] = w[:-1] * ratio
-    return Toxicity(weight, float(w[-1]))
+    told = counted.where(F.abs(scale) >= min_z * error).select("feature", scale.alias("scale"), ((p - q) * scale).alias("worth"))
+    return told.orderBy(F.desc("worth"), "feature").limit(n_features).select("feature", "scale")
+
+
+def learn_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_features: int = 1 << 12, min_z: float = 4.0, steps: int = 30, l2: float = 1e-3, toxic_share: float = 0.3) -> Toxicity:
+    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+    weight = np.zeros(1 << BITS, np.float64)
+    rows = keep_plan_short(training_rows(docs, labels, max_rows).coalesce(TRAINING_TASKS))
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
+    if not n_clean or not n_toxic:
+        share = n_toxic / max(1.0, n_clean + n_toxic)
+        return Toxicity(weight, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+    best = informative(feature_counts(rows), n_clean, n_toxic, n_features, min_z).toPandas()  # n_features rows at most
+    if not len(best):
+        return Toxicity(weight, float(np.log(n_toxic / n_clean)))
+    known = np.zeros(1 << BITS, bool)
+    known[best["feature"].to_numpy()] = True
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    def present(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc, feature = features(texts_of(batch), shared.value)
+        ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
+        words = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature).cast(pa.string()))
+        return pa.RecordBatch.from_arrays([batch.column("toxic"), words], ["toxic", "words"])
+
+    words = map_slices(rows, present, "toxic int, words array<string>")
+    vectors = CountVectorizerModel.from_vocabulary([str(f) for f in best["feature"]], inputCol="words", outputCol="present").setBinary(True).transform(words)
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(best["scale"].to_numpy()), inputCol="present", outputCol="x").transform(vectors)
+    balance = F.when(F.col("toxic") == 1, toxic_share / n_toxic).otherwise((1 - toxic_share) / n_clean) * (n_clean + n_toxic)
+    ready = scaled.select("toxic", "x", balance.alias("w"))
+    fit = LogisticRegression(featuresCol="x", labelCol="toxic", weightCol="w", regParam=l2, maxIter=steps, standardization=False).fit(ready)
+    weight[best["feature"].to_numpy()] = fit.coefficients.toArray() * best["scale"].to_numpy()
+    return Toxicity(weight, float(fit.intercept))
 
 
 def score_texts(model: Toxicity, texts: list[str]) -> np.ndarray:
