@@ -5,18 +5,22 @@ Base kinds, leftmost and non-overlapping per kind: ``assign`` (a key name, a sig
 
 ``novel`` adds to them. A candidate is a run of ``SHORTEST`` or more characters with letters and digits that overlaps no
 base match and starts within ``CONTEXT`` characters after a sensitive word. Its novelty is its marginal cost: the bytes of
-(text before + candidate) compressed with a dictionary of ordinary code and identifiers, less those of the text before
-alone, as a share of the candidate's own length. At ``NOVELTY`` or more the candidate is reported. Identifiers, paths
-and words that the dictionary or the text before explains are cheap; random strings are not.
-
-Rows are independent: no shuffle. Null texts are empty, very long texts are scanned whole, repeated rows stay repeated,
-an empty table gives an empty result, only the id and text columns are read.
+(text before + text after + candidate) compressed with a dictionary, less those of the text around alone, as a share of
+the candidate's own length. At ``NOVELTY`` or more the candidate is reported. The dictionary has ordinary code, and the
+words of which the corpus's own identifiers are made: the ``MOST_WORDS`` that the most documents have in long runs, in
+two documents at least. A random string has no such words, so a secret that many copies repeat stays novel. What the
+dictionary or the text around explains is cheap; random strings are not.
+
+The words are counted over all documents, pre-aggregated before their shuffle, and the dictionary (a bounded list) is
+broadcast. Scanning itself needs no shuffle. Null texts are empty, very long texts are scanned whole in time that grows
+with their length, repeated rows stay repeated, an empty table gives an empty result, only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import zstandard
@@ -28,8 +32,10 @@ from tidemark.llm.frames import map_slices, texts_of
 KINDS = ("assign", "access", "hex", "novel")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 CONTEXT = 64
-NOVELTY = 0.7
+NOVELTY = 0.8
 SHORTEST = 20
+#: Words of the corpus's identifiers in the dictionary, and documents that must have one.
+MOST_WORDS, LEAST_DOCUMENTS = 4096, 2
 
 _ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -48,22 +54,33 @@ _ORDINARY = (
     b"DatabaseConnectionFactory AbstractAuthenticationProvider /usr/local/lib/python/site-packages node_modules/dist "
     b"src/main/java/com/example/service/impl tests/unit/test_authentication_handlers.py README.md package.json "
     b"0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000-0000-0000-0000-000000000000 "
+    b"2024-01-15T10:30:00.000Z 2023-12-31 2025-06-30 1970-01-01T00:00:00+00:00 v1.0.0 v2.1.3-rc.1 release candidate build backup "
     b"xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA ******** "
 )
-_COMPRESSOR = None
+_COMPRESSORS: dict[bytes, zstandard.ZstdCompressor] = {}
+
+
+def _cost(data: bytes, words: bytes) -> int:
+    if words not in _COMPRESSORS:  # a compressor can't be sent to a task; each process makes its own
+        _COMPRESSORS.clear()
+        both = zstandard.ZstdCompressionDict(words + _ORDINARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        _COMPRESSORS[words] = zstandard.ZstdCompressor(level=3, dict_data=both, write_content_size=False)
+    return len(_COMPRESSORS[words].compress(data))
 
 
-def _cost(data: bytes) -> int:
-    global _COMPRESSOR  # a compressor can't be sent to a task; each process makes its own
-    if _COMPRESSOR is None:
-        _COMPRESSOR = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(_ORDINARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
-    return len(_COMPRESSOR.compress(data))
+def identifier_words(docs: DataFrame) -> bytes:
+    """The words that the most documents have inside long runs, the most frequent last (nearest to what is compressed)."""
+    runs = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"[A-Za-z0-9+/_=.-]{{{SHORTEST},}}"), F.lit(0))
+    words = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit("[A-Za-z][a-z]{2,}"), F.lit(0)))))
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
+    best = counted.where(F.length("word") <= 32).orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
+    return " ".join(r["word"] for r in reversed(best)).encode()
 
 
-def novelty(before: str, candidate: str) -> float:
-    """Marginal compressed bytes of the candidate after the text before it, a byte of its length."""
-    head, body = before.encode("utf-8", "replace"), candidate.encode("utf-8", "replace")
-    return (_cost(head + body) - _cost(head)) / len(body)
+def novelty(before: str, candidate: str, after: str = "", words: bytes = b"") -> float:
+    """Marginal compressed bytes of the candidate beside the text around it, a byte of its length."""
+    around, body = (before + " " + after + " ").encode("utf-8", "replace"), candidate.encode("utf-8", "replace")
+    return (_cost(around + body, words) - _cost(around, words)) / len(body)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -76,9 +93,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(*m.span(), "hex") for m in _HEX.finditer(text)]
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, base: list[tuple[int, int, str]], words: bytes = b"") -> list[tuple[int, int, str]]:
     found = []
-    taken = sorted((a, b) for a, b, _ in base)
+    # Base matches of different kinds may overlap; by their ends, the last start before an end tells whether one is met.
+    taken = sorted((b, a) for a, b, _ in base)
+    ends, first = [b for b, _ in taken], len(text)
+    starts = [first := min(first, a) for _, a in reversed(taken)][::-1]  # of all matches from here on, the first start
     reached = 0
     for word in _SENSITIVE.finditer(text):
         # A run that starts within CONTEXT characters is met even if it ends far behind them.
@@ -88,23 +108,24 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
             whole = _CANDIDATE.match(text, m.start())  # the window may have cut it
             a, b = whole.span()
             reached = b
-            if any(x < b and a < y for x, y in taken) or not (re.search("[0-9]", whole[0]) and re.search("[A-Za-z]", whole[0])):
+            at = bisect_left(ends, a + 1)  # the first match that ends behind the run's start
+            if (at < len(ends) and starts[at] < b) or not (re.search("[0-9]", whole[0]) and re.search("[A-Za-z]", whole[0])):
                 continue
-            if novelty(text[max(0, a - CONTEXT) : a], whole[0]) >= NOVELTY:
+            if novelty(text[max(0, a - CONTEXT) : a], whole[0], text[b : b + CONTEXT], words) >= NOVELTY:
                 found.append((a, b, "novel"))
     return found
 
 
-def secret_spans(text: str) -> list[tuple[int, int, str]]:
+def secret_spans(text: str, words: bytes = b"") -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, end exclusive, by start and then kind as listed in KINDS."""
     base = base_spans(text)
-    return sorted(base + novel_spans(text, base), key=lambda s: (s[0], KINDS.index(s[2])))
+    return sorted(base + novel_spans(text, base, words), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def redacted(text: str) -> str:
+def redacted(text: str, words: bytes = b"") -> str:
     """The text with every reported stretch (overlapping ones as one) replaced by a mark."""
     out, at = [], 0
-    for a, b, kind in secret_spans(text):
+    for a, b, kind in secret_spans(text, words):
         if a >= at:
             out += [text[at:a], f"[{kind} secret removed]"]
         at = max(at, b)
@@ -115,25 +136,27 @@ def _shown(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-    spans = [secret_spans(t) for t in texts_of(batch)]
+def _scan(batch: pa.RecordBatch, words: bytes) -> pa.RecordBatch:
+    spans = [secret_spans(t, words) for t in texts_of(batch)]
     base = [[s for s in x if s[2] != "novel"] for x in spans]
     counts = [pa.array([sum(s[2] == kind for s in x) for x in spans], pa.int64()) for kind in KINDS[:3]]
     digests = [hashlib.sha256(_shown(x).encode()).hexdigest() for x in base]
     return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *counts, pa.array(digests, pa.string()), pa.array(list(map(_shown, spans)), pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) to counts and spans of secrets, one row a document."""
-    return map_slices(docs.select("doc_id", "text"), _scan, SCHEMA)
+def scan_secrets(docs: DataFrame, words: bytes | None = None) -> DataFrame:
+    """``docs`` (doc_id, text) to counts and spans of secrets, one row a document; ``words``: another corpus's dictionary."""
+    shared = docs.sparkSession.sparkContext.broadcast(identifier_words(docs) if words is None else words)
+    return map_slices(docs.select("doc_id", "text"), lambda batch: _scan(batch, shared.value), SCHEMA)
 
 
-def redact_secrets(docs: DataFrame) -> DataFrame:
+def redact_secrets(docs: DataFrame, words: bytes | None = None) -> DataFrame:
     """``docs`` with secrets in ``text`` replaced by marks; other columns (``n_chars`` follows the text) stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(identifier_words(docs) if words is None else words)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.schema.get_field_index("text")
-        new = [None if t is None else redacted(t) for t in batch.column(at).to_pylist()]
+        new = [None if t is None else redacted(t, shared.value) for t in batch.column(at).to_pylist()]
         return batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
     out = map_slices(docs, work, docs.schema)
