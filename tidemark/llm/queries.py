@@ -91,7 +91,9 @@ def _license_sql() -> str:
     return f"""
 WITH templates(license, template) AS (VALUES {rows}),
 passage AS (
-  SELECT license, {roll} AS shingles FROM (SELECT license, {cut.format("template")} AS words FROM templates)
+  SELECT license, {roll} AS shingles FROM (
+    SELECT license, w.words[s:s + {license_scans.MAX_PASSAGE + 3}] AS words
+    FROM (SELECT license, {cut.format("template")} AS words FROM templates) w, unnest(range(1, len(w.words) - 3, {license_scans.MAX_PASSAGE})) t(s))
 ), sized AS (
   SELECT license, list_distinct(shingles) AS shingles, CAST(pow(2, ceil(log2(len(shingles)))) AS BIGINT) AS c FROM passage
 ), doc AS (
