@@ -10,11 +10,13 @@ the size partition: n - ceil(threshold * n) + 1 of n, rounded up over the partit
 nothing. Documents are not sketched: every shingle of every document probes the sketches. Items met are verified in the
 same task against the document's real shingles, as strings and not as hashes.
 
-Scale: documents are scanned where they are, without a shuffle. The sketches are broadcast in blocks of at most
-``block_items`` items (a proven bound); a larger benchmark makes more passes over the documents, one a block.
+Scale: documents are scanned where they are, without a shuffle. The sketches are broadcast in blocks of about
+``block_items`` items and ``block_bytes`` of text, whichever is reached first; a larger benchmark makes more passes over
+the documents, one a block. A benchmark is a given list, and the driver holds one block of it at a time.
 
 Null and empty texts have no words and contain nothing; items without words are sought nowhere; repeated items and
-repeated rows give repeated results; empty tables give an empty result; other columns are not read.
+repeated rows give repeated results; a very long text is hashed whole, in memory that grows with it; empty tables give an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -148,19 +150,20 @@ def contained(sketches: Sketches, texts: list[str], threshold: float) -> list[tu
     return out
 
 
-def _blocks(benchmark: DataFrame, threshold: float, block_items: int) -> Iterator[Sketches]:
-    """The benchmark's sketches, about block_items at a time; the driver holds one block."""
-    n_blocks = max(1, -(-benchmark.count() // block_items))
+def _blocks(benchmark: DataFrame, threshold: float, block_items: int, block_bytes: int) -> Iterator[Sketches]:
+    """The benchmark's sketches, a block at a time."""
+    size = benchmark.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(1, -(-size["n"] // block_items), -(-size["bytes"] // block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
     for i in range(n_blocks):
         rows = benchmark.select("item_id", "text").where(block == i).collect()
         yield build_sketches([(r["item_id"], r["text"]) for r in rows], threshold)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_items: int = 50_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_items: int = 50_000, block_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` (doc_id, text) and ``benchmark`` (item_id, text) to the pairs where the document contains the item."""
     context, out = docs.sparkSession.sparkContext, None
-    for sketches in _blocks(benchmark, threshold, block_items):
+    for sketches in _blocks(benchmark, threshold, block_items, block_bytes):
         shared = context.broadcast(sketches)
 
         def work(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
@@ -175,10 +178,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     return out
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_items: int = 50_000) -> DataFrame:
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_items: int = 50_000, block_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` without the documents that contain an item; all columns stay."""
     context, out = docs.sparkSession.sparkContext, docs
-    for sketches in _blocks(benchmark, threshold, block_items):
+    for sketches in _blocks(benchmark, threshold, block_items, block_bytes):
         shared = context.broadcast(sketches)
 
         def work(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
