@@ -9,7 +9,8 @@ Events have conv_id, turn, seq, kind, role, text. Within a turn, in order of seq
 
 A turn whose first event is none of ``message`` opens one with that event's role. Null kinds are messages, null roles
 and texts are empty, null turns come first, rows without conv_id form one conversation, repeated rows are events of
-their own, an empty log gives no conversation, other columns are not read.
+their own, an empty log gives no conversation, other columns are not read. A conversation's rendered text is one string:
+its length is bounded by Spark's 2 GB a value.
 
 Events are dealt by (conv_id, turn): a conversation that holds a third of all rows is folded in parallel, turn by turn,
 and only its rendered turns meet in the row that is its result.
@@ -42,9 +43,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # Pairs of backslashes are parked on a control character so that "\\n" and "\n" stay apart.
-    parked = F.regexp_replace(unescape_text(role), r"\\\\", "\u0000b")
-    return F.replace(F.replace(parked, F.lit("\\n"), F.lit("\n")), F.lit("\u0000b"), F.lit("\\"))
+    # Cut at pairs of backslashes, from left to right; what is left of them between the cuts belongs to line feeds.
+    between = F.transform(F.split(unescape_text(role), r"\\\\"), lambda part: F.replace(part, F.lit("\\n"), F.lit("\n")))
+    return F.array_join(between, "\\")
 
 
 def fold_events(events: DataFrame) -> DataFrame:
