@@ -245,10 +245,12 @@ def brute_suffixes(pairs):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("chunk,many", [(2 << 20, 4), (1500, 1)])
-def test_suffix_dedup_equals_brute_force(spark, monkeypatch, chunk, many):
+@pytest.mark.parametrize("chunk,unit,many,slice", [(2 << 20, 32 << 20, 4, 1 << 20), (1500, 4000, 1, 40), (1500, 1, 2, 1)])
+def test_suffix_dedup_equals_brute_force(spark, monkeypatch, chunk, unit, many, slice):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(suffix_dedup, "UNIT_BYTES", unit)
     monkeypatch.setattr(suffix_dedup, "MANY", many)
+    monkeypatch.setattr(suffix_dedup, "SLICE", slice)
     rng = random.Random(9)
     passage = ["".join(rng.choices("abcdefgh é", k=rng.randint(40, 300))) for _ in range(12)]
     cut = lambda p: p[rng.randint(0, len(p) // 2) : rng.randint(len(p) // 2, len(p))]
@@ -260,6 +262,15 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, chunk, many):
     assert suffix_dedup.suffix_dedup(docs_of(spark, pairs).limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_texts_longer_than_a_piece(spark):
+    """Matches across the borders between the pieces in which a long text is hashed."""
+    rng = random.Random(13)
+    body = "".join(rng.choices("abcdefghij", k=suffix_dedup.PIECE + 30_000))
+    at = suffix_dedup.PIECE - 64
+    pairs = [(1, body), (2, "".join(rng.choices("klmno", k=5000)) + body[at - 200 : at + 300] + "z"), (3, "é" + body[at + 20 : at + 120]), (4, body[:70] + "".join(rng.choices("pqrs", k=suffix_dedup.PIECE)) + body[-80:])]
+    assert sorted(str(tuple(r)) for r in suffix_dedup.suffix_dedup(docs_of(spark, pairs)).collect()) == brute_suffixes(pairs)
+
+
 def test_suffix_dedup_without_any_match(spark):
     pairs = [(i, "".join(random.Random(i).choices("abcdefghijklmnop", k=300))) for i in range(5)] + [(9, "short")]
     assert sorted(str(tuple(r)) for r in suffix_dedup.suffix_dedup(docs_of(spark, pairs)).collect()) == brute_suffixes(pairs)
@@ -274,10 +285,10 @@ def test_license_scan_finds_notices_and_nothing_else(spark):
     templates = spark.createDataFrame(license_scans.TEMPLATES + [("short", "too few words")], "license string, template string")
     long = license_scans.TEMPLATES[5][1]
     filler = " ".join(f"word{i}" for i in range(500))
-    pairs = [(0, None), (1, ""), (2, filler), (3, f"{filler} licensed under the gnu general public license, VERSION 3 {filler}"), (4, f"{filler} {long} {filler}"), (4, long), (5, long.replace("publish", "print")), (6, " ".join(long.split()[:30]))]
+    pairs = [(0, None), (1, ""), (2, filler), (3, f"{filler} licensed under the gnu general public license, VERSION 3 {filler}"), (4, f"{filler} {long} {filler}"), (4, long), (5, long.replace("publish", "print")), (6, " ".join(long.split()[:30])), (7, f"{filler} has Too few, words in {filler}"), (8, "few words too")]
     got = {(r.doc_id, r.license): round(r.containment, 3) for r in license_scans.scan_licenses(docs_of(spark, pairs), templates, block=2).collect()}
     assert got.pop((5, "MIT")) < 1
-    assert got == {(3, "GPL-3.0"): 1.0, (4, "MIT"): 1.0}
+    assert got == {(3, "GPL-3.0"): 1.0, (4, "MIT"): 1.0, (7, "short"): 1.0}
     assert license_scans.scan_licenses(docs_of(spark, pairs), templates.limit(0)).count() == 0
 
 
@@ -338,6 +349,97 @@ def test_toxicity_learns_and_scores(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_equals_a_plain_computation(spark):
+    """Counts, ratios, the optimum of the penalised loss and the scores against numpy and sets of n-grams."""
+    from tidemark.llm.byte_windows import gram_hash, prefix_sums
+
+    rng = random.Random(14)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnr"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 40)) + ["Idiot É"] * (i % 3 == 0)) for i in range(120)]
+    toxic = [int(i % 3 == 0) for i in range(120)]
+
+    def grams(text):
+        raw = b" " + text.lower().encode() + b" "
+        return {int(gram_hash(prefix_sums(np.frombuffer(raw[i : i + k], np.uint8)), k)[0] >> np.uint64(64 - toxicity.BITS)) for k in toxicity.ORDERS for i in range(len(raw) - k + 1)}
+
+    sets = [grams(t) for t in texts]
+    counts = {f: [sum(f in s and t == y for s, t in zip(sets, toxic, strict=True)) for y in (0, 1)] for f in set().union(*sets)}
+    rows = spark.createDataFrame(list(zip(texts, toxic, strict=True)), "text string, toxic int")
+    assert {r.feature: [r.clean, r.toxic] for r in toxicity.feature_counts(rows).collect()} == counts
+    n_toxic, n_clean = sum(toxic), 120 - sum(toxic)
+    ratio = {f: np.log((t + 1) / (n_toxic + 2) / ((c + 1) / (n_clean + 2))) for f, (c, t) in counts.items()}
+    told = {r.feature: r.scale for r in toxicity.informative(toxicity.feature_counts(rows), n_clean, n_toxic, 1000, 2.0).collect()}
+    assert told == pytest.approx({f: r for f, r in ratio.items() if abs(r) >= 2 * np.sqrt(1 / (counts[f][0] + 1) + 1 / (counts[f][1] + 1))})
+
+    docs = docs_of(spark, list(enumerate(texts)))
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    model = toxicity.learn_toxicity(docs, labels, min_z=2.0, steps=300, l2=0.01, toxic_share=0.3)
+    names = sorted(told)
+    x = np.array([[told[f] * (f in s) for f in names] for s in sets])
+    w = np.array([model.weight[f] / told[f] for f in names])
+    z = x @ w + model.bias
+    weight = np.where(toxic, 0.3 / n_toxic, 0.7 / n_clean)
+    slope = (weight * (1 / (1 + np.exp(-z)) - toxic)) @ np.column_stack([x, np.ones(120)]) + 0.01 * np.append(w, 0)
+    assert np.abs(slope).max() < 1e-3
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert score == pytest.approx({i: 1 / (1 + np.exp(-v)) for i, v in enumerate(z)}, abs=1e-4)
+    repeated = docs.unionByName(docs).where("doc_id < 7")
+    assert toxicity.training_rows(repeated, labels.unionByName(labels), 5).count() <= 5
+
+
+def test_very_long_texts(spark):
+    """One text of some megabytes with something to find at its end, through every operator that reads texts whole."""
+    from tidemark.llm import bpe_coding, chat_formatting, media_columns
+    from tidemark.llm.queries import vocabulary_path
+
+    rng = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    item, notice = " ".join(f"item{i}" for i in range(20)), license_scans.TEMPLATES[0][1]
+    text = " ".join(rng.choices(vocabulary, k=400_000)) + f" {item} {notice}"
+    docs = docs_of(spark, [(1, text), (2, "short"), (3, text + " more")])
+    leaks = decontamination.find_leaks(docs, spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in leaks.collect()) == [(1, 9), (3, 9)]
+    templates = spark.createDataFrame(license_scans.TEMPLATES[:1], "license string, template string")
+    assert sorted(r.doc_id for r in license_scans.scan_licenses(docs, templates).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in simhash_dedup.drop_near_duplicates(docs).collect()) == [1, 2]
+    assert {r.doc_id: r.n_removed > len(text) - 1 for r in suffix_dedup.suffix_dedup(docs).collect()} == {1: False, 2: False, 3: True}
+    model = toxicity.Toxicity(np.zeros(1 << toxicity.BITS), -1.0)
+    assert {round(r.score, 6) for r in toxicity.score_toxicity(docs, model).collect()} == {round(1 / (1 + np.exp(1.0)), 6)}
+    assert {r.doc_id: r.n_bytes for r in media_columns.media_columns(docs).collect()} == {1: len(text), 2: 5, 3: len(text) + 5}
+    assert {r.doc_id: r.n_tokens > 400_000 for r in bpe_coding.bpe_digests(docs, vocabulary_path()).collect()} == {1: True, 2: False, 3: True}
+    events = chat_formatting.messages_as_events(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string"))
+    assert chat_formatting.chat_digests(chat_formatting.format_chats(events)).first().loss_chars == len(text)
+    pages = spark.createDataFrame([(1, "http://a.example.net/en/" + "x" * 1_000_000)], "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    assert url_filters.judge_urls(pages, rules).first().verdict == "allow"
+
+
+def test_near_links_of_dense_points_equal_brute_force(spark):
+    """Two thousand fingerprints that differ in two bytes only, where every shard is crowded."""
+    rng = random.Random(16)
+    prints = sorted({rng.getrandbits(8) << 8 | rng.choice([0, 1, 3, 7, 15, 31, 63, 127]) << 40 for _ in range(3000)})
+    near = lambda p: {p ^ (1 << i) ^ (1 << j) for i in (*range(8, 16), *range(40, 48)) for j in (*range(8, 16), *range(40, 48))} | {p ^ (1 << i) for i in (*range(8, 16), *range(40, 48))}
+    known, root = set(prints), {}
+    for p in prints:
+        if p not in root:
+            edge, root[p] = [p], p
+            while edge:
+                for q in near(edge.pop()) & known:
+                    if q not in root:
+                        root[q] = p
+                        edge.append(q)
+    rows = spark.createDataFrame([(p, [p]) for p in prints], "id long, fingerprint array<long>")
+    found = links.components(simhash_dedup.near_links(rows, simhash_dedup.exact_masks(2), 2)).collect()
+    assert {p: p for p in prints} | {r["node"]: r["root"] for r in found} == root
+
+
+def test_near_copies_beside_clashing_names_and_empty_tables(spark):
+    docs = docs_of(spark, [(1, "a b c d e f g"), (2, "A  b c d e f g")]).withColumn("text_hash", F.lit("kept")).withColumn("Token", F.lit(1))
+    got = simhash_dedup.drop_near_duplicates(docs).collect()
+    assert [(r.doc_id, r.text_hash, r.Token) for r in got] == [(1, "kept", 1)]
+    assert simhash_dedup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(12)

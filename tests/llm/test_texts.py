@@ -68,6 +68,30 @@ def test_media_round_trip_and_checksums(spark):
         media_columns.read_png(bytes(png))
 
 
+def media_columns_reference(image):
+    side, low = 32, 8
+    height, width = image.shape
+    start = [i * height // side for i in range(side)]
+    end = [*start[1:], height]
+    across = width // side
+    small = [[np.mean(image[a : max(b, a + 1), x * across : (x + 1) * across].astype(float)) for x in range(side)] for a, b in zip(start, end, strict=True)]
+    wave = lambda u, x: np.cos(np.pi * (2 * x + 1) * u / (2 * side))
+    terms = [round(sum(small[y][x] * wave(u, y) * wave(v, x) for y in range(side) for x in range(side)), 6) for u in range(low) for v in range(low)]
+    bits = [0] + [int(t > np.median(terms[1:])) for t in terms[1:]]
+    return "".join(f"{sum(b << (7 - k) for k, b in enumerate(bits[i : i + 8])):02x}" for i in range(0, 64, 8))
+
+
+def test_media_feature_is_the_sign_of_low_frequencies(spark):
+    """The hash against a plain two-dimensional cosine transform, written as sums."""
+    rng = random.Random(3)
+    texts = ["x" * 192, "abc " * 300] + ["".join(rng.choices("abcdefgh \n", k=rng.randint(1, 4000))) for _ in range(12)]
+    got = {r.doc_id: r.feature for r in media_columns.media_columns(rows(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        image = np.frombuffer(raw + b" " * (-len(raw) % 192), np.uint8).reshape(-1, 192)
+        assert got[i] == media_columns_reference(image), t[:20]
+
+
 def test_media_undoes_all_five_filters():
     rng = np.random.default_rng(0)
     image = rng.integers(0, 256, (10, 192), dtype=np.uint8)
@@ -114,6 +138,47 @@ def test_secret_base_spans_and_novelty(spark):
     assert clean[0] is None and clean[2] == "nothing here" and "hunter2" not in clean[3] and "Zk9v" not in clean[10]
 
 
+def test_novelty_is_the_marginal_cost():
+    import zstandard
+
+    words = b"customer service factory"
+    plain = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words + secret_scans._ORDINARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+    for before, run, after in [("", "Zk9vQ2xXb3JsZDc3MTNm", ""), ("the session é ", "a1" * 30, " end"), ("x" * 64, "customer_service_factory_99", "y" * 64)]:
+        around = f"{before} {after} ".encode()
+        want = (len(plain.compress(around + run.encode())) - len(plain.compress(around))) / len(run)
+        assert secret_scans.novelty(before, run, after, words) == want
+
+
+def test_novelty_tells_random_strings_from_identifiers(spark):
+    """Planted random strings are found and runs made of the corpus's own words are not, both after sensitive words."""
+    rng = random.Random(31)
+    pieces = [a + b + c for a in ("cust", "serv", "fact", "prof", "disp", "acco") for b in ("omer", "ice", "ory", "ile", "lay") for c in ("", "list", "view")]
+    name = lambda: rng.choice("_.-").join(rng.choices(pieces, k=4)) + "_v" + str(rng.randint(2, 9))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    secret = lambda: "a1" + "".join(rng.choices(letters, k=rng.randint(22, 44)))
+    texts = [f"we call {name()} and {name()} here" for _ in range(400)]
+    planted, ordinary = [f"the session is {secret()} today" for _ in range(200)], [f"the session is {name()} today" for _ in range(200)]
+    got = {r.doc_id: r.spans for r in secret_scans.scan_secrets(rows(spark, texts + planted + ordinary)).collect()}
+    found = [i for i, x in got.items() if "novel" in x]
+    caught = sum(400 <= i < 600 for i in found)
+    assert caught >= 196 and caught / len(found) >= 0.95, (caught, len(found))
+
+
+def test_secrets_repeated_by_copies_stay_novel(spark):
+    text = "the session is Zk9vQ2xXb3JsZDc3MTNmR1RrUXpVbVpXcFhY1 today"
+    got = secret_scans.scan_secrets(rows(spark, [text] * 50)).collect()
+    assert all("novel:15:" in r.spans for r in got)
+
+
+def test_secrets_of_very_long_texts_take_linear_time():
+    import time
+
+    once = "password = 'hunter2hunter2' the session Zk9vQ2xXb3JsZDc3MTNmR1RrUXpV and " + "w" * 40 + " "
+    began = time.perf_counter()
+    spans = secret_scans.secret_spans(once * 20_000)
+    assert len(spans) == 40_000 and time.perf_counter() - began < 30
+
+
 @pytest.mark.parametrize("gap", [1, 44, 45, 63, 64, 65])
 def test_novel_runs_count_from_where_they_start(gap):
     run = "Zk9vQ2xXb3JsZDc3MTNmR1RrUXpVbVpXcFhY1"
@@ -146,7 +211,7 @@ def test_chat_escape_is_reversible(spark):
     from pyspark.sql import functions as F
 
     rng = random.Random(4)
-    parts = ["<", "\\", "|im_end|>", "|im_start|>", "<|im_end|>", "\n", "x", "n"]
+    parts = ["<", "\\", "|im_end|>", "|im_start|>", "<|im_end|>", "\n", "x", "n", "\u0000b", "\u0000"]
     df = spark.createDataFrame([("".join(rng.choices(parts, k=rng.randint(0, 9))),) for _ in range(500)], "t string")
     bad = df.where((chat_formatting.unescape_text(chat_formatting.escape_text(F.col("t"))) != F.col("t")) | (chat_formatting.unescape_role(chat_formatting.escape_role(F.col("t"))) != F.col("t")) | chat_formatting.escape_text(F.col("t")).contains("<|im_end|>"))
     assert bad.count() == 0
