@@ -34,7 +34,7 @@ from tidemark.llm.frames import map_slices, texts_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18
 #: Size partitions of items, by number of distinct shingles: powers of two.
 SCHEMA = "doc_id long, item_id long, n_shared long, n_item long, containment double"
 

@@ -34,7 +34,7 @@ from tidemark.llm.frames import keep_plan_short, map_slices, texts_of
 
 ORDERS = (4, 5, 6)
 BITS = 20
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Tasks that the training rows (a bounded sample) are read by, and so vectors that are added up in a step.
 TRAINING_TASKS = 16
 #: Features whose counts travel together.
@@ -52,23 +52,22 @@ class Toxicity:
 
 def features(texts: list[str], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature) pairs, each once, by document; ``keep`` is a mask of the features wanted."""
-    docs, found = [], []
+    pairs = [np.zeros(0, np.int64)]
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     for a, b in groups_up_to([len(t) for t in raw], CHUNK_BYTES):
         data, starts = joined([b" " + t + b" " for t in raw[a:b]], gap=max(ORDERS))
         sums = prefix_sums(data)
         real = data != 0
+        found = []
         for k in ORDERS:
             code = (gram_hash(sums, k) >> np.uint64(64 - BITS)).astype(np.int64)
             good = real[: len(code)] & real[k - 1 : k - 1 + len(code)]
             if keep is not None:
                 good &= keep[code]
             at = np.flatnonzero(good)
-            docs.append(np.searchsorted(starts, at, side="right") - 1 + a)
-            found.append(code[at])
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pair = np.unique(np.concatenate(docs) << BITS | np.concatenate(found))
+            found.append((np.searchsorted(starts, at, side="right") - 1 + a) << BITS | code[at])
+        pairs.append(np.unique(np.concatenate(found)))  # texts don't go on in the next chunk
+    pair = np.concatenate(pairs)
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
@@ -95,8 +94,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 toxic = np.asarray(part.column("toxic"))
                 doc, feature = features(texts_of(part))
-                for y in (0, 1):
-                    seen[y] += np.bincount(feature[toxic[doc] == y], minlength=size).astype(np.int32)
+                np.add.at(seen, (toxic[doc], feature), 1)
         slices = np.flatnonzero(seen.reshape(2, -1, SLICE).any(axis=(0, 2)))
         blobs = [zstandard.compress(_blob(seen[:, i * SLICE : (i + 1) * SLICE]), 1) for i in slices]
         yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "counts"])
