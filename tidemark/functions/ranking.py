@@ -11,6 +11,8 @@ third of all rows hold is one row here.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +108,7 @@ def numbered_within(df: DataFrame, group: str, order: list[Column], name: str) -
     earlier = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)  # one row a group
     start = sizes.select(F.col(group).alias("__group"), F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
     return placed.join(F.broadcast(start), F.col(group).eqNullSafe(F.col("__group"))).withColumn(name, F.col("__place") - F.col("__before")).drop("__place", "__group", "__before")
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)

@@ -96,7 +96,7 @@ def feat_usage(usage: DataFrame, cutoff: date) -> DataFrame:
     share = lambda column, value: safe_ratio(total(F.col(column) == value), F.coalesce(used, F.lit(0.0))).alias(f"{value}_usage_share")
     sums = rows.groupBy("acc_id").agg(
         total(since(180)).alias("usage_total_180d"), total(since(90)).alias("usage_recent_90d"), total(since(180) & ~since(90)).alias("usage_prev_90d"),
-        F.coalesce(F.sum(F.when(step >= 0, (step - middle) * F.col("usage") / spread)), F.lit(0.0)).alias("usage_slope_6m"),
+        (F.coalesce(F.sum(F.when(step >= 0, (step - middle) * F.col("usage"))), F.lit(0.0)) / spread).alias("usage_slope_6m"),
         F.count_distinct(F.when(since(180) & (F.col("usage") > 0), F.col("period"))).cast("double").alias("usage_active_months_180d"),
         F.max(F.when(F.col("usage") > 0, F.col("period"))).alias("last_usage"),
         share("channel", "sms"), share("channel", "email"), share("usage_source", "bc"), share("usage_source", "api"), share("usage_source", "otp"),
@@ -114,9 +114,12 @@ def feat_usage(usage: DataFrame, cutoff: date) -> DataFrame:
 
 
 def features_all(customers: DataFrame, payments: DataFrame, usage: DataFrame, cutoff: date) -> DataFrame:
-    """acc_id and the 31 features, for every account that any source knows."""
-    joined = customers.groupBy("acc_id").agg(F.max("join_date").alias("join_date"))
-    frame = account_spine(customers, payments, usage, cutoff).join(joined, "acc_id", "left").join(feat_payment(payments, cutoff), "acc_id", "left").join(feat_usage(usage, cutoff), "acc_id", "left")
+    """acc_id and the 31 features, for every account that any source knows.
+
+    Full joins of the three aggregates have the accounts of ``account_spine``, and no source is read a second time.
+    """
+    joined = customers.where(F.col("acc_id").isNotNull()).groupBy("acc_id").agg(F.max("join_date").alias("join_date"))
+    frame = joined.join(feat_payment(payments, cutoff), "acc_id", "full").join(feat_usage(usage, cutoff), "acc_id", "full")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     recent, before = zero(F.col("usage_recent_90d")), zero(F.col("usage_prev_90d"))
     burn, balance = recent / 3, zero(F.col("__added")) - zero(F.col("__used"))
@@ -131,13 +134,14 @@ def features_all(customers: DataFrame, payments: DataFrame, usage: DataFrame, cu
 
 
 def lifecycle(customers: DataFrame, payments: DataFrame, usage: DataFrame, cutoff: date, window_days: int = 180) -> DataFrame:
-    """acc_id, ever_paid, has_activity, active, stage."""
+    """acc_id, ever_paid, has_activity, active, stage, sub_stage: one aggregation over all that names an account."""
     paid, used = pit_payments(payments, cutoff), pit_usage(usage, cutoff)
     start = day(cutoff - timedelta(days=window_days))
-    events = paid.select("acc_id", F.col("payment_date").cast("date").alias("at"), F.lit(True).alias("paid")).unionByName(used.where(F.col("usage") > 0).select("acc_id", F.col("period").alias("at"), F.lit(False).alias("paid")))
-    known = events.groupBy("acc_id").agg(F.bool_or("paid").alias("ever_paid"), F.bool_or(F.col("at") >= start).alias("active"))
-    off = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    rows = account_spine(customers, payments, usage, cutoff).join(known.withColumn("has_activity", F.lit(True)), "acc_id", "left").select("acc_id", off("ever_paid"), off("has_activity"), off("active"))
+    known = customers.where(F.col("acc_id").isNotNull()).select("acc_id", F.lit(None).cast("date").alias("at"), F.lit(False).alias("paid"))
+    known = known.unionByName(paid.select("acc_id", F.col("payment_date").cast("date").alias("at"), F.lit(True).alias("paid")))
+    known = known.unionByName(used.select("acc_id", F.when(F.col("usage") > 0, F.col("period")).alias("at"), F.lit(False).alias("paid")))
+    off = lambda c, name: F.coalesce(c, F.lit(False)).alias(name)
+    rows = known.groupBy("acc_id").agg(off(F.bool_or("paid"), "ever_paid"), (F.count("at") > 0).alias("has_activity"), off(F.bool_or(F.col("at") >= start), "active"))
     stage = F.when(F.col("active") & F.col("ever_paid"), "Active Paid").when(F.col("active"), "Active Free").when(F.col("has_activity"), "Churned").otherwise("Ghost")
-    paid = F.when(F.col("ever_paid"), "Churned Paid").otherwise("Churned Free")
-    return rows.withColumn("stage", stage).withColumn("sub_stage", F.when(F.col("stage") == "Churned", paid).otherwise(F.col("stage")))
+    ever = F.when(F.col("ever_paid"), "Churned Paid").otherwise("Churned Free")
+    return rows.withColumn("stage", stage).withColumn("sub_stage", F.when(F.col("stage") == "Churned", ever).otherwise(F.col("stage")))

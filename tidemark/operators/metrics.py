@@ -249,19 +249,35 @@ def spearman_scan(df: DataFrame, names: list[str], label: str) -> DataFrame:
     return sums.select("feature", F.when((F.col("aa") > 1e-9) & (F.col("bb") > 1e-9), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))
 
 
-#: Cumulative Poisson(1) probabilities of 0..3 draws.
-POISSON = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312]
+#: Cumulative Poisson(1) probabilities of 0..5 draws.
+POISSON = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518]
+_PRIME = (1 << 31) - 1
 
 
-def bootstrap_mean(df: DataFrame, value: Column, key: str, draws: int = 100, level: float = 0.95) -> DataFrame:
-    """Percentile interval of a mean: Poisson weights from a hash of the key, all draws as sums of one pass."""
+def poisson_of(first: Column, second: Column, draw: Column) -> Column:
+    u = F.pmod(first + draw * second, F.lit(_PRIME)) / _PRIME
+    return sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
 
-    def weight(i: int) -> Column:
-        u = F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(1_000_000)) / 1_000_000
-        return sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
 
-    sums = df.select(value.alias("__v"), F.array(*[weight(i) for i in range(draws)]).alias("__w")).where(F.col("__v").isNotNull())
-    means = sums.agg(F.array(*[F.try_divide(F.sum(F.get("__w", F.lit(i)) * F.col("__v")), F.sum(F.get("__w", F.lit(i)))) for i in range(draws)]).alias("m"), F.avg("__v").alias("mean"))
-    each = means.select("mean", F.explode("m").alias("m"))
-    tail = (1 - level) / 2
-    return each.groupBy("mean").agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
+def bootstrap_churn(df: DataFrame, score: str, label: str, key: str, draws: int = 1000, level: float = 0.95) -> DataFrame:
+    """metric, value, low, high: percentile intervals of the Brier score, log loss, ROC AUC and rate.
+
+    Rows are counted once a draw with their weights, in partial sums by (draw, score to four digits): at most 10,001 rows
+    a draw are left for the ranks of the AUC, however long the table is.
+    """
+    p, y = clipped(F.col(score), 1e-15, 1 - 1e-15), F.col(label)
+    digest = F.md5(F.col(key).cast("string"))
+    part = lambda at: F.conv(F.substring(digest, at, 7), 16, 10).cast("long")
+    rows = df.select(
+        F.round(score, 4).alias("s"), y.alias("y"), F.pow(F.col(score) - y, F.lit(2)).alias("b"), (-F.when(y == 1, F.log(p)).otherwise(F.log(1 - p))).alias("l"),
+        part(1).alias("h1"), part(9).alias("h2"), F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))).alias("draw"),
+    )
+    w = F.when(F.col("draw") < 0, 1).otherwise(poisson_of(F.col("h1"), F.col("h2"), F.col("draw")))  # draw -1 is the table itself
+    cells = rows.withColumn("w", w).where("w > 0").groupBy("draw", "s").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * F.col("b")).alias("b"), F.sum(F.col("w") * F.col("l")).alias("l"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("draw").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = cells.withColumn("r", F.col("p") * (below + (F.col("n") + 1) / 2)).groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("n", "p", "b", "l", "r")])
+    n, pos = F.col("n"), F.col("p")
+    auc = (F.col("r") - pos * (pos + 1) / 2) / F.expr("nullif(p * (n - p), 0)")
+    each = sums.select("draw", F.explode(F.create_map(F.lit("brier"), F.col("b") / n, F.lit("log_loss"), F.col("l") / n, F.lit("roc_auc"), auc, F.lit("positive_rate"), pos / n)).alias("metric", "v"))
+    drawn, tail = F.when(F.col("draw") >= 0, F.col("v")), (1 - level) / 2
+    return each.groupBy("metric").agg(F.max(F.when(F.col("draw") < 0, F.col("v"))).alias("value"), F.percentile(drawn, tail).alias("low"), F.percentile(drawn, 1 - tail).alias("high"))

@@ -1,24 +1,25 @@
 """Preprocessing and the models that Spark ML has a counterpart for.
 
-Fits are one aggregation or one Spark ML fit over distributed rows; only parameters come to the driver. Tree ensembles
-and gradient boosting of other libraries are not reproduced number by number; populations, columns, ranges and order are.
+Fits are one aggregation or one Spark ML fit over distributed rows; only parameters come to the driver. Ensembles of
+other libraries are not reproduced number by number; populations, columns, ranges and order are.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import AFTSurvivalRegression, GeneralizedLinearRegression, IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranking import column_quantiles, quantiles_row
+from tidemark.functions.ranking import column_quantiles, numbered_within, quantiles_row, union_all
 from tidemark.functions.scalars import clipped
 from tidemark.functions.storage import keep
-from tidemark.operators.metrics import ece
+from tidemark.operators.gates import BLOCKER, report
+from tidemark.operators.metrics import brier, conformal_apply, conformal_margin, ece, pr_auc
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,7 @@ class Scaling:
     fill: dict[str, float]
     mean: dict[str, float]
     scale: dict[str, float]
+    rows: int = 0
 
 
 def fit_scaling(train: DataFrame, names: list[str], defaults: dict[str, float] | None = None) -> Scaling:
@@ -37,8 +39,8 @@ def fit_scaling(train: DataFrame, names: list[str], defaults: dict[str, float] |
     medians = quantiles_row(train, {c: (c, 0.5) for c in names}).first()
     fill = {c: defaults.get(c, medians[c] if medians[c] is not None else 0.0) for c in names}
     filled = train.select(*[F.coalesce(c, F.lit(fill[c])).alias(c) for c in names])
-    row = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
-    return Scaling(fill, {c: row[f"m_{c}"] or 0.0 for c in names}, {c: row[f"s_{c}"] or 1.0 for c in names})
+    row = filled.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
+    return Scaling(fill, {c: row[f"m_{c}"] or 0.0 for c in names}, {c: row[f"s_{c}"] or 1.0 for c in names}, row["n"])
 
 
 def scaled(df: DataFrame, names: list[str], by: Scaling) -> DataFrame:
@@ -46,23 +48,118 @@ def scaled(df: DataFrame, names: list[str], by: Scaling) -> DataFrame:
     return df.select(*keep, *[((F.coalesce(c, F.lit(by.fill[c])) - by.mean[c]) / by.scale[c]).alias(c) for c in names])
 
 
-def fit_churn(train: DataFrame, names: list[str], label: str, strength: float = 1.0):
-    """Class-balanced logistic regression; returns a function that adds ``probability`` to rows."""
-    by = fit_scaling(train, names)
+def gate_preprocessing(by: Scaling, train: DataFrame, other: DataFrame, names: list[str]) -> DataFrame:
+    """Scaling was fitted, on the training rows and on nothing else, and keeps the order of the features."""
+    out = [c for c in scaled(other, names, by).columns if c in names]
+    counts = train.agg(F.count("*").alias("train"), F.lit(by.rows).alias("fitted"), F.lit(len(out)).alias("width")).join(other.agg(F.count("*").alias("other")))
+    return report(counts, [
+        ("preprocessor_is_fitted", BLOCKER, "fitted", F.col("fitted") > 0), ("fitted_rows_match_train", BLOCKER, "fitted", F.col("fitted") == F.col("train")),
+        ("feature_order_preserved", BLOCKER, "width", F.lit(out == names)), ("no_other_split_refit", BLOCKER, "other", (F.col("fitted") != F.col("other")) | (F.col("train") == F.col("other"))),
+    ])
+
+
+def _class_weight(train: DataFrame, label: str) -> tuple[Column, int]:
+    """A weight that gives both classes the same sum, and the number of rows."""
     n = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}
     total = sum(n.values())
-    weight = F.when(F.col(label) == 1, total / (2 * max(n.get(1, 0), 1))).otherwise(total / (2 * max(n.get(0, 0), 1)))
-    join = VectorAssembler(inputCols=names, outputCol="__x")
-    model = LogisticRegression(featuresCol="__x", labelCol=label, weightCol="__w", regParam=1 / (strength * max(total, 1)), probabilityCol="__p", predictionCol="__y", rawPredictionCol="__r").fit(join.transform(scaled(train, names, by).withColumn("__w", weight)))
+    return F.when(F.col(label) == 1, total / (2 * max(n.get(1, 0), 1))).otherwise(total / (2 * max(n.get(0, 0), 1))), total
+
+
+def _scorer(model, join: VectorAssembler, names: list[str], by: Scaling, **facts):
+    """A function that adds ``probability`` to rows; ``facts`` become its attributes."""
 
     def score(df: DataFrame) -> DataFrame:
         rows = model.transform(join.transform(scaled(df, names, by)))
         return rows.select(*[c for c in df.columns if c not in names], F.get(vector_to_array("__p"), F.lit(1)).alias("probability"))
 
-    score.coefficients = dict(zip(names, model.coefficients.toArray().tolist(), strict=True))
+    score.scaling = by
+    for name, value in facts.items():
+        setattr(score, name, value)
+    return score
+
+
+_COLUMNS = {"featuresCol": "__x", "weightCol": "__w", "probabilityCol": "__p", "predictionCol": "__y", "rawPredictionCol": "__r"}
+
+
+def fit_churn(train: DataFrame, names: list[str], label: str, strength: float = 1.0):
+    """Class-balanced logistic regression; returns a function that adds ``probability`` to rows."""
+    by = fit_scaling(train, names)
+    weight, total = _class_weight(train, label)
+    join = VectorAssembler(inputCols=names, outputCol="__x")
+    model = LogisticRegression(labelCol=label, regParam=1 / (strength * max(total, 1)), **_COLUMNS).fit(join.transform(scaled(train, names, by).withColumn("__w", weight)))
+    return _scorer(model, join, names, by, coefficients=dict(zip(names, model.coefficients.toArray().tolist(), strict=True)))
+
+
+def _fit_trees(classifier, train: DataFrame, names: list[str], label: str):
+    by = fit_scaling(train, names)
+    weight, _ = _class_weight(train, label)
+    join = VectorAssembler(inputCols=names, outputCol="__x")
+    model = classifier.fit(join.transform(scaled(train, names, by).withColumn("__w", weight)))
+    return _scorer(model, join, names, by, importances=dict(zip(names, model.featureImportances.toArray().tolist(), strict=True)))
+
+
+def fit_forest(train: DataFrame, names: list[str], label: str, trees: int = 40, depth: int = 6):
+    """Class-balanced random forest."""
+    return _fit_trees(RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=42, minInstancesPerNode=5, **_COLUMNS), train, names, label)
+
+
+def fit_boosted(train: DataFrame, names: list[str], label: str, trees: int = 12, depth: int = 3):
+    """Class-balanced gradient-boosted trees."""
+    boosted = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="__w", predictionCol="__y", maxIter=trees, maxDepth=depth, seed=42, stepSize=0.1, minInstancesPerNode=5)
+    return _fit_trees(boosted.setProbabilityCol("__p").setRawPredictionCol("__r"), train, names, label)
+
+
+#: What churn is tried with: the fit of every family, and of logistic regression its strengths.
+FAMILIES = {
+    "logistic": fit_churn, "logistic_weak": lambda *a: fit_churn(*a, strength=0.1), "logistic_strong": lambda *a: fit_churn(*a, strength=10.0),
+    "forest": fit_forest, "boosted": fit_boosted,
+}
+
+
+def choose_family(train: DataFrame, names: list[str], label: str, folds: int = 5, families: dict | None = None) -> DataFrame:
+    """family, pr_auc of its scores out of fold, the best one first: a search over families and their strengths or depths."""
+    train = keep(with_fold(train, label, folds))
+    found = []
+    for name, fit in (families or FAMILIES).items():
+        scored = out_of_fold(train, names, label, folds, fit)
+        found.append(pr_auc(scored, "probability", label).select(F.lit(name).alias("family"), F.round("pr_auc", 6).alias("pr_auc")))
+    return union_all(found).orderBy(F.desc("pr_auc"), "family")
+
+
+def importances(train: DataFrame, names: list[str], label: str, n: int = 10) -> DataFrame:
+    """The n features with the largest importance in a forest."""
+    of = fit_forest(train, names, label).importances
+    rows = sorted(of.items(), key=lambda x: (-x[1], x[0]))[:n]
+    return train.sparkSession.createDataFrame([(i + 1, c, v) for i, (c, v) in enumerate(rows)], "place int, feature string, importance double")
+
+
+def fit_hurdle(train: DataFrame, names: list[str], label: str):
+    """Expected value in two parts: the chance of any, times a log-linear value where there is some."""
+    train = keep(train.select(*names, label))
+    chance = fit_plain_chance(train.withColumn("__any", (F.col(label) > 0).cast("int")), names, "__any")
+    by = fit_scaling(train, names)
+    join = VectorAssembler(inputCols=names, outputCol="__x")
+    some = train.where(F.col(label) > 0)
+    unit = some.agg(F.avg(label)).first()[0] or 1.0
+    size = GeneralizedLinearRegression(family="gamma", link="log", featuresCol="__x", labelCol="__label", predictionCol="__size", regParam=0.1, maxIter=50)
+    model = size.fit(join.transform(scaled(some, names, by).withColumn("__label", F.col(label) / unit)))
+
+    def score(df: DataFrame) -> DataFrame:
+        likely = chance(df.withColumns({f"__{c}": F.col(c) for c in names})).withColumnsRenamed({f"__{c}": c for c in names})
+        rows = model.transform(join.transform(scaled(likely, names, by)))
+        return rows.select(*[c for c in df.columns if c not in names], (F.col("probability") * F.col("__size") * unit).alias("predicted"))
+
     return score
 
 
+def fit_plain_chance(train: DataFrame, names: list[str], label: str):
+    """Logistic regression without balancing: its probabilities are to be multiplied, not ranked."""
+    by = fit_scaling(train, names)
+    join = VectorAssembler(inputCols=names, outputCol="__x")
+    model = LogisticRegression(labelCol=label, regParam=1e-3, **_COLUMNS).fit(join.transform(scaled(train, names, by).withColumn("__w", F.lit(1.0))))
+    return _scorer(model, join, names, by)
+
+
 def fit_isotonic(rows: DataFrame, score: str, label: str):
     """Monotone calibration of a score; returns a function that adds ``calibrated``, kept within 0..1."""
     model = IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="calibrated").fit(rows.select(F.col(score).cast("double"), F.col(label).cast("double")))
@@ -93,7 +190,10 @@ def best_shrinkage(df: DataFrame, model: str, anchor: str, actual: str) -> DataF
 
 
 def magnitude_line(df: DataFrame, predicted: str, actual: str) -> DataFrame:
-    return df.agg(F.regr_slope(actual, predicted).alias("slope"), F.regr_intercept(actual, predicted).alias("intercept"))
+    """Slope (20 at most) and intercept from predicted to actual; the identity if there are too few rows or no rise."""
+    line = df.agg(F.regr_slope(actual, predicted).alias("a"), F.regr_intercept(actual, predicted).alias("b"), F.regr_count(actual, predicted).alias("n"))
+    bad = (F.col("n") < 2) | F.col("a").isNull() | (F.col("a") < 0.01)
+    return line.select(F.when(bad, 1.0).otherwise(F.least(F.col("a"), F.lit(20.0))).alias("slope"), F.when(bad, 0.0).otherwise(F.col("b")).alias("intercept"))
 
 
 def alive_cuts(df: DataFrame, p_alive: str) -> DataFrame:
@@ -105,26 +205,37 @@ def alive_cuts(df: DataFrame, p_alive: str) -> DataFrame:
     return got.select(F.when(few, 0.20).otherwise(F.round(low, 4)).alias("at_risk"), F.when(few, 0.50).otherwise(F.round(high, 4)).alias("watch"))
 
 
-def out_of_fold(df: DataFrame, names: list[str], label: str, folds: int = 5) -> DataFrame:
-    """Scores of every row from a model that has not seen its account: ``folds`` fits, folds by a hash of the account."""
-    fold = F.pmod(F.xxhash64("acc_id"), F.lit(folds))
-    out = None
-    for k in range(folds):
-        scored = fit_churn(df.where(fold != k), names, label)(df.where(fold == k))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+def with_fold(df: DataFrame, label: str, folds: int = 5) -> DataFrame:
+    """Folds of equal size within every label, by the order of a hash of the account."""
+    placed = numbered_within(df, label, [F.md5(F.concat_ws(":", F.col("acc_id").cast("string"), F.lit("fold"))), F.col("acc_id")], "__at")
+    return placed.withColumn("fold", F.pmod("__at", F.lit(folds)).cast("int")).drop("__at")
+
+
+def out_of_fold(df: DataFrame, names: list[str], label: str, folds: int = 5, fit=fit_churn) -> DataFrame:
+    """Scores of every row from a model that has not seen its account: ``folds`` fits over stratified folds."""
+    df = df if "fold" in df.columns else keep(with_fold(df, label, folds))
+    return union_all([fit(df.where(F.col("fold") != k), names, label)(df.where(F.col("fold") == k)) for k in range(folds)])
+
 
+def calibrated(rows: DataFrame, score: str, label: str, ece_margin: float = 0.005, brier_margin: float = 0.02, least_positives: int = 200) -> DataFrame:
+    """The score calibrated by a logistic line, or by isotonic steps.
 
-def calibrated(rows: DataFrame, score: str, label: str, margin: float = 0.002) -> DataFrame:
-    """The score calibrated by a logistic line, or by isotonic steps if their calibration error is clearly smaller."""
+    Steps need enough positives and a clearly smaller calibration error, or an equal one and a clearly smaller Brier score.
+    """
+    rows = keep(rows)
     join = VectorAssembler(inputCols=["__logit"], outputCol="__x")
     p = F.greatest(F.lit(1e-6), F.least(F.col(score), F.lit(1 - 1e-6)))
     with_logit = rows.withColumn("__logit", F.log(p / (1 - p)))
     line = LogisticRegression(featuresCol="__x", labelCol=label, probabilityCol="__p", predictionCol="__y", rawPredictionCol="__r").fit(join.transform(with_logit))
     smooth = line.transform(join.transform(with_logit)).withColumn("calibrated", F.get(vector_to_array("__p"), F.lit(1))).select(*rows.columns, "calibrated")
+    if (rows.agg(F.sum(label)).first()[0] or 0) < least_positives:
+        return smooth
     steps = fit_isotonic(rows, score, label)(rows)
-    error = lambda df: ece(df, "calibrated", label).first()["ece"]
-    return steps if error(steps) + margin < error(smooth) else smooth
+    measure = lambda df: ece(df, "calibrated", label).join(brier(df, "calibrated", label)).first()
+    of_steps, of_line = measure(steps), measure(smooth)
+    better = of_steps["ece"] < of_line["ece"] - ece_margin
+    even = abs(of_steps["ece"] - of_line["ece"]) <= ece_margin and of_steps["brier"] < of_line["brier"] * (1 - brier_margin)
+    return steps if better or even else smooth
 
 
 def fit_topup(train: DataFrame, names: list[str], days: str, observed: str):
@@ -159,3 +270,38 @@ def banded_forecast(df: DataFrame, bands: DataFrame, anchor: str, levels: list[f
         name = f"q{int(q * 100):02d}"
         rows = rows.withColumn(f"p{int(q * 100):02d}", F.greatest(F.expm1(F.log1p(F.greatest(F.col(anchor), F.lit(0.0))) + F.col(f"__own.{name}")), F.lit(0.0)))
     return rows.drop("__b", "__own")
+
+
+LEVELS = [0.1, 0.25, 0.5, 0.75, 0.9]
+QUANTILE_NAMES = [f"p{int(q * 100):02d}" for q in LEVELS]
+
+
+def ordered_around_median(df: DataFrame) -> DataFrame:
+    """Quantiles pinned at the median: the lower ones never above their upper neighbour, the upper ones never below."""
+    low = F.least("p25", "p50")
+    high = F.greatest("p75", "p50")
+    return df.withColumns({"p10": F.least(F.col("p10"), low), "p25": low, "p75": high, "p90": F.greatest(F.col("p90"), high)})
+
+
+def quantile_forecast(rows: DataFrame, anchor: str, actual: str) -> DataFrame:
+    """acc_id and five quantiles from the log ratios of actual to anchor within bands of the anchor.
+
+    ``rows`` have a ``split``: bands are learned on train, the correction is shrunk toward the anchor by the weight that
+    is best on validation, and the outer quantiles are moved by the conformal margin of validation.
+    """
+    train, valid = rows.where("split = 'train'"), rows.where("split = 'validation'")
+    bands = keep(band_quantiles(train, anchor, actual, LEVELS))
+    guess = lambda df: ordered_around_median(banded_forecast(df, bands, anchor, LEVELS))
+    tuned = keep(guess(valid))
+    weight = best_shrinkage(tuned, "p50", anchor, actual).first()
+    w = weight["weight"] if weight else 1.0
+
+    def shrunk(df: DataFrame) -> DataFrame:
+        # Only the place of the median moves, in log units; the spread around it stays.
+        shift = F.exp((w - 1) * (F.log1p("p50") - F.log1p(anchor)))
+        moved = {c: F.greatest((F.col(c) + 1) * shift - 1, F.lit(0.0)) for c in QUANTILE_NAMES}
+        return ordered_around_median(df.withColumns(moved))
+
+    margin = keep(conformal_margin(shrunk(tuned), "p10", "p90", actual))
+    out = conformal_apply(shrunk(guess(rows)), margin, "p10", "p90")
+    return ordered_around_median(out).select("acc_id", *QUANTILE_NAMES)

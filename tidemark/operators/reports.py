@@ -75,9 +75,18 @@ def outputs_page(out: DataFrame, page: int = 1, size: int = PAGE_SIZE, by: str =
     return out.orderBy(*outputs_sorted(out, by, descending)).offset((max(1, page) - 1) * size).limit(size)
 
 
-def outputs_export(out: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of a CSV file, at most EXPORT_ROWS of them (a limit of the export)."""
-    return out.orderBy("priority_rank", "acc_id").limit(EXPORT_ROWS).select(*columns)
+def outputs_export(out: DataFrame, payments: DataFrame, cutoff: date) -> DataFrame:
+    """Scored outputs under the names of the export file, with purchases and revenue before the cutoff."""
+    bought = pit_payments(payments, cutoff).groupBy("acc_id").agg(F.count("*").alias("n_purchases"), F.sum("amount").alias("total_revenue"))
+    names = {
+        "acc_id": "acc_id", "stage": "lifecycle_stage", "sub_stage": "sub_stage", "segment": "segment", "churn_probability": "churn_probability", "risk_level": "churn_risk_level",
+        "predicted_clv": "predicted_clv_6m", "value_tier": "customer_value_tier", "revenue_at_risk": "revenue_at_risk", "urgency": "credit_urgency_level", "days_to_topup": "estimated_days_until_topup",
+        "usage_30d": "predicted_credit_usage_30d", "usage_90d": "predicted_credit_usage_90d", "days_since_last_activity": "days_since_last_activity", "n_purchases": "n_purchases",
+        "total_revenue": "total_revenue", "priority_score": "priority_score", "priority_rank": "priority_rank", "ever_paid": "ever_paid", "usage_trend": "usage_trend", "output_status": "output_status",
+    }
+    rows = out.withColumn("usage_90d", F.bround(F.col("usage_30d") * 3, 2)).join(bought, "acc_id", "left")
+    rows = rows.withColumns({"n_purchases": F.coalesce("n_purchases", F.lit(0)), "total_revenue": F.bround(F.coalesce("total_revenue", F.lit(0.0)), 2)})
+    return rows.select(*[F.col(old).alias(new) for old, new in names.items()])
 
 
 def month_spine(frame: DataFrame, cutoff: date, months: int = 12) -> DataFrame:
@@ -151,7 +160,7 @@ def feature_stats(features: DataFrame, names: list[str]) -> DataFrame:
         F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("std"),
     )
     quantiles = column_quantiles(features, names, list(levels.values())).withColumnRenamed("column", "feature")
-    return moments.join(quantiles, "feature", "left").select(*moments.columns, *[F.round(F.get("quantiles", F.lit(i)), 4).alias(n) for i, n in enumerate(levels)])
+    return moments.join(quantiles, "feature", "left").select(*moments.columns, *[F.round(F.get("quantiles", F.lit(i)), 6).alias(n) for i, n in enumerate(levels)])
 
 
 def pit_stats(payments: DataFrame, usage: DataFrame, cutoff: date) -> DataFrame:

@@ -21,12 +21,12 @@ ALIVE_AT_RISK, ALIVE_WATCH = 0.20, 0.50
 
 def stand_in_scores(features: DataFrame, stages: DataFrame) -> DataFrame:
     """Deterministic scores in place of trained models, so that rules and reports can be held against SQL."""
-    rows = features.join(stages.select("acc_id", "stage", "ever_paid"), "acc_id")
+    rows = features.join(stages.select("acc_id", "stage", "sub_stage", "ever_paid"), "acc_id")
     silence = F.coalesce("days_since_last_activity", F.lit(365.0))
     p = 1 / (1 + F.exp(-(silence - 60) / 30))
     active, paying = F.col("stage").isin("Active Paid", "Active Free"), F.col("stage") == "Active Paid"
     return rows.select(
-        "acc_id", "stage", "ever_paid", "customer_age_days", "usage_total_180d", "usage_change_90d_pct", "usage_recent_90d", "credit_balance_proxy", "total_revenue_180d", "payment_count_all",
+        "acc_id", "stage", "sub_stage", "ever_paid", "days_since_last_activity", "total_revenue_all", "customer_age_days", "usage_total_180d", "usage_change_90d_pct", "usage_recent_90d", "credit_balance_proxy", "total_revenue_180d", "payment_count_all",
         F.when(paying, F.bround(p, 4)).alias("churn_probability"),
         F.when(active, F.bround(F.col("total_revenue_180d") * (1 - p), 2)).alias("predicted_clv"),
         F.when(active, F.bround(F.col("usage_recent_90d") / 3, 2)).alias("usage_30d"),
@@ -139,3 +139,36 @@ def forecast_guard(df: DataFrame) -> DataFrame:
     """Quantiles ordered around the pinned median, and 90 days not under 30 days."""
     p10, p50, p90 = F.col("p10"), F.col("p50"), F.col("p90")
     return df.withColumn("p10", F.least(p10, p50)).withColumn("p90", F.greatest(p90, p50)).withColumn("p50_90d", F.greatest("p50_90d", "p50"))
+
+
+#: Why an account is not scored by a model: by stage, for churn and for the other two.
+_CHURN_REASONS = {"Active Free": "never_paid", "Churned": "already_churned", "Ghost": "no_history"}
+_OTHER_REASONS = {"Churned": "inactive", "Ghost": "no_history"}
+
+
+def _by_stage(reasons: dict[str, str]) -> Column:
+    return F.coalesce(*[F.when(F.col("stage") == s, r) for s, r in reasons.items()])
+
+
+def with_output_status(out: DataFrame, drifted: tuple[str, ...] = (), least_days: int = 90) -> DataFrame:
+    """Add eligibility (JSON, a block a model), output_status and output_notes.
+
+    A model is ``predicted``, ``not_eligible`` (by stage) or has ``insufficient_data``. Nothing predicted: insufficient
+    data; an eligible model without a prediction, or one whose features drifted by much: partial.
+    """
+    young = F.coalesce(F.col("customer_age_days") < least_days, F.lit(False))
+    models = {"churn": ("churn_probability", _by_stage(_CHURN_REASONS)), "clv": ("predicted_clv", _by_stage(_OTHER_REASONS)), "credit": ("usage_30d", _by_stage(_OTHER_REASONS))}
+    blocks, predicted, unpredicted, moved, notes = [], F.lit(False), F.lit(False), F.lit(False), []
+    for name, (value, barred) in models.items():
+        eligible, has = barred.isNull(), F.col(value).isNotNull()
+        abstains = eligible & young if name == "churn" else F.lit(False)
+        status = F.when(~eligible, "not_eligible").when(has & ~abstains, "predicted").otherwise("insufficient_data")
+        reason = F.when(~eligible, barred).when(abstains, "insufficient_history").when(has, "eligible").otherwise("insufficient_data")
+        blocks.append(F.struct(eligible.alias("eligible"), status.alias("status"), reason.alias("reason")).alias(name))
+        predicted, unpredicted = predicted | (status == "predicted"), unpredicted | (status == "insufficient_data")
+        notes.append(F.when(~eligible, F.concat(F.lit(f"{name}: "), barred)))
+        if name in drifted:
+            moved = moved | eligible
+    notes += [F.when(models[name][1].isNull(), F.lit(f"{name}: major feature drift, predictions may be unreliable")) for name in sorted(drifted)]
+    status = F.when(~predicted, "insufficient_data").when(unpredicted | moved, "partial").otherwise("predicted")
+    return out.select("*", F.to_json(F.struct(*blocks)).alias("eligibility"), status.alias("output_status"), F.nullif(F.concat_ws("; ", *notes), F.lit("")).alias("output_notes"))

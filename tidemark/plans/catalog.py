@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ CUTOFF = date(1996, 1, 1)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: What a query adds to BASE, for queries made of others.
+TAILS: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -29,7 +32,18 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
-        self.customers, self.payments, self.usage = adapter.customers(spark, folder), adapter.payments(spark, folder), adapter.usage(spark, folder)
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return adapter.customers(self.spark, self.folder)
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        return adapter.payments(self.spark, self.folder)
+
+    @cached_property
+    def usage(self) -> DataFrame:
+        return adapter.usage(self.spark, self.folder)
 
     @property
     def all(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -67,7 +81,12 @@ class Tables:
 BASE = """
 WITH customers AS (
   SELECT CAST(c_custkey AS INT) AS acc_id, c_acctbal AS credit_sms, lower(c_mktsegment) AS status_sms,
-    DATE '1994-01-01' + CAST(c_custkey % 730 AS INT) AS join_date FROM customer
+    CASE WHEN c_custkey % 3 = 0 THEN c_acctbal / 2 END AS credit_email, DATE '1994-01-01' + CAST(c_custkey % 1500 AS INT) AS expire_sms,
+    CASE WHEN c_custkey % 2 = 0 THEN DATE '1994-01-01' + CAST(c_custkey % 900 AS INT) END AS expire_email,
+    CASE WHEN c_custkey % 10 = 1 THEN 'gold' WHEN c_custkey % 2 = 1 THEN 'paid' END AS status_email,
+    DATE '1994-01-01' + CAST(c_custkey % 730 AS INT) AS join_date,
+    CASE WHEN c_custkey % 5 > 0 THEN CAST(DATE '1994-01-01' + CAST(c_custkey % 1000 AS INT) AS TIMESTAMP) END AS last_access, CAST(NULL AS TIMESTAMP) AS last_send
+  FROM customer
 ), payments AS (
   SELECT CAST(o_custkey AS INT) AS acc_id, o_orderkey AS payment_uid, o_orderdate AS payment_date, o_totalprice AS amount,
     coalesce(q, 0) AS credit_add, CASE WHEN o_orderkey % 2 = 0 THEN 'sms' ELSE 'email' END AS credit_type
@@ -92,7 +111,7 @@ pay AS (
 ), use AS (
   SELECT acc_id, coalesce(sum(usage) FILTER (period >= DATE '1995-07-05'), 0) AS u180, coalesce(sum(usage) FILTER (period >= DATE '1995-10-03'), 0) AS u90,
     coalesce(sum(usage) FILTER (period >= DATE '1995-07-05' AND period < DATE '1995-10-03'), 0) AS prev90,
-    coalesce(sum((month(period) - 7 - 2.5) * usage / 17.5) FILTER (period >= DATE '1995-07-01'), 0) AS slope,
+    coalesce(sum((month(period) - 7 - 2.5) * usage) FILTER (period >= DATE '1995-07-01'), 0) / 17.5 AS slope,
     count(DISTINCT period) FILTER (period >= DATE '1995-07-05' AND usage > 0) AS months, max(period) FILTER (usage > 0) AS last_usage, sum(usage) AS used,
     coalesce(sum(usage) FILTER (channel = 'sms'), 0) / sum(usage) AS sms, coalesce(sum(usage) FILTER (channel = 'email'), 0) / sum(usage) AS email,
     coalesce(sum(usage) FILTER (usage_source = 'bc'), 0) / sum(usage) AS bc, coalesce(sum(usage) FILTER (usage_source = 'api'), 0) / sum(usage) AS api,
@@ -124,7 +143,8 @@ pay AS (
   SELECT acc_id, CAST(payment_date AS DATE) AS at, true AS paid FROM payments UNION ALL SELECT acc_id, period, false FROM usage WHERE usage > 0
 ), lifecycle AS (
   SELECT acc_id, coalesce(ever_paid, false) AS ever_paid, coalesce(active, false) AS active, has AS has_activity,
-    CASE WHEN active AND ever_paid THEN 'Active Paid' WHEN active THEN 'Active Free' WHEN has THEN 'Churned' ELSE 'Ghost' END AS stage
+    CASE WHEN active AND ever_paid THEN 'Active Paid' WHEN active THEN 'Active Free' WHEN has THEN 'Churned' ELSE 'Ghost' END AS stage,
+    CASE WHEN active AND ever_paid THEN 'Active Paid' WHEN active THEN 'Active Free' WHEN has AND ever_paid THEN 'Churned Paid' WHEN has THEN 'Churned Free' ELSE 'Ghost' END AS sub_stage
   FROM (SELECT s.acc_id, bool_or(paid) AS ever_paid, bool_or(at >= DATE '1995-07-05') AS active, count(at) > 0 AS has
     FROM spine s LEFT JOIN (SELECT * FROM events_all WHERE at < DATE '1996-01-01') e USING (acc_id) GROUP BY 1)
 ), churn AS (
@@ -136,7 +156,7 @@ pay AS (
   FROM (SELECT DISTINCT acc_id FROM events_all WHERE at >= DATE '1995-07-05' AND at < DATE '1996-01-01')
   LEFT JOIN (SELECT acc_id, sum(amount) AS r FROM payments WHERE payment_date >= TIMESTAMP '1996-01-01' AND payment_date < TIMESTAMP '1996-06-29' GROUP BY 1) USING (acc_id)
 ), raw_scores AS (
-  SELECT acc_id, stage, ever_paid, customer_age_days, usage_total_180d, usage_change_90d_pct, usage_recent_90d, credit_balance_proxy, total_revenue_180d, payment_count_all,
+  SELECT acc_id, stage, sub_stage, ever_paid, days_since_last_activity, total_revenue_all, customer_age_days, usage_total_180d, usage_change_90d_pct, usage_recent_90d, credit_balance_proxy, total_revenue_180d, payment_count_all,
     1 / (1 + exp(-(coalesce(days_since_last_activity, 365.0) - 60) / 30)) AS p FROM features JOIN lifecycle USING (acc_id)
 ), scores AS (
   SELECT * EXCLUDE (p), CASE WHEN stage = 'Active Paid' THEN round_even(p, 4) END AS churn_probability,
@@ -173,12 +193,23 @@ valued AS (SELECT acc_id, predicted_clv AS p, future_revenue AS y FROM scores JO
 """
 
 
+def _live_features() -> str:
+    """The feature part of BASE at a cutoff half a year later, under names that end in _live."""
+    part = BASE[BASE.index("pp AS (") : BASE.index("), events_all AS")] + ")"
+    for old, new in (("1996-01-01", "1996-07-01"), ("1995-07-05", "1996-01-03"), ("1995-10-03", "1996-04-02"), ("1995-07-01", "1996-01-01#"), ("month(period) - 7", "month(period) - 1")):
+        part = part.replace(old, new)
+    for name in ("pp", "pu", "spine", "gaps", "interval_mean", "pay", "use", "f0", "f1", "features"):
+        part = re.sub(rf"\b{name}\b", f"{name}_live", part)
+    return part.replace("#", "")
+
+
 def query(sql: str | None = None, digits: int = 6):
     """Register a function of ``Tables`` under its name, with the SQL that follows BASE."""
 
     def put(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[f.__name__] = lambda spark, folder: rounded(f(Tables(spark, folder)), digits)
         if sql is not None:
+            TAILS[f.__name__] = sql
             SQL[f.__name__] = re.sub(r"\bat\b", '"at"', BASE + sql)  # a keyword of DuckDB
         return f
 
@@ -267,18 +298,19 @@ def agg_lifecycle(t: Tables) -> DataFrame:
     return reports.filled_counts(t.lifecycle(), "stage", ["Active Paid", "Active Free", "Churned", "Ghost"])
 
 
-STATS = ["usage_total_180d", "total_revenue_180d", "payment_overdue_ratio", "credit_balance_proxy"]
+def unpivoted(table: str = "features", keep: str = "acc_id") -> str:
+    """feature, value (and ``keep``) of all features of a table, nulls too."""
+    columns = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ft.FEATURES)
+    return f"(SELECT * FROM (SELECT {keep}, {columns} FROM {table}) UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(ft.FEATURES)})))"
 
 
 @query(
     "SELECT feature, round(avg((value IS NULL)::INT), 6) AS null_rate, round(avg(coalesce(value = 0, false)::INT), 6) AS zero_rate, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, "
-    + ", ".join(f"round(quantile_cont(value, {q}), 4) AS p{int(q * 100):02d}" for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))
-    + " FROM ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value FROM features" for c in STATS)
-    + ") GROUP BY feature"
+    + ", ".join(f"round(quantile_cont(value, {q}), 6) AS p{int(q * 100):02d}" for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))
+    + f" FROM {unpivoted()} GROUP BY feature"
 )
 def feature_stats(t: Tables) -> DataFrame:
-    return reports.feature_stats(t.features(), STATS)
+    return reports.feature_stats(t.features(), ft.FEATURES)
 
 
 @query("SELECT 'payments' AS source, max(CAST(payment_date AS DATE)) FILTER (payment_date < TIMESTAMP '1996-01-01') AS latest_kept, count(*) FILTER (payment_date >= TIMESTAMP '1996-01-01') AS excluded FROM payments UNION ALL SELECT 'usage', max(period) FILTER (period < DATE '1996-01-01'), count(*) FILTER (period >= DATE '1996-01-01') FROM usage")
@@ -334,14 +366,26 @@ def split_by_account(t: Tables) -> DataFrame:
     return labels.hashed_split(t.churn()).select("acc_id", "split", "churned")
 
 
-@query()
+@query("""SELECT acc_id, churned, CASE WHEN total < 25 OR r <= round(0.6 * n) THEN 'train' WHEN r <= round(0.8 * n) THEN 'validation' ELSE 'test' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY churned ORDER BY md5(acc_id || ':42'), acc_id) AS r, count(*) OVER (PARTITION BY churned) AS n, count(*) OVER () AS total FROM churn)""")
 def split_stratified(t: Tables) -> DataFrame:
     return labels.split_stratified(t.churn(), "churned")
 
 
-@query("SELECT 0::BIGINT AS contaminated")
+_SPLITS = "CASE WHEN acc_id % 10 < 6 THEN 'train' WHEN acc_id % 10 < 8 THEN 'validation' ELSE 'test' END AS split FROM churn"
+
+
+@query(f"""SELECT pair, (SELECT count(*) FROM (SELECT acc_id, list(split) AS l FROM (SELECT acc_id, {_SPLITS} UNION ALL SELECT acc_id, 'test' FROM churn WHERE acc_id % 7 = 0) GROUP BY 1)
+  WHERE list_contains(l, x) AND list_contains(l, y)) AS shared FROM (VALUES ('train and validation', 'train', 'validation'), ('train and test', 'train', 'test'), ('validation and test', 'validation', 'test')) v(pair, x, y)""")
 def split_contamination(t: Tables) -> DataFrame:
-    return labels.split_contamination(labels.hashed_split(t.churn()))
+    """Every seventh account stands in the test split too."""
+    rows = labels.hashed_split(t.churn()).select("acc_id", "split")
+    return labels.split_contamination(rows.unionByName(rows.where("acc_id % 7 = 0").withColumn("split", F.lit("test"))))
+
+
+@query("SELECT CAST(greatest(date_trunc('month', max(at) - 90), DATE '1996-01-01') AS DATE) AS cutoff FROM events_all")
+def credit_cutoff(t: Tables) -> DataFrame:
+    return labels.credit_cutoff(t.payments, t.usage, CUTOFF)
 
 
 @query("SELECT acc_id, churned FROM (SELECT acc_id, churned FROM churn WHERE acc_id % 10 < 6 UNION ALL SELECT acc_id, purchased FROM clv WHERE acc_id NOT IN (SELECT acc_id FROM churn WHERE acc_id % 10 >= 6))")
@@ -535,11 +579,6 @@ def top_priority(t: Tables) -> DataFrame:
     return reports.outputs_page(t.outputs(), 1, 10).select(*OUT_COLUMNS)
 
 
-@query(f"SELECT {OUT} FROM outputs ORDER BY priority_rank, acc_id LIMIT 20000")
-def outputs_export(t: Tables) -> DataFrame:
-    return reports.outputs_export(t.outputs(), OUT_COLUMNS)
-
-
 @query("SELECT strftime(m, '%Y-%m') AS month, round(coalesce(r, 0), 2) AS revenue FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-12-01', INTERVAL 1 MONTH)) AS DATE) AS m) LEFT JOIN (SELECT CAST(date_trunc('month', payment_date) AS DATE) AS m, sum(amount) AS r FROM pp GROUP BY 1) USING (m)")
 def monthly_revenue_12m(t: Tables) -> DataFrame:
     return reports.monthly_revenue(t.payments, CUTOFF)
@@ -673,7 +712,7 @@ def top_share(t: Tables) -> DataFrame:
   round(sqrt(avg(pow(ln(1 + greatest(p, 0)) - ln(1 + greatest(y, 0)), 2))), 6) AS rmsle, round(avg(CASE WHEN abs(p) + abs(y) > 0 THEN 2 * abs(p - y) / (abs(p) + abs(y)) ELSE 0 END), 6) AS smape
   FROM (SELECT p, y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ra FROM valued)""")
 def clv_metrics(t: Tables) -> DataFrame:
-    return metrics.regression_metrics(t.valued(), "p", "y")
+    return metrics.regression_metrics(t.valued(), "p", "y").drop("n")
 
 
 def _forecast(t: Tables) -> DataFrame:
@@ -720,19 +759,52 @@ def baseline_segment_mean(t: Tables) -> DataFrame:
     return metrics.baseline_segment_mean(train, rows, "total_revenue_180d", "future_revenue")
 
 
-@query()
-def f2_threshold(t: Tables) -> DataFrame:
-    return metrics.best_threshold(t.judged(), "p", "y")
+_F2 = """(SELECT cut, round(coalesce(5.0 * tp / nullif(5.0 * tp + 4.0 * (pos - tp) + fp, 0), 0), 9) AS f FROM (
+  SELECT cut, count(*) FILTER (p >= cut AND y = 1) AS tp, count(*) FILTER (p >= cut AND y = 0) AS fp, sum(y) AS pos
+  FROM (SELECT DISTINCT unnest(list_transform(quantile_cont(p, [{}]), lambda q: round(q, 4))) AS cut FROM judged), judged GROUP BY cut))""".format(", ".join(str(q / 100) for q in range(2, 99)))
 
 
-@query()
+@query(f"SELECT cut, round(f, 6) AS f, round_even(l * 0.5, 2) AS medium, round_even(l, 2) AS high, round_even(l + 0.6 * (1 - l), 2) AS critical FROM (SELECT cut, f, greatest(0.05, least(0.95, cut)) AS l FROM {_F2} ORDER BY f DESC, cut LIMIT 1)")
+def f2_threshold(t: Tables) -> DataFrame:
+    """The F2 line and the risk bands around it."""
+    return metrics.best_threshold(t.judged(), "p", "y").select("cut", "f", scoring.risk_bands(F.col("cut")).alias("b")).select("cut", "f", "b.medium", "b.high", "b.critical")
+
+
+_PSI = f""", {_live_features()}, edges AS (
+  SELECT feature, count(value) AS n, list_distinct(quantile_cont(value, [{", ".join(str(i / 10) for i in range(11))}])) AS e FROM {unpivoted()} GROUP BY feature
+), cut AS (
+  SELECT feature, CASE WHEN len(e) >= 3 AND n >= 10 THEN list_sort(e)[2:len(e) - 1] END AS inner_edges FROM edges
+), bins AS (SELECT feature, unnest(range(0, len(inner_edges) + 1)) AS bin FROM cut WHERE inner_edges IS NOT NULL),
+shares AS (
+  SELECT side, feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY side, feature) AS share FROM (
+    SELECT side, u.feature, len(list_filter(inner_edges, lambda x: x <= value)) AS bin FROM (
+      SELECT 'e' AS side, feature, value FROM {unpivoted()} UNION ALL SELECT 'a', feature, value FROM {unpivoted("features_live")}) u JOIN cut USING (feature)
+    WHERE value IS NOT NULL AND inner_edges IS NOT NULL) GROUP BY 1, 2, 3
+), psi AS (
+  SELECT feature, sum((a - e) * ln(a / e)) AS psi FROM (
+    SELECT feature, bin, coalesce(x.share, 0) + 1e-6 AS e, coalesce(y.share, 0) + 1e-6 AS a FROM bins
+    LEFT JOIN (SELECT * FROM shares WHERE side = 'e') x USING (feature, bin) LEFT JOIN (SELECT * FROM shares WHERE side = 'a') y USING (feature, bin)) GROUP BY feature
+), drift AS (
+  SELECT feature, coalesce(psi, 0) AS psi, CASE WHEN psi IS NULL THEN 'constant' WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'minor' ELSE 'major' END AS status FROM cut LEFT JOIN psi USING (feature)
+)"""
+
+
+@query(_PSI + " SELECT feature, round(psi, 6) AS psi, status FROM drift")
 def psi_drift(t: Tables) -> DataFrame:
-    return metrics.psi_drift(t.features(), t.features(date(1996, 7, 1)), STATS)
+    return metrics.psi_drift(t.features(), t.features(date(1996, 7, 1)), ft.FEATURES)
+
+
+@query(_PSI + " SELECT minor, major, round(largest, 6) AS largest, CASE WHEN major >= 2 THEN 'major' WHEN minor + major > 0 THEN 'minor' ELSE 'stable' END AS status FROM (SELECT count(*) FILTER (status = 'minor') AS minor, count(*) FILTER (status = 'major') AS major, max(psi) AS largest FROM drift)")
+def overall_drift(t: Tables) -> DataFrame:
+    return metrics.overall_drift(metrics.psi_drift(t.features(), t.features(date(1996, 7, 1)), ft.FEATURES))
+
+
+_RANK = "rank() OVER (PARTITION BY feature ORDER BY {0}) + (count(*) OVER (PARTITION BY feature, {0}) - 1) / 2.0"
 
 
-@query("SELECT feature, round(corr(rf, rl), 6) AS rho FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS rf, rank() OVER (ORDER BY churned) + (count(*) OVER (PARTITION BY churned) - 1) / 2.0 AS rl FROM features JOIN churn USING (acc_id) WHERE {c} IS NOT NULL" for c in STATS) + ") GROUP BY 1")
+@query(f"SELECT feature, round(covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0), 6) AS rho FROM (SELECT feature, {_RANK.format('value')} AS a, {_RANK.format('churned')} AS b FROM {unpivoted('(SELECT * FROM features JOIN churn USING (acc_id))', 'churned')} WHERE value IS NOT NULL) GROUP BY 1")
 def leak_spearman_scan(t: Tables) -> DataFrame:
-    return metrics.spearman_scan(t.features().join(t.churn(), "acc_id"), STATS, "churned")
+    return metrics.spearman_scan(t.features().join(t.churn(), "acc_id"), ft.FEATURES, "churned")
 
 
 @query("SELECT acc_id, p, y FROM judged")
@@ -784,42 +856,6 @@ def gate_duplicate_sheets(t: Tables) -> DataFrame:
     return gates.gate_duplicate_sheets(t.usage.where("not (channel = 'sms' and usage_source = 'api')").unionByName(bc.withColumn("usage_source", F.lit("api"))))
 
 
-@query(_row("credit_sms_null_rate", "warning", "v <= 0.5", "v", "(SELECT avg((acc_id % 3 > 0)::INT) AS v FROM customers)"))
-def gate_null_rates(t: Tables) -> DataFrame:
-    return gates.gate_null_rates(t.customers.withColumn("credit_sms", F.when(F.col("acc_id") % 3 == 0, F.col("credit_sms"))), ["credit_sms"])
-
-
-_SPAN = "(SELECT count(*) AS n, DATE '1996-01-01' - min(at) AS b, max(at) - DATE '1996-01-01' AS a FROM events_all)"
-
-
-@query(" UNION ALL ".join([_row("activity_exists", "blocker", "n > 0", "n", _SPAN), _row("history_before_cutoff", "blocker", "b > 180", "b", _SPAN), _row("future_label_window", "blocker", "a >= 180", "a", _SPAN), _row("history_depth", "warning", "b >= 365", "b", _SPAN)]))
-def gate_cutoff(t: Tables) -> DataFrame:
-    return gates.gate_cutoff(labels.activity_events(t.payments, t.usage), CUTOFF)
-
-
-_LABELS = "(SELECT count(*) AS n, sum(churned) AS p, avg(churned) AS r FROM churn)"
-
-
-@query(" UNION ALL ".join([_row("churn_eligible", "blocker", "n >= 500", "n", _LABELS), _row("churn_positives", "blocker", "p >= 100", "p", _LABELS), _row("churn_negatives", "blocker", "n - p >= 100", "n - p", _LABELS), _row("churn_rate", "blocker", "r BETWEEN 0.05 AND 0.80", "r", _LABELS)]))
-def gate_labels(t: Tables) -> DataFrame:
-    return gates.gate_labels(t.churn())
-
-
-@query("SELECT 'failed' AS status")
-def gate_status(t: Tables) -> DataFrame:
-    return gates.status(gates.gate_labels(t.churn(), least=10**9))
-
-
-@query(" UNION ALL ".join([_row("payments_before_cutoff", "blocker", "true", "0", "(SELECT 1)"), _row("usage_before_cutoff", "blocker", "true", "0", "(SELECT 1)")]))
-def gate_leakage(t: Tables) -> DataFrame:
-    return gates.gate_leakage(ft.pit_payments(t.payments, CUTOFF), ft.pit_usage(t.usage, CUTOFF), CUTOFF)
-
-
 @query(" UNION ALL ".join([_row("row_count", "blocker", "n = (SELECT count(*) FROM spine)", "n", "(SELECT count(*) AS n FROM d1)"), _row("range", "blocker", "n = 0", "n", "(SELECT count(*) AS n FROM d1 WHERE churn_probability NOT BETWEEN 0 AND 1)"), _row("null_rate", "blocker", "v <= 0.01", "v", "(SELECT coalesce(avg((churn_probability IS NULL)::INT), 0) AS v FROM d1 WHERE stage = 'Active Paid')")]))
 def gate_output(t: Tables) -> DataFrame:
     return gates.gate_output(t.derived(), ft.account_spine(*t.all, CUTOFF))
-
-
-@query("SELECT count(*) AS n, count(DISTINCT acc_id) AS accounts, count(*) FILTER (amount < 0) AS amount_negative, count(*) FILTER (credit_add < 0) AS credit_add_negative FROM payments")
-def quality_stats(t: Tables) -> DataFrame:
-    return gates.quality_stats(t.payments, ["amount", "credit_add"])

@@ -7,13 +7,17 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranking import quantiles_row
+from tidemark.functions.ranking import quantiles_row, union_all
 from tidemark.functions.storage import keep
-from tidemark.operators import cleaning, gates, labels, lifetime, metrics, models, registry, reports
-from tidemark.plans.catalog import CUTOFF, STATS, Tables, query
-from tidemark.sources import adapter
+from tidemark.operators import cleaning, gates, labels, lifetime, metrics, models, registry, reports, scoring
+from tidemark.operators.features import FEATURES
+from tidemark.plans import guarded_sql
+from tidemark.plans.catalog import CUTOFF, Tables, query
+from tidemark.sources import adapter, sinks
 from tidemark.streaming.monthly import windowed_usage
 
+NAMES = ["usage_total_180d", "total_revenue_180d", "payment_overdue_ratio", "usage_slope_6m", "days_since_last_activity"]
+
 CELLS = [None, "", "  ", " a b ", "12", " 12.9 ", "-3.7", "1e3", "NaN", "Infinity", "abc", "2024-02-29", "2023-02-29", "45351", "45351.5", "2024-01-05 10:30:00"]
 _VALUES = "(VALUES " + ", ".join("(NULL)" if c is None else f"('{c}')" for c in CELLS) + ") v(cell)"
 _NUMBER = "CASE WHEN isfinite(TRY_CAST(trim(cell) AS DOUBLE)) THEN TRY_CAST(trim(cell) AS DOUBLE) END"
@@ -43,9 +47,9 @@ def clean_date(t: Tables) -> DataFrame:
     return _cells(t).select("cell", F.date_format(cleaning.clean_date(F.col("cell")), "yyyy-MM-dd HH:mm:ss").alias("value"))
 
 
-@query("SELECT o_orderkey, round(epoch_us(o_orderdate) / 86400000000.0 + 25569, 6) AS serial FROM orders WHERE o_orderkey % 50 = 0")
+@query("SELECT o_orderkey, round(epoch_us(o_orderdate) / 86400000000.0 + 25569, 6) AS serial FROM orders")
 def excel_serial(t: Tables) -> DataFrame:
-    return adapter.table(t.spark, t.folder, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", cleaning.excel_serial(F.col("o_orderdate")).alias("serial"))
+    return adapter.table(t.spark, t.folder, "orders").select("o_orderkey", cleaning.excel_serial(F.col("o_orderdate")).alias("serial"))
 
 
 @query("SELECT * FROM (VALUES ('a', NULL), ('x', ' ')) v(p, q)")
@@ -112,12 +116,6 @@ def source_dedup_anti(t: Tables) -> DataFrame:
     return cleaning.new_sources(files, catalog).select("name")
 
 
-@query("SELECT ['a', 'c'] IS NOT NULL AS complete")
-def gate_required_headers(t: Tables) -> DataFrame:
-    missing = cleaning.missing_headers(_raw_payments(t).select(F.lit(1).alias(" acc_id "), F.lit(2).alias("uid")), ["acc_id", "uid"])
-    return t.spark.createDataFrame([(not missing,)], "complete boolean")
-
-
 RUNS = [(1, "running", None, "2024-01-01 10:00:00"), (2, "running", "2024-01-01 11:50:00", "2024-01-01 09:00:00"), (3, "ready", None, "2024-01-01 01:00:00"), (4, "queued", "2024-01-01 09:59:00", "2024-01-01 09:00:00")]
 
 
@@ -128,12 +126,12 @@ def stale_runs(t: Tables) -> DataFrame:
     return reports.stale(runs, F.lit("2024-01-01 12:00:00").cast("timestamp"), 120).select("id")
 
 
-@query("SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 400000")
+@query("SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
 def runs_catalog(t: Tables) -> DataFrame:
     read = lambda name: adapter.table(t.spark, t.folder, name)
     orders, customer, nation = read("orders"), read("customer"), read("nation")
-    kept = orders.where("o_totalprice > 400000").select("o_orderkey", "o_custkey")
-    return kept.join(customer, kept["o_custkey"] == customer["c_custkey"], "left").join(nation, customer["c_nationkey"] == nation["n_nationkey"], "left").select("o_orderkey", "c_name", "n_name")
+    runs = orders.select("o_orderkey", "o_custkey")
+    return runs.join(customer, runs["o_custkey"] == customer["c_custkey"], "left").join(nation, customer["c_nationkey"] == nation["n_nationkey"], "left").select("o_orderkey", "c_name", "n_name")
 
 
 @query("SELECT 'k' AS metric, round(avg(CAST(props->>'k' AS DOUBLE)), 6) AS mean FROM events")
@@ -148,11 +146,6 @@ def windowed_events(t: Tables) -> DataFrame:
     return rows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("SELECT round(regr_slope(y, p), 6) AS slope, round(regr_intercept(y, p), 4) AS intercept FROM valued")
-def magnitude_line(t: Tables) -> DataFrame:
-    return models.magnitude_line(t.valued(), "p", "y").withColumn("intercept", F.round("intercept", 4))
-
-
 @query("SELECT w AS weight, round(avg(abs(w * p + (1 - w) * x - y)), 6) AS mae FROM (SELECT p, y, total_revenue_180d AS x FROM valued JOIN features USING (acc_id)), (SELECT unnest(range(0, 11)) / 10.0::DOUBLE AS w) GROUP BY 1 ORDER BY 2, 1 LIMIT 1")
 def best_shrinkage(t: Tables) -> DataFrame:
     rows = t.valued().join(t.features().select("acc_id", "total_revenue_180d"), "acc_id")
@@ -166,38 +159,116 @@ def alive_cuts(t: Tables) -> DataFrame:
 
 @query()
 def churn_model(t: Tables) -> DataFrame:
-    """Class-balanced logistic regression trained on 60 % of the accounts, scores of all labelled ones."""
-    names = ["usage_total_180d", "total_revenue_180d", "payment_overdue_ratio", "usage_slope_6m", "days_since_last_activity"]
-    rows = labels.hashed_split(t.features().select("acc_id", *names).join(t.churn(), "acc_id"))
-    score = models.fit_churn(rows.where("split = 'train'"), names, "churned")
-    return score(rows)
+    """Logistic regression or forest, whichever has the better average precision out of fold, fitted on 60 % of the accounts."""
+    rows = keep(labels.split_stratified(t.features().select("acc_id", *NAMES).join(t.churn(), "acc_id"), "churned"))
+    train = rows.where("split = 'train'")
+    best = models.choose_family(train, NAMES, "churned", 3, {f: models.FAMILIES[f] for f in ("logistic", "forest")}).first()["family"]
+    return models.FAMILIES[best](train, NAMES, "churned")(rows).withColumn("family", F.lit(best))
+
+
+@query()
+def churn_candidates(t: Tables) -> DataFrame:
+    """Average precision out of fold of every family, the best one first."""
+    rows = keep(t.features().select("acc_id", *NAMES).join(t.churn(), "acc_id"))
+    return models.choose_family(rows, NAMES, "churned", folds=3)
+
+
+@query()
+def feature_importance(t: Tables) -> DataFrame:
+    """The ten most important features of a forest over all 31."""
+    rows = keep(t.features().join(t.churn(), "acc_id"))
+    return models.importances(rows, FEATURES, "churned", 10)
 
 
 @query()
 def value_model(t: Tables) -> DataFrame:
+    """Tweedie and two-part predictions, learned on 60 % of the accounts."""
     names = ["total_revenue_180d", "usage_total_180d", "payment_count_180d"]
-    rows = t.features().select("acc_id", *names).join(t.clv(), "acc_id")
-    return models.fit_value(rows, names, "future_revenue")(rows).select("acc_id", "future_revenue", "predicted")
+    rows = keep(labels.hashed_split(t.features().select("acc_id", *names).join(t.clv(), "acc_id").drop("purchased")))
+    train = rows.where("split = 'train'")
+    tweedie = models.fit_value(train, names, "future_revenue")(rows)
+    hurdle = models.fit_hurdle(train, names, "future_revenue")(rows).select("acc_id", F.col("predicted").alias("two_part"))
+    return tweedie.join(hurdle, "acc_id").select("acc_id", "split", "future_revenue", "predicted", "two_part")
 
 
 @query()
 def top_factors(t: Tables) -> DataFrame:
-    names = STATS
-    by = models.fit_scaling(t.features(), names)
-    rows = models.scaled(t.features().select("acc_id", *names), names, by)
-    return models.top_factors(rows, names, {c: (-1.0) ** i * (i + 1) for i, c in enumerate(names)}).select("acc_id", F.explode("factors").alias("f")).select("acc_id", "f.feature", "f.impact")
+    """The five largest contributions to every account's churn score, by the fitted coefficients."""
+    rows = keep(t.features().select("acc_id", *NAMES).join(t.churn(), "acc_id"))
+    score = models.fit_churn(rows, NAMES, "churned")
+    found = models.top_factors(models.scaled(rows.drop("churned"), NAMES, score.scaling), NAMES, score.coefficients)
+    return found.select("acc_id", F.explode("factors").alias("f")).select("acc_id", "f.feature", "f.impact")
+
 
+_STATUS = """(SELECT acc_id, stage, c.churn_probability, predicted_clv, usage_30d, customer_age_days, stage LIKE 'Active%' AS el, stage = 'Active Paid' AS ec,
+  stage = 'Active Paid' AND churn_probability IS NOT NULL AND NOT coalesce(customer_age_days < 90, false) AS pc FROM scores c)"""
+_STATUS_SQL = f"""SELECT acc_id, CASE WHEN NOT (pc OR (el AND predicted_clv IS NOT NULL) OR (el AND usage_30d IS NOT NULL)) THEN 'insufficient_data'
+  WHEN (ec AND NOT pc) OR (el AND predicted_clv IS NULL) OR (el AND usage_30d IS NULL) {{}} THEN 'partial' ELSE 'predicted' END AS output_status,
+  nullif(concat_ws('; ', CASE stage WHEN 'Active Free' THEN 'churn: never_paid' WHEN 'Churned' THEN 'churn: already_churned' WHEN 'Ghost' THEN 'churn: no_history' END,
+    CASE stage WHEN 'Churned' THEN 'clv: inactive; credit: inactive' WHEN 'Ghost' THEN 'clv: no_history; credit: no_history' END {{}}), '') AS output_notes FROM {_STATUS}"""
 
-@query("SELECT acc_id, CASE WHEN NOT churn THEN 'churn: Only for active paying accounts.' END AS note FROM (SELECT acc_id, stage = 'Active Paid' AS churn FROM lifecycle)")
+
+@query(_STATUS_SQL.format("", "") + " UNION ALL " + _STATUS_SQL.format("OR ec", ", CASE WHEN ec THEN 'churn: major feature drift, predictions may be unreliable' END"))
 def output_status(t: Tables) -> DataFrame:
-    rows = labels.eligibility(*t.all, CUTOFF)
-    return rows.select("acc_id", F.when(F.col("churn") == 0, "churn: Only for active paying accounts.").alias("note"))
+    """Status and notes of every account, without drift and with drift of the churn model."""
+    rows = keep(t.scores())
+    return scoring.with_output_status(rows).unionByName(scoring.with_output_status(rows, ("churn",))).select("acc_id", "output_status", "output_notes")
+
+
+_EXPORT = {
+    "acc_id": "acc_id", "lifecycle_stage": "stage", "sub_stage": "sub_stage", "segment": "segment", "churn_probability": "churn_probability", "churn_risk_level": "risk_level", "predicted_clv_6m": "predicted_clv",
+    "customer_value_tier": "value_tier", "revenue_at_risk": "revenue_at_risk", "credit_urgency_level": "urgency", "estimated_days_until_topup": "days_to_topup", "predicted_credit_usage_30d": "usage_30d",
+    "predicted_credit_usage_90d": "round_even(usage_30d * 3, 2)", "days_since_last_activity": "days_since_last_activity", "n_purchases": "coalesce(n, 0)", "total_revenue": "round_even(coalesce(total, 0), 2)",
+    "priority_score": "priority_score", "priority_rank": "priority_rank", "ever_paid": "ever_paid", "usage_trend": "usage_trend", "output_status": "output_status",
+}
+
 
+def _export(t: Tables) -> DataFrame:
+    return reports.outputs_export(scoring.with_output_status(t.outputs()), t.payments, CUTOFF)
 
-@query("SELECT round(avg((days_to_topup <= 14)::INT), 6) AS urgent_share, count(*) AS n FROM (SELECT CAST(date_diff('day', DATE '1996-01-01', CAST(min(payment_date) AS DATE)) AS DOUBLE) AS days_to_topup FROM payments WHERE payment_date >= TIMESTAMP '1996-01-01' GROUP BY acc_id)")
-def urgent_topup(t: Tables) -> DataFrame:
-    rows = labels.labels_topup(*t.all, CUTOFF).where("observed = 1")
-    return rows.agg(F.avg((F.col("days_to_topup") <= 14).cast("int")).alias("urgent_share"), F.count("*").alias("n"))
+
+@query(f"SELECT {', '.join(f'{v} AS {k}' for k, v in _EXPORT.items())} FROM outputs LEFT JOIN pay USING (acc_id) LEFT JOIN ({_STATUS_SQL.format('', '')}) USING (acc_id) ORDER BY priority_rank LIMIT 20000")
+def outputs_export(t: Tables) -> DataFrame:
+    """The 21 columns of the export file, at most 20,000 rows of them."""
+    return _export(t).orderBy("priority_rank", "acc_id").limit(reports.EXPORT_ROWS)
+
+
+@query("SELECT CAST(place AS INT) AS place, line FROM (SELECT 0 AS place, chr(65279) || 'acc_id,segment,priority_rank' AS line UNION ALL SELECT priority_rank, acc_id || ',' || segment || ',' || priority_rank FROM outputs WHERE priority_rank <= 20000)")
+def export_lines(t: Tables) -> DataFrame:
+    """The lines of the export file (three of its columns) with BOM and header."""
+    return sinks.export_lines(t.outputs(), ["acc_id", "segment", "priority_rank"], [F.col("priority_rank"), F.col("acc_id")])
+
+
+_VIEWS = {"outputs": lambda t: t.derived().select("acc_id", "segment", "value_tier", "predicted_clv", (F.col("acc_id") % 3).cast("string").alias("prediction_run_id"))}
+_GUARDED = "SELECT segment, count(*) AS n, round(sum(predicted_clv), 2) AS clv FROM {} WHERE value_tier IN ('high', 'mid') AND segment <> 'Update' GROUP BY segment"
+
+
+@query(_GUARDED.format("(SELECT * FROM d2 WHERE acc_id % 3 = 1)"))
+def guarded_select(t: Tables) -> DataFrame:
+    """A role's query over the outputs of the one run that the caller owns."""
+    views = {"outputs": lambda session: Tables(session, t.folder).derived().select(*_VIEWS["outputs"](t).columns[:-1], (F.col("acc_id") % 3).cast("string").alias("prediction_run_id"))}
+    return guarded_sql.run_guarded(t.spark, _GUARDED.format("outputs"), "viewer", views, 100, guarded_sql.Scope(run_ids=frozenset({"1"})))
+
+
+STATEMENTS = [
+    ("SELECT acc_id FROM outputs -- all", True), ("SELECT 'Update' AS what, max(acc_id) AS m FROM outputs;", True), ("SELECT * FROM outputs", False), ("WITH x AS (SELECT 1) SELECT 1 FROM x", False),
+    ("SELECT acc_id FROM payments", False), ("DROP TABLE outputs", False), ("SELECT 1; SELECT 2", False), ("SELECT reflect('java.lang.System', 'exit', '1')", False), ("SELECT acc_id FROM outputs WHERE acc_id IN (SELECT acc_id FROM outputs)", True),
+    ("SELECT count(*) AS n FROM outputs o LEFT JOIN outputs p ON o.acc_id = p.acc_id", True), ("SELECT acc_id FROM outputs WHERE note = '00000000-0000-0000-0000-000000000009'", False), ("SELECT $$x$$", False),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()})" for i, (_, ok) in enumerate(STATEMENTS)) + ") v(id, allowed)")
+def guarded_refusals(t: Tables) -> DataFrame:
+    """Which of the listed statements may be run; none of them is."""
+    views = {"outputs": lambda session: session.createDataFrame([(1, "a", "1")], "acc_id int, note string, prediction_run_id string")}
+    found = []
+    for i, (sql, _) in enumerate(STATEMENTS):
+        try:
+            guarded_sql.run_guarded(t.spark, sql, "viewer", views, scope=guarded_sql.Scope(run_ids=frozenset({"1"})))
+            found.append((i, True))
+        except guarded_sql.Refused:
+            found.append((i, False))
+    return t.spark.createDataFrame(found, "id int, allowed boolean")
 
 
 @query("SELECT acc_id, usage_30d, days_to_topup, observed FROM (SELECT acc_id, coalesce(sum(usage) FILTER (period >= DATE '1996-01-01' AND period < DATE '1996-01-31'), 0) AS usage_30d FROM spine LEFT JOIN usage USING (acc_id) GROUP BY 1) LEFT JOIN (SELECT acc_id, CAST(date_diff('day', DATE '1996-01-01', CAST(min(payment_date) AS DATE)) AS DOUBLE) AS days_to_topup, 1 AS observed FROM payments WHERE payment_date >= TIMESTAMP '1996-01-01' GROUP BY 1) USING (acc_id)")
@@ -218,30 +289,9 @@ def label_stats(t: Tables) -> DataFrame:
     return rows.agg((F.var_pop("future_revenue") / 1e6).alias("variance")).join(levels)
 
 
-@query("SELECT count(*) AS n, round(avg(abs(p - y)), 6) AS mae FROM valued")
-def realized_clv(t: Tables) -> DataFrame:
-    return metrics.regression_metrics(t.valued(), "p", "y").select("mae").join(t.valued().agg(F.count("*").alias("n")))
-
-
-@query("SELECT count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier FROM judged HAVING count(*) >= 20")
-def realized_churn(t: Tables) -> DataFrame:
-    """Skipped (no row) under 20 accounts."""
-    return metrics.brier(t.judged(), "p", "y").select("brier").join(t.judged().agg(F.count("*").alias("n"))).where("n >= 20")
-
-
-@query("SELECT 'customers_non_empty' AS \"check\", 'blocker' AS severity, true AS passed, CAST(count(*) AS DOUBLE) AS value FROM customers")
-def gate_readiness(t: Tables) -> DataFrame:
-    return gates.report(t.customers.agg(F.count("*").alias("n")), [("customers_non_empty", gates.BLOCKER, "n", F.col("n") > 0)])
-
-
-
-
-NAMES = ["usage_total_180d", "total_revenue_180d", "payment_overdue_ratio", "usage_slope_6m", "days_since_last_activity"]
-
-
 @query()
 def oof_scores(t: Tables) -> DataFrame:
-    return models.out_of_fold(t.features().select("acc_id", *NAMES).join(t.churn(), "acc_id"), NAMES, "churned", folds=2)
+    return models.out_of_fold(keep(t.features().select("acc_id", *NAMES).join(t.churn(), "acc_id")), NAMES, "churned")
 
 
 @query()
@@ -258,14 +308,22 @@ def topup_model(t: Tables) -> DataFrame:
 
 @query()
 def credit_forecast(t: Tables) -> DataFrame:
-    levels = [0.1, 0.5, 0.9]
-    rows = t.scores().where(F.col("usage_30d").isNotNull()).select("acc_id", "usage_30d").join(labels.labels_credit(*t.all, CUTOFF).select("acc_id", F.col("usage_30d").alias("y")), "acc_id")
-    return models.banded_forecast(rows, models.band_quantiles(rows, "usage_30d", "y", levels), "usage_30d", levels)
+    """Five quantiles of usage for 30 and 90 days, learned on 60 % of the accounts, their outer ends moved by the margin of 20 %."""
+    rows = t.scores().where(F.col("usage_30d").isNotNull()).select("acc_id", F.col("usage_30d").alias("anchor_30d"), (F.col("usage_30d") * 3).alias("anchor_90d"))
+    rows = keep(labels.hashed_split(rows.join(labels.labels_credit(*t.all, CUTOFF), "acc_id")))
+    out = rows.select("acc_id", "split", "usage_30d", "usage_90d")
+    for d in (30, 90):
+        one = models.quantile_forecast(rows, f"anchor_{d}d", f"usage_{d}d")
+        out = out.join(one.select("acc_id", *[F.col(c).alias(f"{c}_{d}d") for c in models.QUANTILE_NAMES]), "acc_id")
+    return out.withColumn("p50_90d", F.greatest("p50_90d", "p50_30d")).withColumn("p90_90d", F.greatest("p90_90d", "p50_90d")).withColumn("p75_90d", F.greatest("p75_90d", "p50_90d"))
 
 
-@query()
-def bootstrap_ci(t: Tables) -> DataFrame:
-    return metrics.bootstrap_mean(t.judged(), F.pow(F.col("p") - F.col("y"), F.lit(2)), "acc_id")
+@query(" UNION ALL ".join(f"SELECT round(CASE WHEN slope < 0.01 OR n < 2 THEN 1 ELSE least(slope, 20) END, 6) AS slope, round(CASE WHEN slope < 0.01 OR n < 2 THEN 0 ELSE intercept END, 4) AS intercept FROM (SELECT regr_slope(y, {p}) AS slope, regr_intercept(y, {p}) AS intercept, regr_count(y, {p}) AS n FROM valued)" for p in ("p", "-p")))
+def magnitude_guarded(t: Tables) -> DataFrame:
+    """The calibration line of value, and of the mirrored predictions: one of the two runs against the actual values."""
+    rows = t.valued()
+    lines = models.magnitude_line(rows, "p", "y").unionByName(models.magnitude_line(rows.withColumn("p", -F.col("p")), "p", "y"))
+    return lines.select("slope", F.round("intercept", 4).alias("intercept"))
 
 
 @query("SELECT * FROM (VALUES ('customers.acc_id_exists', 'blocker', true, 1.0::DOUBLE), ('customers.email_exists', 'blocker', false, 0.0)) v(\"check\", severity, passed, value)")
@@ -317,9 +375,70 @@ def model_performance(t: Tables) -> DataFrame:
     return registry.model_performance(_versions(t), _aliases(t), "pr_auc")
 
 
+HISTORY = "model_type string, previous string, version string, action string, reason string"
+
+
+def _promotion(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    versions = _versions(t).withColumn("status", F.when(F.col("version").endswith("05.1") | (F.col("model_type") == "clv"), "production").otherwise("candidate"))
+    return registry.promote(versions, _aliases(t), t.spark.createDataFrame([], HISTORY), "churn", "churn-2024.06.1", "best")
+
+
 @query("SELECT * FROM (VALUES ('churn', 'champion', 'churn-2024.06.1'), ('clv', 'champion', 'clv-2024.06.1')) v(model_type, alias, version)")
 def promote(t: Tables) -> DataFrame:
-    return registry.promoted(_aliases(t), "churn", "churn-2024.06.1")
+    return _promotion(t)[1]
+
+
+@query("SELECT * FROM (VALUES ('churn-2024.05.1', 'archived'), ('churn-2024.06.1', 'production'), ('churn-2024.06.2', 'candidate'), ('clv-2024.06.1', 'production')) v(version, status)")
+def promoted_versions(t: Tables) -> DataFrame:
+    return _promotion(t)[0].select("version", "status")
+
+
+@query("SELECT 'churn' AS model_type, 'churn-2024.05.1' AS previous, 'churn-2024.06.1' AS version, 'promote' AS action, 'best' AS reason")
+def promotion_history(t: Tables) -> DataFrame:
+    return _promotion(t)[2]
+
+
+@query("SELECT * FROM (VALUES ('kept champion', 4::BIGINT), ('deleted', 3), ('unknown', 4)) v(what, n)")
+def delete_version(t: Tables) -> DataFrame:
+    """A champion stays, another version goes."""
+    left = {"kept champion": "churn-2024.05.1", "deleted": "churn-2024.06.2", "unknown": "none"}
+    return union_all([registry.deleted(_versions(t), _aliases(t), v).agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "n") for k, v in left.items()])
+
+
+METERED = [("churn-2024.05.1", "holdout", 0.5), ("churn-2024.05.1", "backtest", 0.4), ("churn-2024.05.1", "backtest", 0.6), ("churn-2024.06.1", "holdout", 0.7), ("churn-2024.06.1", "baseline", 0.3)]
+
+
+@query("SELECT * FROM (VALUES ('churn', 'churn-2024.06.1', 0.7::DOUBLE, NULL::DOUBLE, 0.3::DOUBLE, 1::BIGINT), ('churn', 'churn-2024.05.1', 0.5, 0.5, NULL, 2), ('churn', 'churn-2024.06.2', NULL, NULL, NULL, NULL), ('clv', 'clv-2024.06.1', NULL, NULL, NULL, NULL)) v(model_type, version, holdout, backtest, baseline, place)")
+def candidate_ranking(t: Tables) -> DataFrame:
+    rows = t.spark.createDataFrame([(v, k, f'{{"pr_auc": {x}}}') for v, k, x in METERED], "version string, kind string, metrics string")
+    return registry.ranked_candidates(_versions(t), rows, "pr_auc")
+
+
+IMPORTS = [(1, "importing", None, "2024-01-01 11:30:00"), (2, "cleaning", "2024-01-01 11:40:00", "2024-01-01 11:30:00"), (3, "importing", None, "2024-01-01 11:50:00"), (4, "ready", None, "2024-01-01 01:00:00")]
+
+
+@query("SELECT 1 AS id")
+def stale_imports(t: Tables) -> DataFrame:
+    rows = t.spark.createDataFrame(IMPORTS, "id int, import_status string, cleaned_at string, created_at string").withColumns({c: F.col(c).cast("timestamp") for c in ("cleaned_at", "created_at")})
+    return registry.stale_imports(rows, F.lit("2024-01-01 12:00:00").cast("timestamp")).select("id")
+
+
+JOBS = [("r1", "failed", "2024-01-01", "lost"), ("r2", "running", "2024-01-02", None), ("r3", "completed", "2024-01-03", None)]
+
+
+@query("SELECT * FROM (VALUES ('retry', 'r1', 'queued', NULL), ('retry', 'r2', 'running', '2024-01-02'), ('retry', 'r3', 'completed', '2024-01-03'), ('delete', 'r2', 'running', '2024-01-02'), ('delete', 'r3', 'completed', '2024-01-03'), ('protect', 'r1', 'failed', '2024-01-01'), ('protect', 'r2', 'running', '2024-01-02'), ('protect', 'r3', 'completed', '2024-01-03')) v(what, run_id, status, started_at)")
+def run_changes(t: Tables) -> DataFrame:
+    """A failed run and a running one retried, a failed one deleted, a completed one protected."""
+    jobs = t.spark.createDataFrame(JOBS, "run_id string, status string, started_at string, error string")
+    after = {"retry": registry.retried(registry.retried(jobs, "r1"), "r2"), "delete": registry.without_run(jobs, "r1", True), "protect": registry.without_run(jobs, "r3", True)}
+    return union_all([df.select(F.lit(k).alias("what"), "run_id", "status", "started_at") for k, df in after.items()])
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS value FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, 0.0 FROM orders WHERE o_orderkey % 3 = 0")
+def keyed_merge(t: Tables) -> DataFrame:
+    """Rows of a feature set replaced by their key."""
+    old = adapter.table(t.spark, t.folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
+    return sinks.merged(old, old.where("id % 3 = 0").withColumn("value", F.lit(0.0)), ["id"])
 
 
 @query("SELECT 'r2' AS run_id")
@@ -358,18 +477,3 @@ def run_insight_signals(t: Tables) -> DataFrame:
 @query("SELECT round((SELECT avg(y) FROM (SELECT * FROM judged QUALIFY row_number() OVER (ORDER BY p DESC, acc_id) <= ceil(count(*) OVER () * 0.2))) / avg(y), 6) AS lift FROM judged")
 def lift_at_k(t: Tables) -> DataFrame:
     return metrics.at_k(t.judged(), "p", "y", 0.2, "acc_id").select("lift")
-
-
-@query()
-def realized_credit(t: Tables) -> DataFrame:
-    rows = t.scores().where(F.col("usage_30d").isNotNull()).select("acc_id", F.col("usage_30d").alias("p")).join(labels.labels_credit(*t.all, CUTOFF).select("acc_id", F.col("usage_30d").alias("y")), "acc_id")
-    return metrics.regression_metrics(rows, "p", "y")
-
-
-@query("SELECT 'scaled_rows' AS \"check\", 'blocker' AS severity, true AS passed, CAST(count(*) AS DOUBLE) AS value FROM features")
-def gate_preprocessing(t: Tables) -> DataFrame:
-    """Scaling fitted on training rows keeps every row and leaves no null."""
-    by = models.fit_scaling(t.features().where("acc_id % 5 <> 0"), NAMES)
-    out = models.scaled(t.features().select("acc_id", *NAMES), NAMES, by)
-    held = sum((F.col(c).isNull().cast("int") for c in NAMES), F.lit(0))
-    return gates.report(out.agg(F.count("*").alias("n"), F.sum(held).alias("nulls")), [("scaled_rows", gates.BLOCKER, "n", F.col("nulls") == 0)])

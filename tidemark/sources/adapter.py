@@ -15,11 +15,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every third account has a mail credit, every second a mail status, four of five a last access, none a last send."""
+    key = F.col("c_custkey")
+    start = F.lit("1994-01-01").cast("date")
     return table(spark, folder, "customer").select(
-        F.col("c_custkey").cast("int").alias("acc_id"),
+        key.cast("int").alias("acc_id"),
         F.lower("c_mktsegment").alias("status_sms"),
         F.col("c_acctbal").alias("credit_sms"),
-        F.date_add(F.lit("1994-01-01").cast("date"), (F.col("c_custkey") % 730).cast("int")).alias("join_date"),
+        F.when(key % 3 == 0, F.col("c_acctbal") / 2).alias("credit_email"),
+        F.date_add(start, (key % 1500).cast("int")).alias("expire_sms"),
+        F.when(key % 2 == 0, F.date_add(start, (key % 900).cast("int"))).alias("expire_email"),
+        F.when(key % 2 == 1, F.when(key % 10 == 1, "gold").otherwise("paid")).alias("status_email"),
+        F.date_add(start, (key % 730).cast("int")).alias("join_date"),
+        F.when(key % 5 > 0, F.date_add(start, (key % 1000).cast("int")).cast("timestamp_ntz")).alias("last_access"),
+        F.lit(None).cast("timestamp_ntz").alias("last_send"),
     )
 
 
@@ -42,12 +51,13 @@ def period_of(year: Column, month: Column) -> Column:
 
 
 def usage(spark: SparkSession, folder: str) -> DataFrame:
+    """Monthly sums. A filter on ``period`` reaches below the aggregation and the join."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_shipdate", "l_quantity", "l_linestatus", "l_returnflag")
     owner = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     source = F.when(F.col("l_returnflag") == "A", "bc").when(F.col("l_returnflag") == "N", "api").otherwise("otp")
     rows = lines.join(owner, lines["l_orderkey"] == owner["o_orderkey"]).select(
-        F.col("o_custkey").cast("int").alias("acc_id"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"),
+        F.col("o_custkey").cast("int").alias("acc_id"), F.trunc(F.col("l_shipdate").cast("date"), "month").alias("period"),
         F.when(F.col("l_linestatus") == "O", "sms").otherwise("email").alias("channel"), source.alias("usage_source"), "l_quantity",
     )
-    sums = rows.groupBy("acc_id", "year", "month", "channel", "usage_source").agg(F.sum("l_quantity").alias("usage"))
-    return sums.withColumn("period", period_of(F.col("year"), F.col("month")))
+    sums = rows.groupBy("acc_id", "period", "channel", "usage_source").agg(F.sum("l_quantity").alias("usage"))
+    return sums.select("acc_id", F.year("period").alias("year"), F.month("period").alias("month"), "channel", "usage_source", "usage", "period")

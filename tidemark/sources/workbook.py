@@ -33,6 +33,11 @@ def _column(reference: str) -> int:
     return n - 1
 
 
+def sheet_names(content: bytes) -> list[str]:
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        return [s.get("name") for s in ET.fromstring(book.read("xl/workbook.xml")).iter(f"{_NS}sheet")]
+
+
 def sheet_rows(content: bytes, sheet: str) -> Iterator[tuple[int, dict[str, str | None]]]:
     """(row number, header to cell) of a sheet, blank rows left out; missing sheets raise."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
@@ -102,14 +107,18 @@ def read_workbooks(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     return files.mapInPandas(rows, SCHEMA)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """RFC 4180 files: header, quotes doubled, CRLF."""
-    df.write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
+def missing_sheets(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """file, missing: of every workbook, the required sheets that it doesn't have; further sheets don't matter."""
 
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            missing = [[s for s in required if s not in set(sheet_names(bytes(c)))] for c in batch["content"]]
+            yield pd.DataFrame({"file": [p.rsplit("/", 1)[-1] for p in batch["path"]], "missing": missing})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    return files.mapInPandas(look, "file string, missing array<string>")
 
-def write_run(df: DataFrame, path: str, run_id: str) -> None:
-    """Outputs of one run: its partition is replaced, other runs stay; one row per account."""
-    from pyspark.sql import functions as F
 
-    rows = df.dropDuplicates(["acc_id"]).withColumn("prediction_run_id", F.lit(run_id))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prediction_run_id").parquet(path)
+def write_csv(df: DataFrame, path: str) -> None:
+    """RFC 4180 files: header, quotes doubled, CRLF."""
+    df.write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
