@@ -167,6 +167,21 @@ def test_models_learn_what_is_there(spark):
     assert {r.feature for r in models.importances(rows.drop("value"), names, "y", 2).collect()} == {"a", "b"}
 
 
+def test_leakage_suite_finds_a_leak_and_passes_honest_rows(spark):
+    from tidemark.operators import leakage
+
+    rows = spark.range(900).select(F.col("id").cast("int").alias("acc_id"), F.randn(1).alias("a"), F.randn(2).alias("b"), F.rand(3).alias("u")).coalesce(1)
+    rows = labels.hashed_split(rows.withColumn("y", (F.col("u") < 1 / (1 + F.exp(-F.col("a")))).cast("int")).drop("u").checkpoint())
+    honest = {r.check: r.passed for r in leakage.churn_suite(rows, ["a", "b"], "y", shuffles=3).collect()}
+    assert honest == dict.fromkeys(honest, True) and len(honest) == 5
+    leaky = rows.withColumn("b", F.col("y") + F.col("b") / 100).unionByName(rows.where("split = 'test'").limit(5).withColumn("split", F.lit("train")))
+    found = {r.check: r.passed for r in leakage.churn_suite(leaky, ["a", "b"], "y", shuffles=3).collect()}
+    assert not found["single_feature_auc"] and not found["score_sanity"] and not found["split_contamination"]
+    dealt = leakage.shuffled(rows, "y", 1)
+    assert dealt.agg(F.sum("y"), F.count("*")).first() == rows.agg(F.sum("y"), F.count("*")).first()
+    assert dealt.withColumnRenamed("y", "z").join(rows, "acc_id").where("z <> y").count() > 200
+
+
 def test_forecast_covers_what_it_says(spark):
     from tidemark.operators import models
 

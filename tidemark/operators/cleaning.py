@@ -14,13 +14,24 @@ USAGE_SHEETS = {
 SERIAL_EPOCH = "1899-12-30"
 
 
+def excel_cell(stamp: Column) -> Column:
+    """A date cell as JSON: its ISO text and its serial."""
+    return F.to_json(F.struct(F.lit(True).alias("_excel"), F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("iso"), excel_serial(stamp).alias("serial")))
+
+
+def _date_part(cell: Column, name: str) -> Column:
+    """A field of a date cell; null for any other cell."""
+    return F.when(cell.startswith('{"_excel"'), F.nullif(F.get_json_object(cell, f"$.{name}"), F.lit("")))
+
+
 def clean_string(cell: Column) -> Column:
-    return F.nullif(F.trim(cell), F.lit(""))
+    """Trimmed text; of a date cell its ISO text, else its serial."""
+    return F.coalesce(_date_part(cell, "iso"), _date_part(cell, "serial"), F.nullif(F.trim(cell), F.lit("")))
 
 
 def clean_numeric(cell: Column) -> Column:
     """A finite number or null."""
-    x = F.trim(cell).try_cast("double")
+    x = clean_string(cell).try_cast("double")
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
@@ -31,11 +42,17 @@ def clean_int(cell: Column) -> Column:
 
 
 def clean_date(cell: Column) -> Column:
-    """An ISO date or time, or a bare number of days since the serial epoch."""
+    """A date cell, an ISO date or time, or a bare number of days since the serial epoch."""
+    text = clean_string(cell)
     serial = clean_numeric(cell)
     micros = F.unix_micros(F.lit(SERIAL_EPOCH).cast("timestamp")) + F.round(serial * 86_400_000_000).cast("long")
     of_serial = F.when(F.abs(serial) < 1e7, F.timestamp_micros(micros))
-    return F.coalesce(of_serial, F.trim(cell).try_cast("timestamp"))
+    return F.coalesce(of_serial, text.try_cast("timestamp"))
+
+
+def clean_day(cell: Column) -> Column:
+    """The UTC day of a date cell, as text (sessions run in UTC)."""
+    return F.date_format(clean_date(cell), "yyyy-MM-dd")
 
 
 def excel_serial(stamp: Column) -> Column:
@@ -64,8 +81,15 @@ def cell(name: str) -> Column:
 
 
 def clean_customers(raw: DataFrame) -> DataFrame:
-    """Rows without an account are skipped; missing credits are zero."""
-    out = raw.select("source_id", clean_int(cell("acc_id")).cast("int").alias("acc_id"), F.lower(clean_string(cell("status (SMS)"))).alias("status_sms"), F.coalesce(clean_numeric(cell("credit")), F.lit(0.0)).alias("credit_sms"), clean_date(cell("join_date")).cast("date").alias("join_date"))
+    """All ten columns; rows without an account are skipped; missing credits are zero; headers may be long or short."""
+    either = lambda *names: F.coalesce(*[cell(n) for n in names])
+    day = lambda name: clean_date(cell(name)).cast("date")
+    out = raw.select(
+        "source_id", clean_int(cell("acc_id")).cast("int").alias("acc_id"), F.lower(clean_string(either("status (SMS)", "status_sms"))).alias("status_sms"),
+        F.coalesce(clean_numeric(either("user.credit + user.credit_premium", "credit_sms")), F.lit(0.0)).alias("credit_sms"), F.coalesce(clean_numeric(cell("credit_email")), F.lit(0.0)).alias("credit_email"),
+        day("expire").alias("expire_sms"), day("expire_email").alias("expire_email"), F.lower(clean_string(either("status (Email)", "status_email"))).alias("status_email"), day("join_date").alias("join_date"),
+        clean_date(cell("last_access")).cast("timestamp_ntz").alias("last_access"), clean_date(cell("last_send")).cast("timestamp_ntz").alias("last_send"),
+    )
     return out.where(F.col("acc_id").isNotNull())
 
 
@@ -89,10 +113,16 @@ def usage_union(sheets: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def clean_manifest(raw: DataFrame) -> DataFrame:
-    """Counts of a payments sheet: raw, clean, and why rows were skipped."""
-    no_id, no_date = clean_int(cell("acc_id")).isNull(), clean_date(cell("payment_date")).isNull()
-    return raw.agg(F.count("*").alias("raw"), F.count_if(~no_id & ~no_date).alias("clean"), F.count_if(no_id).alias("no_account"), F.count_if(~no_id & no_date).alias("no_date"))
+def clean_manifest(sheets: dict[str, DataFrame]) -> DataFrame:
+    """A row a sheet: raw and clean rows, why rows were skipped, and months outside of 1 to 12, which are kept."""
+    out = None
+    for sheet, raw in sheets.items():
+        no_id = clean_int(cell("acc_id")).isNull()
+        no_date = ~no_id & clean_date(cell("payment_date")).isNull() if sheet == "Backend_payment" else F.lit(False)
+        odd = ~no_id & ~F.coalesce(clean_int(cell("month")).between(1, 12), F.lit(False)) if sheet in USAGE_SHEETS else F.lit(False)
+        one = raw.agg(F.lit(sheet).alias("sheet"), F.count("*").alias("raw"), F.count_if(~no_id & ~no_date).alias("clean"), F.count_if(no_id).alias("no_account"), F.count_if(no_date).alias("no_date"), F.count_if(odd).alias("odd_months"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def new_sources(files: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import union_all
-from tidemark.operators import cleaning, gates, labels, metrics, models, outcomes
+from tidemark.operators import cleaning, gates, labels, leakage, metrics, models, outcomes
 from tidemark.operators.features import FEATURES
 from tidemark.plans import catalog
 from tidemark.plans.catalog import CUTOFF, Tables, query
@@ -307,3 +307,27 @@ def gate_required_headers(t: Tables) -> DataFrame:
     required = {"users": ["acc_id"], "payments": ["acc_id", "uid", "payment_date"]}
     missing = {s: cleaning.missing_headers(df, required[s]) for s, df in sheets.items()}
     return t.spark.createDataFrame([(s, ",".join(m), not m) for s, m in missing.items()], "sheet string, missing string, complete boolean")
+
+
+# Leakage.
+
+
+@query(f"""SELECT feature, round(greatest(a, 1 - a), 4) AS auc FROM (SELECT feature, coalesce((sum(r) FILTER (churned = 1) - sum(churned) * (sum(churned) + 1) / 2) / nullif(sum(churned) * (count(*) - sum(churned)), 0), 0.5) AS a
+  FROM (SELECT feature, churned, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS r
+    FROM (SELECT feature, churned, coalesce(value, 0) AS value FROM {catalog.unpivoted('(SELECT * FROM features JOIN churn USING (acc_id) WHERE acc_id % 10 IN (6, 7))', 'churned')})) GROUP BY 1)""")
+def leak_auc_scan(t: Tables) -> DataFrame:
+    rows = labels.hashed_split(t.features().join(t.churn(), "acc_id"))
+    return leakage.feature_auc_scan(rows.where("split = 'validation'"), FEATURES, "churned")
+
+
+@query()
+def leak_churn_suite(t: Tables) -> DataFrame:
+    rows = labels.hashed_split(t.features().select("acc_id", *_PREPARED).join(t.churn(), "acc_id"))
+    return leakage.churn_suite(rows, _PREPARED, "churned")
+
+
+@query()
+def leak_value_suite(t: Tables) -> DataFrame:
+    names = ["total_revenue_180d", "usage_total_180d", "payment_count_180d"]
+    rows = labels.hashed_split(t.features().select("acc_id", *names).join(t.clv().drop("purchased"), "acc_id"))
+    return leakage.value_suite(rows, names, "future_revenue")

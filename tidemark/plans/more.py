@@ -18,16 +18,17 @@ from tidemark.streaming.monthly import windowed_usage
 
 NAMES = ["usage_total_180d", "total_revenue_180d", "payment_overdue_ratio", "usage_slope_6m", "days_since_last_activity"]
 
-CELLS = [None, "", "  ", " a b ", "12", " 12.9 ", "-3.7", "1e3", "NaN", "Infinity", "abc", "2024-02-29", "2023-02-29", "45351", "45351.5", "2024-01-05 10:30:00"]
+CELLS = [None, "", "  ", " a b ", "12", " 12.9 ", "-3.7", "1e3", "NaN", "Infinity", "abc", "2024-02-29", "2023-02-29", "45351", "45351.5", "2024-01-05 10:30:00", '{"_excel":true,"iso":"2024-01-05T10:30:00.000Z","serial":45296.4375}', '{"_excel":true,"serial":45351}']
 _VALUES = "(VALUES " + ", ".join("(NULL)" if c is None else f"('{c}')" for c in CELLS) + ") v(cell)"
-_NUMBER = "CASE WHEN isfinite(TRY_CAST(trim(cell) AS DOUBLE)) THEN TRY_CAST(trim(cell) AS DOUBLE) END"
+_TEXT = "coalesce(CASE WHEN starts_with(cell, '{\"_excel\"') THEN coalesce(cell->>'iso', cell->>'serial') END, nullif(trim(cell), ''))"
+_NUMBER = "CASE WHEN isfinite(TRY_CAST({0} AS DOUBLE)) THEN TRY_CAST({0} AS DOUBLE) END".format(_TEXT)
 
 
 def _cells(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(c,) for c in CELLS], "cell string")
 
 
-@query(f"SELECT cell, nullif(trim(cell), '') AS value FROM {_VALUES}")
+@query(f"SELECT cell, {_TEXT} AS value FROM {_VALUES}")
 def clean_string(t: Tables) -> DataFrame:
     return _cells(t).select("cell", cleaning.clean_string(F.col("cell")).alias("value"))
 
@@ -42,7 +43,7 @@ def clean_int(t: Tables) -> DataFrame:
     return _cells(t).select("cell", cleaning.clean_int(F.col("cell")).alias("value"))
 
 
-@query(f"SELECT cell, strftime(coalesce(CASE WHEN abs({_NUMBER}) < 1e7 THEN TIMESTAMP '1899-12-30' + to_microseconds(CAST(round({_NUMBER} * 86400000000) AS BIGINT)) END, CASE WHEN isfinite(TRY_CAST(trim(cell) AS TIMESTAMP)) THEN TRY_CAST(trim(cell) AS TIMESTAMP) END), '%Y-%m-%d %H:%M:%S') AS value FROM {_VALUES}")
+@query(f"SELECT cell, strftime(coalesce(CASE WHEN abs({_NUMBER}) < 1e7 THEN TIMESTAMP '1899-12-30' + to_microseconds(CAST(round({_NUMBER} * 86400000000) AS BIGINT)) END, CASE WHEN isfinite(TRY_CAST({_TEXT} AS TIMESTAMP)) THEN TRY_CAST({_TEXT} AS TIMESTAMP) END), '%Y-%m-%d %H:%M:%S') AS value FROM {_VALUES}")
 def clean_date(t: Tables) -> DataFrame:
     return _cells(t).select("cell", F.date_format(cleaning.clean_date(F.col("cell")), "yyyy-MM-dd HH:mm:ss").alias("value"))
 
@@ -73,14 +74,33 @@ def clean_payments(t: Tables) -> DataFrame:
     return cleaning.clean_payments(_raw_payments(t)).withColumn("payment_date", F.date_format("payment_date", "yyyy-MM-dd"))
 
 
-@query("SELECT 4::BIGINT AS raw, 2::BIGINT AS clean, 1::BIGINT AS no_account, 1::BIGINT AS no_date")
+@query("SELECT * FROM (VALUES ('Backend_payment', 4::BIGINT, 2::BIGINT, 1::BIGINT, 1::BIGINT, 0::BIGINT), ('SMS_usage (BC)', 3, 2, 1, 0, 1), ('Users+User_profile', 3, 2, 1, 0, 0)) v(sheet, raw, clean, no_account, no_date, odd_months)")
 def clean_manifest(t: Tables) -> DataFrame:
-    return cleaning.clean_manifest(_raw_payments(t))
+    return cleaning.clean_manifest({"Backend_payment": _raw_payments(t), "SMS_usage (BC)": _raw(t, USAGE_ROWS, ["acc_id", "year", "month", "usage"]), "Users+User_profile": _raw_customers(t)})
 
 
-@query("SELECT * FROM (VALUES ('s1', 1, 'paid', 2.5::DOUBLE, DATE '2024-01-02'), ('s1', 2, NULL, 0.0, NULL)) v(source_id, acc_id, status_sms, credit_sms, join_date)")
+USER_HEADERS = ["acc_id", "status (SMS)", "user.credit + user.credit_premium", "credit_email", "expire", "expire_email", "status (Email)", "join_date", "last_access", "last_send"]
+USERS = [
+    ("1", "PAID", "2.5", "7", "45351", None, " Free ", "2024-01-02", "2024-01-05 10:30:00", '{"_excel":true,"iso":"2024-01-05T10:30:00.000Z","serial":45296.4375}'),
+    ("2", " ", None, "x", None, "soon", None, "never", None, None), ("x", "paid", "1", None, None, None, None, None, None, None),
+]
+
+
+def _raw_customers(t: Tables) -> DataFrame:
+    return _raw(t, USERS, USER_HEADERS)
+
+
+@query("""SELECT * FROM (VALUES ('s1', 1, 'paid', 2.5::DOUBLE, 7.0::DOUBLE, DATE '2024-02-29', NULL::DATE, 'free', DATE '2024-01-02', TIMESTAMP '2024-01-05 10:30:00', TIMESTAMP '2024-01-05 10:30:00'),
+  ('s1', 2, NULL, 0.0, 0.0, NULL, NULL, NULL, NULL, NULL, NULL)) v(source_id, acc_id, status_sms, credit_sms, credit_email, expire_sms, expire_email, status_email, join_date, last_access, last_send)""")
 def clean_customers(t: Tables) -> DataFrame:
-    return cleaning.clean_customers(_raw(t, [("1", "PAID", "2.5", "2024-01-02"), ("2", " ", None, "never"), ("x", "paid", "1", None)], ["acc_id", "status (SMS)", "credit", "join_date"]))
+    return cleaning.clean_customers(_raw_customers(t))
+
+
+@query("SELECT o_orderkey, '{\"_excel\":true,\"iso\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || 'Z\"' AS start, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
+def excel_cells(t: Tables) -> DataFrame:
+    """Order dates as date cells (up to the serial, whose digits engines print differently) and the days read back from them."""
+    cells = adapter.table(t.spark, t.folder, "orders").select("o_orderkey", cleaning.excel_cell(F.col("o_orderdate")).alias("cell"))
+    return cells.select("o_orderkey", F.substring_index("cell", ",\"serial", 1).alias("start"), cleaning.clean_day(F.col("cell")).alias("day"))
 
 
 USAGE_ROWS = [("1", "2024", "5", "7"), ("1", "2024", "13", None), (None, "2024", "1", "1")]
@@ -92,10 +112,9 @@ def usage_union(t: Tables) -> DataFrame:
     return cleaning.usage_union({sheet: raw for sheet in cleaning.USAGE_SHEETS})
 
 
-@query("SELECT * FROM (VALUES ('SMS_usage (BC)', 1::BIGINT, 's1', 1, 2024, 5, 7.0::DOUBLE)) v(sheet, n, source_id, acc_id, year, month, usage)")
+@query("SELECT * FROM (VALUES ('s1', 1, 2024, 5, 7.0::DOUBLE, 'sms', 'bc'), ('s1', 1, 2024, 13, 0.0, 'sms', 'bc')) v(source_id, acc_id, year, month, usage, channel, usage_source)")
 def clean_usage(t: Tables) -> DataFrame:
-    rows = cleaning.clean_usage(_raw(t, USAGE_ROWS[:1], ["acc_id", "year", "month", "usage"]), "SMS_usage (BC)")
-    return rows.select(F.lit("SMS_usage (BC)").alias("sheet"), F.lit(1).cast("long").alias("n"), "source_id", "acc_id", "year", "month", "usage")
+    return cleaning.clean_usage(_raw(t, USAGE_ROWS, ["acc_id", "year", "month", "usage"]), "SMS_usage (BC)")
 
 
 @query("SELECT * FROM (VALUES (2024, 1, DATE '2024-01-01'), (2024, 13, NULL), (2024, 0, NULL), (NULL, 5, NULL)) v(year, month, period)")
