@@ -35,8 +35,8 @@ from tidemark.llm.frames import keep_plan_short, map_slices, texts_of
 ORDERS = (4, 5, 6)
 BITS = 20
 CHUNK_BYTES = 1 << 18
-#: Tasks that the training rows (a bounded sample) are read by, and so vectors that are added up in a step.
-TRAINING_TASKS = 16
+#: Tasks that the training rows (a bounded sample) are dealt to, and so vectors that are added up in a step.
+TRAINING_TASKS = 48
 #: Features whose counts travel together.
 SLICE = 1 << 16
 SCORE_SCHEMA = "doc_id long, score double"
@@ -121,7 +121,7 @@ def informative(counted: DataFrame, n_clean: int, n_toxic: int, n_features: int,
 def learn_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_features: int = 1 << 12, min_z: float = 4.0, steps: int = 30, l2: float = 1e-3, toxic_share: float = 0.3) -> Toxicity:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     weight = np.zeros(1 << BITS, np.float64)
-    rows = keep_plan_short(training_rows(docs, labels, max_rows).coalesce(TRAINING_TASKS))
+    rows = keep_plan_short(training_rows(docs, labels, max_rows).repartition(TRAINING_TASKS))
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
     if not n_clean or not n_toxic:
