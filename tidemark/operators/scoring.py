@@ -135,12 +135,6 @@ def clv_tail_blend(df: DataFrame, frequency: str, revenue: str, base: str, other
     return df.join(F.broadcast(cuts)).withColumn("blended", F.when(tail, F.greatest(base, other)).otherwise(F.col(base))).drop("__f", "__r", "__n")
 
 
-def forecast_guard(df: DataFrame) -> DataFrame:
-    """Quantiles ordered around the pinned median, and 90 days not under 30 days."""
-    p10, p50, p90 = F.col("p10"), F.col("p50"), F.col("p90")
-    return df.withColumn("p10", F.least(p10, p50)).withColumn("p90", F.greatest(p90, p50)).withColumn("p50_90d", F.greatest("p50_90d", "p50"))
-
-
 #: Why an account is not scored by a model: by stage, for churn and for the other two.
 _CHURN_REASONS = {"Active Free": "never_paid", "Churned": "already_churned", "Ghost": "no_history"}
 _OTHER_REASONS = {"Churned": "inactive", "Ghost": "no_history"}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import quantiles_row, union_all
 from tidemark.functions.storage import keep
-from tidemark.operators import cleaning, gates, labels, lifetime, metrics, models, registry, reports, scoring
+from tidemark.operators import cleaning, gates, labels, lifetime, metrics, models, promotion, registry, reports, scoring
 from tidemark.operators.features import FEATURES
 from tidemark.plans import guarded_sql
 from tidemark.plans.catalog import CUTOFF, Tables, query
@@ -290,10 +290,34 @@ def guarded_refusals(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(found, "id int, allowed boolean")
 
 
-@query("SELECT acc_id, usage_30d, days_to_topup, observed FROM (SELECT acc_id, coalesce(sum(usage) FILTER (period >= DATE '1996-01-01' AND period < DATE '1996-01-31'), 0) AS usage_30d FROM spine LEFT JOIN usage USING (acc_id) GROUP BY 1) LEFT JOIN (SELECT acc_id, CAST(date_diff('day', DATE '1996-01-01', CAST(min(payment_date) AS DATE)) AS DOUBLE) AS days_to_topup, 1 AS observed FROM payments WHERE payment_date >= TIMESTAMP '1996-01-01' GROUP BY 1) USING (acc_id)")
+_CREDIT = "(SELECT acc_id, coalesce(sum(usage) FILTER (period >= DATE '1996-01-01' AND period < DATE '1996-01-31'), 0) AS usage_30d, coalesce(sum(usage) FILTER (period >= DATE '1996-01-01' AND period < DATE '1996-03-31'), 0) AS usage_90d FROM spine LEFT JOIN usage USING (acc_id) GROUP BY 1)"
+_TOPUP = "(SELECT acc_id, CAST(date_diff('day', DATE '1996-01-01', CAST(min(payment_date) AS DATE)) AS DOUBLE) AS days_to_topup, 1 AS observed FROM payments WHERE payment_date >= TIMESTAMP '1996-01-01' GROUP BY 1)"
+
+
+@query(f"SELECT acc_id, round(credit_balance_proxy, 6) AS credit_balance_proxy, round(usage_recent_90d, 6) AS usage_recent_90d, usage_30d, usage_90d, days_to_topup, observed FROM features JOIN {_CREDIT} USING (acc_id) LEFT JOIN {_TOPUP} USING (acc_id)")
 def dataset_credit(t: Tables) -> DataFrame:
+    """Features, usage of both horizons and, where there is one, the next payment."""
     top = labels.labels_topup(*t.all, CUTOFF).where("observed = 1")
-    return labels.labels_credit(*t.all, CUTOFF).select("acc_id", "usage_30d").join(top, "acc_id", "left")
+    return t.features().select("acc_id", "credit_balance_proxy", "usage_recent_90d").join(labels.labels_credit(*t.all, CUTOFF), "acc_id").join(top, "acc_id", "left")
+
+
+@query("SELECT acc_id, CASE WHEN acc_id % 3 = 0 THEN 10 + acc_id % 2 ELSE days_to_topup END AS days FROM d0")
+def topup_days_model(t: Tables) -> DataFrame:
+    """A model's days where it has any (here every third account), else the rule's."""
+    model = F.when(F.col("acc_id") % 3 == 0, 10.4 + 0.2 * (F.col("acc_id") % 2))
+    return t.scores().select("acc_id", scoring.topup_days(F.col("credit_balance_proxy"), F.col("usage_30d"), model).alias("days"))
+
+
+TRAINED = [("strong", True, True, 0.8, 0.82, 0.5, 0.5, 0.061), ("weak", True, True, 0.6, 0.6, 0.5, 0.5, 0.01), ("leaky", False, True, 0.9, 0.9, 0.5, 0.5, 0.01), ("off", True, True, 0.9, 0.9, 0.5, 0.5, 0.3)]
+
+
+@query("SELECT * FROM (VALUES ('strong', true, ''), ('weak', true, ''), ('leaky', false, 'leakage'), ('off', false, 'calibration')) v(name, eligible, reasons)")
+def promotion_reasons(t: Tables) -> DataFrame:
+    """Which candidates may replace the champion, and why not."""
+    head = "name string, leakage_ok boolean, artifact_ok boolean, validation double, test double, baseline_validation double, baseline_test double, calibration_error double"
+    tests = [(r[0], c, r[3], 0.5, None) for r in TRAINED for c in "ab"]
+    backtests = t.spark.createDataFrame(tests, "name string, cutoff string, value double, baseline double, champion double")
+    return promotion.judged(t.spark.createDataFrame(TRAINED, head), backtests, ceiling=0.15, target=0.05).select("name", "eligible", "reasons")
 
 
 @query("SELECT count(*) AS customers, count(DISTINCT status_sms) AS statuses, round(avg(credit_sms), 4) AS mean_credit FROM customers", digits=4)
