@@ -16,7 +16,7 @@ of any other. So a shard has a proven bound, and no hot bucket exists to be spli
 The trees are dealt to their shards by a shuffle instead of being broadcast: broadcasting would send all fingerprints
 to the driver, which grows with the corpus.
 
-Null texts are like empty ones; null doc_ids count as documents but never name a component (a component of such rows
+Very long texts are hashed whole, one at a time, in memory that grows with the text. Null texts are like empty ones; null doc_ids count as documents but never name a component (a component of such rows
 only has a null id); repeated rows stay repeated; an empty table gives an empty result; other columns are not read.
 """
 
@@ -505,7 +505,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group of near copies; all columns stay. Repeated rows count as copies."""
+    """``docs`` with one document of each group of near copies (see ``near_duplicates``).
+
+    All columns stay, whatever their names. Repeated rows count as copies; an empty table stays empty.
+    """
     judged = keep_plan_short(near_duplicates(docs, similarity).where(~F.col("keep") | (F.col("n_rows") > 1)))
     sized = F.broadcast if judged.count() <= DROPPED_ROWS else (lambda df: df)
     name = free_name(docs, "text_hash")
