@@ -462,3 +462,19 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
         assert {r.doc_id for r in docs.select("doc_id").collect()} == ids, name
     assert "0123456789abcdef" not in docs.where("doc_id = 453").first().text
     assert pipeline.run(spark, str(tmp_path)).count() == 301
+
+
+def test_pipeline_of_odd_rows_and_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, token string"
+    odd = [(1, None), (2, ""), (None, "no id at all here"), (4, "token = 0123456789abcdef"), (4, "token = 0123456789abcdef"), (5, "some words of a text")]
+    for name, rows in (("odd", odd), ("none", [])):
+        spark.createDataFrame([(i, t, None, None, None, "x") for i, t in rows], schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/odd")
+    got = sorted(((r.doc_id, r.text, r.token) for r in docs.collect()), key=str)
+    assert got == sorted([(1, None, "x"), (None, "no id at all here", "x"), (4, "[assign secret removed]", "x"), (5, "some words of a text", "x")], key=str)
+    assert pipeline.run(spark, f"{tmp_path}/odd").count() == 4 and pipeline.run(spark, f"{tmp_path}/none").count() == 0
