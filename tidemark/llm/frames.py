@@ -12,6 +12,8 @@ from tidemark.functions.storage import keep
 
 #: Rows of one Arrow batch handled at a time inside a task, so that memory follows the texts and not the batch size.
 SLICE_ROWS = 256
+#: Rows of one Arrow batch.
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
-    """Apply ``work`` to slices of at most ``rows`` rows of every Arrow batch; no shuffle."""
+    """Apply ``work`` to slices of at most ``rows`` rows of every Arrow batch; no shuffle.
+
+    Texts are long, so the session's Arrow batches are held at ``BATCH_ROWS`` rows: their buffers stand in the JVM and in
+    Python at once.
+    """
+    with_small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -28,10 +35,16 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
                 out = work(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()  # workers are reused by the next stage
 
     return df.mapInArrow(run, schema)
 
 
+def with_small_batches(session: SparkSession) -> None:
+    if not 0 < int(session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:  # none or less: no limit
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null becomes the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_windows import mixed
-from tidemark.llm.frames import free_name, keep_plan_short, map_slices, texts_of
+from tidemark.llm.frames import free_name, keep_plan_short, map_slices, texts_of, with_small_batches
 from tidemark.llm.links import components
 
 SEED = 42
@@ -289,6 +289,7 @@ def _from_low_bytes(blob: bytes) -> np.ndarray:
 def _units(keyed: DataFrame, similarity: float) -> DataFrame:
     """Every text's set in packed rows: its id, size, parity bitmap and the prefix in the order (common or not, hash)."""
     common = keyed.sparkSession.sparkContext.broadcast(_common_shingles(keyed))
+    with_small_batches(keyed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, held = TaskContext.get().partitionId() << 32, 0, 0

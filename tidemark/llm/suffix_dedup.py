@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_windows import gram_hash, mixed, prefix_sums, sliding_min, span_hash
-from tidemark.llm.frames import keep_plan_short, texts_of
+from tidemark.llm.frames import keep_plan_short, texts_of, with_small_batches
 
 NEED = 50
 K = 25
@@ -385,6 +385,7 @@ def _sample_splitters(chunks: DataFrame, n_chunks: int, buckets: int) -> np.ndar
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    with_small_batches(docs.sparkSession)
     chunks = keep_plan_short(docs.select("doc_id", "text").mapInArrow(_pack, CHUNK_SCHEMA))
     size = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
