@@ -179,8 +179,9 @@ def near_links(prints: DataFrame, masks: list[list[int]], radius: int, words: in
     the first member it is connected to there: one link a member at most. A link's own ends may be further apart.
     """
     masked: list[Column] = [F.struct(F.lit(i).alias("mask"), *[F.get("fingerprint", F.lit(w)).bitwiseAND(F.lit(m[w]).cast("long")).alias(f"part_{w}") for w in range(words)]) for i, m in enumerate(masks)]
-    # Few bytes, but each row becomes as many as there are masks: a number of its own keeps them in all tasks.
-    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    # Few bytes, but each row becomes as many as there are masks: a number of partitions keeps them in all tasks, by a key
+    # of its own, since a shuffle by the id alone would be taken for the one before.
+    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("id", F.lit(1)))
     shards = spread.select("id", "fingerprint", F.explode(F.array(*[F.xxhash64(m) for m in masked])).alias("shard"))
     full = shards.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("id", "fingerprint"))).alias("members")).where(F.size("members") > 1)
     return full.select("members").mapInArrow(_links(radius, words), "a long, b long").where(F.col("a") != F.col("b")).distinct()
