@@ -8,7 +8,7 @@ from os import environ
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_coding, chat_formatting, decontamination, license_scans, media_columns, secret_scans, simhash_dedup, suffix_dedup, toxicity, url_filters
+from tidemark.llm import bpe_coding, chat_formatting, decontamination, license_scans, media_columns, secret_scans, simhash_dedup, structure_repair, suffix_dedup, toxicity, url_filters, vector_codes
 from tidemark.llm.frames import table
 
 
@@ -136,6 +136,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = structure_repair.damage(table(spark, sf_dir, "conversations"))
+    return structure_repair.repair_report(structure_repair.repair_conversations(damaged, count="n"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"), vector="embedding")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_url_filters": op2_url_filters,
@@ -147,5 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op11_structure_repair": op11_structure_repair,
+    "op12_vector_codes": op12_vector_codes,
 }
 SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_url_filters": OP2_SQL, "op5_license_scans": _license_sql()}
