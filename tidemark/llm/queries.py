@@ -8,7 +8,7 @@ from os import environ
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_coding, chat_formatting, decontamination, license_scans, media_columns, secret_scans, simhash_dedup, structure_repair, suffix_dedup, toxicity, url_filters, vector_codes
+from tidemark.llm import bpe_coding, chat_formatting, decontamination, license_scans, media_columns, personal_data, secret_scans, simhash_dedup, structure_repair, suffix_dedup, toxicity, url_filters, vector_codes
 from tidemark.llm.frames import table
 
 
@@ -145,6 +145,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"), vector="embedding")
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data_digests(personal_data.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_url_filters": op2_url_filters,
@@ -158,5 +162,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_structure_repair": op11_structure_repair,
     "op12_vector_codes": op12_vector_codes,
+    "op13_personal_data": op13_personal_data,
 }
 SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_url_filters": OP2_SQL, "op5_license_scans": _license_sql()}
