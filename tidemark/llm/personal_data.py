@@ -7,17 +7,19 @@ Luhn) and ``phone`` (8 to 15 digits); failing matches are dropped and not tried
 
 1. *Tokens* are the base kinds' shapes and other strings that may identify somebody: ``SHORTEST`` to 81 characters from
    letters, digits and ``@._%+/-`` with a digit or an @. Tokens of a base kind are the seeds.
-2. Every token induces two lexical patterns: the two words before it, and the word before with the word behind it (lower
-   case, with the signs between them).
+2. Every token induces two lexical patterns: the word before it, and the two words before it (lower case).
 3. Patterns and distinct instances (tokens) form a graph, pre-aggregated to one edge a pair. A seed's trust is 1. In each of
-   ``ROUNDS`` rounds a pattern's score is the mean trust of its distinct instances if these hold ``SUPPORT`` of trust, else 0,
-   and another instance's trust is 1 - the product of (1 - score) over its patterns that reach ``CONFIDENT``, damped by
-   ``DAMPING``. So patterns learned from seeds discover identifiers, and those teach further patterns.
+   ``ROUNDS`` rounds a pattern's score is the mean trust of its distinct instances if these hold ``SUPPORT`` of trust, else 0.
+   A pattern with a score of ``CONFIDENT`` must also be specific: of all places of its words in the corpus, ``SPECIFIC`` must
+   stand before a token, so that function words never become patterns. An instance's trust is 1 - the product of
+   (1 - score) over its confident patterns, damped by ``DAMPING``. So patterns learned from seeds discover identifiers, and
+   those teach further patterns.
 4. A token that is no seed, has ``LEAST_DIGITS`` digits and stands in a confident pattern is reported if no base span meets it.
 
-Texts are read once: their base spans and tokens are written to the shared checkpoint folder, and all that follows works on
-those. Edges, scores and trusts are grouped with partial sums. Scores are looked up by joins on (pattern, salt): a pattern
-that holds a third of all edges is dealt to ``SALTS`` tasks, and confident patterns are a small share of all.
+Texts are read once for base spans and tokens, which are written to the shared checkpoint folder, and once more in a round
+that has new patterns to judge. Edges, scores and trusts are grouped with partial sums. Scores are looked up by joins on
+(pattern, salt): a pattern that holds a third of all edges is dealt to ``SALTS`` tasks, and confident patterns are a small
+share of all. Patterns to judge are broadcast if there are at most ``BROADCAST_PATTERNS``, else joined.
 
 A restart inside a run can't match where its first character failed, so expressions start at a run's first character (or
 where the last match ended), and a very long run is read once. Null texts are empty, repeated rows stay repeated, an empty
@@ -47,13 +49,11 @@ TOKEN = (
     r"(?<![A-Za-z0-9@._%+/-])(?:\+[0-9][\x20().0-9-]{5,30}[0-9]|[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])"
     r"|(?:[A-Za-z@._%+/-]{0,40}[0-9]|[A-Za-z._%+-]{1,40}@)[A-Za-z0-9@._%+/-]{2,60}[A-Za-z0-9])(?![A-Za-z0-9@_%+/-])"
 )
-BEFORE = r"(?:[\p{L}]{1,24}[^\p{L}\p{N}]{1,3})?[\p{L}]{1,24}[^\p{L}\p{N}]{0,3}$"
-ONE_BEFORE = r"[\p{L}]{1,24}[^\p{L}\p{N}]{0,3}$"
-BEHIND = r"^[^\p{L}\p{N}]{0,3}[\p{L}]{1,24}(?![\p{L}\p{N}])"
-#: Characters around a token that patterns may take.
+BEFORE = r"(?:([\p{L}]{1,24})[^\p{L}\p{N}]{1,3})?([\p{L}]{1,24})[^\p{L}\p{N}]{0,3}$"
+#: Characters before a token that patterns may take.
 AROUND = 56
-ROUNDS, SUPPORT, CONFIDENT, DAMPING = 3, 4.0, 0.6, 0.9
-SALTS = 32
+ROUNDS, SUPPORT, CONFIDENT, SPECIFIC, DAMPING = 3, 4.0, 0.6, 0.1, 0.9
+SALTS, BROADCAST_PATTERNS = 32, 500_000
 
 
 def _digits(text: Column) -> Column:
@@ -90,8 +90,8 @@ FOLD = 256
 
 
 def with_matches(df: DataFrame, patterns: dict[str, str], needs: dict[str, str]) -> DataFrame:
-    """A column for each pattern, array<struct<m, gap, n, left, right>>: the match, the length of the text between the last one
-    and it, its own length, and what stands before and behind it up to its neighbours, ``AROUND`` characters at most.
+    """A column for each pattern, array<struct<m, gap, n, left>>: the match, the length of the text between the last one and it,
+    its own length, and what stands before it up to the last one, ``AROUND`` characters at most.
 
     Texts without a sign that a pattern ``needs`` are not searched. Matches and what is between them are columns of their
     own, because higher-order functions would evaluate them at every mention.
@@ -102,11 +102,10 @@ def with_matches(df: DataFrame, patterns: dict[str, str], needs: dict[str, str])
 
     def joined(name: str) -> Column:
         found, between = f"found_{name}", f"between_{name}"
-        gaps = F.zip_with(F.slice(between, 1, F.size(found)), F.slice(between, 2, F.size(found)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         return F.zip_with(
             found,
-            gaps,
-            lambda m, g: F.struct(m.alias("m"), F.length(g["a"]).alias("gap"), F.length(m).alias("n"), F.right(g["a"], F.lit(AROUND)).alias("left"), F.left(g["b"], F.lit(AROUND)).alias("right")),
+            F.slice(between, 1, F.size(found)),
+            lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"), F.length(m).alias("n"), F.right(g, F.lit(AROUND)).alias("left")),
         )
 
     found = df.withColumns({f"found_{k}": searched(k, F.regexp_extract_all("text", F.lit(p), F.lit(0))) for k, p in patterns.items()})
@@ -115,23 +114,23 @@ def with_matches(df: DataFrame, patterns: dict[str, str], needs: dict[str, str])
 
 
 _LOCAL = (
-    "aggregate({block}, named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,m:string,left:string,right:string>>)), (s, p) -> named_struct('at', s.at + p.gap + p.n,"
-    " 'out', array_append(s.out, named_struct('start', s.at + p.gap, 'end', s.at + p.gap + p.n, 'm', p.m, 'left', p.left, 'right', p.right))))"
+    "aggregate({block}, named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,m:string,left:string>>)), (s, p) -> named_struct('at', s.at + p.gap + p.n,"
+    " 'out', array_append(s.out, named_struct('start', s.at + p.gap, 'end', s.at + p.gap + p.n, 'm', p.m, 'left', p.left))))"
 )
 
 
 def placed(pairs: str) -> Column:
-    """Matches (a column's name) with places, by sums of the lengths before: array<struct<start, end, m, left, right>>.
+    """Matches (a column's name) with places, by sums of the lengths before: array<struct<start, end, m, left>>.
 
     Folds append to what they hold, so they run over blocks, and a second one over the blocks' lengths: a text of a million
     matches is not copied a million times.
     """
     blocks = f"transform(sequence(0, cast((size({pairs}) - 1) div {FOLD} as int)), b -> {_LOCAL.format(block=f'slice({pairs}, b * {FOLD} + 1, {FOLD})')})"
     shifts = "aggregate(blocks, named_struct('at', 0, 'out', cast(array() as array<int>)), (s, b) -> named_struct('at', s.at + b.at, 'out', array_append(s.out, s.at))).out"
-    shifted = "transform(b.out, p -> named_struct('start', p.start + d, 'end', p.end + d, 'm', p.m, 'left', p.left, 'right', p.right))"
+    shifted = "transform(b.out, p -> named_struct('start', p.start + d, 'end', p.end + d, 'm', p.m, 'left', p.left))"
     # A one-element array binds the blocks to a name, so that they are made once.
     whole = f"flatten(flatten(transform(array({blocks}), blocks -> zip_with(blocks, {shifts}, (b, d) -> {shifted}))))"
-    return F.expr(f"if(size({pairs}) > 0, {whole}, cast(array() as array<struct<start:int,end:int,m:string,left:string,right:string>>))")
+    return F.expr(f"if(size({pairs}) > 0, {whole}, cast(array() as array<struct<start:int,end:int,m:string,left:string>>))")
 
 
 def _spans(kind: str, spans: str) -> Column:
@@ -143,13 +142,20 @@ def is_seed(token: Column) -> Column:
     return reduce(lambda a, b: a | b, [token.rlike(f"^(?:{EXPRESSIONS[k]})$") & valid(k, token) for k in KINDS])
 
 
-def patterns_of(left: Column, right: Column) -> Column:
-    """The lexical patterns around a token: two words before it, and one word on either side."""
-    plain = lambda x: F.regexp_replace(F.lower(x), r"\s+", " ")
-    two, one, behind = F.regexp_extract(left, BEFORE, 0), F.regexp_extract(left, ONE_BEFORE, 0), F.regexp_extract(right, BEHIND, 0)
-    before = F.when(two != "", F.concat(F.lit("< "), plain(two)))
-    both = F.when((one != "") & (behind != ""), F.concat(F.lit("| "), plain(one), F.lit("_"), plain(behind)))
-    return F.array_compact(F.array(before, both))
+def patterns_of(left: Column) -> Column:
+    """The lexical patterns before a token: one word, and two words if two stand there."""
+    first, last = F.lower(F.regexp_extract(left, BEFORE, 1)), F.lower(F.regexp_extract(left, BEFORE, 2))
+    return F.array_compact(F.array(F.when(last != "", last), F.when(first != "", F.concat_ws(" ", first, last))))
+
+
+def places_of(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, places: how often each pattern's words stand in the texts, whatever follows them."""
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
+    split = docs.select(words.alias("words"))
+    pairs = F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))  # the last one has no second word
+    every = split.select(F.explode(F.concat("words", F.slice(pairs, 1, F.size("words") - 1))).alias("pattern"))
+    known = F.broadcast(patterns) if patterns.count() <= BROADCAST_PATTERNS else patterns
+    return every.join(known, "pattern").groupBy("pattern").agg(F.count("*").alias("places"))
 
 
 def facts_of(docs: DataFrame) -> DataFrame:
@@ -165,7 +171,7 @@ def facts_of(docs: DataFrame) -> DataFrame:
         some,
         lambda t: F.struct(
             t["start"].alias("start"), t["end"].alias("end"), is_seed(t["m"]).alias("seed"), (F.length(_digits(t["m"])) >= LEAST_DIGITS).alias("fit"),
-            F.lower(F.regexp_replace(t["m"], "[^A-Za-z0-9@]", "")).alias("instance"), patterns_of(t["left"], t["right"]).alias("patterns"),
+            F.lower(F.regexp_replace(t["m"], "[^A-Za-z0-9@]", "")).alias("instance"), patterns_of(t["left"]).alias("patterns"),
         ),
     )
     known = F.filter(tokens, lambda t: F.size(t["patterns"]) > 0)
@@ -178,16 +184,23 @@ def _looked_up(rows: DataFrame, small: DataFrame, key: str, spread: str) -> Data
     return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS).cast("long"))).join(salted, [key, "salt"]).drop("salt")
 
 
-def confident_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``edges`` (pattern, instance, seed; distinct pairs) to the patterns whose score is CONFIDENT or more, after all rounds."""
-    totals = keep_plan_short(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("double")).alias("seeds")).where(F.col("n") >= SUPPORT))
+def confident_patterns(docs: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``edges`` (pattern, instance, seed, uses; distinct pairs) to the confident and specific patterns after all rounds."""
+    sums = F.count("*").alias("n"), F.sum(F.col("seed").cast("double")).alias("seeds"), F.sum("uses").alias("uses")
+    totals = keep_plan_short(edges.groupBy("pattern").agg(*sums).where(F.col("n") >= SUPPORT))
     unseen = edges.where("not seed").select("pattern", "instance")
     learned = None
-    confident = None
+    judged = confident = totals.limit(0).select("pattern", F.lit(True).alias("specific"))
     for _ in range(rounds):
-        told = totals.withColumn("trust", F.col("seeds")) if learned is None else totals.join(learned, "pattern", "left").withColumn("trust", F.col("seeds") + F.coalesce("learned", F.lit(0.0)))
-        score = F.when(F.col("trust") >= SUPPORT - 1e-9, F.col("trust") / F.col("n")).otherwise(0.0)
-        confident = keep_plan_short(told.select("pattern", score.alias("score")).where(F.col("score") >= CONFIDENT))
+        told = totals.withColumn("trust", F.col("seeds"))
+        if learned is not None:
+            told = totals.join(learned, "pattern", "left").withColumn("trust", F.col("seeds") + F.coalesce("learned", F.lit(0.0)))
+        likely = keep_plan_short(told.where(F.col("trust") >= SUPPORT - 1e-9).select("pattern", "uses", (F.col("trust") / F.col("n")).alias("score")).where(F.col("score") >= CONFIDENT))
+        new = likely.join(judged, "pattern", "left_anti").select("pattern", "uses")
+        places = places_of(docs, new.select("pattern"))
+        fresh = new.join(places, "pattern").select("pattern", (F.col("uses") >= SPECIFIC * F.col("places")).alias("specific"))
+        judged = keep_plan_short(judged.unionByName(fresh))
+        confident = likely.join(judged.where("specific"), "pattern").select("pattern", "score")
         if confident.isEmpty():
             break
         doubt = F.sum(F.log(1 - DAMPING * F.col("score")))
@@ -196,11 +209,11 @@ def confident_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return confident.select("pattern")
 
 
-def context_spans(facts: DataFrame) -> DataFrame:
+def context_spans(docs: DataFrame, facts: DataFrame) -> DataFrame:
     """rid, start and end of the tokens that confident patterns discover and no base span meets."""
     token = facts.select("rid", F.explode("tokens").alias("t")).select("rid", "t.start", "t.end", "t.seed", "t.fit", "t.instance", F.explode("t.patterns").alias("pattern"))
-    edges = keep_plan_short(token.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    confident = confident_patterns(edges)
+    edges = keep_plan_short(token.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("uses")))
+    confident = confident_patterns(docs, edges)
     hits = _looked_up(token.where("fit and not seed"), confident, "pattern", "rid").select("rid", "start", "end").distinct()
     every = F.flatten(F.array(*(F.col(k) for k in KINDS)))
     base = facts.join(hits.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode(every).alias("s")).select("rid", "s.start", "s.end", F.lit(True).alias("base"))
@@ -214,7 +227,7 @@ def context_spans(facts: DataFrame) -> DataFrame:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, an array of (start, end) for each base kind, and one for ``context``."""
     facts = facts_of(docs)
-    found = context_spans(facts).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("context"))
+    found = context_spans(docs, facts).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("context"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
     return facts.drop("tokens").join(found, "rid", "left").withColumn("context", F.coalesce("context", empty)).drop("rid")
 
