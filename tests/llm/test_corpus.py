@@ -245,21 +245,40 @@ def brute_suffixes(pairs):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("chunk,unit,many,slice", [(2 << 20, 32 << 20, 4, 1 << 20), (1500, 4000, 1, 40), (1500, 1, 2, 1)])
-def test_suffix_dedup_equals_brute_force(spark, monkeypatch, chunk, unit, many, slice):
-    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
-    monkeypatch.setattr(suffix_dedup, "UNIT_BYTES", unit)
-    monkeypatch.setattr(suffix_dedup, "MANY", many)
-    monkeypatch.setattr(suffix_dedup, "SLICE", slice)
+@pytest.mark.parametrize("chunk,unit,many,slice,near", [(2 << 20, 32 << 20, 4, 1 << 20, 6), (1500, 4000, 1, 40, 2), (1500, 1, 2, 1, 1), (1500, 9000, 32, 100, 1)])
+def test_suffix_dedup_equals_brute_force(spark, chunk, unit, many, slice, near):
+    settings = suffix_dedup.Settings(chunk, unit, many, slice, near)
     rng = random.Random(9)
     passage = ["".join(rng.choices("abcdefgh é", k=rng.randint(40, 300))) for _ in range(12)]
     cut = lambda p: p[rng.randint(0, len(p) // 2) : rng.randint(len(p) // 2, len(p))]
     mix = lambda: "".join(cut(rng.choice(passage)) + "".join(rng.choices("xyz", k=rng.randint(0, 20))) for _ in range(5))
     texts = [None, "", "a" * 49, "a" * 50, "a" * 120, "b\x00" * 60, *passage, *(mix() for _ in range(90)), *passage[:4]]
     pairs = [(rng.randint(0, 150), t) for t in texts] + [(None, passage[0]), (None, passage[0]), (5, passage[1]), (5, passage[1])]
-    got = suffix_dedup.suffix_dedup(docs_of(spark, pairs)).collect()
+    got = suffix_dedup.suffix_dedup(docs_of(spark, pairs), settings).collect()
     assert sorted(str(tuple(r)) for r in got) == brute_suffixes(pairs)
-    assert suffix_dedup.suffix_dedup(docs_of(spark, pairs).limit(0)).count() == 0
+    assert suffix_dedup.suffix_dedup(docs_of(spark, pairs).limit(0), settings).count() == 0
+
+
+@pytest.mark.parametrize("unit", [32 << 20, 1])
+def test_suffix_dedup_keeps_texts_whose_rolling_hashes_collide(spark, unit):
+    """Two texts around one phrase with the same 48 bits of a rolling hash of all 75 bytes, and no 50 bytes in common."""
+    texts = ["nsqakgnijlzsrzbuyjxkdmjnzhrptqyzthdmrgtosdjozkwkkcfjtjekdchkrqrjqolubgfdssc", "nsqakgnijlzsrzbuyjxkdzduuhrptqyzthdmrgtosdjozkwkkclidzekdchkrqrjqolubgfdssc"]
+    for near in (1, 2, 6, 8):
+        settings = suffix_dedup.Settings(chunk_bytes=60 if unit == 1 else 1 << 19, unit_bytes=unit, near_bytes=near)
+        got = suffix_dedup.suffix_dedup(docs_of(spark, [(1, texts[0]), (2, texts[1]), (3, texts[0] + "!")]), settings).collect()
+        assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 75}
+
+
+def test_digests_tell_strings_apart():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 256, (4000, 75), dtype=np.uint8)
+    one_off = rows.copy()
+    one_off[np.arange(4000), rng.integers(0, 75, 4000)] ^= 1
+    both = suffix_dedup.digest(np.concatenate([rows, one_off]))
+    assert len(np.unique(both[0])) == len(np.unique(both[1])) == 8000
+    bits = np.unpackbits((both[:, :4000] ^ both[:, 4000:]).copy().view(np.uint8)).mean()
+    assert 0.49 < bits < 0.51
+    assert (suffix_dedup.digest(rows) == both[:, :4000]).all()
 
 
 def test_suffix_dedup_of_texts_longer_than_a_piece(spark):
