@@ -19,8 +19,8 @@ at equal places, so windows can only match where anchors do.
 5. Each unit marks what is covered and returns its documents.
 
 What decides: within a unit, bytes are compared with bytes, and hashes only bring equal ones together. Between units, the key
-and a digest of ``DIGEST_BYTES`` (96 bits of a seeded hash that multiplies and rotates words of the bytes themselves, unrelated
-to the rolling hash of the key) must be equal. Strings of one key differ in 96 bits: a phrase that has a thousand million
+and a digest (a seeded hash that multiplies and rotates words of the bytes themselves, unrelated to the rolling hash of the
+key; 96 bits of contexts, and of windows 72 bits beside 24 of the key) must be equal. So 96 bits tell two strings apart: a phrase that has a thousand million
 contexts makes a false match with a probability of 1e-11, and all pairs of 100 TB with less than 1e-9.
 
 Skew: a unit sends equal suffixes once, with its smallest document, so a passage in a third of all documents is one
@@ -59,8 +59,9 @@ SIDE = NEED - K
 BUCKET_BYTES = 128 << 20
 #: Bytes of a chunk that are hashed at a time, and strings that are compared or digested at a time.
 PIECE, GATHER = 1 << 18, 1 << 16
-#: Leading bytes that travel as they are, in front of 24 bits of a hash; bytes of the digests.
-HEAD_BYTES, DIGEST_BYTES = 5, 12
+#: Leading bytes that travel as they are, in front of 24 bits of a hash; bytes of the digests of contexts and of windows
+#: (whose key has 24 more bits that tell them apart).
+HEAD_BYTES, CONTEXT_DIGEST, WINDOW_DIGEST = 5, 12, 9
 
 
 class Settings(NamedTuple):
@@ -250,11 +251,11 @@ def digest(rows: np.ndarray) -> np.ndarray:
 class Strings:
     """Places of strings of one length in a unit's bytes."""
 
-    def __init__(self, data: np.ndarray, start: np.ndarray, length: int) -> None:
-        self.data, self.start, self.length = data, start, length
+    def __init__(self, data: np.ndarray, start: np.ndarray, length: int, digest_bytes: int) -> None:
+        self.data, self.start, self.length, self.digest_bytes = data, start, length, digest_bytes
 
     def rows(self, pick: np.ndarray) -> np.ndarray:
-        return self.data[self.start[pick][:, None] + np.arange(self.length)[None, :]]
+        return np.lib.stride_tricks.sliding_window_view(self.data, self.length)[self.start[pick]]
 
     def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the strings a and b are the same bytes."""
@@ -330,7 +331,7 @@ class Entries:
         for bucket, pick in self.parts:
             docs, index = np.unique(self.ids[pick], return_inverse=True)
             both = self.strings.digests(self.pick[pick])
-            yield _row(bucket, unit, [docs, index.astype(np.uint16 if len(docs) < 65536 else np.uint32), _planes(self.key[pick], 8), _planes(both[0], 8), _planes(both[1], DIGEST_BYTES - 8), np.packbits(self.many[pick])])
+            yield _row(bucket, unit, [docs, index.astype(np.uint16 if len(docs) < 65536 else np.uint32), _planes(self.key[pick], 8), _planes(both[0], 8), _planes(both[1], self.strings.digest_bytes - 8), np.packbits(self.many[pick])])
 
     def answers(self, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
         """By entry, whether it is covered and whether it is open."""
@@ -353,7 +354,7 @@ class _Sent:
         self.many = np.unpackbits(np.frombuffer(many, np.uint8), count=len(self.key)).astype(bool)
 
     def half(self, k: int, a: int, b: int) -> np.ndarray:
-        n = (8, DIGEST_BYTES - 8)[k]
+        n = len(self.digest[k]) // len(self.key)
         return _from_planes(np.frombuffer(self.digest[k], np.uint8).reshape(n, -1)[:, a:b].tobytes(), n)
 
 
@@ -437,6 +438,8 @@ class Unit:
         self.data = np.concatenate([c.data for c in self.chunks]) if len(self.chunks) > 1 else self.chunks[0].data
         #: Where each chunk starts in ``data``.
         self.shift = np.cumsum([0] + [len(c.data) for c in self.chunks])[:-1].tolist()
+        for chunk, at in zip(self.chunks, self.shift, strict=True):
+            chunk.data = self.data[at : at + len(chunk.data)]
         found = [c.anchors() for c in self.chunks]
         self.cuts = np.cumsum([len(x[0]) for x in found])[:-1]
         self.place, self.doc, self.lead = ([x[i] for x in found] for i in range(3))
@@ -454,7 +457,7 @@ class Unit:
     def contexts(self, splitters: np.ndarray, replies: dict[int, bytes]) -> tuple[np.ndarray, Entries]:
         """The anchors whose keys are shared, and the entries of their contexts."""
         shared = np.flatnonzero(self.keys(splitters).shared(replies))
-        strings = Strings(self.data, self.start[shared], K + 2 * SIDE)
+        strings = Strings(self.data, self.start[shared], K + 2 * SIDE, CONTEXT_DIGEST)
         return shared, Entries(self.ids[shared], self.key[shared], self.near[shared], strings, splitters, self.settings.many)
 
     def judged(self, splitters: np.ndarray, shared_replies: dict[int, bytes], replies: dict[int, bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -478,7 +481,7 @@ class Unit:
                 keys.append(chunk.keys(at, prints))
                 near.append(self.shortened(prints))
         every = np.concatenate(ids)
-        strings = Strings(self.data, np.concatenate(starts), NEED)
+        strings = Strings(self.data, np.concatenate(starts), NEED, WINDOW_DIGEST)
         return places, every, Entries(every, np.concatenate(keys), np.concatenate(near), strings, splitters, self.settings.many)
 
 
