@@ -3,15 +3,19 @@
 Base kinds, leftmost and non-overlapping per kind: ``assign`` (a key name, a sign and a value of 8 or more characters),
 ``access`` (AKIA and capitals or digits, 16 or more), ``hex`` (32 or more lowercase hex digits).
 
-``novel`` adds to them. A candidate is a run of ``SHORTEST`` or more characters with letters and digits that overlaps no
-base match and starts within ``CONTEXT`` characters after a sensitive word. Its novelty is its marginal cost: the bytes of
-(text before + text after + candidate) compressed with a dictionary, less those of the text around alone, as a share of
-the candidate's own length. At ``NOVELTY`` or more the candidate is reported. The dictionary has ordinary code, and the
-words of which the corpus's own identifiers are made: the ``MOST_WORDS`` that the most documents have in long runs, in
-two documents at least. A random string has no such words, so a secret that many copies repeat stays novel. What the
-dictionary or the text around explains is cheap; random strings are not.
-
-The words are counted over all documents, pre-aggregated before their shuffle, and the dictionary (a bounded list) is
+``novel`` adds to them. A candidate is a whole run of ``SHORTEST`` or more characters (letters, digits and ``+/_.-``, with
+up to two ``=`` behind) that has letters, lies in no base match, is no UUID, and has a sensitive word in it or at most
+``CONTEXT`` characters before it. Its novelty is its marginal cost: the bytes of (text before + text after + candidate)
+compressed, less those of the text around alone, a byte of the candidate's length. Texts are compressed as words: split at
+changes of case, between letters and digits and at other signs, in lower case. The compressor is primed with a zstandard
+dictionary (matches, literal and match statistics) that is trained on ordinary names and prose, taken from the documentation
+of the modules in ``ORDINARY_MODULES``, and on the words of which the corpus's own identifiers are made: the ``MOST_WORDS`` that
+the most documents have in long runs, in two documents at least. So names of ordinary words are cheap, and random strings
+are not; a secret that many copies repeat has no such words and stays novel. ``NOVELTY`` was chosen between held-out
+strings: names made of words of another library's documentation (all but one in 300 below) and random strings of six
+alphabets (all but one in 300 above).
+
+The words are counted over all documents, pre-aggregated before their shuffle, and the dictionary (bounded by ``DICTIONARY``) is
 broadcast. Scanning itself needs no shuffle. Null texts are empty, very long texts are scanned whole in time that grows
 with their length, repeated rows stay repeated, an empty table gives an empty result, only the id and text columns are read.
 """
@@ -19,8 +23,11 @@ with their length, repeated rows stay repeated, an empty table gives an empty re
 from __future__ import annotations
 
 import hashlib
+import importlib
+import inspect
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -32,40 +39,67 @@ from tidemark.llm.frames import map_slices, texts_of
 KINDS = ("assign", "access", "hex", "novel")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 CONTEXT = 64
-NOVELTY = 0.8
+NOVELTY = 0.76
 SHORTEST = 20
 #: Words of the corpus's identifiers in the dictionary, and documents that must have one.
 MOST_WORDS, LEAST_DOCUMENTS = 4096, 2
+#: Bytes of the dictionary, and how often it is shown the corpus's words.
+DICTIONARY, SHOWN = 131_072, 6
+#: Modules whose documentation shows ordinary names and prose.
+ORDINARY_MODULES = """argparse ast asyncio base64 calendar codecs collections configparser contextlib csv datetime decimal difflib email
+enum fractions ftplib functools getpass gettext glob gzip hashlib heapq hmac html http.client http.cookies http.server imaplib
+inspect io ipaddress itertools json locale logging logging.handlers mailbox math mimetypes multiprocessing optparse os os.path pathlib
+pickle platform plistlib poplib pprint queue random re sched secrets select selectors shelve shutil signal smtplib socket socketserver
+sqlite3 ssl statistics string subprocess sys tarfile tempfile textwrap threading time timeit tokenize trace traceback types typing
+unittest unittest.mock urllib.error urllib.parse urllib.request uuid warnings wave weakref xml.dom.minidom xml.etree.ElementTree
+xmlrpc.client zipfile""".split()
 
 _ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: A run that is long enough to be a key.
-_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{SHORTEST},}}")
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.-]{{{SHORTEST},}}={{0,2}}")
 _SENSITIVE = re.compile(r"(?ai)secret|token|passw|api.?key|credential|private|auth|bearer|access.?key|signature|session")
+_UUID = re.compile(r"(?ai)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+_BORDERS = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|[^\w]+|_+")
+
+
+def as_words(text: str) -> bytes:
+    """The text in lower case, cut at changes of case, at borders of numbers and at other signs."""
+    return " ".join(_BORDERS.sub(" ", text).split()).lower().encode("utf-8", "replace")
+
+
+def ordinary_samples() -> list[bytes]:
+    """Names and documentation of ORDINARY_MODULES as words."""
+    samples = []
+    for name in ORDINARY_MODULES:
+        try:
+            module = importlib.import_module(name)
+        except ImportError:  # a module that this Python was built without only shows less
+            continue
+        samples.append(as_words(module.__doc__ or name))
+        for each in dir(module):
+            value = getattr(module, each, None)
+            samples.append(as_words(f"{each} {(inspect.getdoc(value) or '')[:400] if callable(value) else ''}"))
+    return [s[:2000] for s in samples if len(s) > 8]
+
+
+@lru_cache(4)
+def trained_dictionary(words: bytes = b"") -> bytes:
+    """A dictionary of ordinary text and of ``words``, trained once on the driver."""
+    own = words.split()
+    shown = [b" ".join(own[i : i + 16]) for i in range(0, len(own), 16)] * SHOWN
+    return zstandard.train_dictionary(DICTIONARY, ordinary_samples() + shown).as_bytes()
+
 
-#: Ordinary surroundings of code and settings; what looks like this is no secret.
-_ORDINARY = (
-    b"the and for with this that from which their there about would import export return function const class public "
-    b"private static void string integer boolean true false null None self undefined default config settings options "
-    b"https://www.example.com/index.html http://localhost:8080/api/v1/users application/json text/html charset=utf-8 "
-    b"username password secret token api_key access_key client_id client_secret authorization bearer session cookie "
-    b"get_current_user_session_token create_access_token refresh_access_token_expires_in_seconds ApplicationContext "
-    b"DatabaseConnectionFactory AbstractAuthenticationProvider /usr/local/lib/python/site-packages node_modules/dist "
-    b"src/main/java/com/example/service/impl tests/unit/test_authentication_handlers.py README.md package.json "
-    b"0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000-0000-0000-0000-000000000000 "
-    b"2024-01-15T10:30:00.000Z 2023-12-31 2025-06-30 1970-01-01T00:00:00+00:00 v1.0.0 v2.1.3-rc.1 release candidate build backup "
-    b"xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA ******** "
-)
 _COMPRESSORS: dict[bytes, zstandard.ZstdCompressor] = {}
 
 
-def _cost(data: bytes, words: bytes) -> int:
-    if words not in _COMPRESSORS:  # a compressor can't be sent to a task; each process makes its own
+def _cost(data: bytes, primed: bytes) -> int:
+    if primed not in _COMPRESSORS:  # a compressor can't be sent to a task; each process makes its own
         _COMPRESSORS.clear()
-        both = zstandard.ZstdCompressionDict(words + _ORDINARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        _COMPRESSORS[words] = zstandard.ZstdCompressor(level=3, dict_data=both, write_content_size=False)
-    return len(_COMPRESSORS[words].compress(data))
+        _COMPRESSORS[primed] = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(primed), write_content_size=False, write_dict_id=False)
+    return len(_COMPRESSORS[primed].compress(data))
 
 
 def identifier_words(docs: DataFrame) -> bytes:
@@ -77,10 +111,10 @@ def identifier_words(docs: DataFrame) -> bytes:
     return " ".join(r["word"] for r in reversed(best)).encode()
 
 
-def novelty(before: str, candidate: str, after: str = "", words: bytes = b"") -> float:
+def novelty(before: str, candidate: str, after: str, primed: bytes) -> float:
     """Marginal compressed bytes of the candidate beside the text around it, a byte of its length."""
-    around, body = (before + " " + after + " ").encode("utf-8", "replace"), candidate.encode("utf-8", "replace")
-    return (_cost(around + body, words) - _cost(around, words)) / len(body)
+    around = as_words(f"{before} {after}") + b" "
+    return (_cost(around + as_words(candidate), primed) - _cost(around, primed)) / len(candidate)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -93,39 +127,40 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(*m.span(), "hex") for m in _HEX.finditer(text)]
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], words: bytes = b"") -> list[tuple[int, int, str]]:
+def novel_spans(text: str, base: list[tuple[int, int, str]], primed: bytes) -> list[tuple[int, int, str]]:
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    taken = sorted((a, b) for a, b, _ in base)
+    reach, far = [], 0
+    for _, b in taken:
+        reach.append(far := max(far, b))
     found = []
-    # Base matches of different kinds may overlap; by their ends, the last start before an end tells whether one is met.
-    taken = sorted((b, a) for a, b, _ in base)
-    ends, first = [b for b, _ in taken], len(text)
-    starts = [first := min(first, a) for _, a in reversed(taken)][::-1]  # of all matches from here on, the first start
-    reached = 0
-    for word in _SENSITIVE.finditer(text):
-        # A run that starts within CONTEXT characters is met even if it ends far behind them.
-        for m in _CANDIDATE.finditer(text, max(reached, word.end()), min(len(text), word.end() + CONTEXT + SHORTEST)):
-            if m.start() > word.end() + CONTEXT:
-                break
-            whole = _CANDIDATE.match(text, m.start())  # the window may have cut it
-            a, b = whole.span()
-            reached = b
-            at = bisect_left(ends, a + 1)  # the first match that ends behind the run's start
-            if (at < len(ends) and starts[at] < b) or not (re.search("[0-9]", whole[0]) and re.search("[A-Za-z]", whole[0])):
-                continue
-            if novelty(text[max(0, a - CONTEXT) : a], whole[0], text[b : b + CONTEXT], words) >= NOVELTY:
-                found.append((a, b, "novel"))
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.span()
+        # The first sensitive word that ends behind the context's start must begin before the run's end.
+        word = bisect_left(ends, a - CONTEXT)
+        if word == len(words) or starts[word] >= b:
+            continue
+        at = bisect_right(taken, (a, len(text))) - 1  # base matches that start at or before the run
+        if (at >= 0 and reach[at] >= b) or not re.search("[A-Za-z]", m[0]) or _UUID.fullmatch(m[0]):
+            continue
+        if novelty(text[max(0, a - CONTEXT) : a], m[0], text[b : b + CONTEXT], primed) >= NOVELTY:
+            found.append((a, b, "novel"))
     return found
 
 
-def secret_spans(text: str, words: bytes = b"") -> list[tuple[int, int, str]]:
+def secret_spans(text: str, primed: bytes | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, end exclusive, by start and then kind as listed in KINDS."""
     base = base_spans(text)
-    return sorted(base + novel_spans(text, base, words), key=lambda s: (s[0], KINDS.index(s[2])))
+    return sorted(base + novel_spans(text, base, trained_dictionary() if primed is None else primed), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def redacted(text: str, words: bytes = b"") -> str:
+def redacted(text: str, primed: bytes | None = None) -> str:
     """The text with every reported stretch (overlapping ones as one) replaced by a mark."""
     out, at = [], 0
-    for a, b, kind in secret_spans(text, words):
+    for a, b, kind in secret_spans(text, primed):
         if a >= at:
             out += [text[at:a], f"[{kind} secret removed]"]
         at = max(at, b)
@@ -136,8 +171,8 @@ def _shown(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def _scan(batch: pa.RecordBatch, words: bytes) -> pa.RecordBatch:
-    spans = [secret_spans(t, words) for t in texts_of(batch)]
+def _scan(batch: pa.RecordBatch, primed: bytes) -> pa.RecordBatch:
+    spans = [secret_spans(t, primed) for t in texts_of(batch)]
     base = [[s for s in x if s[2] != "novel"] for x in spans]
     counts = [pa.array([sum(s[2] == kind for s in x) for x in spans], pa.int64()) for kind in KINDS[:3]]
     digests = [hashlib.sha256(_shown(x).encode()).hexdigest() for x in base]
@@ -145,14 +180,14 @@ def _scan(batch: pa.RecordBatch, words: bytes) -> pa.RecordBatch:
 
 
 def scan_secrets(docs: DataFrame, words: bytes | None = None) -> DataFrame:
-    """``docs`` (doc_id, text) to counts and spans of secrets, one row a document; ``words``: another corpus's dictionary."""
-    shared = docs.sparkSession.sparkContext.broadcast(identifier_words(docs) if words is None else words)
+    """``docs`` (doc_id, text) to counts and spans of secrets, one row a document; ``words``: those of another corpus."""
+    shared = docs.sparkSession.sparkContext.broadcast(trained_dictionary(identifier_words(docs) if words is None else words))
     return map_slices(docs.select("doc_id", "text"), lambda batch: _scan(batch, shared.value), SCHEMA)
 
 
 def redact_secrets(docs: DataFrame, words: bytes | None = None) -> DataFrame:
     """``docs`` with secrets in ``text`` replaced by marks; other columns (``n_chars`` follows the text) stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(identifier_words(docs) if words is None else words)
+    shared = docs.sparkSession.sparkContext.broadcast(trained_dictionary(identifier_words(docs) if words is None else words))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.schema.get_field_index("text")
