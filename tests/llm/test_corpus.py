@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, license_scans, links, simhash_dedup, suffix_dedup, toxicity, url_filters
+from tidemark.llm import decontamination, license_scans, links, secret_scans, simhash_dedup, suffix_dedup, toxicity, url_filters
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, print string, id long, bucket long"
 
@@ -497,3 +497,14 @@ def test_pipeline_of_odd_rows_and_empty_tables(spark, tmp_path):
     got = sorted(((r.doc_id, r.text, r.token) for r in docs.collect()), key=str)
     assert got == sorted([(1, None, "x"), (None, "no id at all here", "x"), (4, "[assign secret removed]", "x"), (5, "some words of a text", "x")], key=str)
     assert pipeline.run(spark, f"{tmp_path}/odd").count() == 4 and pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_filtering_stages_keep_columns_that_arrow_lacks(spark):
+    frame = docs_of(spark, [(1, "plain words"), (2, None), (3, "token=hunter2hunter2")]).withColumn("kept_for", F.expr("make_interval(0, 1, 0, cast(doc_id as int))"))
+    clean = secret_scans.redact_secrets(frame)
+    assert clean.columns == frame.columns
+    assert {r.doc_id: r.text for r in clean.select("doc_id", "text").collect()} == {1: "plain words", 2: None, 3: "[assign secret removed]"}
+    model = toxicity.Toxicity(np.zeros(1 << toxicity.BITS), -1.0)
+    assert toxicity.drop_toxic(frame, model).where("kept_for is not null").count() == 3
+    benchmark = spark.createDataFrame([(1, "plain words")], "item_id long, text string")
+    assert [r.doc_id for r in decontamination.drop_leaked(frame, benchmark).select("doc_id").orderBy("doc_id").collect()] == [2, 3]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_windows import groups_up_to, joined, mixed, prefix_sums, span_hash
-from tidemark.llm.frames import map_slices, texts_of
+from tidemark.llm.frames import map_slices, of_texts, texts_of, with_small_batches
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -181,12 +181,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_items: int = 50_000, block_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` without the documents that contain an item; all columns stay."""
     context, out = docs.sparkSession.sparkContext, docs
+    with_small_batches(docs.sparkSession)
     for sketches in _blocks(benchmark, threshold, block_items, block_bytes):
         shared = context.broadcast(sketches)
 
-        def work(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            leaked = {x[0] for x in contained(shared.value, texts_of(batch), threshold)}
-            return batch.filter(pa.array([i not in leaked for i in range(batch.num_rows)], pa.bool_()))
+        def clean(texts: list[str | None], shared=shared) -> list[bool]:
+            leaked = {x[0] for x in contained(shared.value, [t or "" for t in texts], threshold)}
+            return [i not in leaked for i in range(len(texts))]
 
-        out = map_slices(out, work, docs.schema)
+        out = out.where(of_texts(F.col("text"), clean, "boolean"))
     return out

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from tidemark.functions.storage import keep
 
@@ -40,6 +41,17 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def of_texts(column: Column, work: Callable[[list[str | None]], list], kind: str, rows: int = SLICE_ROWS) -> Column:
+    """A column that ``work`` computes from slices of a text column; whatever else a row has stays in the JVM."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        out = [value for at in range(0, len(texts), rows) for value in work(texts.slice(at, rows).to_pylist())]
+        pa.default_memory_pool().release_unused()
+        return pa.array(out, {"string": pa.string(), "boolean": pa.bool_()}[kind])
+
+    return arrow_udf(run, kind)(column)
+
+
 def with_small_batches(session: SparkSession) -> None:
     if not 0 < int(session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:  # none or less: no limit
         session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

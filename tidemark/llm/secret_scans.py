@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import map_slices, texts_of
+from tidemark.llm.frames import map_slices, of_texts, texts_of, with_small_batches
 
 KINDS = ("assign", "access", "hex", "novel")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -189,10 +189,6 @@ def redact_secrets(docs: DataFrame, words: bytes | None = None) -> DataFrame:
     """``docs`` with secrets in ``text`` replaced by marks; other columns (``n_chars`` follows the text) stay."""
     shared = docs.sparkSession.sparkContext.broadcast(trained_dictionary(identifier_words(docs) if words is None else words))
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = batch.schema.get_field_index("text")
-        new = [None if t is None else redacted(t, shared.value) for t in batch.column(at).to_pylist()]
-        return batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
-
-    out = map_slices(docs, work, docs.schema)
+    with_small_batches(docs.sparkSession)
+    out = docs.withColumn("text", of_texts(F.col("text"), lambda texts: [None if t is None else redacted(t, shared.value) for t in texts], "string"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_windows import gram_hash, groups_up_to, joined, prefix_sums
-from tidemark.llm.frames import keep_plan_short, map_slices, texts_of
+from tidemark.llm.frames import keep_plan_short, map_slices, of_texts, texts_of, with_small_batches
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -168,9 +168,6 @@ def score_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Toxicity, threshold: float = 0.5) -> DataFrame:
     """``docs`` without those that score ``threshold`` or more; all columns stay."""
+    with_small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Toxicity(model.weight.astype(np.float32), model.bias))
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(score_texts(shared.value, texts_of(batch)) < threshold))
-
-    return map_slices(docs, work, docs.schema)
+    return docs.where(of_texts(F.col("text"), lambda texts: (score_texts(shared.value, [t or "" for t in texts]) < threshold).tolist(), "boolean"))
