@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.frames import map_slices, texts_of
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1 << 16
 #: Up to so many letters a list of ranks is faster than a heap.
 SHORT = 48
 SCHEMA = "doc_id long, ids array<int>, decoded string"
@@ -293,7 +293,7 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
         ids = [[int(x) for x in c[0].split()] for c in code_texts(model, texts_of(batch))]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([decode_ids(model, x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return map_slices(docs.select("doc_id", "text"), work, SCHEMA)
+    return map_slices(docs.select("doc_id", "text"), work, SCHEMA, rows=64)
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -305,4 +305,4 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
         coded = code_texts(shared.value, texts_of(batch))
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([c[1] for c in coded], pa.int64()), pa.array([sha(c[0]) for c in coded]), pa.array([sha(c[2]) for c in coded])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_slices(docs.select("doc_id", "text"), work, DIGEST_SCHEMA)
+    return map_slices(docs.select("doc_id", "text"), work, DIGEST_SCHEMA, rows=64)
