@@ -21,3 +21,11 @@ def keep(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def shared_folder(df: DataFrame) -> str:
+    """The session's checkpoint folder, which driver and executors share."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        keep(df.limit(0))
+    return context.getCheckpointDir()

@@ -15,7 +15,7 @@ from pyspark.ml.regression import AFTSurvivalRegression, GeneralizedLinearRegres
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranking import column_quantiles, numbered_within, quantiles_row, union_all
+from tidemark.functions.ranking import column_quantiles, quantiles_row, union_all, with_position
 from tidemark.functions.scalars import clipped
 from tidemark.functions.storage import keep
 from tidemark.operators.gates import BLOCKER, report
@@ -95,7 +95,7 @@ def _fit_trees(classifier, train: DataFrame, names: list[str], label: str):
     weight, _ = _class_weight(train, label)
     join = VectorAssembler(inputCols=names, outputCol="__x")
     model = classifier.fit(join.transform(scaled(train, names, by).withColumn("__w", weight)))
-    return _scorer(model, join, names, by, importances=dict(zip(names, model.featureImportances.toArray().tolist(), strict=True)))
+    return _scorer(model, join, names, by, importances=dict(zip(names, model.featureImportances.toArray().tolist(), strict=True)), fitted=model, trees=model.getNumTrees)
 
 
 def fit_forest(train: DataFrame, names: list[str], label: str, trees: int = 40, depth: int = 6):
@@ -103,10 +103,20 @@ def fit_forest(train: DataFrame, names: list[str], label: str, trees: int = 40,
     return _fit_trees(RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=42, minInstancesPerNode=5, **_COLUMNS), train, names, label)
 
 
-def fit_boosted(train: DataFrame, names: list[str], label: str, trees: int = 12, depth: int = 3):
-    """Class-balanced gradient-boosted trees."""
-    boosted = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="__w", predictionCol="__y", maxIter=trees, maxDepth=depth, seed=42, stepSize=0.1, minInstancesPerNode=5)
-    return _fit_trees(boosted.setProbabilityCol("__p").setRawPredictionCol("__r"), train, names, label)
+def fit_boosted(train: DataFrame, names: list[str], label: str, trees: int = 60, depth: int = 3, rate: float = 0.1, held: int = 5, gain: float = 0.001):
+    """Class-balanced gradient-boosted trees, as many as the loss of held-out accounts asks for (``trees`` at most).
+
+    One account in ``held`` is kept from fitting; boosting ends when its loss no longer falls by ``gain`` (relative to the loss), and
+    the trees of the least loss are kept. Their number is the attribute ``trees``.
+    """
+    boosted = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="__w", predictionCol="__y", maxIter=trees, maxDepth=depth, seed=42, stepSize=rate, minInstancesPerNode=5)
+    boosted = boosted.setProbabilityCol("__p").setRawPredictionCol("__r").setValidationIndicatorCol("__held").setParams(validationTol=gain)
+    marked = train.withColumn("__held", F.pmod(F.xxhash64(F.col("acc_id"), F.lit("held")), F.lit(held)) == 0)
+    n = marked.agg(F.count_if("__held").alias("held"), F.count_if(~F.col("__held")).alias("fitted")).first()
+    if not n["held"] or not n["fitted"]:  # too few accounts to keep any
+        marked, boosted = marked.drop("__held"), boosted.copy()
+        boosted.clear(boosted.validationIndicatorCol)
+    return _fit_trees(boosted, marked, names, label)
 
 
 #: What churn is tried with: the fit of every family, and of logistic regression its strengths.
@@ -206,9 +216,16 @@ def alive_cuts(df: DataFrame, p_alive: str) -> DataFrame:
 
 
 def with_fold(df: DataFrame, label: str, folds: int = 5) -> DataFrame:
-    """Folds of equal size within every label, by the order of a hash of the account."""
-    placed = numbered_within(df, label, [F.md5(F.concat_ws(":", F.col("acc_id").cast("string"), F.lit("fold"))), F.col("acc_id")], "__at")
-    return placed.withColumn("fold", F.pmod("__at", F.lit(folds)).cast("int")).drop("__at")
+    """Folds of whole accounts, however many rows each has, with even shares of both labels.
+
+    Accounts are put in order by their numbers of positive and of negative rows and then by a hash, and dealt to the folds in
+    turn: two folds differ by at most one account's positive rows, and by one account's negative rows for every number of positive
+    ones. Places are counted over range partitions; only accounts, one row each, are sorted.
+    """
+    of_account = df.groupBy("acc_id").agg(F.count_if(F.col(label) == 1).alias("__positive"), F.count_if(F.coalesce(F.col(label) != 1, F.lit(True))).alias("__negative"))
+    order = [F.col("__positive").desc(), F.col("__negative").desc(), F.md5(F.concat_ws(":", F.col("acc_id").cast("string"), F.lit("fold"))), F.col("acc_id")]
+    dealt = with_position(of_account, order, "__at").select(F.col("acc_id").alias("__acc"), F.pmod(F.col("__at") - 1, F.lit(folds)).cast("int").alias("fold"))
+    return df.join(dealt, df["acc_id"].eqNullSafe(dealt["__acc"])).drop("__acc")
 
 
 def out_of_fold(df: DataFrame, names: list[str], label: str, folds: int = 5, fit=fit_churn) -> DataFrame:
@@ -283,15 +300,20 @@ def ordered_around_median(df: DataFrame) -> DataFrame:
     return df.withColumns({"p10": F.least(F.col("p10"), low), "p25": low, "p75": high, "p90": F.greatest(F.col("p90"), high)})
 
 
-def quantile_forecast(rows: DataFrame, anchor: str, actual: str) -> DataFrame:
-    """acc_id and five quantiles from the log ratios of actual to anchor within bands of the anchor.
+def banded_guess(train: DataFrame, anchor: str, actual: str):
+    """A function that adds the quantiles of the anchor's band."""
+    bands = keep(band_quantiles(train, anchor, actual, LEVELS))
+    return lambda df: ordered_around_median(banded_forecast(df, bands, anchor, LEVELS))
+
 
-    ``rows`` have a ``split``: bands are learned on train, the correction is shrunk toward the anchor by the weight that
+def quantile_forecast(rows: DataFrame, anchor: str, actual: str, learn=banded_guess) -> DataFrame:
+    """acc_id and five quantiles from the log ratios of actual to anchor; ``learn`` makes a function that adds them from train.
+
+    ``rows`` have a ``split``: quantiles are learned on train, the correction is shrunk toward the anchor by the weight that
     is best on validation, and the outer quantiles are moved by the conformal margin of validation.
     """
     train, valid = rows.where("split = 'train'"), rows.where("split = 'validation'")
-    bands = keep(band_quantiles(train, anchor, actual, LEVELS))
-    guess = lambda df: ordered_around_median(banded_forecast(df, bands, anchor, LEVELS))
+    guess = learn(train, anchor, actual)
     tuned = keep(guess(valid))
     weight = best_shrinkage(tuned, "p50", anchor, actual).first()
     w = weight["weight"] if weight else 1.0
