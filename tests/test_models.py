@@ -2,12 +2,13 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import models, quantile_models, tree_contributions
+from tidemark.operators import models, quantile_models, search, survival, tree_contributions
 
 
 def frame(spark, x, y, extra=()):
@@ -132,3 +133,82 @@ def test_folds_hold_whole_accounts_and_even_labels(spark):
         positive[r.fold] += r.y == 1
         negative[r.fold] += r.y != 1
     assert max(positive) - min(positive) <= 3 and max(negative) - min(negative) <= 3 * 4
+
+
+@pytest.mark.parametrize("family", survival.FAMILIES)
+def test_censored_fits_recover_planted_parameters(spark, family):
+    """Seventy per cent of the rows are censored."""
+    rng = np.random.default_rng(5)
+    n = 6000
+    x = rng.normal(size=(n, 2))
+    error = {"normal": rng.normal(size=n), "logistic": rng.logistic(size=n), "extreme": np.log(rng.exponential(size=n))}[family]
+    days = np.exp(3 + 0.8 * x[:, 0] - 0.5 * x[:, 1] + 0.6 * error)
+    limit = np.quantile(days, 0.55) * rng.uniform(0.2, 1.0, n)
+    seen = (days <= limit).astype(int)
+    assert 0.6 < 1 - seen.mean() < 0.8
+    df, names = frame(spark, x, np.minimum(days, limit), [seen.tolist()])
+    fits = {f.family: f for f in survival.fit_days(df, names, "y", "e0")}
+    own = fits[family]
+    assert own.beta[1:] == pytest.approx([0.8 * x[:, 0].std(), -0.5 * x[:, 1].std()], abs=0.06)
+    assert own.beta[0] == pytest.approx(3 + 0.8 * x[:, 0].mean() - 0.5 * x[:, 1].mean(), abs=0.1) and own.scale == pytest.approx(0.6, abs=0.05)
+    assert own.likelihood >= max(f.likelihood for f in fits.values()) - 1e-3
+    median = own.add(df.limit(200)).select(*names, "expected_days").collect()
+    shift = 0.6 * math.log(math.log(2)) if family == "extreme" else 0.0
+    assert all(abs(math.log(r.expected_days) - (3 + 0.8 * r.x0 - 0.5 * r.x1 + shift)) < 0.3 for r in median)
+
+
+def test_likelihood_sums_equal_differences():
+    rng = np.random.default_rng(6)
+    rows = np.column_stack([rng.normal(size=(50, 2)), rng.normal(2, 1, 50), rng.integers(0, 2, 50)])
+    at, p = np.array([1.5, 0.3, -0.2, 0.1]), 4
+    for family in survival.FAMILIES:
+        parts = survival.likelihood_sums(rows, family, at)
+        hessian = np.zeros((p, p))
+        hessian[np.triu_indices(p)] = parts[1 + p :]
+        hessian += np.triu(hessian, 1).T
+        for k in range(p):
+            h = np.eye(p)[k] * 1e-5
+            up, down = survival.likelihood_sums(rows, family, at + h), survival.likelihood_sums(rows, family, at - h)
+            assert parts[1 + k] == pytest.approx((up[0] - down[0]) / 2e-5, abs=1e-5)
+            assert hessian[k] == pytest.approx((up[1 : 1 + p] - down[1 : 1 + p]) / 2e-5, abs=1e-4)
+
+
+def test_urgent_threshold_is_the_best_cut(spark):
+    rng = np.random.default_rng(7)
+    days, actual = rng.uniform(0.2, 60, 300), rng.uniform(0, 60, 300)
+    df = spark.createDataFrame([(float(d), bool(a <= 14 and d < 40)) for d, a in zip(days, actual, strict=True)], "d double, u boolean")
+    rows = [(r.d, r.u) for r in df.collect()]
+    f2 = lambda cut: 5 * sum(u for d, u in rows if d <= cut) / (sum(d <= cut for d, _ in rows) + 4 * sum(u for _, u in rows))
+    best = max(range(1, 61), key=f2)
+    cut, score = survival.urgent_threshold(df, "d", F.col("u"))
+    assert (cut, score) == (best, pytest.approx(f2(best)))
+    assert survival.urgent_threshold(df.limit(0), "d", F.col("u")) == (14.0, 0.0)
+
+
+def test_timing_is_chosen_on_validation(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 1))
+    days = np.exp(2.5 + x[:, 0] + 0.4 * rng.logistic(size=2000))
+    df, names = frame(spark, x, np.minimum(days, 90), [(days <= 90).astype(int).tolist()])
+    model = survival.choose_timing(df.where("acc_id % 5 > 0"), df.where("acc_id % 5 = 0"), names, "y", "e0")
+    out = model.add(df).select((F.col("expected_days") <= 14).alias("said"), ((F.col("y") <= 14) & (F.col("e0") == 1)).alias("true")).collect()
+    assert sum(r.said and r.true for r in out) > 0.9 * sum(r.true for r in out)
+    assert survival.fit_days(df.withColumn("e0", F.lit(0)), names, "y", "e0")[0].scale == 1.0
+
+
+def test_search_finds_a_planted_optimum_in_fewer_trials_than_a_grid():
+    space = {"rate": search.Real(1e-3, 1.0, log=True), "depth": search.Whole(1, 9), "kind": search.Choice(("a", "b", "c"))}
+    loss = lambda s: (math.log10(s["rate"]) + 1.4) ** 2 + 0.1 * (s["depth"] - 6) ** 2 + {"a": 1.0, "b": 0.0, "c": 0.6}[s["kind"]]
+    grid = [{"rate": 10 ** (-3 + i / 3), "depth": d, "kind": k} for i in range(10) for d in range(1, 10) for k in "abc"]
+    wanted = 0.15
+    for seed in range(5):
+        done = search.search(space, loss, trials=60, parallel=4, seed=seed)
+        assert [t.settings for t in done] == [t.settings for t in search.search(space, loss, trials=60, parallel=4, seed=seed)]
+        first = next(i for i, t in enumerate(done) if t.loss <= wanted)
+        assert first < 60 < len(grid)
+    rng = random.Random(1)  # and fewer than chance needs
+    chance = [next(i for i in range(10_000) if loss(search.drawn(space, rng)) <= wanted) for _ in range(40)]
+    guided = [next((i for i, t in enumerate(search.search(space, loss, trials=80, parallel=1, seed=s)) if t.loss <= wanted), 80) for s in range(20)]
+    assert sum(guided) / 20 < 0.6 * sum(chance) / 40
+    odd = search.search({"x": search.Real(0, 1)}, lambda s: math.nan, trials=5, at_random=2)
+    assert [t.loss for t in odd] == [math.inf] * 5
