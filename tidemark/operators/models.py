@@ -6,6 +6,7 @@ other libraries are not reproduced number by number; populations, columns, range
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -32,11 +33,18 @@ class Scaling:
     rows: int = 0
 
 
+#: Rows whose medians are taken by one aggregation; more are ranked over range partitions.
+FEW_ROWS = 50_000
+
+
 def fit_scaling(train: DataFrame, names: list[str], defaults: dict[str, float] | None = None) -> Scaling:
     """Median (or default) for nulls, then mean and population deviation; a deviation of zero counts as one."""
     defaults = defaults or {}
     train = keep(train.select(*names))
-    medians = quantiles_row(train, {c: (c, 0.5) for c in names}).first()
+    if train.count() <= FEW_ROWS:  # one buffer holds their values
+        medians = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in names]).first()
+    else:
+        medians = quantiles_row(train, {c: (c, 0.5) for c in names}).first()
     fill = {c: defaults.get(c, medians[c] if medians[c] is not None else 0.0) for c in names}
     filled = train.select(*[F.coalesce(c, F.lit(fill[c])).alias(c) for c in names])
     row = filled.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
@@ -129,10 +137,14 @@ FAMILIES = {
 def choose_family(train: DataFrame, names: list[str], label: str, folds: int = 5, families: dict | None = None) -> DataFrame:
     """family, pr_auc of its scores out of fold, the best one first: a search over families and their strengths or depths."""
     train = keep(with_fold(train, label, folds))
-    found = []
-    for name, fit in (families or FAMILIES).items():
-        scored = out_of_fold(train, names, label, folds, fit)
-        found.append(pr_auc(scored, "probability", label).select(F.lit(name).alias("family"), F.round("pr_auc", 6).alias("pr_auc")))
+
+    def tried(family) -> DataFrame:
+        name, fit = family
+        worth = pr_auc(out_of_fold(train, names, label, folds, fit), "probability", label)
+        return keep(worth.select(F.lit(name).alias("family"), F.round("pr_auc", 6).alias("pr_auc")))
+
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(tried, (families or FAMILIES).items()))
     return union_all(found).orderBy(F.desc("pr_auc"), "family")
 
 
@@ -229,9 +241,11 @@ def with_fold(df: DataFrame, label: str, folds: int = 5) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, names: list[str], label: str, folds: int = 5, fit=fit_churn) -> DataFrame:
-    """Scores of every row from a model that has not seen its account: ``folds`` fits over stratified folds."""
+    """Scores of every row from a model that has not seen its account: ``folds`` fits over stratified folds, side by side."""
     df = df if "fold" in df.columns else keep(with_fold(df, label, folds))
-    return union_all([fit(df.where(F.col("fold") != k), names, label)(df.where(F.col("fold") == k)) for k in range(folds)])
+    with ThreadPoolExecutor(folds) as pool:  # each fit is a series of small jobs
+        scored = pool.map(lambda k: fit(df.where(F.col("fold") != k), names, label)(df.where(F.col("fold") == k)), range(folds))
+        return union_all(list(scored))
 
 
 def calibrated(rows: DataFrame, score: str, label: str, ece_margin: float = 0.005, brier_margin: float = 0.02, least_positives: int = 200) -> DataFrame:

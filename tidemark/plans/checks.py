@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import union_all
+from tidemark.functions.storage import keep
 from tidemark.operators import cleaning, gates, labels, leakage, metrics, models, outcomes
 from tidemark.operators.features import FEATURES
 from tidemark.plans import catalog
@@ -322,12 +323,11 @@ def leak_auc_scan(t: Tables) -> DataFrame:
 
 @query()
 def leak_churn_suite(t: Tables) -> DataFrame:
-    rows = labels.hashed_split(t.features().select("acc_id", *_PREPARED).join(t.churn(), "acc_id"))
-    return leakage.churn_suite(rows, _PREPARED, "churned")
+    rows = labels.hashed_split(t.features().join(t.churn(), "acc_id"))
+    return leakage.churn_suite(keep(rows), FEATURES, "churned")
 
 
 @query()
 def leak_value_suite(t: Tables) -> DataFrame:
-    names = ["total_revenue_180d", "usage_total_180d", "payment_count_180d"]
-    rows = labels.hashed_split(t.features().select("acc_id", *names).join(t.clv().drop("purchased"), "acc_id"))
-    return leakage.value_suite(rows, names, "future_revenue")
+    rows = labels.hashed_split(t.features().join(t.clv().drop("purchased"), "acc_id"))
+    return leakage.value_suite(keep(rows), FEATURES, "future_revenue")

@@ -178,18 +178,17 @@ def alive_cuts(t: Tables) -> DataFrame:
 
 @query()
 def churn_model(t: Tables) -> DataFrame:
-    """Logistic regression or forest, whichever has the better average precision out of fold, fitted on 60 % of the accounts."""
-    rows = keep(labels.split_stratified(t.features().select("acc_id", *NAMES).join(t.churn(), "acc_id"), "churned"))
+    """The family with the best average precision out of five folds, over all 31 features, fitted on 60 % of the accounts."""
+    rows = keep(labels.split_stratified(t.features().join(t.churn(), "acc_id"), "churned"))
     train = rows.where("split = 'train'")
-    best = models.choose_family(train, NAMES, "churned", 3, {f: models.FAMILIES[f] for f in ("logistic", "forest")}).first()["family"]
-    return models.FAMILIES[best](train, NAMES, "churned")(rows).withColumn("family", F.lit(best))
+    best = models.choose_family(train, FEATURES, "churned").first()["family"]
+    return models.FAMILIES[best](train, FEATURES, "churned")(rows).select("acc_id", "churned", "split", "probability", F.lit(best).alias("family"))
 
 
 @query()
 def churn_candidates(t: Tables) -> DataFrame:
-    """Average precision out of fold of every family, the best one first."""
-    rows = keep(t.features().select("acc_id", *NAMES).join(t.churn(), "acc_id"))
-    return models.choose_family(rows, NAMES, "churned", folds=3)
+    """Average precision out of five folds of every family over all 31 features, the best one first."""
+    return models.choose_family(keep(t.features().join(t.churn(), "acc_id")), FEATURES, "churned")
 
 
 @query()
@@ -202,7 +201,7 @@ def feature_importance(t: Tables) -> DataFrame:
 @query()
 def value_model(t: Tables) -> DataFrame:
     """Tweedie and two-part predictions, learned on 60 % of the accounts."""
-    names = ["total_revenue_180d", "usage_total_180d", "payment_count_180d"]
+    names = FEATURES
     rows = keep(labels.hashed_split(t.features().select("acc_id", *names).join(t.clv(), "acc_id").drop("purchased")))
     train = rows.where("split = 'train'")
     tweedie = models.fit_value(train, names, "future_revenue")(rows)
@@ -213,9 +212,9 @@ def value_model(t: Tables) -> DataFrame:
 @query()
 def top_factors(t: Tables) -> DataFrame:
     """The five largest contributions to every account's churn score, by the fitted coefficients."""
-    rows = keep(t.features().select("acc_id", *NAMES).join(t.churn(), "acc_id"))
-    score = models.fit_churn(rows, NAMES, "churned")
-    found = models.top_factors(models.scaled(rows.drop("churned"), NAMES, score.scaling), NAMES, score.coefficients)
+    rows = keep(t.features().join(t.churn(), "acc_id"))
+    score = models.fit_churn(rows, FEATURES, "churned")
+    found = models.top_factors(models.scaled(rows.drop("churned"), FEATURES, score.scaling), FEATURES, score.coefficients)
     return found.select("acc_id", F.explode("factors").alias("f")).select("acc_id", "f.feature", "f.impact")
 
 
@@ -334,31 +333,15 @@ def label_stats(t: Tables) -> DataFrame:
 
 @query()
 def oof_scores(t: Tables) -> DataFrame:
-    return models.out_of_fold(keep(t.features().select("acc_id", *NAMES).join(t.churn(), "acc_id")), NAMES, "churned")
+    """Scores of every account, over all 31 features, by a model that has not seen it: five folds."""
+    return models.out_of_fold(keep(t.features().join(t.churn(), "acc_id")), FEATURES, "churned").select("acc_id", "churned", "fold", "probability")
 
 
 @query()
 def calibrated_scores(t: Tables) -> DataFrame:
-    return models.calibrated(t.judged(), "p", "y")
-
-
-@query()
-def topup_model(t: Tables) -> DataFrame:
-    names = ["usage_recent_90d", "payment_count_180d"]
-    rows = t.features().select("acc_id", *names).join(labels.labels_topup(*t.all, CUTOFF), "acc_id").withColumn("days", F.coalesce("days_to_topup", F.lit(180.0)))
-    return models.fit_topup(rows, names, "days", "observed")(rows).select("acc_id", "observed", "expected_days")
-
-
-@query()
-def credit_forecast(t: Tables) -> DataFrame:
-    """Five quantiles of usage for 30 and 90 days, learned on 60 % of the accounts, their outer ends moved by the margin of 20 %."""
-    rows = t.scores().where(F.col("usage_30d").isNotNull()).select("acc_id", F.col("usage_30d").alias("anchor_30d"), (F.col("usage_30d") * 3).alias("anchor_90d"))
-    rows = keep(labels.hashed_split(rows.join(labels.labels_credit(*t.all, CUTOFF), "acc_id")))
-    out = rows.select("acc_id", "split", "usage_30d", "usage_90d")
-    for d in (30, 90):
-        one = models.quantile_forecast(rows, f"anchor_{d}d", f"usage_{d}d")
-        out = out.join(one.select("acc_id", *[F.col(c).alias(f"{c}_{d}d") for c in models.QUANTILE_NAMES]), "acc_id")
-    return out.withColumn("p50_90d", F.greatest("p50_90d", "p50_30d")).withColumn("p90_90d", F.greatest("p90_90d", "p50_90d")).withColumn("p75_90d", F.greatest("p75_90d", "p50_90d"))
+    """Scores out of fold, calibrated."""
+    scored = models.out_of_fold(keep(t.features().join(t.churn(), "acc_id")), FEATURES, "churned")
+    return models.calibrated(scored.select("acc_id", "churned", "probability"), "probability", "churned")
 
 
 @query(" UNION ALL ".join(f"SELECT round(CASE WHEN slope < 0.01 OR n < 2 THEN 1 ELSE least(slope, 20) END, 6) AS slope, round(CASE WHEN slope < 0.01 OR n < 2 THEN 0 ELSE intercept END, 4) AS intercept FROM (SELECT regr_slope(y, {p}) AS slope, regr_intercept(y, {p}) AS intercept, regr_count(y, {p}) AS n FROM valued)" for p in ("p", "-p")))
