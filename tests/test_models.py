@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import models, quantile_models, search, survival, tree_contributions
+from tidemark.operators import lifetime, models, quantile_models, search, survival, tree_contributions
 
 
 def frame(spark, x, y, extra=()):
@@ -212,3 +212,40 @@ def test_search_finds_a_planted_optimum_in_fewer_trials_than_a_grid():
     assert sum(guided) / 20 < 0.6 * sum(chance) / 40
     odd = search.search({"x": search.Real(0, 1)}, lambda s: math.nan, trials=5, at_random=2)
     assert [t.loss for t in odd] == [math.inf] * 5
+
+
+def bought(n, seed=9):
+    """Accounts that buy at a rate of their own until they stop, as BG/NBD has it: frequency, recency, age."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        rate, stop, age = rng.gamma(2.0, 1 / 40), rng.beta(1.0, 3.0), rng.integers(100, 400)
+        at, x, last = 0.0, 0, 0.0
+        while (at := at + rng.exponential(1 / rate)) < age:
+            x, last = x + 1, at
+            if rng.random() < stop:
+                break
+        out.append((x, float(round(last)), float(age)))
+    return out
+
+
+def test_penalties_fitted_at_once_equal_single_searches(spark):
+    rows = bought(1500)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "acc_id long, frequency long, recency double, age double").repartition(3)
+    train, valid = df.where("acc_id % 3 > 0"), df.where("acc_id % 3 = 0")
+    penalties = [0.0, 0.01, 0.1, 1.0]
+    fits, told, best = lifetime.fit_penalties(train, valid, penalties)
+    cells = lambda keep: np.array([(*r, 1.0) for i, r in enumerate(rows) if (i % 3 > 0) == keep])
+    cost = lambda m, lam: -lifetime.likelihoods(cells(True), np.array([[m.r, m.alpha, m.a, m.b]]))[0] / 1000 + lam * (m.r**2 + m.a**2 + m.b**2)
+    rng = np.random.default_rng(1)
+    for m, lam in zip(fits, penalties, strict=True):
+        at = np.log([m.r, m.alpha, m.a, m.b])
+        for _ in range(150):  # nothing near or far is better
+            other = lifetime.BgNbd(*np.exp(at + rng.normal(scale=rng.choice([0.02, 0.2, 1.0]), size=4)))
+            assert cost(m, lam) <= cost(other, lam) + 1e-7
+        single = lifetime.fit_bgnbd(train, penalty=lam)
+        assert cost(m, lam) <= cost(single, lam) + 1e-9
+        assert abs(cost(m, lam) - cost(single, lam)) < 2e-3
+    assert told == pytest.approx([lifetime.likelihoods(cells(False), np.array([[m.r, m.alpha, m.a, m.b]]))[0] / 500 for m in fits])
+    assert best == int(np.argmax(np.round(told, 9)))
+    assert lifetime.fit_penalties(train.limit(0), valid, penalties)[2] == 0

@@ -380,3 +380,23 @@ def test_expected_purchases_and_spend(spark):
     out = {r.acc_id: r for r in lifetime.expected_revenue(spent, m, g, 180).collect()}
     assert len(out) == 3001 and all(r.predicted_clv == pytest.approx(r.purchases * r.spend) for r in out.values())
     assert out[3000].spend == pytest.approx(spent.agg(F.avg("monetary")).first()[0])
+
+
+def test_chi_square_tail(spark):
+    """Against the closed forms of even and odd degrees of freedom, sums of exponentials and the error function."""
+    import math
+
+    from tidemark.functions import scalars
+
+    def tail(x, k):
+        h = x / 2
+        if k % 2 == 0:
+            return math.exp(-h) * math.fsum(h**i / math.factorial(i) for i in range(k // 2))
+        return math.erfc(math.sqrt(h)) + math.exp(-h) * math.fsum(h ** (i - 0.5) / math.gamma(i + 0.5) for i in range(1, (k + 1) // 2))
+
+    rows = [(x, k) for k in range(1, 51) for x in (0.0, 1e-6, 0.3, 1.0, 3.3, 8.0, 20.0, 49.9, 120.0)]
+    got = spark.createDataFrame(rows, "x double, k int").select("x", "k", scalars.chi_square_tail(F.col("x"), F.col("k")).alias("p")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.p - (1.0 if r.x == 0 else tail(r.x, r.k))) < 1e-9, (r.x, r.k, r.p)
+    assert spark.range(1).select(scalars.chi_square_tail(F.lit(1.0), F.lit(0))).first()[0] is None

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+import math
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TINY = 1e-9
@@ -46,13 +48,6 @@ def clipped(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(x, F.lit(high))))
 
 
-def average_rank_share(value: Column, *by: Column) -> Column:
-    """Rank divided by count, ties at their average rank. A ranking over everything sorts in one task; see ``ranked``."""
-    order = Window.partitionBy(*by).orderBy(value)
-    whole = Window.partitionBy(*by)
-    return (F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0) / F.count(F.lit(1)).over(whole)
-
-
 def month_of(day: Column) -> Column:
     return F.trunc(day.cast("date"), "month")
 
@@ -60,3 +55,41 @@ def month_of(day: Column) -> Column:
 def months_apart(later: Column, earlier: Column) -> Column:
     """Calendar months between two dates."""
     return (F.year(later) - F.year(earlier)) * 12 + F.month(later) - F.month(earlier)
+
+
+#: Coefficients of Lanczos' approximation of the gamma function (g = 7).
+LANCZOS = [
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+    12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
+]
+
+
+def log_gamma(x: Column) -> Column:
+    """ln gamma(x) for positive x."""
+    z = x - 1
+    series = sum((F.lit(c) / (z + i) for i, c in enumerate(LANCZOS[1:], 1)), F.lit(LANCZOS[0]))
+    t = z + 7.5
+    return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.log(t) - t + F.log(series)
+
+
+def upper_gamma(a: Column, x: Column, terms: int = 400) -> Column:
+    """The regularised upper incomplete gamma function Q(a, x) for positive a; 1 at and below x = 0.
+
+    Below a + 1 by the power series of its complement, above by the continued fraction, summed from its far end.
+    """
+    front = F.exp(a * F.log(x) - x - log_gamma(a))
+    steps = F.sequence(F.lit(1), F.lit(terms))
+
+    def add(acc: Column, n: Column) -> Column:
+        term = acc["term"] * x / (a + n)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    series = F.aggregate(steps, F.struct((1 / a).alias("term"), (1 / a).alias("total")), add)["total"]
+    # x + 1 - a - 1(1 - a) / (x + 3 - a - 2(2 - a) / (x + 5 - a - ...)).
+    below = F.aggregate(F.reverse(steps), F.lit(0.0), lambda further, n: n * (n - a) / (x + 2 * n + 1 - a - further))
+    return F.when(x <= 0, 1.0).when(x < a + 1, F.greatest(1 - front * series, F.lit(0.0))).otherwise(front / (x + 1 - a - below))
+
+
+def chi_square_tail(value: Column, freedom: Column) -> Column:
+    """The chance of a chi-square value as large or larger; null without a degree of freedom."""
+    return F.when(freedom > 0, upper_gamma(freedom.cast("double") / 2, value / 2))

@@ -12,23 +12,13 @@ from collections.abc import Callable
 from dataclasses import astuple, dataclass
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Coefficients of Lanczos' approximation of the gamma function (g = 7).
-LANCZOS = [
-    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
-    12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
-]
-
-
-def log_gamma(x: Column) -> Column:
-    """ln gamma(x) for positive x."""
-    z = x - 1
-    series = sum((F.lit(c) / (z + i) for i, c in enumerate(LANCZOS[1:], 1)), F.lit(LANCZOS[0]))
-    t = z + 7.5
-    return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.log(t) - t + F.log(series)
-
+from tidemark.functions.scalars import LANCZOS, log_gamma
+from tidemark.functions.storage import keep
+from tidemark.functions.sums import summed
 
 @dataclass(frozen=True)
 class BgNbd:
@@ -168,3 +158,88 @@ def expected_revenue(rfm: DataFrame, m: BgNbd, g: GammaGamma | None, days: int)
     spend = F.col("__mean") if g is None else F.when(F.col("frequency") > 0, expected_spend(g)).otherwise(F.col("__mean"))
     rows = rfm.join(F.broadcast(mean)).select("acc_id", expected_purchases(m, days).alias("purchases"), spend.alias("spend"))
     return rows.withColumn("predicted_clv", F.greatest(F.col("purchases") * F.col("spend"), F.lit(0.0)))
+
+
+# Several penalties at once.
+
+#: Penalties tried together: nine from 0.0001 to 1, evenly on the log scale.
+PENALTIES = [10 ** (i / 2 - 4) for i in range(9)]
+#: Width of the differences that give the slopes, on the log scale.
+_H = 1e-4
+
+
+def _np_log_gamma(x: np.ndarray) -> np.ndarray:
+    z = x - 1
+    series = LANCZOS[0] + sum(c / (z + i) for i, c in enumerate(LANCZOS[1:], 1))
+    t = z + 7.5
+    return 0.5 * math.log(2 * math.pi) + (z + 0.5) * np.log(t) - t + np.log(series)
+
+
+def likelihoods(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Sums of n x BG/NBD log-likelihood over rows (frequency, recency, age, n), by point (r, alpha, a, b)."""
+    x, recency, age, n = rows.T
+    out = np.empty(len(points))
+    for k, (r, alpha, a, b) in enumerate(points):
+        going = -(r + x) * np.log(alpha + age)
+        gone = np.log(a) - np.log(np.maximum(b + x - 1, 1e-12)) - (r + x) * np.log(alpha + recency)
+        own = _np_log_gamma(r + x) + _np_log_gamma(b + x) - _np_log_gamma(a + b + x) + np.where(x > 0, np.logaddexp(going, gone), going)
+        out[k] = (n * own).sum() + n.sum() * _visits_constant(BgNbd(r, alpha, a, b))
+    return out
+
+
+def fit_together(sums, size: float, mean_age: float, penalties: list[float], steps: int = 80, least_gain: float = 1e-9) -> np.ndarray:
+    """Log parameters by penalty; ``sums(points)`` adds ``likelihoods`` over all rows: one pass a step for all penalties.
+
+    Quasi-Newton steps on slopes from differences; a step that makes a fit worse is halved in the next pass.
+    """
+    k, lam = len(penalties), np.array(penalties)
+    moves = np.concatenate([np.zeros((1, 4)), _H * np.eye(4), -_H * np.eye(4)])
+
+    def measured(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        trials = (at[:, None, :] + moves[None]).reshape(-1, 4)
+        values = np.exp(np.clip(trials, -12, 12))
+        cost = (-sums(values) / size).reshape(k, -1) + lam[:, None] * (values[:, [0, 2, 3]] ** 2).sum(1).reshape(k, -1)
+        cost = np.where(np.isfinite(cost), cost, 1e12)
+        return cost[:, 0], (cost[:, 1:5] - cost[:, 5:]) / (2 * _H)
+
+    at = np.tile([0.0, math.log(max(mean_age, 1.0)), 0.0, 0.0], (k, 1))
+    cost, slope = measured(at)
+    inverse = np.tile(0.5 * np.eye(4), (k, 1, 1))
+    length, open_ = np.ones(k), np.ones(k, bool)
+    for _ in range(steps):
+        step = -np.einsum("kij,kj->ki", inverse, slope)
+        uphill = (step * slope).sum(1) > 0
+        step[uphill], inverse[uphill] = -0.5 * slope[uphill], 0.5 * np.eye(4)
+        step *= np.minimum(1.0, 1.5 / np.maximum(np.abs(step).max(1), 1e-12))[:, None] * (length * open_)[:, None]
+        new_cost, new_slope = measured(at + step)
+        better = open_ & (new_cost <= cost + 1e-4 * (step * slope).sum(1))
+        for i in np.flatnonzero(better).tolist():
+            s, y = step[i], new_slope[i] - slope[i]
+            if s @ y > 1e-14:
+                left = np.eye(4) - np.outer(s, y) / (s @ y)
+                inverse[i] = left @ inverse[i] @ left.T + np.outer(s, s) / (s @ y)
+        gain = cost - new_cost
+        at[better], cost[better], slope[better] = (at + step)[better], new_cost[better], new_slope[better]
+        length = np.where(better, 1.0, length / 2)
+        open_ &= ~((better & (gain < least_gain) & (np.abs(slope).max(1) < 1e-5)) | (length < 1e-6))
+        if not open_.any():
+            break
+    return at
+
+
+def fit_penalties(train: DataFrame, valid: DataFrame, penalties: list[float] = PENALTIES) -> tuple[list[BgNbd], list[float], int]:
+    """A fit for every penalty, the mean log-likelihood of held-out accounts under each, and the place of the best one.
+
+    Both frames have frequency, recency and age; equal rows are counted first. Ties go to the smaller place.
+    """
+    columns = ["frequency", "recency", "age"]
+    counted = [keep(df.groupBy(*columns).agg(F.count("*").alias("n"))) for df in (train, valid)]
+    size, mean = counted[0].agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum(F.col("n") * F.col("age")) / F.sum("n")).first()
+    values = [*columns, "n"]
+    over = lambda rows: lambda points: summed(rows, values, lambda x: likelihoods(x, points), len(points))
+    if not size:
+        return [BgNbd(1.0, 1.0, 1.0, 1.0)] * len(penalties), [0.0] * len(penalties), 0
+    found = np.exp(np.clip(fit_together(over(counted[0]), size, mean or 1.0, penalties), -12, 12))
+    held = counted[1].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    told = over(counted[1])(found) / max(held, 1)
+    return [BgNbd(*map(float, p)) for p in found], told.tolist(), int(np.argmax(np.round(told, 9)))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import column_quantiles, quantiles_row, running, value_ranks, with_position, with_rank_shares
-from tidemark.functions.scalars import clipped
+from tidemark.functions.scalars import chi_square_tail, clipped
 from tidemark.functions.storage import keep
 
 BINS = [float(x) for x in np.linspace(0, 1, 11)]
@@ -87,7 +87,8 @@ def lift_table(df: DataFrame, score: str, label: str, key: str) -> DataFrame:
 
 def hosmer_lemeshow(df: DataFrame, score: str, label: str, key: str) -> DataFrame:
     g = tenths(df, [F.col(score), F.col(key)]).groupBy("tile").agg(F.count("*").alias("n"), F.sum(label).alias("o"), F.sum(score).alias("e"), F.avg(score).alias("m"))
-    return g.agg(F.sum(F.try_divide(F.pow(F.col("o") - F.col("e"), F.lit(2)), F.col("n") * F.col("m") * (1 - F.col("m")))).alias("chi2"), (F.count("*") - 2).alias("df"))
+    found = g.agg(F.sum(F.try_divide(F.pow(F.col("o") - F.col("e"), F.lit(2)), F.col("n") * F.col("m") * (1 - F.col("m")))).alias("chi2"), (F.count("*") - 2).alias("df"))
+    return found.withColumn("p_value", chi_square_tail(F.col("chi2"), F.col("df")))
 
 
 def at_k(df: DataFrame, score: str, label: str, fraction: float, key: str) -> DataFrame:

@@ -685,7 +685,8 @@ def lift_table(t: Tables) -> DataFrame:
     return metrics.lift_table(t.judged(), "p", "y", "acc_id")
 
 
-@query("SELECT round(sum((o - e) * (o - e) / nullif(n * m * (1 - m), 0)), 6) AS chi2, count(*) - 2 AS df FROM (SELECT count(*) AS n, sum(y) AS o, sum(p) AS e, avg(p) AS m FROM (SELECT p, y, ntile(10) OVER (ORDER BY p, acc_id) AS tile FROM judged) GROUP BY tile)")
+@query("""SELECT round(chi2, 6) AS chi2, df, CASE WHEN df = 8 THEN round(exp(-chi2 / 2) * (1 + chi2 / 2 + chi2 * chi2 / 8 + chi2 * chi2 * chi2 / 48), 6) END AS p_value FROM (
+  SELECT sum((o - e) * (o - e) / nullif(n * m * (1 - m), 0)) AS chi2, count(*) - 2 AS df FROM (SELECT count(*) AS n, sum(y) AS o, sum(p) AS e, avg(p) AS m FROM (SELECT p, y, ntile(10) OVER (ORDER BY p, acc_id) AS tile FROM judged) GROUP BY tile))""")
 def hosmer_lemeshow(t: Tables) -> DataFrame:
     return metrics.hosmer_lemeshow(t.judged(), "p", "y", "acc_id")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import union_all
 from tidemark.functions.storage import keep
-from tidemark.operators import labels, metrics, models, quantile_models, search, survival, tree_contributions
+from tidemark.operators import labels, lifetime, metrics, models, quantile_models, search, survival, tree_contributions
 from tidemark.operators.features import FEATURES
 from tidemark.plans.catalog import CUTOFF, Tables, query
 
@@ -122,3 +122,28 @@ def topup_model(t: Tables) -> DataFrame:
     rows = keep(labels.hashed_split(t.features().join(top, "acc_id")))
     model = survival.choose_timing(rows.where("split = 'train'"), rows.where("split = 'validation'"), FEATURES, "days", "observed")
     return model.add(rows).select("acc_id", "split", "observed", "days", "expected_days", F.lit(model.family).alias("family"))
+
+
+def _rfm(t: Tables) -> DataFrame:
+    return keep(labels.rfm_summary(t.payments, CUTOFF).where("age > 0"))
+
+
+def _fitted(rfm: DataFrame):
+    held = F.pmod("acc_id", F.lit(3)) == 0
+    return lifetime.fit_penalties(rfm.where(~held), rfm.where(held))
+
+
+@query()
+def bgnbd_penalties(t: Tables) -> DataFrame:
+    """Parameters of BG/NBD under nine penalties, fitted at once on two thirds of the accounts, and what the others say of each."""
+    fits, told, best = _fitted(_rfm(t))
+    rows = [(p, m.r, m.alpha, m.a, m.b, v, k == best) for k, (p, m, v) in enumerate(zip(lifetime.PENALTIES, fits, told, strict=True))]
+    return t.spark.createDataFrame(rows, "penalty double, r double, alpha double, a double, b double, held_out double, best boolean")
+
+
+@query()
+def clv_expected_revenue(t: Tables) -> DataFrame:
+    """Purchases times spend of 180 days, under the penalty that held-out accounts prefer."""
+    rfm = _rfm(t)
+    fits, _, best = _fitted(rfm)
+    return lifetime.expected_revenue(rfm, fits[best], lifetime.fit_gamma_gamma(rfm, max(lifetime.PENALTIES[best], 0.001)), 180)

@@ -363,29 +363,6 @@ def p_alive(t: Tables) -> DataFrame:
     return rfm.select("acc_id", "frequency", lifetime.p_alive(lifetime.fit_bgnbd(rfm)).alias("p_alive"))
 
 
-@query()
-def clv_expected_revenue(t: Tables) -> DataFrame:
-    rfm = labels.rfm_summary(t.payments, CUTOFF)
-    return lifetime.expected_revenue(rfm, lifetime.fit_bgnbd(rfm), lifetime.fit_gamma_gamma(rfm), 180)
-
-
-VERSIONS = [("churn-2024.05.1", "churn", "2024-05-01", '{"pr_auc": 0.61}'), ("churn-2024.06.1", "churn", "2024-06-01", '{"pr_auc": 0.66}'), ("churn-2024.06.2", "churn", "2024-06-09", '{"other": 1}'), ("clv-2024.06.1", "clv", "2024-06-02", '{"pr_auc": 0.3}')]
-ALIASES = [("churn", "champion", "churn-2024.05.1"), ("clv", "champion", "clv-2024.06.1")]
-EVALUATIONS = [("r1", "churn-2024.05.1", '{"value": 0.5}'), (None, "churn-2024.06.1", '{"value": 0.6}'), ("r3", "gone", "{}")]
-
-
-def _versions(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(VERSIONS, "version string, model_type string, created_at string, metrics string")
-
-
-def _aliases(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(ALIASES, "model_type string, alias string, version string")
-
-
-def _evaluations(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(EVALUATIONS, "run_id string, version string, metrics string")
-
-
 @query("SELECT 'churn-2024.06.3' AS version")
 def next_version(t: Tables) -> DataFrame:
     return registry.next_version(_versions(t), "churn", "2024.06")
