@@ -249,3 +249,34 @@ def test_penalties_fitted_at_once_equal_single_searches(spark):
     assert told == pytest.approx([lifetime.likelihoods(cells(False), np.array([[m.r, m.alpha, m.a, m.b]]))[0] / 500 for m in fits])
     assert best == int(np.argmax(np.round(told, 9)))
     assert lifetime.fit_penalties(train.limit(0), valid, penalties)[2] == 0
+
+
+def test_many_runs_equal_single_runs(spark):
+    """Rows of runs measured together are those of each run measured alone; small, one-sided and late runs have reasons."""
+    from datetime import date
+
+    from tidemark.operators import backfill, outcomes
+
+    rng = np.random.default_rng(10)
+    rows = [(run, a, float(round(rng.random(), 2)), int(rng.random() < 0.3) if run != 2 else 0) for run, n in ((0, 400), (1, 60), (2, 50), (3, 7), (4, 40)) for a in range(n)]
+    scored = spark.createDataFrame(rows, "run_id int, acc_id int, p double, y int").repartition(4)
+    runs = spark.createDataFrame([(r, date(2040, 1, 1) if r == 4 else date(2020, 1, 1), 180) for r in range(6)], "run_id int, cutoff date, horizon int")
+    last = spark.createDataFrame([(date(2021, 1, 1),)], "last date")
+    got = {}
+    for r in backfill.backfill_churn(scored, runs, last).collect():
+        got.setdefault(r.run_id, {})[r.metric] = (r.value, r.skipped)
+    assert set(got) == set(range(6))
+    assert [got[r][None][1].split()[0] for r in (2, 3, 4, 5)] == ["all", "only", "horizon", "only"]
+    for run in (0, 1):
+        own = scored.where(F.col("run_id") == run)
+        alone = outcomes.realized_churn(own.select("acc_id", F.col("p").alias("churn_probability")), own.select("acc_id", F.col("y").alias("churned")), last, date(2020, 1, 1))
+        want = {r.metric: (r.value, r.skipped) for r in alone.collect()}
+        assert set(want) == set(got[run])
+        assert all(got[run][m][0] == pytest.approx(want[m][0], abs=1e-6) for m in want)
+    values = scored.withColumns({"p": F.col("p") * 100, "y": F.col("y") * F.col("acc_id") * 1.5})
+    told = {(r.run_id, r.metric): r.value for r in backfill.backfill_value(values, runs, last).collect()}
+    for run in (0, 1, 2):
+        own = values.where(F.col("run_id") == run)
+        alone = outcomes.realized_clv(own.select("acc_id", F.col("p").alias("predicted_clv")), own.select("acc_id", F.col("y").alias("future_revenue")), last, date(2020, 1, 1))
+        for r in alone.collect():
+            assert told[run, r.metric] == pytest.approx(r.value, abs=1e-6, nan_ok=True) or (told[run, r.metric] is None and r.value is None)

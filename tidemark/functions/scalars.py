@@ -93,3 +93,8 @@ def upper_gamma(a: Column, x: Column, terms: int = 400) -> Column:
 def chi_square_tail(value: Column, freedom: Column) -> Column:
     """The chance of a chi-square value as large or larger; null without a degree of freedom."""
     return F.when(freedom > 0, upper_gamma(freedom.cast("double") / 2, value / 2))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation of two columns as an aggregate; null where one of them is constant (``corr`` raises there)."""
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))

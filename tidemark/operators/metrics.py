@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import column_quantiles, quantiles_row, running, value_ranks, with_position, with_rank_shares
-from tidemark.functions.scalars import chi_square_tail, clipped
+from tidemark.functions.scalars import chi_square_tail, clipped, correlation
 from tidemark.functions.storage import keep
 
 BINS = [float(x) for x in np.linspace(0, 1, 11)]
@@ -116,7 +116,7 @@ def regression_metrics(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     ranked = with_rank_shares(df, {predicted: "__rp", actual: "__ra"})
     size = F.abs(p) + F.abs(a)
     return ranked.agg(
-        F.count("*").alias("n"), F.corr("__rp", "__ra").alias("spearman"), F.avg(F.abs(p - a)).alias("mae"), F.sqrt(F.avg(F.pow(p - a, F.lit(2)))).alias("rmse"),
+        F.count("*").alias("n"), correlation("__rp", "__ra").alias("spearman"), F.avg(F.abs(p - a)).alias("mae"), F.sqrt(F.avg(F.pow(p - a, F.lit(2)))).alias("rmse"),
         F.sqrt(F.avg(F.pow(F.log1p(F.greatest(p, F.lit(0.0))) - F.log1p(F.greatest(a, F.lit(0.0))), F.lit(2)))).alias("rmsle"), F.avg(F.when(size > 0, 2 * F.abs(p - a) / size).otherwise(0.0)).alias("smape"),
     )
 
