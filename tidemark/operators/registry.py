@@ -5,7 +5,7 @@ Every change takes the tables and returns them as they are afterwards; the calle
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The alias of the version that serves.
@@ -39,10 +39,9 @@ def ranked_candidates(versions: DataFrame, evaluations: DataFrame, metric: str,
     part = lambda kind: F.avg(F.when(F.col("kind") == kind, headline(F.col("metrics"), metric))).alias(kind)
     measured = evaluations.groupBy("version").agg(*[part(k) for k in ("holdout", "backtest", "baseline")])
     rows = versions.select("model_type", "version").join(measured, "version", "left")
-    better = rows.select(F.col("model_type").alias("of"), F.col("holdout").alias("other"))
-    ahead = F.col("other") > F.col("holdout") if higher_is_better else F.col("other") < F.col("holdout")
-    places = rows.join(better, (F.col("model_type") == F.col("of")), "left").groupBy("model_type", "version").agg((F.count_if(F.coalesce(ahead, F.lit(False))) + 1).alias("place"))
-    return rows.join(places, ["model_type", "version"]).select("model_type", "version", "holdout", "backtest", "baseline", F.when(F.col("holdout").isNotNull(), F.col("place")).alias("place"))
+    best = F.col("holdout").desc_nulls_last() if higher_is_better else F.col("holdout").asc_nulls_last()
+    place = F.rank().over(Window.partitionBy("model_type").orderBy(best))  # the versions of a type
+    return rows.select("model_type", "version", "holdout", "backtest", "baseline", F.when(F.col("holdout").isNotNull(), place.cast("long")).alias("place"))
 
 
 def inserted(table: DataFrame, new: DataFrame, key: str) -> DataFrame:

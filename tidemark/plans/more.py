@@ -1,101 +1,25 @@
-"""Queries over small dirty inputs, catalogs, events and fitted lines, registered like those of ``catalog``."""
+"""Queries over catalogs, events, exports and fitted lines, registered like those of ``catalog``."""
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranking import quantiles_row, union_all
+from tidemark.functions.ranking import quantiles_row
 from tidemark.functions.storage import keep
-from tidemark.operators import cleaning, gates, labels, lifetime, metrics, models, promotion, registry, reports, scoring
+from tidemark.operators import cleaning, gates, labels, lifetime, metrics, models, promotion, reports, scoring
 from tidemark.operators.features import FEATURES
 from tidemark.plans import guarded_sql
 from tidemark.plans.catalog import CUTOFF, Tables, query
 from tidemark.sources import adapter, sinks
 from tidemark.streaming.monthly import windowed_usage
 
-NAMES = ["usage_total_180d", "total_revenue_180d", "payment_overdue_ratio", "usage_slope_6m", "days_since_last_activity"]
-
-CELLS = [None, "", "  ", " a b ", "12", " 12.9 ", "-3.7", "1e3", "NaN", "Infinity", "abc", "2024-02-29", "2023-02-29", "45351", "45351.5", "2024-01-05 10:30:00", '{"_excel":true,"iso":"2024-01-05T10:30:00.000Z","serial":45296.4375}', '{"_excel":true,"serial":45351}']
-_VALUES = "(VALUES " + ", ".join("(NULL)" if c is None else f"('{c}')" for c in CELLS) + ") v(cell)"
-_TEXT = "coalesce(CASE WHEN starts_with(cell, '{\"_excel\"') THEN coalesce(cell->>'iso', cell->>'serial') END, nullif(trim(cell), ''))"
-_NUMBER = "CASE WHEN isfinite(TRY_CAST({0} AS DOUBLE)) THEN TRY_CAST({0} AS DOUBLE) END".format(_TEXT)
-
-
-def _cells(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(c,) for c in CELLS], "cell string")
-
-
-@query(f"SELECT cell, {_TEXT} AS value FROM {_VALUES}")
-def clean_string(t: Tables) -> DataFrame:
-    return _cells(t).select("cell", cleaning.clean_string(F.col("cell")).alias("value"))
-
-
-@query(f"SELECT cell, {_NUMBER} AS value FROM {_VALUES}")
-def clean_numeric(t: Tables) -> DataFrame:
-    return _cells(t).select("cell", cleaning.clean_numeric(F.col("cell")).alias("value"))
-
-
-@query(f"SELECT cell, CAST(trunc({_NUMBER}) AS BIGINT) AS value FROM {_VALUES}")
-def clean_int(t: Tables) -> DataFrame:
-    return _cells(t).select("cell", cleaning.clean_int(F.col("cell")).alias("value"))
-
-
-@query(f"SELECT cell, strftime(coalesce(CASE WHEN abs({_NUMBER}) < 1e7 THEN TIMESTAMP '1899-12-30' + to_microseconds(CAST(round({_NUMBER} * 86400000000) AS BIGINT)) END, CASE WHEN isfinite(TRY_CAST({_TEXT} AS TIMESTAMP)) THEN TRY_CAST({_TEXT} AS TIMESTAMP) END), '%Y-%m-%d %H:%M:%S') AS value FROM {_VALUES}")
-def clean_date(t: Tables) -> DataFrame:
-    return _cells(t).select("cell", F.date_format(cleaning.clean_date(F.col("cell")), "yyyy-MM-dd HH:mm:ss").alias("value"))
-
 
 @query("SELECT o_orderkey, round(epoch_us(o_orderdate) / 86400000000.0 + 25569, 6) AS serial FROM orders")
 def excel_serial(t: Tables) -> DataFrame:
     return adapter.table(t.spark, t.folder, "orders").select("o_orderkey", cleaning.excel_serial(F.col("o_orderdate")).alias("serial"))
 
 
-@query("SELECT * FROM (VALUES ('a', NULL), ('x', ' ')) v(p, q)")
-def drop_empty_rows(t: Tables) -> DataFrame:
-    return cleaning.drop_empty_rows(t.spark.createDataFrame([("a", None), (None, None), ("", "  "), ("x", " ")], "p string, q string"))
-
-
-PAYMENTS = [("1", "10", "2024-01-02", "5.5", "1", " SMS "), (None, "11", "2024-01-02", "1", "1", ""), ("2", "12", "soon", "1", "1", "email"), ("3.9", "13", "45351", "x", None, None)]
-
-
-def _raw(t: Tables, rows: list[tuple], names: list[str]) -> DataFrame:
-    return cleaning.to_payload(t.spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)), "s1")
-
-
-def _raw_payments(t: Tables) -> DataFrame:
-    return _raw(t, PAYMENTS, ["acc_id", "uid", "payment_date", "amount", "credit_add", "credit_type "])
-
-
-@query("SELECT * FROM (VALUES ('s1', 1, 10::BIGINT, '2024-01-02', 5.5::DOUBLE, 1.0::DOUBLE, 'sms'), ('s1', 3, 13, '2024-02-29', NULL, NULL, NULL)) v(source_id, acc_id, payment_uid, payment_date, amount, credit_add, credit_type)")
-def clean_payments(t: Tables) -> DataFrame:
-    return cleaning.clean_payments(_raw_payments(t)).withColumn("payment_date", F.date_format("payment_date", "yyyy-MM-dd"))
-
-
-@query("SELECT * FROM (VALUES ('Backend_payment', 4::BIGINT, 2::BIGINT, 1::BIGINT, 1::BIGINT, 0::BIGINT), ('SMS_usage (BC)', 3, 2, 1, 0, 1), ('Users+User_profile', 3, 2, 1, 0, 0)) v(sheet, raw, clean, no_account, no_date, odd_months)")
-def clean_manifest(t: Tables) -> DataFrame:
-    return cleaning.clean_manifest({"Backend_payment": _raw_payments(t), "SMS_usage (BC)": _raw(t, USAGE_ROWS, ["acc_id", "year", "month", "usage"]), "Users+User_profile": _raw_customers(t)})
-
-
-USER_HEADERS = ["acc_id", "status (SMS)", "user.credit + user.credit_premium", "credit_email", "expire", "expire_email", "status (Email)", "join_date", "last_access", "last_send"]
-USERS = [
-    ("1", "PAID", "2.5", "7", "45351", None, " Free ", "2024-01-02", "2024-01-05 10:30:00", '{"_excel":true,"iso":"2024-01-05T10:30:00.000Z","serial":45296.4375}'),
-    ("2", " ", None, "x", None, "soon", None, "never", None, None), ("x", "paid", "1", None, None, None, None, None, None, None),
-]
-
-
-def _raw_customers(t: Tables) -> DataFrame:
-    return _raw(t, USERS, USER_HEADERS)
-
-
-@query("""SELECT * FROM (VALUES ('s1', 1, 'paid', 2.5::DOUBLE, 7.0::DOUBLE, DATE '2024-02-29', NULL::DATE, 'free', DATE '2024-01-02', TIMESTAMP '2024-01-05 10:30:00', TIMESTAMP '2024-01-05 10:30:00'),
-  ('s1', 2, NULL, 0.0, 0.0, NULL, NULL, NULL, NULL, NULL, NULL)) v(source_id, acc_id, status_sms, credit_sms, credit_email, expire_sms, expire_email, status_email, join_date, last_access, last_send)""")
-def clean_customers(t: Tables) -> DataFrame:
-    return cleaning.clean_customers(_raw_customers(t))
-
-
 @query("SELECT o_orderkey, '{\"_excel\":true,\"iso\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || 'Z\"' AS start, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
 def excel_cells(t: Tables) -> DataFrame:
     """Order dates as date cells (up to the serial, whose digits engines print differently) and the days read back from them."""
@@ -103,26 +27,6 @@ def excel_cells(t: Tables) -> DataFrame:
     return cells.select("o_orderkey", F.substring_index("cell", ",\"serial", 1).alias("start"), cleaning.clean_day(F.col("cell")).alias("day"))
 
 
-USAGE_ROWS = [("1", "2024", "5", "7"), ("1", "2024", "13", None), (None, "2024", "1", "1")]
-
-
-@query("SELECT 's1' AS source_id, 1 AS acc_id, 2024 AS year, m AS month, u::DOUBLE AS usage, c AS channel, s AS usage_source FROM (VALUES (5, 7), (13, 0)) v(m, u), (VALUES ('sms', 'bc'), ('sms', 'api'), ('sms', 'otp'), ('email', 'bc'), ('email', 'api'), ('email', 'otp')) w(c, s)")
-def usage_union(t: Tables) -> DataFrame:
-    raw = _raw(t, USAGE_ROWS, ["acc_id", "year", "month", "usage"])
-    return cleaning.usage_union({sheet: raw for sheet in cleaning.USAGE_SHEETS})
-
-
-@query("SELECT * FROM (VALUES ('s1', 1, 2024, 5, 7.0::DOUBLE, 'sms', 'bc'), ('s1', 1, 2024, 13, 0.0, 'sms', 'bc')) v(source_id, acc_id, year, month, usage, channel, usage_source)")
-def clean_usage(t: Tables) -> DataFrame:
-    return cleaning.clean_usage(_raw(t, USAGE_ROWS, ["acc_id", "year", "month", "usage"]), "SMS_usage (BC)")
-
-
-@query("SELECT * FROM (VALUES (2024, 1, DATE '2024-01-01'), (2024, 13, NULL), (2024, 0, NULL), (NULL, 5, NULL)) v(year, month, period)")
-def usage_period(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(2024, 1), (2024, 13), (2024, 0), (None, 5)], "year int, month int")
-    return rows.withColumn("period", F.when(F.col("year").isNotNull() & F.col("month").isNotNull(), adapter.period_of(F.col("year"), F.col("month"))))
-
-
 @query("SELECT channel || '_' || usage_source AS sheet, count(*) AS n FROM usage GROUP BY 1")
 def sheet_manifest(t: Tables) -> DataFrame:
     return t.usage.groupBy(F.concat_ws("_", "channel", "usage_source").alias("sheet")).agg(F.count("*").alias("n"))
@@ -135,16 +39,6 @@ def source_dedup_anti(t: Tables) -> DataFrame:
     return cleaning.new_sources(files, catalog).select("name")
 
 
-RUNS = [(1, "running", None, "2024-01-01 10:00:00"), (2, "running", "2024-01-01 11:50:00", "2024-01-01 09:00:00"), (3, "ready", None, "2024-01-01 01:00:00"), (4, "queued", "2024-01-01 09:59:00", "2024-01-01 09:00:00")]
-
-
-@query("SELECT unnest([4]) AS id")
-def stale_runs(t: Tables) -> DataFrame:
-    rows = [(i, s, a and datetime.fromisoformat(a), datetime.fromisoformat(c)) for i, s, a, c in RUNS]
-    runs = t.spark.createDataFrame(rows, "id int, status string, started_at timestamp, created_at timestamp")
-    return reports.stale(runs, F.lit("2024-01-01 12:00:00").cast("timestamp"), 120).select("id")
-
-
 @query("SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
 def runs_catalog(t: Tables) -> DataFrame:
     read = lambda name: adapter.table(t.spark, t.folder, name)
@@ -268,27 +162,6 @@ def guarded_select(t: Tables) -> DataFrame:
     return guarded_sql.run_guarded(t.spark, _GUARDED.format("outputs"), "viewer", views, 100, guarded_sql.Scope(run_ids=frozenset({"1"})))
 
 
-STATEMENTS = [
-    ("SELECT acc_id FROM outputs -- all", True), ("SELECT 'Update' AS what, max(acc_id) AS m FROM outputs;", True), ("SELECT * FROM outputs", False), ("WITH x AS (SELECT 1) SELECT 1 FROM x", False),
-    ("SELECT acc_id FROM payments", False), ("DROP TABLE outputs", False), ("SELECT 1; SELECT 2", False), ("SELECT reflect('java.lang.System', 'exit', '1')", False), ("SELECT acc_id FROM outputs WHERE acc_id IN (SELECT acc_id FROM outputs)", True),
-    ("SELECT count(*) AS n FROM outputs o LEFT JOIN outputs p ON o.acc_id = p.acc_id", True), ("SELECT acc_id FROM outputs WHERE note = '00000000-0000-0000-0000-000000000009'", False), ("SELECT $$x$$", False),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()})" for i, (_, ok) in enumerate(STATEMENTS)) + ") v(id, allowed)")
-def guarded_refusals(t: Tables) -> DataFrame:
-    """Which of the listed statements may be run; none of them is."""
-    views = {"outputs": lambda session: session.createDataFrame([(1, "a", "1")], "acc_id int, note string, prediction_run_id string")}
-    found = []
-    for i, (sql, _) in enumerate(STATEMENTS):
-        try:
-            guarded_sql.run_guarded(t.spark, sql, "viewer", views, scope=guarded_sql.Scope(run_ids=frozenset({"1"})))
-            found.append((i, True))
-        except guarded_sql.Refused:
-            found.append((i, False))
-    return t.spark.createDataFrame(found, "id int, allowed boolean")
-
-
 _CREDIT = "(SELECT acc_id, coalesce(sum(usage) FILTER (period >= DATE '1996-01-01' AND period < DATE '1996-01-31'), 0) AS usage_30d, coalesce(sum(usage) FILTER (period >= DATE '1996-01-01' AND period < DATE '1996-03-31'), 0) AS usage_90d FROM spine LEFT JOIN usage USING (acc_id) GROUP BY 1)"
 _TOPUP = "(SELECT acc_id, CAST(date_diff('day', DATE '1996-01-01', CAST(min(payment_date) AS DATE)) AS DOUBLE) AS days_to_topup, 1 AS observed FROM payments WHERE payment_date >= TIMESTAMP '1996-01-01' GROUP BY 1)"
 
@@ -363,80 +236,6 @@ def p_alive(t: Tables) -> DataFrame:
     return rfm.select("acc_id", "frequency", lifetime.p_alive(lifetime.fit_bgnbd(rfm)).alias("p_alive"))
 
 
-@query("SELECT 'churn-2024.06.3' AS version")
-def next_version(t: Tables) -> DataFrame:
-    return registry.next_version(_versions(t), "churn", "2024.06")
-
-
-@query("SELECT * FROM (VALUES ('churn-2024.05.1', '2024-05-01', 0.61::DOUBLE), ('churn-2024.06.1', '2024-06-01', 0.66), ('churn-2024.06.2', '2024-06-09', NULL)) v(version, created_at, metric)")
-def model_versions(t: Tables) -> DataFrame:
-    return registry.model_versions(_versions(t), "churn", "pr_auc")
-
-
-@query("SELECT * FROM (VALUES ('churn', 'churn-2024.05.1', 0.61::DOUBLE, 1::BIGINT, 3::BIGINT), ('clv', 'clv-2024.06.1', 0.3, 0, 1)) v(model_type, champion, champion_metric, n_better, n)")
-def model_performance(t: Tables) -> DataFrame:
-    return registry.model_performance(_versions(t), _aliases(t), "pr_auc")
-
-
-HISTORY = "model_type string, previous string, version string, action string, reason string"
-
-
-def _promotion(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    versions = _versions(t).withColumn("status", F.when(F.col("version").endswith("05.1") | (F.col("model_type") == "clv"), "production").otherwise("candidate"))
-    return registry.promote(versions, _aliases(t), t.spark.createDataFrame([], HISTORY), "churn", "churn-2024.06.1", "best")
-
-
-@query("SELECT * FROM (VALUES ('churn', 'champion', 'churn-2024.06.1'), ('clv', 'champion', 'clv-2024.06.1')) v(model_type, alias, version)")
-def promote(t: Tables) -> DataFrame:
-    return _promotion(t)[1]
-
-
-@query("SELECT * FROM (VALUES ('churn-2024.05.1', 'archived'), ('churn-2024.06.1', 'production'), ('churn-2024.06.2', 'candidate'), ('clv-2024.06.1', 'production')) v(version, status)")
-def promoted_versions(t: Tables) -> DataFrame:
-    return _promotion(t)[0].select("version", "status")
-
-
-@query("SELECT 'churn' AS model_type, 'churn-2024.05.1' AS previous, 'churn-2024.06.1' AS version, 'promote' AS action, 'best' AS reason")
-def promotion_history(t: Tables) -> DataFrame:
-    return _promotion(t)[2]
-
-
-@query("SELECT * FROM (VALUES ('kept champion', 4::BIGINT), ('deleted', 3), ('unknown', 4)) v(what, n)")
-def delete_version(t: Tables) -> DataFrame:
-    """A champion stays, another version goes."""
-    left = {"kept champion": "churn-2024.05.1", "deleted": "churn-2024.06.2", "unknown": "none"}
-    return union_all([registry.deleted(_versions(t), _aliases(t), v).agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "n") for k, v in left.items()])
-
-
-METERED = [("churn-2024.05.1", "holdout", 0.5), ("churn-2024.05.1", "backtest", 0.4), ("churn-2024.05.1", "backtest", 0.6), ("churn-2024.06.1", "holdout", 0.7), ("churn-2024.06.1", "baseline", 0.3)]
-
-
-@query("SELECT * FROM (VALUES ('churn', 'churn-2024.06.1', 0.7::DOUBLE, NULL::DOUBLE, 0.3::DOUBLE, 1::BIGINT), ('churn', 'churn-2024.05.1', 0.5, 0.5, NULL, 2), ('churn', 'churn-2024.06.2', NULL, NULL, NULL, NULL), ('clv', 'clv-2024.06.1', NULL, NULL, NULL, NULL)) v(model_type, version, holdout, backtest, baseline, place)")
-def candidate_ranking(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(v, k, f'{{"pr_auc": {x}}}') for v, k, x in METERED], "version string, kind string, metrics string")
-    return registry.ranked_candidates(_versions(t), rows, "pr_auc")
-
-
-IMPORTS = [(1, "importing", None, "2024-01-01 11:30:00"), (2, "cleaning", "2024-01-01 11:40:00", "2024-01-01 11:30:00"), (3, "importing", None, "2024-01-01 11:50:00"), (4, "ready", None, "2024-01-01 01:00:00")]
-
-
-@query("SELECT 1 AS id")
-def stale_imports(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(IMPORTS, "id int, import_status string, cleaned_at string, created_at string").withColumns({c: F.col(c).cast("timestamp") for c in ("cleaned_at", "created_at")})
-    return registry.stale_imports(rows, F.lit("2024-01-01 12:00:00").cast("timestamp")).select("id")
-
-
-JOBS = [("r1", "failed", "2024-01-01", "lost"), ("r2", "running", "2024-01-02", None), ("r3", "completed", "2024-01-03", None)]
-
-
-@query("SELECT * FROM (VALUES ('retry', 'r1', 'queued', NULL), ('retry', 'r2', 'running', '2024-01-02'), ('retry', 'r3', 'completed', '2024-01-03'), ('delete', 'r2', 'running', '2024-01-02'), ('delete', 'r3', 'completed', '2024-01-03'), ('protect', 'r1', 'failed', '2024-01-01'), ('protect', 'r2', 'running', '2024-01-02'), ('protect', 'r3', 'completed', '2024-01-03')) v(what, run_id, status, started_at)")
-def run_changes(t: Tables) -> DataFrame:
-    """A failed run and a running one retried, a failed one deleted, a completed one protected."""
-    jobs = t.spark.createDataFrame(JOBS, "run_id string, status string, started_at string, error string")
-    after = {"retry": registry.retried(registry.retried(jobs, "r1"), "r2"), "delete": registry.without_run(jobs, "r1", True), "protect": registry.without_run(jobs, "r3", True)}
-    return union_all([df.select(F.lit(k).alias("what"), "run_id", "status", "started_at") for k, df in after.items()])
-
-
 @query("SELECT o_orderkey AS id, o_totalprice AS value FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, 0.0 FROM orders WHERE o_orderkey % 3 = 0")
 def keyed_merge(t: Tables) -> DataFrame:
     """Rows of a feature set replaced by their key."""
@@ -444,17 +243,6 @@ def keyed_merge(t: Tables) -> DataFrame:
     return sinks.merged(old, old.where("id % 3 = 0").withColumn("value", F.lit(0.0)), ["id"])
 
 
-@query("SELECT 'r2' AS run_id")
-def unmeasured_runs(t: Tables) -> DataFrame:
-    runs = t.spark.createDataFrame([("r1", "completed"), ("r2", "completed"), ("r4", "failed")], "run_id string, status string")
-    return registry.unmeasured_runs(runs, _evaluations(t))
-
-
-@query("SELECT * FROM (VALUES ('r1', 'churn-2024.05.1', 'churn', 0.5::DOUBLE), (NULL, 'churn-2024.06.1', 'churn', 0.6), ('r3', 'gone', NULL, NULL)) v(run_id, version, model_type, value)")
-def realized_stored(t: Tables) -> DataFrame:
-    return registry.realized_stored(_evaluations(t), _versions(t))
-
-
 @query("SELECT acc_id, segment, priority_rank FROM outputs WHERE acc_id = 7")
 def output_one(t: Tables) -> DataFrame:
     return t.outputs().where("acc_id = 7").select("acc_id", "segment", "priority_rank")
