@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import backfills, catalog, checks, fits, more, stored  # noqa: F401
+from tidemark.plans import backfills, catalog, checks, fits, more, serving, stored  # noqa: F401
 
 FOLDER = os.environ.get("TIDEMARK_TEST_TABLES", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")

@@ -75,6 +75,18 @@ def outputs_page(out: DataFrame, page: int = 1, size: int = PAGE_SIZE, by: str =
     return out.orderBy(*outputs_sorted(out, by, descending)).offset((max(1, page) - 1) * size).limit(size)
 
 
+def page_with_total(out: DataFrame, page: int = 1, size: int = PAGE_SIZE, by: str = "priority_rank", descending: bool = False) -> DataFrame:
+    """A page's rows, each with ``total``: how many rows all pages have. A page behind the last one has none."""
+    total = out.agg(F.count("*").alias("total"))
+    return outputs_page(out, page, size, by, descending).join(F.broadcast(total))  # one row
+
+
+def monthly_value(payments: DataFrame, cutoff: date) -> DataFrame:
+    """Mean revenue of the twelve months before a cutoff (halves round up), that of the last one, and how many they are."""
+    months = monthly_revenue(payments, cutoff)
+    return months.agg(F.floor(F.avg("revenue") + 0.5).cast("long").alias("avg_monthly_revenue"), F.max_by("revenue", "month").alias("last_month_revenue"), F.count("*").alias("months"))
+
+
 def outputs_export(out: DataFrame, payments: DataFrame, cutoff: date) -> DataFrame:
     """Scored outputs under the names of the export file, with purchases and revenue before the cutoff."""
     bought = pit_payments(payments, cutoff).groupBy("acc_id").agg(F.count("*").alias("n_purchases"), F.sum("amount").alias("total_revenue"))

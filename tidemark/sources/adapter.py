@@ -61,3 +61,20 @@ def usage(spark: SparkSession, folder: str) -> DataFrame:
     )
     sums = rows.groupBy("acc_id", "period", "channel", "usage_source").agg(F.sum("l_quantity").alias("usage"))
     return sums.select("acc_id", F.year("period").alias("year"), F.month("period").alias("month"), "channel", "usage_source", "usage", "period")
+
+
+#: Columns of the clean tables and the order in which a scan returns them.
+SCANS = {
+    "customers": (["acc_id", "status_sms", "credit_sms", "credit_email", "expire_sms", "expire_email", "status_email", "join_date", "last_access", "last_send"], ["acc_id"]),
+    "payments": (["acc_id", "payment_uid", "payment_date", "amount", "credit_add", "credit_type"], ["acc_id", "payment_date", "payment_uid"]),
+    "usage": (["acc_id", "year", "month", "usage", "channel", "usage_source"], ["acc_id", "year", "month", "channel", "usage_source"]),
+}
+
+
+def scan(clean: DataFrame, name: str, source_id: str) -> DataFrame:
+    """The rows of one source of a clean table (with source_id), its columns only, in the table's order.
+
+    The filter reaches the scan; in a table partitioned by source only that source's files are read.
+    """
+    columns, order = SCANS[name]
+    return clean.where(F.col("source_id") == source_id).select(*columns).orderBy(*order)
