@@ -400,3 +400,26 @@ def test_chi_square_tail(spark):
     for r in got:
         assert abs(r.p - (1.0 if r.x == 0 else tail(r.x, r.k))) < 1e-9, (r.x, r.k, r.p)
     assert spark.range(1).select(scalars.chi_square_tail(F.lit(1.0), F.lit(0))).first()[0] is None
+
+
+def test_dates_reach_the_scans(spark):
+    import contextlib
+    import io
+    from datetime import date
+
+    from tidemark.plans.catalog import CUTOFF, Tables
+    from tidemark.sources import adapter
+
+    assert [adapter.month_after(date(1996, m, d)) for m, d in ((1, 1), (1, 2), (12, 31), (3, 1))] == [date(1996, 1, 1), date(1996, 2, 1), date(1997, 1, 1), date(1996, 3, 1)]
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        Tables(spark, folder).features().explain("formatted")
+    pushed = [line for line in shown.getvalue().splitlines() if line.startswith("PushedFilters")]
+    assert any("LessThan(l_shipdate" in line for line in pushed) and any("LessThan(o_orderdate" in line for line in pushed)
+    for cutoff in (CUTOFF, date(1995, 6, 15)):
+        whole = adapter.usage(spark, folder).where(F.col("period") < F.lit(cutoff.isoformat()).cast("date"))
+        cut = adapter.usage(spark, folder, cutoff)
+        assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))

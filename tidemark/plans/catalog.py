@@ -50,10 +50,14 @@ class Tables:
         return self.customers, self.payments, self.usage
 
     def features(self, cutoff: date = CUTOFF) -> DataFrame:
-        return ft.features_all(*self.all, cutoff)
+        return ft.features_all(*self.known(cutoff), cutoff)
+
+    def known(self, cutoff: date) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The tables for what looks back only: usage is cut at the cutoff by the scan."""
+        return self.customers, self.payments, adapter.usage(self.spark, self.folder, cutoff)
 
     def lifecycle(self) -> DataFrame:
-        return ft.lifecycle(*self.all, CUTOFF)
+        return ft.lifecycle(*self.known(CUTOFF), CUTOFF)
 
     def scores(self) -> DataFrame:
         return scoring.stand_in_scores(self.features(), self.lifecycle())

@@ -6,6 +6,8 @@ large, so the join is left to AQE, which splits skewed partitions.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +52,21 @@ def period_of(year: Column, month: Column) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-01", year, month), "yyyy-MM-dd")
 
 
-def usage(spark: SparkSession, folder: str) -> DataFrame:
-    """Monthly sums. A filter on ``period`` reaches below the aggregation and the join."""
+def month_after(day: date) -> date:
+    """The first day that no month begun before ``day`` holds."""
+    last = day - timedelta(days=1)
+    return date(last.year + last.month // 12, last.month % 12 + 1, 1)
+
+
+def usage(spark: SparkSession, folder: str, before: date | None = None) -> DataFrame:
+    """Monthly sums; with ``before`` those of months that begin before it.
+
+    A filter on ``period`` reaches below the aggregation and the join, but no further, as it is a truncated date; ``before``
+    is a plain comparison of the ship date, which the scan takes.
+    """
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_shipdate", "l_quantity", "l_linestatus", "l_returnflag")
+    if before is not None:
+        lines = lines.where(F.col("l_shipdate") < F.lit(month_after(before).isoformat()).cast("timestamp_ntz"))
     owner = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     source = F.when(F.col("l_returnflag") == "A", "bc").when(F.col("l_returnflag") == "N", "api").otherwise("otp")
     rows = lines.join(owner, lines["l_orderkey"] == owner["o_orderkey"]).select(
