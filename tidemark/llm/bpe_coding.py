@@ -30,9 +30,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.frames import map_slices, texts_of
+from tidemark.llm.frames import SLICE_ROWS, map_slices, texts_of
 
-CACHE_WORDS = 1 << 16
+CACHE_WORDS = 400_000
 #: Up to so many letters a list of ranks is faster than a heap.
 SHORT = 48
 SCHEMA = "doc_id long, ids array<int>, decoded string"
@@ -75,6 +75,7 @@ class Model:
     prefixes: dict[str, int]
     unstable: frozenset[int] = frozenset()
     cache: dict[str, tuple[str, int, str]] = field(default_factory=dict)
+    cache_words: int = CACHE_WORDS
 
 
 def load_model(path: str) -> Model:
@@ -251,7 +252,7 @@ def pieces_of(model: Model, text: str) -> list[str]:
 def learn(model: Model, words: set[str]) -> None:
     """Put new words into the cache: ids as text, their number, the decoded form."""
     new = [w for w in words if w not in model.cache]
-    if len(model.cache) + len(new) > CACHE_WORDS:
+    if len(model.cache) + len(new) > model.cache_words:
         model.cache.clear()
         new = list(words)
     for s, i in model.specials.items():
@@ -280,8 +281,10 @@ def decode_ids(model: Model, ids: list[int]) -> str:
     return " ".join(model.tokens[i] for i in ids)
 
 
-def _shared(docs: DataFrame, path: str):
-    return docs.sparkSession.sparkContext.broadcast(load_model(path))
+def _shared(docs: DataFrame, path: str, cache_words: int = CACHE_WORDS):
+    model = load_model(path)
+    model.cache_words = cache_words
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
@@ -293,16 +296,19 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
         ids = [[int(x) for x in c[0].split()] for c in code_texts(model, texts_of(batch))]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([decode_ids(model, x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return map_slices(docs.select("doc_id", "text"), work, SCHEMA, rows=64)
+    return map_slices(docs.select("doc_id", "text"), work, SCHEMA)
 
 
-def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
-    """The same as counts and hashes, without the ids leaving the task."""
-    shared = _shared(docs, path)
+def bpe_digests(docs: DataFrame, path: str, cache_words: int = CACHE_WORDS, rows: int = SLICE_ROWS) -> DataFrame:
+    """The same as counts and hashes, without the ids leaving the task.
+
+    ``cache_words`` words and ``rows`` texts are held at a time: fewer take less memory and more time.
+    """
+    shared = _shared(docs, path, cache_words)
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         coded = code_texts(shared.value, texts_of(batch))
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([c[1] for c in coded], pa.int64()), pa.array([sha(c[0]) for c in coded]), pa.array([sha(c[2]) for c in coded])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_slices(docs.select("doc_id", "text"), work, DIGEST_SCHEMA, rows=64)
+    return map_slices(docs.select("doc_id", "text"), work, DIGEST_SCHEMA, rows)
