@@ -34,9 +34,21 @@ def model_performance(versions: DataFrame, aliases: DataFrame, metric: str) -> D
     return rows.join(champion, "model_type").groupBy("model_type", "champion", "champion_metric").agg(better.alias("n_better"), F.count("*").alias("n"))
 
 
-def ranked_candidates(versions: DataFrame, evaluations: DataFrame, metric: str, higher_is_better: bool = True) -> DataFrame:
-    """model_type, version, metric on the holdout, mean over the backtests, the baseline's metric, and the place by the holdout."""
-    part = lambda kind: F.avg(F.when(F.col("kind") == kind, headline(F.col("metrics"), metric))).alias(kind)
+def ranked_candidates(versions: DataFrame, evaluations: DataFrame, metric: str, higher_is_better: bool = True, order: list[str] | None = None) -> DataFrame:
+    """model_type, version, metric on the holdout, mean over the backtests, the baseline's metric, and the place by the holdout.
+
+    A mean of doubles depends in its last digit on the order in which they are added, and so do the places of equal means. With
+    ``order`` (columns of the evaluations) a version's values are added in that order, wherever its rows stand.
+    """
+    value = headline(F.col("metrics"), metric)
+
+    def part(kind: str) -> Column:
+        own = F.when((F.col("kind") == kind) & value.isNotNull(), value if order is None else F.struct(*order, value.alias("__value")))
+        if order is None:
+            return F.avg(own).alias(kind)
+        values = F.sort_array(F.collect_list(own))  # a version has few evaluations
+        return F.try_divide(F.aggregate(values, F.lit(0.0), lambda total, v: total + v["__value"]), F.size(values)).alias(kind)
+
     measured = evaluations.groupBy("version").agg(*[part(k) for k in ("holdout", "backtest", "baseline")])
     rows = versions.select("model_type", "version").join(measured, "version", "left")
     best = F.col("holdout").desc_nulls_last() if higher_is_better else F.col("holdout").asc_nulls_last()

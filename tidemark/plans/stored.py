@@ -225,9 +225,9 @@ def model_performance(t: Tables) -> DataFrame:
     FROM (SELECT l_orderkey, {_KIND} AS kind, (l_partkey % 997) / 1000.0::DOUBLE AS m FROM lineitem WHERE l_orderkey % 5 > 0) GROUP BY 1) USING (o_orderkey)""")
 def candidate_ranking(t: Tables) -> DataFrame:
     """Versions placed by their holdout metric; every fifth has no evaluation."""
-    lines = adapter.table(t.spark, t.folder, "lineitem").where("l_orderkey % 5 > 0").selectExpr("l_orderkey AS o_orderkey", f"{_KIND} AS kind", """'{"pr_auc": 0.' || lpad(CAST(l_partkey % 997 AS STRING), 3, '0') || '}' AS metrics""")
-    evaluations = lines.join(_versions(t).select("o_orderkey", "version"), "o_orderkey").select("version", "kind", "metrics")
-    return registry.ranked_candidates(_versions(t).drop("metrics"), evaluations, "pr_auc")
+    lines = adapter.table(t.spark, t.folder, "lineitem").where("l_orderkey % 5 > 0").selectExpr("_metadata.file_path AS file", "_metadata.row_index AS row", "l_orderkey AS o_orderkey", f"{_KIND} AS kind", """'{"pr_auc": 0.' || lpad(CAST(l_partkey % 997 AS STRING), 3, '0') || '}' AS metrics""")
+    evaluations = lines.join(_versions(t).select("o_orderkey", "version"), "o_orderkey").select("version", "kind", "metrics", "file", "row")
+    return registry.ranked_candidates(_versions(t).drop("metrics"), evaluations, "pr_auc", order=["file", "row"])
 
 
 HISTORY = "model_type string, previous string, version string, action string, reason string"
