@@ -1,6 +1,10 @@
 """Places, bootstrap draws and fits that must not depend on where rows stand or how many there are."""
 
-from tidemark.operators import registry
+import hashlib
+
+import numpy as np
+
+from tidemark.operators import metrics, registry
 
 
 def test_equal_evaluations_give_equal_places_wherever_they_stand(spark):
@@ -14,3 +18,33 @@ def test_equal_evaluations_give_equal_places_wherever_they_stand(spark):
     assert len({(values[a] + values[b]) + values[c] for a, b, c in [(0, 1, 2), (1, 2, 0)]}) == 2
     found = registry.ranked_candidates(versions, evaluations, "m", order=["nr"]).collect()
     assert {r["place"] for r in found} == {1} and {r["holdout"] for r in found} == {(0.231 + 0.081 + 0.135) / 3}
+
+
+def test_bootstrap_equals_direct_draws_without_a_row_a_draw(spark):
+    rng, n, draws = np.random.default_rng(3), 3000, 40  # the first draws may take no row: they do not count
+    p = np.where(rng.random(n) < 0.4, 0.25, np.round(rng.random(n), 2))  # one score is very frequent: it stands in several tasks
+    y = (rng.random(n) < p).astype(int)
+    rows = spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(p, y, strict=True))] + [(n, None, 1), (n + 1, 0.5, None)], "acc_id int, p double, y int")
+    frame = metrics.bootstrap_churn(rows, "p", "y", "acc_id", draws=draws)
+    got = {r["metric"]: r for r in frame.collect()}
+    digest = [hashlib.md5(str(i).encode()).hexdigest() for i in range(n)]
+    h1, h2 = (np.array([int(d[a:b], 16) for d in digest]) for a, b in ((0, 7), (8, 15)))
+
+    def told(w):
+        s = np.round(p, 4)
+        below = np.array([w[s < v].sum() + (w[s == v].sum() + 1) / 2 for v in np.unique(s)])[np.searchsorted(np.unique(s), s)]
+        pos, all_ = (w * y).sum(), w.sum()
+        q = np.clip(p, 1e-15, 1 - 1e-15)
+        loss = -(w * np.where(y == 1, np.log(q), np.log(1 - q))).sum() / all_
+        return {"brier": (w * (p - y) ** 2).sum() / all_, "log_loss": loss, "roc_auc": ((w * y * below).sum() - pos * (pos + 1) / 2) / (pos * (all_ - pos)), "positive_rate": pos / all_}
+
+    u = [((h1 + k * h2) % ((1 << 31) - 1)) / ((1 << 31) - 1) for k in range(draws)]
+    each = [told(sum((x >= c).astype(float) for c in metrics.POISSON)) for x in u]
+    for name, value in told(np.ones(n)).items():
+        of = [e[name] for e in each]
+        assert np.allclose([got[name]["value"], got[name]["low"], got[name]["high"]], [value, np.nanquantile(of, 0.025), np.nanquantile(of, 0.975)], atol=1e-9)
+    assert metrics.bootstrap_churn(rows.limit(0), "p", "y", "acc_id", draws=5).count() == 0
+    # Rows are weighed where they stand: a task hands on three, however many it has.
+    cells = metrics._weighed(draws)
+    handed = rows.where("p IS NOT NULL AND y IS NOT NULL").selectExpr("p AS s", "CAST(y AS DOUBLE) AS y", "p AS b", "p AS l", "CAST(1 AS LONG) AS h1", "CAST(2 AS LONG) AS h2")
+    assert handed.coalesce(1).sortWithinPartitions("s").mapInArrow(cells, metrics._CELL).count() == 3

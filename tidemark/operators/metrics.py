@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -255,30 +258,99 @@ POISSON = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.9963401
 _PRIME = (1 << 31) - 1
 
 
-def poisson_of(first: Column, second: Column, draw: Column) -> Column:
-    u = F.pmod(first + draw * second, F.lit(_PRIME)) / _PRIME
-    return sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
+def poisson_weights(first: np.ndarray, second: np.ndarray, draws: int) -> np.ndarray:
+    """Rows by draws -1 .. draws - 1: how often each draw takes each row. Draw -1 is the table itself; a row without a hash is in no other."""
+    out = np.zeros((len(first), draws + 1))
+    u = (first[:, None] + np.arange(draws) * second[:, None]) % _PRIME / _PRIME
+    for p in POISSON:
+        out[:, 1:] += u >= p
+    out[first < 0, 1:] = 0
+    out[:, 0] = 1
+    return out
+
+
+#: Rows whose weights a task holds at a time.
+WEIGHED_ROWS = 512
+_CELL = "s double, inner boolean, n array<double>, p array<double>, b array<double>, l array<double>, r array<double>"
+
+
+def _weighed(draws: int):
+    """Rows (s, y, b, l, h1, h2) in the order of s to three cells a task: its first score, its last one, and all between.
+
+    A cell has a number a draw: the weights n, those of positives p, sums b and l, and the sum r of the positives' ranks inside the cell.
+    Only the first and the last score can stand in other tasks too; their ranks are counted when these are put together.
+    """
+    zeros = lambda: np.zeros(draws + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = at = None  # the scores of the first and of the current cell
+        head, own, inner = [zeros(), zeros()], [zeros(), zeros()], [zeros(), zeros(), zeros()]
+        start, loss = None, [zeros(), zeros()]
+
+        def close() -> None:
+            n, p = own
+            if at == first:
+                head[0] += n
+                head[1] += p
+            else:
+                inner[2] += p * (inner[0] + (n + 1) / 2)
+                inner[0] += n
+                inner[1] += p
+
+        for whole in batches:
+            for k in range(0, whole.num_rows, WEIGHED_ROWS):
+                s, y, b, el, h1, h2 = (c.to_numpy(zero_copy_only=False) for c in whole.slice(k, WEIGHED_ROWS).columns)
+                w = poisson_weights(h1, h2, draws)
+                loss[0] += b @ w
+                loss[1] += el @ w
+                cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                counts, hits = np.add.reduceat(w, cuts), np.add.reduceat(w * y[:, None], cuts)
+                for score, n, p in zip(s[cuts].tolist(), counts, hits, strict=True):
+                    if first is None:
+                        first = at = start = score
+                    if score != at:
+                        close()
+                        if at != first and start == first:
+                            start = at
+                        at, own = score, [zeros(), zeros()]
+                    own[0] += n
+                    own[1] += p
+        if first is None:
+            return
+        cells = [(first, False, *(own if at == first else head), *loss, zeros())]
+        if at != first:
+            cells.append((at, False, *own, zeros(), zeros(), zeros()))
+            if start != first:
+                cells.append((start, True, inner[0], inner[1], zeros(), zeros(), inner[2]))
+        columns = list(zip(*cells, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), *(pa.array([x.tolist() for x in c], pa.list_(pa.float64())) for c in columns[2:])], [c.split()[0] for c in _CELL.split(", ")])
+
+    return run
 
 
 def bootstrap_churn(df: DataFrame, score: str, label: str, key: str, draws: int = 1000, level: float = 0.95) -> DataFrame:
     """metric, value, low, high: percentile intervals of the Brier score, log loss, ROC AUC and rate.
 
-    Rows are counted once a draw with their weights, in partial sums by (draw, score to four digits): at most 10,001 rows
-    a draw are left for the ranks of the AUC, however long the table is.
+    Rows, in the order of their scores to four digits over range partitions, are weighed for all draws where they stand; a
+    task gives three rows of a number a draw. Rows without a score or a label are left out.
     """
     p, y = clipped(F.col(score), 1e-15, 1 - 1e-15), F.col(label)
     digest = F.md5(F.col(key).cast("string"))
-    part = lambda at: F.conv(F.substring(digest, at, 7), 16, 10).cast("long")
-    rows = df.select(
-        F.round(score, 4).alias("s"), y.alias("y"), F.pow(F.col(score) - y, F.lit(2)).alias("b"), (-F.when(y == 1, F.log(p)).otherwise(F.log(1 - p))).alias("l"),
-        part(1).alias("h1"), part(9).alias("h2"), F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))).alias("draw"),
-    )
-    w = F.when(F.col("draw") < 0, 1).otherwise(poisson_of(F.col("h1"), F.col("h2"), F.col("draw")))  # draw -1 is the table itself
-    cells = rows.withColumn("w", w).where("w > 0").groupBy("draw", "s").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * F.col("b")).alias("b"), F.sum(F.col("w") * F.col("l")).alias("l"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("draw").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = cells.withColumn("r", F.col("p") * (below + (F.col("n") + 1) / 2)).groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("n", "p", "b", "l", "r")])
+    part = lambda at: F.coalesce(F.conv(F.substring(digest, at, 7), 16, 10).cast("long"), F.lit(-1))
+    rows = keep(df.where(F.col(score).isNotNull() & y.isNotNull()).select(
+        F.round(score, 4).cast("double").alias("s"), y.cast("double").alias("y"), F.pow(F.col(score) - y, F.lit(2)).alias("b"), (-F.when(y == 1, F.log(p)).otherwise(F.log(1 - p))).alias("l"), part(1).alias("h1"), part(9).alias("h2"),
+    ))
+    # A score that very many rows have is dealt to several tasks by the hashes.
+    dealt = rows.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s", "h1", "h2").sortWithinPartitions("s")
+    parts = dealt.mapInArrow(_weighed(draws), _CELL)
+    each_draw = parts.select("s", "inner", F.posexplode(F.arrays_zip("n", "p", "b", "l", "r")).alias("draw", "c")).select((F.col("draw") - 1).alias("draw"), "s", "inner", "c.*")
+    cells = each_draw.groupBy("draw", "s").agg(F.bool_or("inner").alias("inner"), *[F.sum(c).alias(c) for c in ("n", "p", "b", "l", "r")])
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("draw").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # three rows a task
+    inside = F.when(F.col("inner"), F.col("r")).otherwise(F.col("p") * (F.col("n") + 1) / 2)
+    sums = cells.withColumn("r", F.col("p") * below + inside).groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("n", "p", "b", "l", "r")])
     n, pos = F.col("n"), F.col("p")
     auc = (F.col("r") - pos * (pos + 1) / 2) / F.expr("nullif(p * (n - p), 0)")
-    each = sums.select("draw", F.explode(F.create_map(F.lit("brier"), F.col("b") / n, F.lit("log_loss"), F.col("l") / n, F.lit("roc_auc"), auc, F.lit("positive_rate"), pos / n)).alias("metric", "v"))
+    share = lambda c: F.try_divide(F.col(c), n)
+    each = sums.select("draw", F.explode(F.create_map(F.lit("brier"), share("b"), F.lit("log_loss"), share("l"), F.lit("roc_auc"), auc, F.lit("positive_rate"), share("p"))).alias("metric", "v"))
     drawn, tail = F.when(F.col("draw") >= 0, F.col("v")), (1 - level) / 2
     return each.groupBy("metric").agg(F.max(F.when(F.col("draw") < 0, F.col("v"))).alias("value"), F.percentile(drawn, tail).alias("low"), F.percentile(drawn, 1 - tail).alias("high"))
