@@ -1,10 +1,15 @@
 """Places, bootstrap draws and fits that must not depend on where rows stand or how many there are."""
 
 import hashlib
+import os
 
 import numpy as np
 
-from tidemark.operators import metrics, registry
+from tidemark.operators import metrics, outcomes, registry
+from tidemark.plans import checks, stored
+from tidemark.plans.catalog import Tables
+
+FOLDER = os.environ.get("TIDEMARK_TEST_TABLES", "/root/testdata/sf0.001")
 
 
 def test_equal_evaluations_give_equal_places_wherever_they_stand(spark):
@@ -48,3 +53,18 @@ def test_bootstrap_equals_direct_draws_without_a_row_a_draw(spark):
     cells = metrics._weighed(draws)
     handed = rows.where("p IS NOT NULL AND y IS NOT NULL").selectExpr("p AS s", "CAST(y AS DOUBLE) AS y", "p AS b", "p AS l", "CAST(1 AS LONG) AS h1", "CAST(2 AS LONG) AS h2")
     assert handed.coalesce(1).sortWithinPartitions("s").mapInArrow(cells, metrics._CELL).count() == 3
+
+
+def test_runs_of_realized_churn_share_their_rows(spark, monkeypatch):
+    """Scores and labels come from what was materialised, not once a run from the tables."""
+    seen, real = [], outcomes.realized_churn
+    monkeypatch.setattr(outcomes, "realized_churn", lambda scored, labels, *a: seen.append((scored, labels)) or real(scored, labels, *a))
+    checks.realized_churn(Tables(spark, FOLDER))
+    assert len(seen) == 4 and not any("parquet" in df._jdf.queryExecution().toString() for pair in seen for df in pair)
+
+
+def test_guarded_statements_share_one_view(spark, monkeypatch):
+    made, real = [], Tables.derived
+    monkeypatch.setattr(Tables, "derived", lambda self: made.append(1) or real(self))
+    assert stored.guarded_refusals(Tables(spark, FOLDER)).count() == len(stored.STATEMENTS)
+    assert len(made) == 1
