@@ -5,10 +5,13 @@ The inputs are expressions that Spark and DuckDB read alike, so one text makes a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import union_all
+from tidemark.functions.storage import shared_folder
 from tidemark.operators import cleaning, registry, reports
 from tidemark.plans import guarded_sql
 from tidemark.plans.catalog import Tables, query
@@ -307,7 +310,10 @@ STATEMENTS = [
 def guarded_refusals(t: Tables) -> DataFrame:
     """Which of the listed statements may be run over the caller's outputs, and how many rows they give."""
     run = (F.col("acc_id") % 3).cast("string").alias("prediction_run_id")
-    views = {"outputs": lambda session: Tables(session, t.folder).derived().select("acc_id", "segment", "value_tier", "predicted_clv", run)}
+    # The rows are computed once and written: every statement has a session of its own, which can't see this one's frames.
+    path = f"{shared_folder(t.customers)}/outputs-{uuid.uuid4()}"
+    t.derived().select("acc_id", "segment", "value_tier", "predicted_clv", run).write.parquet(path)
+    views = {"outputs": lambda session: session.read.parquet(path)}
     found = []
     for i, (sql, _) in enumerate(STATEMENTS):
         try:
