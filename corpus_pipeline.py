@@ -1,7 +1,8 @@
 """The corpus pipeline: documents to encoded, clean, deduplicated documents, one operator a stage.
 
 1. toxicity: documents that the classifier rejects go.
-2. simhash_dedup: of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays.
+2. simhash_dedup: of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays. SimHash
+   fingerprints linked through BK-trees find them and are verified; an exact search finds those that are further apart in bits.
 3. decontamination: documents that contain a benchmark item go.
 4. secret_scans: secrets are replaced by marks in the text; every document stays.
 5. bpe_coding: every text is encoded and decoded; the result has the digests of ids and decoded text.

@@ -200,9 +200,12 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by sets of five-word shingles, for a Jaccard similarity that 64 bits and a small radius can't reach.
+# Near copies by sets of five-word shingles: fingerprints linked through BK-trees and verified first, then an exact search for
+# the pairs of that Jaccard similarity whose 64 bits differ by more than a small radius.
 
 SHINGLE = 5
+#: Bits within which the fingerprints of two sets are linked.
+RADIUS = 2
 #: Members of a bucket that one join key holds on its left side; of a larger bucket every part meets all members.
 SHARD_MEMBERS = 2000
 #: Shingles in that many texts of one in COMMON_SAMPLE come last in the order; at most COMMON_LIMIT are broadcast.
@@ -215,8 +218,8 @@ DROPPED_ROWS = 200_000
 UNIT_TOKENS, PART_TOKENS = 4_000_000, 2_000_000
 #: Bytes of a shingle hash that are compared between texts. A collision only adds a pair that the exact test rejects.
 TOKEN_BYTES = 6
-ROW_SCHEMA = "doc_id long, text_hash long, id long, n long, bits binary"
-UNIT_SCHEMA = "unit long, n_tokens long, known binary, doc_id binary, text_hash binary, id binary, n binary, bits binary, tokens binary"
+ROW_SCHEMA = "doc_id long, text_hash long, id long, n long, bits binary, print long"
+UNIT_SCHEMA = "unit long, n_tokens long, known binary, doc_id binary, text_hash binary, id binary, n binary, bits binary, prints binary, tokens binary"
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -288,20 +291,20 @@ def _from_low_bytes(blob: bytes) -> np.ndarray:
 
 
 def _units(keyed: DataFrame, similarity: float) -> DataFrame:
-    """Every text's set in packed rows: its id, size, parity bitmap and the prefix in the order (common or not, hash)."""
+    """Every text's set in packed rows: its id, size, parity bitmap, fingerprint and the prefix in the order (common or not, hash)."""
     common = keyed.sparkSession.sparkContext.broadcast(_common_shingles(keyed))
     with_small_batches(keyed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, held = TaskContext.get().partitionId() << 32, 0, 0
-        ids, hashes, sets, sizes, bits, tokens = [], [], [], [], [], []
+        ids, hashes, sets, sizes, bits, prints, tokens = [], [], [], [], [], [], []
 
         def unit() -> pa.RecordBatch:
-            nonlocal ids, hashes, sets, sizes, bits, tokens, made, held
+            nonlocal ids, hashes, sets, sizes, bits, prints, tokens, made, held
             known = np.array([i is not None for i in ids])
-            blobs = [np.packbits(known), np.array([i or 0 for i in ids], np.int64), np.array(hashes, np.int64), np.array(sets, np.int64), np.array(sizes, np.int32), np.concatenate(bits)]
+            blobs = [np.packbits(known), np.array([i or 0 for i in ids], np.int64), np.array(hashes, np.int64), np.array(sets, np.int64), np.array(sizes, np.int32), np.concatenate(bits), np.array(prints, np.int64)]
             row = [pa.array([task + made]), pa.array([held]), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), pa.array([_low_bytes(np.concatenate(tokens))], pa.binary())]
-            ids, hashes, sets, sizes, bits, tokens, made, held = [], [], [], [], [], [], made + 1, 0
+            ids, hashes, sets, sizes, bits, prints, tokens, made, held = [], [], [], [], [], [], [], made + 1, 0
             return pa.RecordBatch.from_arrays(row, [c.split()[0] for c in UNIT_SCHEMA.split(", ")])
 
         for whole in batches:
@@ -316,6 +319,7 @@ def _units(keyed: DataFrame, similarity: float) -> DataFrame:
                     sets.append(_set_id(found))
                     sizes.append(len(found))
                     bits.append(parity(found))
+                    prints.append(majority(found)[0])
                     tokens.append(first >> np.uint64(64 - 8 * TOKEN_BYTES))
                     held += len(first)
                     if held >= UNIT_TOKENS:
@@ -335,7 +339,7 @@ def _rows_of_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             ends = np.concatenate([[0], np.cumsum([_places(x) // 8 for x in n.tolist()])]).astype(np.int32)
             bits = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(r["bits"])])
             longs = lambda name, r=r: np.frombuffer(r[name], np.int64)
-            batch = pa.RecordBatch.from_arrays([pa.array(longs("doc_id"), mask=~known), pa.array(longs("text_hash")), pa.array(longs("id")), pa.array(n.astype(np.int64)), bits], [c.split()[0] for c in ROW_SCHEMA.split(", ")])
+            batch = pa.RecordBatch.from_arrays([pa.array(longs("doc_id"), mask=~known), pa.array(longs("text_hash")), pa.array(longs("id")), pa.array(n.astype(np.int64)), bits, pa.array(longs("prints"))], [c.split()[0] for c in ROW_SCHEMA.split(", ")])
             for at in range(0, len(n), 4096):
                 yield batch.slice(at, 4096)
 
@@ -446,14 +450,36 @@ def _near(n_a: Column, n_b: Column, similarity: float) -> Column:
     return F.least(n_a, n_b) >= F.lit(similarity) * F.greatest(n_a, n_b) - F.lit(1e-9)
 
 
+def _printed_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of sets that their fingerprints propose: all with the first set of the same fingerprint, and the
+    first sets of fingerprints that BK-trees link (``near_links``). At most one pair a set and one a link."""
+    classes = keep_plan_short(sets.groupBy("print").agg(F.min("id").alias("of_print")))
+    same = sets.select("id", "print").join(classes, "print").select(F.col("id").alias("a"), F.col("of_print").alias("b"))
+    links = near_links(classes.select(F.col("print").alias("id"), F.array("print").alias("fingerprint")), exact_masks(RADIUS), RADIUS)
+    end = lambda c: classes.select(F.col("print").alias(c), F.col("of_print").alias(f"set_{c}"))
+    near = links.join(end("a"), "a").join(end("b"), "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+    return same.unionByName(near).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Pairs whose sets are not in one component yet."""
+    root = lambda c: rooted.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def set_components(units: DataFrame, keyed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node, root) of the sets connected by pairs of the similarity or more; no such pair is missed.
 
-    Two such sets have a shingle in common within their prefixes, so they meet in its bucket, and in the bucket of the
-    first one they share, enough is left of both. First each set is compared with one pivot only: in every bucket the set
+    First the sets whose SimHash fingerprints are linked through BK-trees are verified on their shingles. At similarity 0.8
+    fingerprints may differ in more bits than any tree can exclude, so an exact search follows for what is not connected yet.
+    Two similar sets have a shingle in common within their prefixes, so they meet in its bucket, and in the bucket of the
+    first one they share, enough is left of both. There each set is compared with one pivot only: in every bucket the set
     whose shingles are the most shared, the likely origin of a group of copies, stands for its size class, and of these a
     set takes the one it meets most often. Then all members of a bucket that are not yet in one component are compared.
     """
+    printed = keep_plan_short(_printed_pairs(sets))
+    near = keep_plan_short(_alike(printed, sets, keyed, similarity))
     met = _shared_shingles(units, similarity).distinct()
     met = keep_plan_short(met)
     members = met.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
@@ -467,8 +493,8 @@ def set_components(units: DataFrame, keyed: DataFrame, sets: DataFrame, similari
     chance = classed.join(pivots, ["token", "class"]).where((F.col("id") != F.col("pivot.id")) & _near(F.col("n"), F.col("pivot.n"), similarity))
     often = chance.groupBy("id", "pivot.id", "pivot.score").agg(F.count("*").alias("times")).toDF("id", "other", "score", "times")
     chosen = often.groupBy("id").agg(F.max(F.struct("times", "score", "other")).alias("best")).select(F.col("id").alias("a"), F.col("best.other").alias("b"))
-    tried = keep_plan_short(chosen.select(*pair).distinct())
-    links = keep_plan_short(_alike(tried, sets, keyed, similarity))
+    tried = keep_plan_short(_apart(chosen.select(*pair).distinct().join(printed, ["a", "b"], "left_anti"), components(near)))
+    links = keep_plan_short(near.unionByName(_alike(tried, sets, keyed, similarity)))
     rooted = components(links)
 
     known = met.join(rooted.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -479,7 +505,7 @@ def set_components(units: DataFrame, keyed: DataFrame, sets: DataFrame, similari
     left = mixed_ones.select("token", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.col("id").alias("a"), F.col("root").alias("root_a"), *of("a"))
     right = mixed_ones.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), F.col("root").alias("root_b"), *of("b"))
     rest = left.join(right, ["token", "part"]).where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & _enough_left(similarity))
-    rest = keep_plan_short(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    rest = keep_plan_short(rest.select("a", "b").distinct().join(tried.unionByName(printed), ["a", "b"], "left_anti"))
     return components(links.unionByName(_alike(rest, sets, keyed, similarity)))
 
 
@@ -496,7 +522,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     units = keep_plan_short(_units(keyed, similarity))
     rows = units.mapInArrow(_rows_of_units, ROW_SCHEMA)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
-    sets = keep_plan_short(rows.groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), least))
+    sets = keep_plan_short(rows.groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("print").alias("print"), least))
     rooted = set_components(units, keyed, sets, similarity)
     # Aggregated before its shuffle: a group of a third of all sets is one row a task. Its winner is then looked up by document.
     winners = sets.select("id", "first").join(rooted.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
