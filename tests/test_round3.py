@@ -5,7 +5,8 @@ import os
 
 import numpy as np
 
-from tidemark.operators import metrics, outcomes, registry
+from tidemark.functions import ranking
+from tidemark.operators import metrics, models, outcomes, registry
 from tidemark.plans import checks, stored
 from tidemark.plans.catalog import Tables
 
@@ -68,3 +69,16 @@ def test_guarded_statements_share_one_view(spark, monkeypatch):
     monkeypatch.setattr(Tables, "derived", lambda self: made.append(1) or real(self))
     assert stored.guarded_refusals(Tables(spark, FOLDER)).count() == len(stored.STATEMENTS)
     assert len(made) == 1
+
+
+def test_medians_are_exact_and_one_scaling_a_fold_serves_all_families(spark, monkeypatch):
+    rng, n = np.random.default_rng(8), 20_001
+    x, y = np.round(rng.normal(size=n), 4), np.where(rng.random(n) < 0.5, 0.0, rng.random(n))
+    rows = spark.createDataFrame([(i, float(a), float(b) if i % 3 else None, None, int(i % 4 == 0)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "acc_id long, x double, y double, z double, churned int")
+    count, found = ranking.medians(rows, ["x", "y", "z"])
+    assert count == n and found == {"x": np.median(x), "y": np.median(y[np.arange(n) % 3 > 0]), "z": None}
+    calls, real = [], models.fit_scaling
+    monkeypatch.setattr(models, "fit_scaling", lambda *a: calls.append(1) or real(*a))
+    families = {"one": models.FAMILIES["logistic"], "weak": models.FAMILIES["logistic_weak"]}
+    assert models.choose_family(rows, ["x", "y"], "churned", 2, families).count() == 2
+    assert len(calls) == 2

@@ -16,7 +16,7 @@ from pyspark.ml.regression import AFTSurvivalRegression, GeneralizedLinearRegres
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranking import column_quantiles, quantiles_row, union_all, with_position
+from tidemark.functions.ranking import column_quantiles, medians, quantiles_row, union_all, with_position
 from tidemark.functions.scalars import clipped
 from tidemark.functions.storage import keep
 from tidemark.operators.gates import BLOCKER, report
@@ -33,19 +33,12 @@ class Scaling:
     rows: int = 0
 
 
-#: Rows whose medians are taken by one aggregation; more are ranked over range partitions.
-FEW_ROWS = 50_000
-
-
 def fit_scaling(train: DataFrame, names: list[str], defaults: dict[str, float] | None = None) -> Scaling:
     """Median (or default) for nulls, then mean and population deviation; a deviation of zero counts as one."""
     defaults = defaults or {}
-    train = keep(train.select(*names))
-    if train.count() <= FEW_ROWS:  # one buffer holds their values
-        medians = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in names]).first()
-    else:
-        medians = quantiles_row(train, {c: (c, 0.5) for c in names}).first()
-    fill = {c: defaults.get(c, medians[c] if medians[c] is not None else 0.0) for c in names}
+    train = train.select(*names)
+    _, middle = medians(train, names)
+    fill = {c: defaults.get(c, middle[c] if middle[c] is not None else 0.0) for c in names}
     filled = train.select(*[F.coalesce(c, F.lit(fill[c])).alias(c) for c in names])
     row = filled.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
     return Scaling(fill, {c: row[f"m_{c}"] or 0.0 for c in names}, {c: row[f"s_{c}"] or 1.0 for c in names}, row["n"])
@@ -89,29 +82,29 @@ def _scorer(model, join: VectorAssembler, names: list[str], by: Scaling, **facts
 _COLUMNS = {"featuresCol": "__x", "weightCol": "__w", "probabilityCol": "__p", "predictionCol": "__y", "rawPredictionCol": "__r"}
 
 
-def fit_churn(train: DataFrame, names: list[str], label: str, strength: float = 1.0):
-    """Class-balanced logistic regression; returns a function that adds ``probability`` to rows."""
-    by = fit_scaling(train, names)
+def fit_churn(train: DataFrame, names: list[str], label: str, strength: float = 1.0, by: Scaling | None = None):
+    """Class-balanced logistic regression; returns a function that adds ``probability`` to rows. ``by``: the scaling of these rows, if known."""
+    by = by or fit_scaling(train, names)
     weight, total = _class_weight(train, label)
     join = VectorAssembler(inputCols=names, outputCol="__x")
     model = LogisticRegression(labelCol=label, regParam=1 / (strength * max(total, 1)), **_COLUMNS).fit(join.transform(scaled(train, names, by).withColumn("__w", weight)))
     return _scorer(model, join, names, by, coefficients=dict(zip(names, model.coefficients.toArray().tolist(), strict=True)))
 
 
-def _fit_trees(classifier, train: DataFrame, names: list[str], label: str):
-    by = fit_scaling(train, names)
+def _fit_trees(classifier, train: DataFrame, names: list[str], label: str, by: Scaling | None = None):
+    by = by or fit_scaling(train, names)
     weight, _ = _class_weight(train, label)
     join = VectorAssembler(inputCols=names, outputCol="__x")
     model = classifier.fit(join.transform(scaled(train, names, by).withColumn("__w", weight)))
     return _scorer(model, join, names, by, importances=dict(zip(names, model.featureImportances.toArray().tolist(), strict=True)), fitted=model, trees=model.getNumTrees)
 
 
-def fit_forest(train: DataFrame, names: list[str], label: str, trees: int = 40, depth: int = 6):
+def fit_forest(train: DataFrame, names: list[str], label: str, trees: int = 40, depth: int = 6, by: Scaling | None = None):
     """Class-balanced random forest."""
-    return _fit_trees(RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=42, minInstancesPerNode=5, **_COLUMNS), train, names, label)
+    return _fit_trees(RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=42, minInstancesPerNode=5, **_COLUMNS), train, names, label, by)
 
 
-def fit_boosted(train: DataFrame, names: list[str], label: str, trees: int = 60, depth: int = 3, rate: float = 0.1, held: int = 5, gain: float = 0.001):
+def fit_boosted(train: DataFrame, names: list[str], label: str, trees: int = 60, depth: int = 3, rate: float = 0.1, held: int = 5, gain: float = 0.001, by: Scaling | None = None):
     """Class-balanced gradient-boosted trees, as many as the loss of held-out accounts asks for (``trees`` at most).
 
     One account in ``held`` is kept from fitting; boosting ends when its loss no longer falls by ``gain`` (relative to the loss), and
@@ -124,12 +117,12 @@ def fit_boosted(train: DataFrame, names: list[str], label: str, trees: int = 60,
     if not n["held"] or not n["fitted"]:  # too few accounts to keep any
         marked, boosted = marked.drop("__held"), boosted.copy()
         boosted.clear(boosted.validationIndicatorCol)
-    return _fit_trees(boosted, marked, names, label)
+    return _fit_trees(boosted, marked, names, label, by)
 
 
 #: What churn is tried with: the fit of every family, and of logistic regression its strengths.
 FAMILIES = {
-    "logistic": fit_churn, "logistic_weak": lambda *a: fit_churn(*a, strength=0.1), "logistic_strong": lambda *a: fit_churn(*a, strength=10.0),
+    "logistic": fit_churn, "logistic_weak": lambda *a, **k: fit_churn(*a, strength=0.1, **k), "logistic_strong": lambda *a, **k: fit_churn(*a, strength=10.0, **k),
     "forest": fit_forest, "boosted": fit_boosted,
 }
 
@@ -137,10 +130,11 @@ FAMILIES = {
 def choose_family(train: DataFrame, names: list[str], label: str, folds: int = 5, families: dict | None = None) -> DataFrame:
     """family, pr_auc of its scores out of fold, the best one first: a search over families and their strengths or depths."""
     train = keep(with_fold(train, label, folds))
+    by = fold_scalings(train, names, folds)
 
     def tried(family) -> DataFrame:
         name, fit = family
-        worth = pr_auc(out_of_fold(train, names, label, folds, fit), "probability", label)
+        worth = pr_auc(out_of_fold(train, names, label, folds, fit, by), "probability", label)
         return keep(worth.select(F.lit(name).alias("family"), F.round("pr_auc", 6).alias("pr_auc")))
 
     with ThreadPoolExecutor(2) as pool:
@@ -240,11 +234,20 @@ def with_fold(df: DataFrame, label: str, folds: int = 5) -> DataFrame:
     return df.join(dealt, df["acc_id"].eqNullSafe(dealt["__acc"])).drop("__acc")
 
 
-def out_of_fold(df: DataFrame, names: list[str], label: str, folds: int = 5, fit=fit_churn) -> DataFrame:
-    """Scores of every row from a model that has not seen its account: ``folds`` fits over stratified folds, side by side."""
+def fold_scalings(dealt: DataFrame, names: list[str], folds: int) -> list[Scaling]:
+    """Per fold the scaling learned on the others: one for all fits that are tried on these folds."""
+    with ThreadPoolExecutor(folds) as pool:
+        return list(pool.map(lambda k: fit_scaling(dealt.where(F.col("fold") != k), names), range(folds)))
+
+
+def out_of_fold(df: DataFrame, names: list[str], label: str, folds: int = 5, fit=fit_churn, by: list[Scaling] | None = None) -> DataFrame:
+    """Scores of every row from a model that has not seen its account: ``folds`` fits over stratified folds, side by side.
+
+    ``by``: what ``fold_scalings`` found for these folds, if ``fit`` takes it.
+    """
     df = df if "fold" in df.columns else keep(with_fold(df, label, folds))
     with ThreadPoolExecutor(folds) as pool:  # each fit is a series of small jobs
-        scored = pool.map(lambda k: fit(df.where(F.col("fold") != k), names, label)(df.where(F.col("fold") == k)), range(folds))
+        scored = pool.map(lambda k: fit(df.where(F.col("fold") != k), names, label, **({"by": by[k]} if by else {}))(df.where(F.col("fold") == k)), range(folds))
         return union_all(list(scored))
 
 
