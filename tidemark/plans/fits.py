@@ -33,16 +33,17 @@ SPACE = {"family": search.Choice(("logistic", "boosted")), "strength": search.Re
 def fit_of(settings: dict):
     """The fit that settings from SPACE name."""
     if settings["family"] == "logistic":
-        return lambda train, names, label: models.fit_churn(train, names, label, settings["strength"])
-    return lambda train, names, label: models.fit_boosted(train, names, label, 20, settings["depth"], settings["rate"])
+        return lambda train, names, label, by=None: models.fit_churn(train, names, label, settings["strength"], by)
+    return lambda train, names, label, by=None: models.fit_boosted(train, names, label, 20, settings["depth"], settings["rate"], by=by)
 
 
 def searched(rows: DataFrame, names: list[str], trials: int = 8, folds: int = 3) -> list[search.Trial]:
     """Trials by average precision out of fold, four at a time on one kept frame of folds."""
     dealt = keep(models.with_fold(rows, "churned", folds))
+    by = models.fold_scalings(dealt, names, folds)
 
     def loss(settings: dict) -> float:
-        scored = models.out_of_fold(dealt, names, "churned", folds, fit_of(settings))
+        scored = models.out_of_fold(dealt, names, "churned", folds, fit_of(settings), by)
         worth = metrics.pr_auc(scored, "probability", "churned").first()["pr_auc"]
         return 1.0 if worth is None else 1 - worth
 
