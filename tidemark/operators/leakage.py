@@ -61,7 +61,7 @@ def churn_suite(rows: DataFrame, names: list[str], label: str, fit=models.fit_ch
     rows = keep(rows)
     train, valid = rows.where("split = 'train'"), rows.where("split = 'validation'")
     worst = feature_auc_scan(valid, names, label).agg(F.max("auc")).first()[0]
-    of_shuffled = [_auc(fit(shuffled(train, label, i), names, label)(valid), label) - 0.5 for i in range(shuffles)]
+    of_shuffled = [_auc(fit(keep(shuffled(train, label, i)), names, label)(valid), label) - 0.5 for i in range(shuffles)]
     full = _auc(fit(train, names, label)(valid), label)
     rest = [c for c in names if c not in RECENCY_SUSPECTS]
     drop = full - _auc(fit(train, rest, label)(valid), label)
@@ -77,7 +77,7 @@ def value_suite(rows: DataFrame, names: list[str], label: str, fit=models.fit_va
     train, valid = rows.where("split = 'train'"), rows.where("split = 'validation'")
     rho = lambda scored: metrics.regression_metrics(keep(scored), "predicted", label).first()["spearman"] or 0.0
     scan = metrics.spearman_scan(valid, names, label).agg(F.max(F.abs("rho"))).first()[0] or 0.0
-    of_shuffled = [rho(fit(shuffled(train, label, i), names, label)(valid)) for i in range(shuffles)]
+    of_shuffled = [rho(fit(keep(shuffled(train, label, i)), names, label)(valid)) for i in range(shuffles)]
     full = abs(rho(fit(train, names, label)(valid)))
     shared = labels.split_contamination(rows.select("acc_id", "split")).agg(F.sum("shared")).first()[0] or 0
     return union_all([
