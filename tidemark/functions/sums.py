@@ -29,7 +29,37 @@ def summed(rows: DataFrame, columns: list[str], work: Callable[[np.ndarray], np.
         if any_row:
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["part"])
 
-    parts = rows.select(*columns).mapInArrow(run, "part array<double>")
+    return _added(rows.select(*columns).mapInArrow(run, "part array<double>"), size)
+
+
+def packed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` as blocks of at most ``ROWS`` of them, for many passes: a block is one binary value, its doubles row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                block = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.slice(at, ROWS).columns])
+                yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], ["block"])
+
+    return rows.select(*columns).mapInArrow(run, "block binary")
+
+
+def summed_blocks(blocks: DataFrame, width: int, work: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """As ``summed``, over ``packed`` rows of ``width`` columns: a pass hands blocks to Python, not a value a column and row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, any_row = np.zeros(size), False
+        for batch in batches:
+            for block in batch.column(0):
+                total += work(np.frombuffer(block.as_buffer(), np.float64).reshape(-1, width))
+                any_row = True
+        if any_row:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["part"])
+
+    return _added(blocks.mapInArrow(run, "part array<double>"), size)
+
+
+def _added(parts: DataFrame, size: int) -> np.ndarray:
     by_place = parts.select(F.posexplode("part").alias("place", "value")).groupBy("place").agg(F.sum("value").alias("value"))
     out = np.zeros(size)
     for r in by_place.collect():

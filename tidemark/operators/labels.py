@@ -38,11 +38,20 @@ def labels_clv(payments: DataFrame, usage: DataFrame, cutoff: date, horizon: int
     return active.join(future, "acc_id", "left").select("acc_id", F.coalesce("revenue", F.lit(0.0)).alias("future_revenue"), (F.coalesce("revenue", F.lit(0.0)) > 0).cast("int").alias("purchased"))
 
 
-def labels_credit(customers: DataFrame, payments: DataFrame, usage: DataFrame, cutoff: date) -> DataFrame:
+def usage_after(usage: DataFrame, cutoff: date) -> DataFrame:
+    """acc_id, usage_30d, usage_90d of the accounts with usage in the 90 days from the cutoff on."""
     total = lambda days: F.coalesce(F.sum(F.when(_between("period", cutoff, cutoff + timedelta(days=days)), F.col("usage"))), F.lit(0.0))
-    sums = usage.where(_between("period", cutoff, cutoff + timedelta(days=90))).groupBy("acc_id").agg(total(30).alias("usage_30d"), total(90).alias("usage_90d"))
+    return usage.where(_between("period", cutoff, cutoff + timedelta(days=90))).groupBy("acc_id").agg(total(30).alias("usage_30d"), total(90).alias("usage_90d"))
+
+
+def with_usage_after(accounts: DataFrame, usage: DataFrame, cutoff: date) -> DataFrame:
+    """``accounts`` with usage_30d and usage_90d, zero where there was none."""
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return account_spine(customers, payments, usage, cutoff).join(sums, "acc_id", "left").select("acc_id", zero("usage_30d"), zero("usage_90d"))
+    return accounts.join(usage_after(usage, cutoff), "acc_id", "left").select(*accounts.columns, zero("usage_30d"), zero("usage_90d"))
+
+
+def labels_credit(customers: DataFrame, payments: DataFrame, usage: DataFrame, cutoff: date) -> DataFrame:
+    return with_usage_after(account_spine(customers, payments, usage, cutoff), usage, cutoff)
 
 
 def labels_topup(customers: DataFrame, payments: DataFrame, usage: DataFrame, cutoff: date) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.storage import keep
-from tidemark.functions.sums import summed
+from tidemark.functions.sums import packed, summed_blocks
 from tidemark.operators.models import LEVELS, QUANTILE_NAMES, Scaling, fit_scaling, ordered_around_median, scaled
 
 STEPS, LEAST_GAIN, RIDGE = 40, 1e-7, 1e-6
@@ -89,14 +89,16 @@ def fit_quantiles(train: DataFrame, names: list[str], target: str, levels: list[
     """One linear model a level for ``target``; rows without a target are left out. Without rows all forecasts are zero."""
     known = train.where(F.col(target).isNotNull()).select(*names, target)
     by = fit_scaling(known, names)
-    ready = keep(scaled(known, names, by).select(*[F.col(c).cast("double") for c in names], F.col(target).cast("double").alias("__y")))
-    facts = ready.agg(F.count("*").alias("n"), F.avg("__y").alias("m"), F.stddev_pop("__y").alias("s")).first()
+    facts = known.select(F.col(target).cast("double").alias("__y")).agg(F.count("*").alias("n"), F.avg("__y").alias("m"), F.stddev_pop("__y").alias("s")).first()
     if not facts["n"]:
         return QuantileModel(levels, names, by, [[0.0] * (len(names) + 1) for _ in levels])
     size, q = len(levels) * ((len(names) + 1) * (len(names) + 2) // 2 + len(names) + 2), np.array(levels)
 
+    ready = scaled(known, names, by).select(*[F.col(c).cast("double") for c in names], F.col(target).cast("double").alias("__y"))
+    blocks = keep(packed(ready, [*names, "__y"]))
+
     def sums(beta: np.ndarray, width: float) -> np.ndarray:
-        return summed(ready, [*names, "__y"], lambda rows: step_sums(rows, beta, q, width), size)
+        return summed_blocks(blocks, len(names) + 1, lambda rows: step_sums(rows, beta, q, width), size)
 
     beta = solve_pinball(sums, len(names), levels, facts["n"], facts["m"], facts["s"] or 1.0, steps)
     return QuantileModel(levels, names, by, beta.tolist())

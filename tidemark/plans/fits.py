@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import union_all
 from tidemark.functions.storage import keep
-from tidemark.operators import labels, lifetime, metrics, models, quantile_models, search, survival, tree_contributions
+from tidemark.operators import labels, lifetime, metrics, models, quantile_models, scoring, search, survival, tree_contributions
 from tidemark.operators.features import FEATURES
 from tidemark.plans.catalog import CUTOFF, Tables, query
+from tidemark.sources import adapter
 
 _PANEL = "(SELECT acc_id, churned, 1 AS part FROM churn UNION ALL SELECT acc_id, purchased, 2 FROM clv)"
 
@@ -97,9 +101,12 @@ def quantile_losses(t: Tables) -> DataFrame:
 
 
 def credit_rows(t: Tables) -> DataFrame:
-    """Features, anchors and realized usage of both horizons, with a split."""
-    anchors = t.scores().where(F.col("usage_30d").isNotNull()).select("acc_id", F.col("usage_30d").alias("anchor_30d"), (F.col("usage_30d") * 3).alias("anchor_90d"))
-    rows = anchors.join(labels.labels_credit(*t.all, CUTOFF), "acc_id").join(t.features().select("acc_id", *FEATURES), "acc_id")
+    """Features, anchors and realized usage of both horizons, with a split. Features are computed once: they have all accounts."""
+    known = keep(t.features())
+    scores = scoring.stand_in_scores(known, t.lifecycle()).where(F.col("usage_30d").isNotNull())
+    anchors = scores.select("acc_id", F.col("usage_30d").alias("anchor_30d"), (F.col("usage_30d") * 3).alias("anchor_90d"))
+    usage = adapter.usage(t.spark, t.folder, CUTOFF + timedelta(days=90))
+    rows = labels.with_usage_after(anchors.join(known, "acc_id"), usage, CUTOFF)
     return keep(labels.hashed_split(rows))
 
 
@@ -108,8 +115,10 @@ def credit_forecast(t: Tables) -> DataFrame:
     """Five quantiles of usage for 30 and 90 days by pinball fits on 60 % of the accounts, their outer ends moved by the margin of 20 %."""
     rows = credit_rows(t)
     out = rows.select("acc_id", "split", "usage_30d", "usage_90d")
-    for d in (30, 90):
-        one = models.quantile_forecast(rows, f"anchor_{d}d", f"usage_{d}d", quantile_models.pinball_guess(FEATURES))
+    told = lambda d: models.quantile_forecast(rows, f"anchor_{d}d", f"usage_{d}d", quantile_models.pinball_guess(FEATURES))
+    with ThreadPoolExecutor(2) as pool:
+        found = dict(zip((30, 90), pool.map(told, (30, 90)), strict=True))
+    for d, one in found.items():
         out = out.join(one.select("acc_id", *[F.col(c).alias(f"{c}_{d}d") for c in models.QUANTILE_NAMES]), "acc_id")
     # More days never mean less usage.
     return out.withColumns({f"{c}_90d": F.greatest(f"{c}_90d", f"{c}_30d") for c in models.QUANTILE_NAMES})
